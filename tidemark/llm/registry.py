@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality
+from . import chat, decontaminate, mixing, quality, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_simhash": simhash.op2_simhash,
         "op3_mixing": mixing.op3_mixing,
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op5_quality_rules": quality.op5_quality_rules,
         "op9_chat_formatting": chat.op9_chat_formatting,
     }
@@ -16,6 +18,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op3_mixing": mixing.OP3_SQL,
+        "op4_decontamination": decontaminate.OP4_SQL,
         "op5_quality_rules": quality.OP5_SQL,
         "op9_chat_formatting": chat.OP9_SQL,
     }
