@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality, simhash
+from . import chat, decontaminate, mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op8_sharding": sharding.op8_sharding,
         "op9_chat_formatting": chat.op9_chat_formatting,
     }
 
@@ -20,5 +21,6 @@ def oracle_sql() -> dict:
         "op3_mixing": mixing.OP3_SQL,
         "op4_decontamination": decontaminate.OP4_SQL,
         "op5_quality_rules": quality.OP5_SQL,
+        "op8_sharding": sharding.OP8_SQL,
         "op9_chat_formatting": chat.OP9_SQL,
     }
