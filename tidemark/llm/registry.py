@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality, sharding, simhash
+from . import chat, decontaminate, lines, mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": lines.op1_line_dedup,
         "op2_simhash": simhash.op2_simhash,
         "op3_mixing": mixing.op3_mixing,
         "op4_decontamination": decontaminate.op4_decontamination,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_line_dedup": lines.OP1_SQL,
         "op3_mixing": mixing.OP3_SQL,
         "op4_decontamination": decontaminate.OP4_SQL,
         "op5_quality_rules": quality.OP5_SQL,
