@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, rows_under, stored, table
@@ -89,29 +90,28 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
 
 
 def segment_counts(fp: Column) -> Column:
-    """Bit counts of the 16 segments of 4 bits, each in the 4 bits of its segment."""
-    m5, m3 = F.lit(0x5555555555555555), F.lit(0x3333333333333333)
-    p, q = fp.bitwiseAND(m5), F.shiftrightunsigned(fp, 1).bitwiseAND(m5)
-    pairs = p.bitwiseXOR(q).bitwiseOR(F.shiftleft(p.bitwiseAND(q), 1))
-    return pairs.bitwiseAND(m3) + F.shiftrightunsigned(pairs, 2).bitwiseAND(m3)
+    """Bit counts of the 21 segments of 3 bits, each in the 3 bits of its segment, and the last bit as it is."""
+    low = F.lit(sum(1 << 3 * s for s in range(21)))
+    counts = fp.bitwiseAND(low) + F.shiftrightunsigned(fp, 1).bitwiseAND(low) + F.shiftrightunsigned(fp, 2).bitwiseAND(low)
+    return counts.bitwiseOR(fp.bitwiseAND(F.lit(-1 << 63)))
 
 
 def nearby_cells(cell: Column) -> Column:
     """The cell and those whose counts differ by one in one segment."""
-    found = [cell]
-    for s in range(16):
-        n, one = F.shiftrightunsigned(cell, 4 * s).bitwiseAND(F.lit(15)), F.lit(1 << 4 * s)
-        found += [F.when(n < 4, cell + one), F.when(n > 0, cell - one)]
+    found = [cell, cell.bitwiseXOR(F.lit(-1 << 63))]
+    for s in range(21):
+        n, one = F.shiftrightunsigned(cell, 3 * s).bitwiseAND(F.lit(7)), F.lit(1 << 3 * s)
+        found += [F.when(n < 3, cell + one), F.when(n > 0, cell - one)]
     return F.array_compact(F.array(*found))
 
 
 def links(distinct_fingerprints: DataFrame) -> DataFrame:
     """(u, v) for fingerprints that differ in at most 2 bits, enough of them to connect all such pairs.
 
-    A fingerprint becomes the vector of its 16 segments' bit counts. Two that differ in d bits are at a
+    A fingerprint becomes the vector of its 22 segments' bit counts. Two that differ in d bits are at a
     Manhattan distance of d at most, so a pair within 2 has a vector within 1 of both: each fingerprint
-    is entered in the grid cell of its vector and the up to 32 cells beside it, and those that meet no
-    other one in any cell are done. For the others the bound is made exact in the same way: one within 2
+    is entered in the grid cell of its vector and the up to 43 cells beside it, and those that meet no
+    other one in any cell are done. The cells are counted where they meet, in one shuffle. For the others the bound is made exact in the same way: one within 2
     bits of another has a bit string within 1 bit of both, so each is entered under itself and its 64
     one-bit changes. At most 65 meet in one entry, all of them within 2 bits of each other, and each is
     linked to the smallest. No pair of a cell is ever listed, and what is made grows with the rows alone,
@@ -119,8 +119,8 @@ def links(distinct_fingerprints: DataFrame) -> DataFrame:
     """
     fps = distinct_fingerprints.select(F.col("fingerprint").alias("f"))
     cells = fps.withColumn("cell", F.explode(nearby_cells(segment_counts(F.col("f")))))
-    shared = cells.groupBy("cell").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo < hi").select("cell")
-    near = cells.join(shared, "cell", "left_semi").select("f").distinct()
+    met = F.count(F.lit(1)).over(W.partitionBy("cell"))
+    near = cells.withColumn("n", met).filter("n > 1").select("f").distinct()
     flips = [F.col("f"), *(F.col("f").bitwiseXOR(F.lit(x)) for x in ((1 << j) - (1 << 64) * (j == 63) for j in range(64)))]
     entries = near.select("f", F.explode(F.array(*flips)).alias("entry"))
     met = entries.groupBy("entry").agg(F.sort_array(F.collect_list("f")).alias("all")).filter(F.size("all") > 1)
