@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lines, mixing, quality, sharding, simhash, tokens
+from . import chat, decontaminate, html, lines, mixing, quality, sharding, simhash, tokens, urls
 
 
 def queries() -> dict:
@@ -12,9 +12,11 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_url_filters": urls.op6_url_filters,
         "op7_token_counts": tokens.op7_token_counts,
         "op8_sharding": sharding.op8_sharding,
         "op9_chat_formatting": chat.op9_chat_formatting,
+        "op10_html_extraction": html.op10_html_extraction,
     }
 
 
