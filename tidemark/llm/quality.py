@@ -170,8 +170,11 @@ def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         F.when((F.col("n_lines_removed") > 0) & (F.col("word_chars") > 0), 1 - squeeze(F.col("clean_text")) / F.col("word_chars")).otherwise(0.0),
     )
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    made = made.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("lost") <= rules.max_lost))
-    return made.drop("_words", "_lines", "_hashes", "_judged", "_full", "_left", "_low")
+    made = made.drop("base_failed", "kept").withColumn("_failed", failed)
+    # as rows of a generator: a filter on a verdict would else be pushed below the measures and compute them again
+    verdict = F.struct(F.col("_failed").alias("base_failed"), (~F.col("_failed") & (F.col("lost") <= rules.max_lost)).alias("kept"))
+    made = made.select("*", F.inline(F.array(verdict)))
+    return made.drop("_words", "_lines", "_hashes", "_judged", "_full", "_left", "_low", "_failed")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,9 +186,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others go on with their failing lines removed."""
-    judged = clean(docs).filter("kept")
-    judged = judged.withColumn("text", F.when(F.col("n_lines_removed") > 0, F.col("clean_text")).otherwise(F.col("text")))
-    return judged.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    judged = clean(docs)
+    text = F.when(F.col("n_lines_removed") > 0, F.col("clean_text")).otherwise(F.col("text"))
+    judged = judged.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return judged.filter("kept").select(docs.columns)
 
 
 OP5_SQL = r"""

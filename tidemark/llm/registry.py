@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, decontaminate, html, lines, mixing, quality, sharding, simhash, tokens, urls
 
 
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_html_extraction": html.op10_html_extraction,
+        "pipeline": corpus_pipeline.run,
     }
 
 
