@@ -21,6 +21,8 @@ OVERLAP = 1 << 10
 AGREE = 8
 #: Characters of the texts that are encoded in one call.
 CALL = 1 << 20
+#: Words that a task remembers, about 100 bytes each.
+MOST_KNOWN = 1_000_000
 
 
 def encoder(content: bytes) -> Callable:
@@ -92,12 +94,15 @@ def tokens_of(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP,
     yield left
 
 
-def count_tokens(docs: DataFrame, content: bytes, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def count_tokens(
+    docs: DataFrame, content: bytes, chunk: int = CHUNK, overlap: int = OVERLAP, space_parts: bool = False
+) -> DataFrame:
     """docs without text, with n_bytes (UTF-8) and n_tokens (long).
 
     content is that of a tokenizers file; it is sent to the tasks once. Texts of up to chunk characters are
     encoded whole, longer ones in overlapping chunks, so a task holds the tokens of a chunk and not of
-    a text. No begin, end or other tokens are added; special strings inside texts count as the
+    a text. space_parts says that the tokenizer drops white space and lets no token span it; texts of up to
+    chunk characters are then counted word by word, and a task encodes a word once while it remembers it. No begin, end or other tokens are added; special strings inside texts count as the
     tokenizer has them. A null text is empty and has no tokens; repeated rows are counted one by one; columns of
     docs with the new names are replaced; an empty table gives an empty one. Nothing is shuffled.
     """
@@ -108,25 +113,28 @@ def count_tokens(docs: DataFrame, content: bytes, chunk: int = CHUNK, overlap: i
     shared = docs.sparkSession.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = encoder(shared.value)
+        tokenizer, known = encoder(shared.value), {} if space_parts else None
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(len(kept) + 1)), pa.array(counts(tokenizer, b.column(len(kept) + 2), chunk, overlap), pa.int64())],
+                [*(b.column(i) for i in range(len(kept) + 1)), pa.array(counts(tokenizer, b.column(len(kept) + 2), chunk, overlap, known), pa.int64())],
                 [*kept, "n_bytes", "n_tokens"],
             )
 
     return given.mapInArrow(run, given.drop("_text").schema)
 
 
-def counts(tokenizer, texts: pa.Array, chunk: int, overlap: int) -> list[int]:
+def counts(tokenizer, texts: pa.Array, chunk: int, overlap: int, known: dict[bytes, int] | None = None) -> list[int]:
     made: list[int] = [0] * len(texts)
     group: list[tuple[int, str]] = []
     held = 0
 
     def flush() -> None:
-        found = tokenizer.encode_batch_fast([t for _, t in group], add_special_tokens=False)
-        for (k, _), e in zip(group, found, strict=True):
-            made[k] = len(e.ids)
+        if known is not None:
+            found = counts_by_word(tokenizer, [t.encode() for _, t in group], known)
+        else:
+            found = [len(e.ids) for e in tokenizer.encode_batch_fast([t for _, t in group], add_special_tokens=False)]
+        for (k, _), n in zip(group, found, strict=True):
+            made[k] = n
         group.clear()
 
     for k, value in enumerate(texts):
@@ -143,6 +151,22 @@ def counts(tokenizer, texts: pa.Array, chunk: int, overlap: int) -> list[int]:
     return made
 
 
+def counts_by_word(tokenizer, texts: list[bytes], known: dict[bytes, int]) -> list[int]:
+    """Tokens of each text as the sum over its words; known has those of words seen, and gets the new ones."""
+    if len(known) > MOST_KNOWN:
+        known.clear()
+    split = [t.split() for t in texts]
+    new = list({w for words in split for w in words}.difference(known))
+    for at in range(0, len(new), 4096):
+        some = [w.decode() for w in new[at : at + 4096]]
+        starts = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
+        e = tokenizer.encode(" ".join(some), add_special_tokens=False)
+        places = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+        n = np.bincount(np.searchsorted(starts, places, side="right") - 1, minlength=len(some))
+        known.update(zip(new[at : at + 4096], n.tolist(), strict=True))
+    return [sum(map(known.__getitem__, words)) for words in split]
+
+
 def tokenizer_content(name: str = TOKENIZER) -> bytes:
     import public_tokenizers
 
@@ -152,5 +176,5 @@ def tokenizer_content(name: str = TOKENIZER) -> bytes:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = count_tokens(docs, tokenizer_content())
+    found = count_tokens(docs, tokenizer_content(), space_parts=True)
     return found.withColumn("over_limit", F.col("n_tokens") > LIMIT)
