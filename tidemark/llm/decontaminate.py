@@ -17,7 +17,7 @@ SHINGLE = 3
 #: Bytes of benchmark text that one block of items may hold; each block is one more pass over the documents.
 BLOCK_BYTES = 8 << 20
 #: Words handled at once in a task.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 16
 #: A-Z to a-z; all other ASCII but letters and digits to spaces; bytes over 0x7F are parts of words.
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)
