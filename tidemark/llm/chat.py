@@ -28,7 +28,7 @@ class Template:
 
     opens: dict = field(default_factory=lambda: {"system": "<<SYS>>", "user": "[INST]", "assistant": "[/INST]"})
     other_open: str = "<<ROLE:"
-    other_close: str = ">>"
+    other_close: str = "[:]"
     close: str = "</s>"
     loss: tuple = ("assistant",)
     moves: dict = field(
@@ -43,7 +43,7 @@ class Template:
     final: tuple = ("answered",)
 
     def __post_init__(self):
-        for x in (*self.opens.values(), self.other_open, self.close):
+        for x in (*self.opens.values(), self.other_open, self.other_close, self.close):
             if len(x) < 2 or x[0] not in STARTERS or ESCAPE in x:
                 raise ValueError(f"control string {x!r} can't be told from text")
 
@@ -161,7 +161,7 @@ chats AS (
     coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '') AS loss,
     sum(length(text) + length(regexp_replace(text, '[^<\[\\]', '', 'g')) + 4
       + CASE role WHEN 'system' THEN 7 WHEN 'user' THEN 6 WHEN 'assistant' THEN 7
-        ELSE 9 + length(role) + length(regexp_replace(role, '[^<\[\\]', '', 'g')) END) AS formatted_chars,
+        ELSE 10 + length(role) + length(regexp_replace(role, '[^<\[\\]', '', 'g')) END) AS formatted_chars,
     string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, ''
       ORDER BY turn, role, text) AS shape
   FROM turns GROUP BY conv_id)
