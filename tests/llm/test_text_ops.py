@@ -150,11 +150,11 @@ def test_pagerank_agrees_with_brute_force(spark):
     edges = sorted({(rnd.choice(names), rnd.choice(names)) for _ in range(25)})
     seeds = {"h0": 3, "h5": 1}
     got = urls.pagerank(
-        spark.createDataFrame([(h, seeds.get(h, 0)) for h in names], "host string, seed long"), spark.createDataFrame(edges, "src string, dst string"), tolerance=1e-9, max_rounds=60
+        spark.createDataFrame([(h, seeds.get(h, 0)) for h in names], "host string, seed long"), spark.createDataFrame(edges, "src string, dst string"), damping=0.5, tolerance=1e-4
     )
-    want = brute_rank(seeds, edges)
+    want = brute_rank(seeds, edges, 0.5)
     ranks = {r["host"]: r["rank"] for r in got.collect()}
-    assert all(abs(ranks.get(h, 0) - want[h]) < 1e-4 for h in want)
+    assert all(abs(ranks.get(h, 0) - want[h]) < 1e-3 for h in want)
 
 
 def test_url_rules_and_propagation(spark):
