@@ -13,7 +13,7 @@ from .common import WORD, stored, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-DOCS_PER_SHARD = 20_000
+DOCS_PER_SHARD = 2_000
 SEED = "mix-1"
 
 
@@ -185,7 +185,7 @@ aimed AS (
     / sum(CASE WHEN NOT full_up THEN weight END) OVER () END AS target FROM capped),
 cut AS (
   SELECT *, greatest(1, least(4096, floor(min(CASE WHEN target > 0 THEN target END) OVER () / 200)))::BIGINT AS block,
-    ceil(docs / 20000)::BIGINT AS shards, sum(target) OVER () AS aim FROM aimed),
+    ceil(docs / 2000)::BIGINT AS shards, sum(target) OVER () AS aim FROM aimed),
 seats AS (SELECT *, round(aim / block)::BIGINT AS m FROM cut),
 quotients AS (
   SELECT source, target / (2 * q + 1) AS quotient, q, m FROM seats,

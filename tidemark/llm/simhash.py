@@ -18,8 +18,8 @@ SEED = 42
 #: Bytes of text whose shingles are in memory at once.
 PIECE = 1 << 20
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Most ids that are broadcast: 16 bytes each.
-MOST_BROADCAST = 2_000_000
+#: Most rows of ids and digests that are broadcast, about 150 bytes each.
+MOST_BROADCAST = 400_000
 
 
 def pieces(text: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
