@@ -43,7 +43,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-@query("aql_flagship", """ SELECT dimension, label, count(*) AS n FROM (SELECT unnest(['category', 'app', 'direction', 'recovery']) AS dimension,
+@query("filter_flagship", """ SELECT dimension, label, count(*) AS n FROM (SELECT unnest(['category', 'app', 'direction', 'recovery']) AS dimension,
  unnest([category, app, direction, recovery]) AS label FROM art WHERE category = 'Messages' AND recovery <> 'allocated' AND timestamp >= 1704844800000000) GROUP BY ALL""")
 def _(df, spark, d):
     return timeline.facets(df.filter(P.category("messages") & P.deleted() & P.after("2024-01-10")))
