@@ -16,7 +16,7 @@ def test_mixing_targets_and_bounds(spark):
     rows = [(i, "w " * (10 + i % 7), ("big", "mid", "tiny", None)[0 if i % 10 < 7 else 1 if i % 10 < 9 else 2 + i % 20 // 10], i) for i in range(400)]
     rows += [(900, None, "big", 1), (901, "", "mid", 1), (902, "a b", "mid", 1), (902, "a b", "mid", 1), (None, "x y z", "big", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
-    got = mixing.mix(df, docs_per_shard=50).collect()
+    got = mixing.mix(df, docs_per_shard=20, shards_per_group=3).collect()
     assert len(got) == len(rows) and "text" not in got[0].asDict()
     words = collections.Counter()
     for r in rows:
@@ -39,7 +39,7 @@ def test_mixing_targets_and_bounds(spark):
         assert 0 <= r.taken <= 3 * r["size"] and r.source_size == words[r.source] and abs(r.target - target[r.source]) < 1e-6
         taken[r.source] += r.taken
     assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] + 2 for s in order)
-    again = mixing.mix(df.repartition(7), docs_per_shard=50).collect()
+    again = mixing.mix(df.repartition(7), docs_per_shard=20, shards_per_group=3).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(df.limit(0)).count() == 0
 

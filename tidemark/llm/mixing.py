@@ -88,12 +88,13 @@ def mix(
     docs_per_shard: int = DOCS_PER_SHARD,
     seed: str = SEED,
     with_text: bool = False,
+    shards_per_group: int = 1_000,
 ) -> DataFrame:
     """Every row of docs (doc_id, text, source, ...) with size, source_size, target, taken; text if with_text.
 
     The words of a source are cut into shards by a seeded hash of doc_id, and each shard, its documents
     in seeded order, into blocks of equally many words. Sources get whole blocks by Sainte-Laguë, and so
-    do the shards of a source. A shard of m blocks with a quota q takes all its blocks q div m times and
+    do groups of 1,000 shards of a source and the shards of a group. A shard of m blocks with a quota q takes all its blocks q div m times and
     a run of q mod m of them once more, which starts at a seeded block and goes on from the first after
     the last. taken is the number of words of the document in those blocks, repeats counted.
 
@@ -132,7 +133,14 @@ def mix(
     shards = placed(sized).groupBy("source", "_shard").agg(
         F.sum("size").alias("_words"), F.first("_quota").alias("_of"), F.first("_block").alias("_b")
     )
-    shards = sainte_lague(shards.withColumn("_votes", F.col("_words").cast("double")), ["source"], ["_shard"], "_votes", F.col("_of"), "_q")
+    # groups of shards first, so that no window holds more than a group's shards or a source's groups
+    shards = shards.withColumns({"_group": F.floor(F.col("_shard") / shards_per_group), "_votes": F.col("_words").cast("double")})
+    groups = shards.groupBy("source", "_group").agg(F.sum("_votes").alias("_votes"), F.first("_of").alias("_of"))
+    groups = sainte_lague(groups, ["source"], ["_group"], "_votes", F.col("_of"), "_q")
+    groups = groups.select(F.col("source").alias("_s"), F.col("_group").alias("_g"), F.col("_q").alias("_seats_of_group"))
+    shards = shards.join(groups, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_group") == F.col("_g")), "left")
+    shards = shards.drop("_s", "_g")
+    shards = sainte_lague(shards, ["source", "_group"], ["_shard"], "_votes", F.col("_seats_of_group"), "_q")
     blocks = F.greatest(F.ceil(F.col("_words") / F.col("_b")), F.lit(1)).cast("long")
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("_shard"))), 1, 12), 16, 10)
     shards = shards.withColumn("_m", blocks).withColumn("_q", F.least(F.col("_q"), F.col("_m") * max_repeats))

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import LOWER, UPPER, rows_under, stored, table
 from .components import components
@@ -85,8 +86,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), made], [*keep, "fingerprint"])
 
     given = docs.select(*keep, F.col("text").cast("binary").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), "fingerprint long"])
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, StructType([*given.schema.fields[:-1], StructField("fingerprint", LongType())]))
 
 
 def segment_counts(fp: Column) -> Column:
