@@ -144,6 +144,21 @@ def test_graph(spark):
     assert graph.modularity(e, spark.createDataFrame(list(label.items()), "node string, label string")).first().q > 0.3
 
 
+def test_betweenness(spark):
+    path = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("d", "e", 1), ("x", "y", 1)], "a string, b string, weight long")
+    got = {r.node: r.betweenness for r in graph.betweenness(path).collect()}
+    assert got == {n: round(v / 15, 5) for n, v in {"a": 0, "b": 3, "c": 4, "d": 3, "e": 0, "x": 0, "y": 0}.items()}
+    square = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("a", "d", 1)], "a string, b string, weight long")
+    assert {r.betweenness for r in graph.betweenness(square).collect()} == {round(0.5 / 3, 5)}
+
+
+def test_community_report(spark):
+    e = spark.createDataFrame([("a", "b", 3), ("b", "c", 1)], "a string, b string, weight long")
+    labels = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "node string, label string")
+    got = {r.label: (r.size, r.weight, r.inside, r.cohesion) for r in graph.community_report(e, labels).collect()}
+    assert got == {"a": (2, 4, 3, 0.75), "c": (1, 1, 0, 0.0)}
+
+
 def test_correlation(spark):
     df = arts(spark, [("1", "A", "Messages", 0, "incoming", "a", "p"), ("2", "B", "Messages", 0, "incoming", "a", "p", {"recovery": "wal"}), ("3", "B", "Messages", 0, "incoming", "a", "q")])
     assert [tuple(r) for r in correlate.shared(df, "party").collect()] == [("p", 2, 2)]

@@ -103,3 +103,50 @@ def modularity(e: DataFrame, labels: DataFrame) -> DataFrame:
     return one(inside).join(one(total), "_one").select(
         (F.col("inside") / F.col("m") - F.col("squares") / F.pow(2 * F.col("m"), F.lit(2))).alias("q"), "communities"
     )
+
+
+def betweenness(e: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(node, betweenness), 0 to 1: share of the shortest paths between two others that pass a node, unweighted.
+
+    All sources at once: a frontier of (source, node, paths) grows by one step a round and is counted back from
+    the last step to the first. Rows are as many as pairs that reach each other, in the nature of the measure,
+    and spread by source and node.
+    """
+    both = mirrored(e).select(F.col("node").alias("v"), "other").distinct()
+    frontier = _checkpointed(both.select("v").distinct().select(F.col("v").alias("s"), "v", F.lit(1.0).alias("paths")))
+    n = frontier.count()
+    levels, seen = [frontier], frontier.select("s", "v")
+    for _ in range(max_depth):
+        step = levels[-1].join(both, "v").groupBy("s", F.col("other").alias("v")).agg(F.sum("paths").alias("paths"))
+        step = _checkpointed(step.join(seen, ["s", "v"], "left_anti"))
+        if step.isEmpty():
+            break
+        levels.append(step)
+        seen = seen.unionByName(step.select("s", "v"))
+    else:
+        raise RuntimeError(f"paths of more than {max_depth} steps")
+    found = None
+    later = levels[-1].withColumn("share", F.lit(0.0))
+    for before in reversed(levels[:-1]):
+        back = later.select("s", "v", F.col("paths").alias("_p"), F.col("share").alias("_d")).join(both, "v")
+        back = back.select("s", F.col("other").alias("v"), ((1 + F.col("_d")) / F.col("_p")).alias("part"))
+        gained = before.join(back, ["s", "v"]).groupBy("s", "v").agg((F.first("paths") * F.sum("part")).alias("share"))
+        later = _checkpointed(before.join(gained, ["s", "v"], "left").withColumn("share", F.coalesce("share", F.lit(0.0))))
+        own = later.filter("s <> v").groupBy(F.col("v").alias("node")).agg(F.sum("share").alias("share"))
+        found = own if found is None else found.unionByName(own)
+    nodes = both.select(F.col("v").alias("node")).distinct()
+    if found is None:
+        return nodes.withColumn("betweenness", F.lit(0.0))
+    total = found.groupBy("node").agg(F.sum("share").alias("share"))
+    pairs = float(max(1, (n - 1) * (n - 2)))
+    return nodes.join(total, "node", "left").select("node", F.round(F.coalesce("share", F.lit(0.0)) / pairs, 5).alias("betweenness"))
+
+
+def community_report(e: DataFrame, labels: DataFrame) -> DataFrame:
+    """Communities with their size, weight inside and cohesion, the share of their edges' weight that stays inside."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    named = e.join(a, "a").join(b, "b")
+    ends = named.select(F.explode(F.array_distinct(F.array("la", "lb"))).alias("label"), "weight", (F.col("la") == F.col("lb")).alias("within"))
+    met = ends.groupBy("label").agg(F.sum("weight").alias("weight"), F.coalesce(F.sum(F.when(F.col("within"), F.col("weight"))), F.lit(0)).alias("inside"))
+    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    return size.join(met, "label", "left").select("label", "size", "weight", "inside", F.round(F.col("inside") / F.col("weight"), 6).alias("cohesion"))

@@ -53,7 +53,7 @@ def encounters(hits: DataFrame, window_us: int = 15 * 60_000_000, radius_m: floa
     )
     space, time = 1 - F.col("nearest_m") / radius_m, 1 - F.col("closest_us") / window_us
     more = F.least(F.lit(0.15), 0.03 * (F.col("hits") - 1))
-    return out.withColumn("confidence", F.round(F.least(F.lit(0.95), 0.45 + 0.20 * space + 0.15 * time + more) * F.col("weight"), 4))
+    return out.withColumn("confidence", F.round(F.least(F.lit(0.95), 0.45 + 0.20 * space + 0.15 * time + more) * F.col("weight"), 6))
 
 
 def pair_summary(met: DataFrame) -> DataFrame:
@@ -83,5 +83,5 @@ def tracks(df: DataFrame, least: int = 2) -> DataFrame:
     made = df.filter(geo.plausible(F.col("latitude"), F.col("longitude")) & F.col("timestamp").isNotNull()).withColumn("day", day)
     w = W.partitionBy("exhibit", "day").orderBy("timestamp", "artifact_id")
     step = geo.haversine(F.lag("latitude").over(w), F.lag("longitude").over(w), F.col("latitude"), F.col("longitude"))
-    out = made.withColumn("step", step).groupBy("exhibit", "day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("step"), 1).alias("metres"))
+    out = made.withColumn("step", step).groupBy("exhibit", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("step").alias("metres"))
     return out.filter(F.col("n") >= least)

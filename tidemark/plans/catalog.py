@@ -238,14 +238,30 @@ def _(df, spark, d):
     return hits.select("artifact_id_a", "artifact_id_b", F.round("metres", 3).alias("metres"), apart)
 
 
-@query("encounters")
-def _(df, spark, d):
+METRES = "2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians({1} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({1})) * pow(sin(radians({3} - {2}) / 2), 2))))"
+MET = PRESENCE + f""", q AS (SELECT a_ex, b_ex, artifact_id_a, artifact_id_b, metres, apart, w, mid, lat, lon FROM (SELECT a.exhibit AS a_ex, b.exhibit AS b_ex, a.artifact_id AS artifact_id_a, b.artifact_id AS artifact_id_b,
+ abs(a.timestamp - b.timestamp) AS apart, least(a.weight, b.weight) AS w, (a.timestamp + b.timestamp) // 2 AS mid, (a.latitude + b.latitude) / 2 AS lat, (a.longitude + b.longitude) / 2 AS lon,
+ {METRES.format('a.latitude', 'b.latitude', 'a.longitude', 'b.longitude')} AS metres FROM pp a JOIN pp b ON a.exhibit < b.exhibit AND abs(a.timestamp - b.timestamp) <= 900000000) WHERE metres <= 500),
+ z AS (SELECT *, CASE WHEN mid - lag(mid) OVER v > 900000000 OR {METRES.format('lag(lat) OVER v', 'lat', 'lag(lon) OVER v', 'lon')} > 500 THEN 1 ELSE 0 END AS fresh FROM q
+  WINDOW v AS (PARTITION BY a_ex, b_ex ORDER BY mid, artifact_id_a, artifact_id_b)),
+ y AS (SELECT *, sum(fresh) OVER (PARTITION BY a_ex, b_ex ORDER BY mid, artifact_id_a, artifact_id_b ROWS UNBOUNDED PRECEDING)::BIGINT AS encounter FROM z),
+ enc AS (SELECT a_ex AS exhibit_a, b_ex AS exhibit_b, encounter, count(*) AS hits, min(mid) AS start, max(mid) AS stop, min(metres) AS nearest_m, min(apart) AS closest_us, min(w) AS weight FROM y GROUP BY 1, 2, 3),
+ rated AS (SELECT *, least(0.95::DOUBLE, 0.45::DOUBLE + 0.20::DOUBLE * (1 - nearest_m / 500) + 0.15::DOUBLE * (1 - closest_us / 900000000) + least(0.15::DOUBLE, 0.03::DOUBLE * (hits - 1))) * weight AS confidence FROM enc) """
+
+
+def met_in(df: DataFrame) -> DataFrame:
     return places.encounters(places.meetings(places.presence(df)))
 
 
-@query("pair_summary")
+@query("encounters", MET + "SELECT exhibit_a, exhibit_b, encounter, hits, start, stop, round(nearest_m, 3) AS nearest_m, closest_us, weight, round(confidence, 3) AS confidence FROM rated")
 def _(df, spark, d):
-    return places.pair_summary(places.encounters(places.meetings(places.presence(df))))
+    return met_in(df).withColumns({"nearest_m": F.round("nearest_m", 3), "confidence": F.round("confidence", 3)})
+
+
+@query("pair_summary", MET + f"""SELECT exhibit_a, exhibit_b, encounters, days, CASE WHEN encounters >= 8 AND days >= 5 THEN 'travelling' WHEN encounters >= 3 AND days >= 3 THEN 'repeated' ELSE 'single' END AS kind
+ FROM (SELECT exhibit_a, exhibit_b, count(*) AS encounters, count(DISTINCT strftime(make_timestamp(start), '%Y-%m-%d')) AS days FROM rated GROUP BY 1, 2)""")
+def _(df, spark, d):
+    return places.pair_summary(met_in(df)).drop("confidence")
 
 
 @query("geo_grid", f"""SELECT {CELL.format('latitude')} AS y, {CELL.format('longitude')} AS x, count(*) AS n, count(DISTINCT exhibit) AS exhibits, count(DISTINCT {DAY}) AS days,
@@ -254,9 +270,10 @@ def _(df, spark, d):
     return places.grid(df)
 
 
-@query("daily_tracks")
+@query("daily_tracks", f""", st AS (SELECT exhibit, {DAY} AS day, {METRES.format('lag(latitude) OVER v', 'latitude', 'lag(longitude) OVER v', 'longitude')} AS step FROM art
+ WINDOW v AS (PARTITION BY exhibit, {DAY} ORDER BY timestamp, artifact_id)) SELECT exhibit, day, count(*) AS n, round(sum(step), 0) AS metres FROM st GROUP BY 1, 2 HAVING count(*) >= 2""")
 def _(df, spark, d):
-    return places.tracks(df)
+    return places.tracks(df).withColumn("metres", F.round("metres", 0))
 
 
 USAGE = """, m AS (SELECT a.artifact_id, l.artifact_id AS usage_id, abs(a.timestamp - l.timestamp) AS away_us, abs(a.timestamp - l.timestamp) <= 120000000 AS close, a.app = l.app AS same_app
@@ -336,6 +353,17 @@ def _(df, spark, d):
     return graph.components(app_edges(df))
 
 
+@query("graph_betweenness")
+def _(df, spark, d):
+    return graph.betweenness(app_edges(df))
+
+
+@query("community_report")
+def _(df, spark, d):
+    e = app_edges(df)
+    return graph.community_report(e, graph.communities(e))
+
+
 @query("graph_communities")
 def _(df, spark, d):
     return graph.communities(app_edges(df))
