@@ -121,6 +121,16 @@ def test_html_other_templates(spark):
     assert pages_html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_odd_markup():
+    read = lambda page: pages_html.main_text(page, "main")
+    assert read("<ARTICLE><P>a &lt; b < c<BR/>d<svg><title>x</title><text>no</text></svg>e") == "a < b < c de"
+    assert read("<article><svg/>one<a title=\"x>two</a> three") == "onetwo three"
+    assert read("<article><p>cut <b>of") == "cut of"
+    assert read("<article>x<!-- <p>no</p>") == "x"
+    assert read("<article><header><h1>Title</h1></header><div class='ad banner'>no</div>\n yes\t it is</article></ar") == "Title\nyes it is"
+    assert read("") == "" and read("plain &amp text") == "plain & text"
+
+
 def test_wrapper_folds_repeats_and_marks_optional_parts():
     a = pages_html.skeleton("<article><p>x</p><p>y</p></article>")
     b = pages_html.skeleton("<article><h2>t</h2><p>x</p></article>")
