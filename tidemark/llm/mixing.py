@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import WORD, rows_under, stored, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 DOCS_PER_SHARD = 2_000
+#: Sources that are broadcast, about 100 bytes each; more are joined.
+MOST_SOURCES = 100_000
 SEED = "mix-1"
 
 
@@ -102,7 +104,7 @@ def mix(
     texts have size 0 and are never taken; a null source is a source; a null doc_id counts as an empty
     string in the order; repeated rows are documents of their own; an empty table gives an empty one.
     Columns named like those made are replaced. Texts are shuffled, once, only if with_text asks for them.
-    A hot source is dealt out over its shards; tables of a row per source or shard are all that meets.
+    A hot source is dealt out over its shards; the table of sources is broadcast if it has at most MOST_SOURCES rows.
     """
     made = ("size", "source_size", "target", "taken")
     keep = [c for c in docs.columns if c not in made and (with_text or c != "text")]
@@ -123,7 +125,10 @@ def mix(
     sources = sainte_lague(sources, [], ["source"], "target", seats, "_quota")
     sources = sources.withColumn("_shards", F.ceil(F.col("_docs") / docs_per_shard).cast("long"))
 
+    sources = stored(sources, "sources")
     named = sources.withColumnRenamed("source", "_source")
+    # else the join would deal all rows by source, the hot one's to one task
+    named = F.broadcast(named) if rows_under(named, MOST_SOURCES) else named
 
     def placed(rows: DataFrame) -> DataFrame:
         number = F.conv(F.substring("_token", 1, 12), 16, 10).cast("long")
