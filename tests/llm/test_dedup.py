@@ -118,6 +118,37 @@ def test_near_copies_agree_with_brute_force(spark):
     assert all(stays == (first == d) for d, (first, stays) in got.items())
 
 
+def test_near_copies_of_short_texts_miss_none(spark):
+    rnd = random.Random(11)
+    docs = []
+    for _ in range(150):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(10, 40))]
+        docs.append(base)
+        for n in range(rnd.randint(1, 3)):
+            docs.append(base + [f"x{rnd.randrange(3000)}" for _ in range(1 + n)])
+    for _ in range(30):  # chains: each is like the next one only
+        base = [f"y{rnd.randrange(3000)}" for _ in range(24)]
+        docs += [base[n * 2 :] + [f"z{base[0]}{k}" for k in range(n * 2)] for n in range(6)]
+    docs = list(enumerate(" ".join(d) for d in docs))
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in docs}
+    alike = [(a, b) for a in sets for b in sets if b < a and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert len(alike) > 150
+    got = {r.doc_id: r.first_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == roots(sets, alike)
+
+
+def test_common_shingles_do_not_change_which_prefixes_meet():
+    rnd = random.Random(5)
+    common = np.array(sorted(rnd.sample(range(1000), 300)), dtype=np.uint64)
+    times = np.array([rnd.randint(4, 9) for _ in common])
+    for _ in range(500):
+        a = set(rnd.sample(range(1000), rnd.randint(1, 40)))
+        b = set(list(a)[rnd.randint(0, 3) :]) | set(rnd.sample(range(1000), rnd.randint(0, 3)))
+        if b and len(a & b) / len(a | b) >= 0.8:
+            x, y = (simhash.prefix(np.array(sorted(s), dtype=np.uint64), 0.8, common, times) for s in (a, b))
+            assert set(x.tolist()) & set(y.tolist())
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,37 +162,24 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Distinct shingles in a segment of near_copies(), and most segments of a level.
-SEGMENT, SEGMENTS = 4, 24
+#: One text of so many is read for common shingles; most of those that are kept, and times in the sample to be one.
+SAMPLED, MOST_COMMON, COMMON = 16, 200_000, 4
 
 
-def segment_keys(hashes: np.ndarray) -> np.ndarray:
-    """Keys of the segments of a set of shingle hashes.
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n distinct sorted hashes, in one order for all texts.
 
-    The hashes are dealt into 2^level segments by their scrambled first bits, level such that 4 to 8 come to
-    one, and again for the level below; a key is the SimHash of a segment with its level and number.
-    Only the first 24 segments of a level are keyed: the same ones in any text, whatever its length.
+    The order is by times in the table of common hashes (sorted, 0 for others), then by hash. Two sets as similar as asked
+    have a hash in both prefixes whatever the order is, so the table only keeps common shingles from being keys.
+    A set without hashes gets one key of its own.
     """
-    if not len(hashes):
+    n = len(hashes)
+    if not n:
         return np.zeros(1, dtype=np.int64)
-    mixed = np.sort(hashes * np.uint64(0x9E3779B97F4A7C15))
-    keys = []
-    top = max(0, (len(hashes) // SEGMENT).bit_length() - 1)
-    for level in sorted({top, max(0, top - 1)}):
-        n = min(SEGMENTS, 1 << level)
-        edges = [np.searchsorted(mixed, np.uint64((k << 64 - level) if level else 0)) for k in range(n)]
-        edges.append(len(mixed) if n == 1 << level else np.searchsorted(mixed, np.uint64(n << 64 - level)))
-        starts, sizes = np.array(edges[:-1]), np.diff(edges)
-        full = np.flatnonzero(sizes)
-        if not len(full):
-            continue
-        part = np.ascontiguousarray(mixed[: edges[-1]])
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, starts[full], axis=0, dtype=np.int64)
-        prints = np.packbits(2 * counts > sizes[full][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-        salt = np.array([xxhash.xxh64_intdigest(b"%d/%d" % (level, k), SEED) for k in full.tolist()], dtype=np.uint64)
-        keys.append(((prints ^ salt) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64))
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(1, dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.argsort(np.where(common[at] == hashes, times[at], 0), kind="stable")]
+    return hashes[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64)
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -217,53 +205,109 @@ def similar(pairs: Iterator[pa.RecordBatch], shingle_words: int, similarity: flo
         yield p.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def common_shingles(given: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that are common in a sample of the texts, and how often they are there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle_words).view(np.int64))], ["h"])
+
+    sample = given.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h long")
+    found = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+    rows = found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    hashes = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r.n for r in rows], dtype=np.int64)[order]
+
+
+def may_be_similar(similarity: float) -> Column:
+    """Whether sets of n_a and n_b hashes that share the one at pos_a and pos_b can be similar enough."""
+    n, m = F.col("n_a"), F.col("n_b")
+    most = F.least("pos_a", "pos_b") + 1 + F.least(n - F.col("pos_a"), m - F.col("pos_b")) - 1
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (most >= similarity / (1 + similarity) * (n + m) - 1e-9)
+
+
 def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, node, first_id, stays) for every row of docs: node is the MD5 of its text, first_id the smallest
     doc_id of its group, stays whether the row is the one of that id.
 
     Texts with a Jaccard similarity of their shingle sets of at least similarity are linked, and groups
     are what is connected. At this similarity SimHashes of whole texts differ in about ten bits, which no
-    range-join on bit counts can find at a bearable size; so the texts' shingles are dealt into segments,
-    each with a SimHash of its own, and texts are candidates if a segment's SimHashes are at distance 0.
-    In each segment the text that meets the most others is the centre, and the others are compared with it:
-    a text is a candidate at most once for each of its segments, however many copies there are. Then shingle
-    sets are compared exactly. Measured recall is in the README.
+    range-join on bit counts can find at a bearable size; so texts are candidates if they share a shingle of
+    their prefixes (see prefix()) and lengths and places allow for the similarity, which leaves out no pair.
+    Shingle sets are compared exactly. No pair needs comparing whose texts are in one group already: first the
+    others of a key are compared with its smallest text, then with its largest one, and at last the pairs
+    of a key that are still of different groups are listed and compared, all of them.
 
     Equal texts are one node before all that. Null and empty texts are equal in having no shingles and are
     one group; a null doc_id is after all others; rows repeated in full all have the same stays; an empty
     table gives an empty one.
     """
     node = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    given = docs.select("doc_id", node.alias("node"), F.col("text").cast("binary").alias("text"))
+    common, times = common_shingles(given, shingle_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [segment_keys(shingle_set(t.as_py(), shingle_words)) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"]
-            )
+            sets = [shingle_set(t.as_py(), shingle_words) for t in b.column(2)]
+            keys = pa.array([prefix(x, similarity, common, times) for x in sets], pa.list_(pa.int64()))
+            n = pa.array([len(x) for x in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, keys], ["doc_id", "node", "n", "keys"])
 
-    given = docs.select("doc_id", node.alias("node"), F.col("text").cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(given.mapInArrow(run, f"doc_id {kind}, node binary, keys array<long>"), "segments")
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "texts")
-    entries = nodes.select("node", F.explode("keys").alias("key"))
-    entries = entries.withColumn("met", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("met > 1")
-    entries = stored(entries, "entries")
-    central = entries.groupBy("node").agg(F.sum("met").alias("degree"))
-    ranked = entries.join(central, "node").withColumn("centre", F.max(F.struct("degree", "node")).over(W.partitionBy("key"))["node"])
-    pairs = stored(ranked.filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "pairs")
-
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "first"), "node")
-    small = rows_under(wanted, MOST_BROADCAST)
-    same = given["node"].eqNullSafe(F.col("_node")) & given["doc_id"].eqNullSafe(F.col("first"))
-    wanted = wanted.withColumnRenamed("node", "_node")
-    texts = given.join(F.broadcast(wanted) if small else wanted, same, "left_semi").select("node", "text")
-    left = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    right = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    both = left.join(right, "v").select("u", "v", "a", "b")
-    linked = both.mapInArrow(lambda it: similar(it, shingle_words, similarity), "u binary, v binary")
-    roots = components(linked)
-    named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = stored(given.mapInArrow(run, f"doc_id {kind}, node binary, n int, keys array<long>"), "prefixes")
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "texts").withColumn("t", F.xxhash64("node"))
+    # t only finds candidates; texts with the same t are all compared
+    entries = rows.select(F.xxhash64("node").alias("t"), "n", F.posexplode("keys").alias("pos", "key"))
+    ends = entries.groupBy("key").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi")
+    entries = stored(entries.join(ends, "key").select("key", "t", "n", "pos").distinct(), "entries")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """(u, v) of the pairs (ta, tb) that are similar enough."""
+        wanted = pairs.select(F.explode(F.array("ta", "tb")).alias("t")).distinct().join(nodes, "t").select("node", "first")
+        small = rows_under(wanted, MOST_BROADCAST)
+        same = given["node"].eqNullSafe(F.col("_node")) & given["doc_id"].eqNullSafe(F.col("first"))
+        wanted = wanted.withColumnRenamed("node", "_node")
+        texts = given.join(F.broadcast(wanted) if small else wanted, same, "left_semi").select("node", "text")
+        texts = texts.withColumn("t", F.xxhash64("node"))
+        left = pairs.join(texts.select(F.col("t").alias("ta"), F.col("node").alias("u"), F.col("text").alias("a")), "ta")
+        right = texts.select(F.col("t").alias("tb"), F.col("node").alias("v"), F.col("text").alias("b"))
+        both = left.join(right, "tb").select("u", "v", "a", "b")
+        return stored(both.mapInArrow(lambda it: similar(it, shingle_words, similarity), "u binary, v binary"), "linked")
+
+    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "key"))
+    pair = (F.col("t_a").alias("ta"), F.col("t_b").alias("tb"))
+    live, linked, known = entries.withColumn("root", F.col("t")), None, None
+    for centre in ("min", "max", None):
+        if linked is not None:
+            # of keys whose texts are in several groups, the entries with their groups
+            roots = components(linked).select(F.xxhash64("node").alias("t"), F.xxhash64("root").alias("root"))
+            live = entries.join(roots.groupBy("t").agg(F.min("root").alias("root")), "t", "left").withColumn("root", F.coalesce("root", "t"))
+            several = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+            live = stored(live.join(several.select("key"), "key", "left_semi"), "live")
+        if centre:
+            middle = live.groupBy("key").agg((F.min if centre == "min" else F.max)("t").alias("t"))
+            some = side(live.join(middle, ["key", "t"]), "b")
+            pairs = side(live, "a").join(some, "key").filter(F.col("root_a") != F.col("root_b"))
+        else:
+            # all but the largest group of a key meet everyone
+            counted = live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+            main = counted.agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+            some = side(live, "a").join(main, "key").filter("root_a <> main")
+            pairs = some.join(side(live, "b"), "key").filter("root_a <> root_b and (root_b = main or root_a < root_b)")
+        pairs = pairs.filter(may_be_similar(similarity)).select(F.least(*pair).alias("ta"), F.greatest(*pair).alias("tb")).distinct()
+        pairs = stored(pairs if known is None else pairs.join(known, ["ta", "tb"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        found = compared(pairs)
+        linked = found if linked is None else linked.unionByName(found)
+        known = pairs if known is None else known.unionByName(pairs)
+    named = nodes.select("node", "first")
+    if linked is None:
+        named = named.withColumn("root", F.col("node"))
+    else:
+        named = named.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # the smallest id of a group, nulls last, and the text that has it
     place = F.struct(F.col("first").isNull().alias("none"), "first", "node")
     best = named.groupBy("root").agg(F.min(place).alias("best"))
