@@ -185,3 +185,18 @@ def test_url_rules_and_propagation(spark):
     assert got[8][2:] == (None, "allow")
     assert got[10][2:] == (None, "allow") and got[11][2:] == (None, "allow")
     assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_hosts_are_seeds_by_their_ruled_urls(spark):
+    paths = ["/de/1", "/de/2", "/fr/1", *(f"/x/{k}" for k in range(9))]
+    rows = [(k, f"http://mixed.com{p}", "") for k, p in enumerate(paths)] + [(50, "http://even.com/de/", ""), (51, "http://even.com/fr/", ""), (52, "http://even.com/x", "")]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(12)] == ["block", "block", "allow", *["block"] * 9]
+    assert got[52] == "allow"
+
+
+def test_pagerank_settles_or_raises(spark):
+    seeds = spark.createDataFrame([("a", 1)], "host string, seed long")
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    with pytest.raises(RuntimeError):
+        urls.pagerank(seeds, edges, max_rounds=3)

@@ -51,12 +51,13 @@ def links_between(pages: DataFrame) -> DataFrame:
 
 
 def pagerank(
-    seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 40
+    seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 120
 ) -> DataFrame:
     """(host, rank): PageRank of edges (src, dst) that restarts at the seeds (host, seed), in their proportion.
 
     Hosts without links restart too. Hosts that get nothing are left out, and without seeds there are no
-    rows. Ends when the ranks change by less than tolerance in all. Each round is written to the shared
+    rows. Ends when the ranks change by less than tolerance in all, and raises if they don't; a round shrinks the
+    change by the damping at least, so 90 rounds do for the defaults. Each round is written to the shared
     folder; links meet ranks by host and sums are pre-aggregated.
     """
     total = seeds.agg(F.sum("seed")).first()[0]
@@ -80,15 +81,15 @@ def pagerank(
         dropped(now)
         now = after
         if change < tolerance:
-            break
-    return now
+            return now
+    raise RuntimeError(f"ranks not settled in {max_rounds} rounds")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, majority: float = 0.5) -> DataFrame:
     """pages (page_id, url, html, ...) without html, with host, path, rule, verdict, trust and distrust.
 
-    Where a rule fits, the verdict is its own. Else the host decides: hosts most of whose urls rules allow
-    are trusted seeds, those most of whose urls they block are blocked seeds, each weighing as many as it has
+    Where a rule fits, the verdict is its own. Else the host decides: of the urls of a host that a rule fits, if most
+    are allowed it is a trusted seed, if most are blocked a blocked seed, weighing as many as it has
     such urls. Trust flows along links from the trusted seeds; distrust flows against links from the blocked ones,
     to those that link to them. A host with more distrust than trust is blocked, any other allowed.
 
@@ -101,10 +102,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, major
     kept = [c for c in pages.columns if c not in new]
     known = ruled(pages.select(*kept, F.col("html").alias("html") if "html" in pages.columns else F.lit(None).cast("string").alias("html")), rules)
     count = lambda what: F.count(F.when(F.col("_by_rule") == what, 1))
-    hosts = known.filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), count("allow").alias("a"), count("block").alias("b"))
+    hosts = known.filter("host <> ''").groupBy("host").agg(count("allow").alias("a"), count("block").alias("b"))
     hosts = stored(hosts, "hosts")
     edges = stored(links_between(known), "edges")
-    seeds = lambda c: hosts.select("host", F.when(F.col(c) > F.col("n") * majority, F.col(c)).otherwise(0).alias("seed"))
+    seeds = lambda c: hosts.select("host", F.when(F.col(c) > (F.col("a") + F.col("b")) * majority, F.col(c)).otherwise(0).alias("seed"))
     trust = pagerank(seeds("a"), edges)
     distrust = pagerank(seeds("b"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     scores = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
