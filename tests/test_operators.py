@@ -1,4 +1,5 @@
 import collections
+import difflib
 import hashlib
 import random
 
@@ -167,6 +168,23 @@ def test_correlation(spark):
     assert {(r.key_a, r.key_b) for r in correlate.similar_names(people).collect()} == {("1", "2"), ("1", "4"), ("2", "4")}
 
 
+def test_similar_names_miss_none(spark):
+    rnd = random.Random(9)
+    names = ["johnathan smith", "jqhnathan smxth", "aaaaaa", "aaaaaaa", "ab", "a"]
+    for _ in range(25):
+        base = "".join(rnd.choice("abcdeort ") for _ in range(rnd.randint(3, 24))).strip() or "x"
+        names.append(base)
+        for _ in range(4):
+            x = list(base)
+            for _ in range(rnd.randint(1, 2)):
+                x[rnd.randrange(len(x))] = rnd.choice("qxjz")
+            names.append("".join(x))
+    people = [(f"{i:03}", x) for i, x in enumerate(names)]
+    want = {(a, b) for a, x in people for b, y in people if a < b and difflib.SequenceMatcher(None, x, y).ratio() >= 0.86}
+    got = {(r.key_a, r.key_b) for r in correlate.similar_names(spark.createDataFrame(people, "key string, name string")).collect()}
+    assert got == want and ("000", "001") in got
+
+
 def test_entities(spark):
     df = spark.createDataFrame([(1, "Mail Bob@Ex.com, card 4111 1111 1111 1111, 10.0.0.1 and 999.1.1.1"), (2, "bob@ex.com 4111-1111-1111-1112"), (3, None)], "i int, t string")
     found = entities.strongest(entities.mentions(df, "i", "t"), "i")

@@ -47,18 +47,23 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar_names(people: DataFrame, least: float = 0.86, most_in_block: int | None = None) -> DataFrame:
     """Pairs of different keys with like names.
 
-    people (key, name). At a ratio of 0.86 two names share most of their letter pairs, so candidates are
-    names of like length that share one of their three rarest pairs of letters, rarity counted over all names.
+    people (key, name). With M letters in k matching parts, a name of n letters against one of m has at most n - M + k - 1
+    letter pairs outside of them, and k - 1 <= n + m - 2 M. As 2 M >= least * (n + m), that is a bound by n alone, and names
+    share a pair among so many and one more of their rarest, rarity counted over all names. Names with no more different
+    pairs than that meet each other under a key of their own. The length of the other name is part of the key.
     """
     names = people.select("key", F.trim(fold(F.col("name"))).alias("name")).filter("name <> ''").distinct()
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1))), lambda i: F.col("name").substr(i, F.lit(2)))
     listed = names.withColumn("gram", F.explode(F.array_distinct(grams)))
     counted = listed.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rare = listed.join(counted, "gram").groupBy("key", "name").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    keyed = rare.select("key", "name", F.explode(F.slice("g", 1, 3)["gram"]).alias("gram"))
-    a = keyed.select("gram", F.col("key").alias("key_a"), F.col("name").alias("name_a"))
-    b = keyed.select("gram", F.col("key").alias("key_b"), F.col("name").alias("name_b"))
-    n, m = F.length("name_a"), F.length("name_b")
-    near = 2 * F.least(n, m) >= least * (n + m)
-    pairs = a.join(b, "gram").filter((F.col("key_a") < F.col("key_b")) & near).drop("gram").distinct()
+    n = F.length("name")
+    both = max(2 / (2 - least), 2 / least) if least < 2 / 3 else 2 / (2 - least)
+    lost = F.floor(n * (1 + both * (1 - 1.5 * least)) + 1e-9).cast("int")
+    few = F.when(F.size("g") <= lost, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    keyed = rare.select("key", "name", F.explode(F.concat(F.slice("g", F.lit(1), F.greatest(lost + 1, F.lit(1)))["gram"], few)).alias("gram"))
+    a = keyed.select("gram", F.col("key").alias("key_a"), F.col("name").alias("name_a"), n.alias("n"))
+    lengths = F.sequence(F.ceil(n * least / (2 - least) - 1e-9).cast("int"), F.floor(n * (2 - least) / least + 1e-9).cast("int"))
+    b = keyed.select("gram", F.col("key").alias("key_b"), F.col("name").alias("name_b"), F.explode(lengths).alias("n"))
+    pairs = a.join(b, ["gram", "n"]).filter(F.col("key_a") < F.col("key_b")).drop("gram", "n").distinct()
     return pairs.withColumn("ratio", sequence_ratio("name_a", "name_b")).filter(F.col("ratio") >= least)
