@@ -350,7 +350,7 @@ def app_edges(df: DataFrame) -> DataFrame:
 
 @query("graph_components")
 def _(df, spark, d):
-    return graph.components(app_edges(df))
+    return graph.components(trade(spark, d))
 
 
 @query("graph_betweenness")
@@ -360,13 +360,13 @@ def _(df, spark, d):
 
 @query("community_report")
 def _(df, spark, d):
-    e = app_edges(df)
+    e = trade(spark, d)
     return graph.community_report(e, graph.communities(e))
 
 
 @query("graph_communities")
 def _(df, spark, d):
-    return graph.communities(app_edges(df))
+    return graph.communities(trade(spark, d))
 
 
 @query("shared_parties", """, e AS (SELECT party, exhibit, count(*) AS k FROM comm GROUP BY 1, 2)
