@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +68,26 @@ def dropped(df: DataFrame) -> None:
 def rows_under(df: DataFrame, bound: int) -> bool:
     """Whether df has at most bound rows; reads no more than that."""
     return df.limit(bound + 1).count() <= bound
+
+
+def names_apart(f: Callable) -> Callable:
+    """f(docs, ...) with columns of docs whose names begin with an underscore renamed while it works.
+
+    Names of that kind are the operators' own; a user's column of such a name comes back as it was.
+    """
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        given = {c.lower() for c in docs.columns}
+        aside = {}
+        for c in docs.columns:
+            if c.startswith("_"):
+                name = f"own{c}"
+                while name.lower() in given:
+                    name = f"own_{name}"
+                given.add(name.lower())
+                aside[c] = name
+        made = f(docs.withColumnsRenamed(aside), *args, **kwargs)
+        return made.withColumnsRenamed({v: k for k, v in aside.items()})
+
+    return run

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, UPPER, rows_under, stored, table
+from .common import LOWER, UPPER, names_apart, rows_under, stored, table
 from .components import components
 
 SEED = 42
@@ -107,27 +107,33 @@ def nearby_cells(cell: Column) -> Column:
 
 
 def links(distinct_fingerprints: DataFrame) -> DataFrame:
-    """(u, v) for fingerprints that differ in at most 2 bits, enough of them to connect all such pairs.
+    """(u, v), v < u, for fingerprints that differ in at most 2 bits, enough of them to connect all such pairs.
 
     A fingerprint becomes the vector of its 22 segments' bit counts. Two that differ in d bits are at a
-    Manhattan distance of d at most, so a pair within 2 has a vector within 1 of both: each fingerprint
-    is entered in the grid cell of its vector and the up to 43 cells beside it, and those that meet no
-    other one in any cell are done. The cells are counted where they meet, in one shuffle. For the others the bound is made exact in the same way: one within 2
-    bits of another has a bit string within 1 bit of both, so each is entered under itself and its 64
-    one-bit changes. At most 65 meet in one entry, all of them within 2 bits of each other, and each is
-    linked to the smallest. No pair of a cell is ever listed, and what is made grows with the rows alone,
+    Manhattan distance of d at most, so a pair within 2 has a grid cell within 1 of both vectors: each fingerprint is
+    entered in the cell of its own vector and the up to 43 cells beside it, and those that meet in a cell are
+    candidates. Cells of two, nearly all that have company, give their pair, which is then verified bit by bit.
+
+    Crowded cells are refined to the points in them: a pair within 2 bits has a bit string within 1 bit of both,
+    and the cell of that string is one in which the pair meets. So each fingerprint enters a crowded cell under those
+    of itself and its one-bit changes that lie in the cell, and is verified against the smallest under the same
+    string. At most 65 meet there, so no pairs of a cell are listed and what is made grows with the rows alone,
     however many fingerprints crowd one spot.
     """
     fps = distinct_fingerprints.select(F.col("fingerprint").alias("f"))
-    cells = fps.withColumn("cell", F.explode(nearby_cells(segment_counts(F.col("f")))))
-    met = F.count(F.lit(1)).over(W.partitionBy("cell"))
-    near = cells.withColumn("n", met).filter("n > 1").select("f").distinct()
-    flips = [F.col("f"), *(F.col("f").bitwiseXOR(F.lit(x)) for x in ((1 << j) - (1 << 64) * (j == 63) for j in range(64)))]
-    entries = near.select("f", F.explode(F.array(*flips)).alias("entry"))
-    met = entries.groupBy("entry").agg(F.sort_array(F.collect_list("f")).alias("all")).filter(F.size("all") > 1)
-    return met.select(
-        F.col("all")[0].alias("v"), F.explode(F.slice("all", F.lit(2), F.size("all"))).alias("u")
-    ).distinct()
+    entries = fps.select("f", F.explode(nearby_cells(segment_counts(F.col("f")))).alias("cell"))
+    cells = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("v"), F.max("f").alias("u"))
+    cells = stored(cells.filter("n > 1"), "cells")
+    pairs = cells.filter("n = 2").select("u", "v")
+    crowded = cells.filter("n > 2").select("cell")
+    crowded = F.broadcast(crowded) if rows_under(crowded, MOST_BROADCAST) else crowded
+    flips = [F.lit(0).cast("long"), *(F.lit(j) for j in ((1 << j) - (1 << 64) * (j == 63) for j in range(64)))]
+    points = fps.select("f", F.explode(F.transform(F.array(*flips), lambda x: F.col("f").bitwiseXOR(x))).alias("point"))
+    points = points.withColumn("cell", segment_counts(F.col("point"))).join(crowded, "cell", "left_semi")
+    met = points.groupBy("point").agg(F.sort_array(F.collect_list("f")).alias("all")).filter(F.size("all") > 1)
+    rest = met.select(F.explode(F.slice("all", F.lit(2), F.size("all"))).alias("u"), F.col("all")[0].alias("v"))
+    verified = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2
+    return pairs.unionByName(rest).filter(verified).distinct()
 
 
 def grouped(marked: DataFrame) -> DataFrame:
@@ -145,6 +151,7 @@ def grouped(marked: DataFrame) -> DataFrame:
     return marked.join(named, "fingerprint")
 
 
+@names_apart
 def near_duplicates(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     """docs without text, with fingerprint (long) and component_id.
 
@@ -317,7 +324,17 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, once."""
+    """Of each group of near copies the document with the smallest doc_id stays, once.
+
+    Null and empty texts are one group, of which one stays; a null doc_id stays only if its group has no other; of rows
+    with that doc_id and text one stays, whichever of them where other columns differ; an empty table gives an
+    empty one; extra columns stay as they are, whatever their names.
+    """
+    return first_of_group(docs)
+
+
+@names_apart
+def first_of_group(docs: DataFrame) -> DataFrame:
     found = stored(near_copies(docs).filter("stays").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")), "staying")
     keep = found.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
     keep = F.broadcast(keep) if rows_under(keep, MOST_BROADCAST) else keep
