@@ -10,16 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, stored, table
+from .common import SPACE_CHARS, ascii_lower, names_apart, stored, table
 
 MIN_DOCS = 10
+#: Bytes of bitmaps that are broadcast at most, with 64 more for each of them.
+MOST_BROADCAST = 24 << 20
 ROW = ["h1", "h2", "d1", "d2", "pos", "n"]
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """One row per line with a key: its hash (h1, h2), its document (d1, d2), its place and the number of lines.
 
-    A document is known by two hashes of its doc_id and text, so null and repeated ids need no care.
+    A document is known by two hashes of its doc_id and text, so null and repeated ids need no care. Rows
+    repeated in full have the same lines at the same places, once for each of them.
     """
     text = F.coalesce("text", F.lit(""))
     cut = docs.select(*document_key(), F.split(text, "\n").alias("lines")).withColumn("n", F.size("lines"))
@@ -40,10 +43,11 @@ class Run:
         self.first, self.min_docs, self.keep_first = first, min_docs, keep_first
         self.docs, self.last, self.held, self.lead, self.hash = 0, None, [], None, None
 
-    def add(self, part: np.ndarray, docs: int) -> list[tuple[np.ndarray, int]]:
-        """Take the next lines, of so many documents; the lines that certainly go."""
-        self.docs += docs - (self.last == tuple(part[0, 2:4].tolist()))
-        self.last, self.hash = tuple(part[-1, 2:4].tolist()), part[0, :2]
+    def add(self, part: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """Take the next lines; the lines that certainly go."""
+        at = first_places(part, self.last)
+        self.docs += int((part[:, 4] == at).sum())
+        self.last, self.hash = (*part[-1, 2:4].tolist(), int(at[-1])), part[0, :2]
         if self.lead is None and self.keep_first:
             self.lead, part = part[:1], part[1:]
         if self.docs < self.min_docs:
@@ -63,6 +67,21 @@ class Run:
         return [(summary, ENOUGH), *((x, LEAD) for x in lead)]
 
 
+def first_places(rows: np.ndarray, before: tuple | None = None) -> np.ndarray:
+    """For each of some lines in order, the first place of its hash in its document.
+
+    As many lines as are at that place, so many rows of docs are this document. before: document and first
+    place of the line before, if it has the same hash.
+    """
+    fresh = np.ones(len(rows), dtype=bool)
+    fresh[1:] = (rows[1:, :4] != rows[:-1, :4]).any(axis=1)
+    starts = np.flatnonzero(fresh)
+    at = rows[starts, 4].copy()
+    if before is not None and before[:2] == tuple(rows[0, 2:4].tolist()):
+        at[0] = before[2]
+    return np.repeat(at, np.diff(np.append(starts, len(rows))))
+
+
 GOES, UNDECIDED, ENOUGH, LEAD = 1, 2, 3, 4
 
 
@@ -81,16 +100,13 @@ def streamed(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool)
         rows = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)], axis=1)
         starts = np.concatenate(([0], np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1))
         ends = np.append(starts[1:], len(rows))
-        newdoc = np.ones(len(rows), dtype=bool)
-        newdoc[1:] = (rows[1:, :4] != rows[:-1, :4]).any(axis=1)
-        upto = np.cumsum(newdoc)
-        docs = upto[ends - 1] - upto[starts] + 1
+        docs = np.add.reduceat(rows[:, 4] == first_places(rows), starts, dtype=np.int64)
         out: list[tuple[np.ndarray, int]] = []
         if run is not None and not np.array_equal(run.hash, rows[0, :2]):
             out += run.close(False)
             run = Run(False, min_docs, keep_first)
         run = run or Run(True, min_docs, keep_first)
-        out += run.add(rows[: ends[0]], int(docs[0]))
+        out += run.add(rows[: ends[0]])
         if len(starts) > 1:
             out += run.close(False)
             inner = np.zeros(len(starts), dtype=bool)
@@ -100,7 +116,7 @@ def streamed(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool)
                 goes[starts] = False
             out.append((rows[goes], GOES))
             run = Run(False, min_docs, keep_first)
-            out += run.add(rows[starts[-1] :], int(docs[-1]))
+            out += run.add(rows[starts[-1] :])
         yield from batch_of(out)
     if run is not None:
         yield from batch_of(run.close(True))
@@ -117,13 +133,18 @@ def batch_of(parts: list[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
 def dropped_lines(docs: DataFrame, min_docs: int, keep_first: bool) -> DataFrame:
     """(d1, d2, pos, n) of the lines that go."""
     schema = ", ".join(f"{c} long" for c in [*ROW, "state"])
-    # documents are part of the range, so the lines of a hot hash spread over as many partitions as they fill
-    ordered = line_rows(docs).repartitionByRange("h1", "h2", "d1", "d2").sortWithinPartitions("h1", "h2", "d1", "d2", "pos")
+    # documents, and the tasks that read them, are part of the range: the lines of a hot hash, or of rows repeated in full,
+    # spread over as many partitions as they fill
+    rows = line_rows(docs).withColumn("read_by", F.spark_partition_id())
+    ordered = rows.repartitionByRange("h1", "h2", "d1", "d2", "read_by").drop("read_by").sortWithinPartitions("h1", "h2", "d1", "d2", "pos")
     marked = stored(ordered.mapInArrow(lambda it: streamed(it, min_docs, keep_first), schema), "lines")
     ends = marked.filter(F.col("state") != GOES)
-    few = F.count_distinct(F.when(F.col("state") == UNDECIDED, F.struct("d1", "d2")))
+    open_rows = F.when(F.col("state") == UNDECIDED, F.col("pos"))
+    # rows of docs that are this document: all have its lines at the same places
+    times = F.count(open_rows) / F.greatest(F.count_distinct(open_rows), F.lit(1))
     enough = F.max(F.when(F.col("state") == ENOUGH, F.lit(min_docs)).otherwise(0))
-    hot = ends.groupBy("h1", "h2").agg((few + enough).alias("docs")).filter(F.col("docs") >= min_docs)
+    by_doc = ends.groupBy("h1", "h2", "d1", "d2").agg(times.alias("few"), enough.alias("enough"))
+    hot = by_doc.groupBy("h1", "h2").agg((F.sum("few") + F.max("enough")).alias("docs")).filter(F.col("docs") >= min_docs)
     late = ends.filter(F.col("state").isin(UNDECIDED, LEAD)).join(hot.select("h1", "h2"), ["h1", "h2"], "left_semi")
     if keep_first:
         place = F.struct("d1", "d2", "pos")
@@ -148,24 +169,29 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
 
     A line's key is the line without white space at its ends, A-Z lower-cased. Keys of a code point or more
     that min_docs documents or more have lose all their lines, or all but the first if keep_first. d1 and d2
-    are hashes of doc_id and text, see document_key(); rows repeated in full are one document.
+    are hashes of doc_id and text, see document_key(); of rows repeated in full each counts as a document.
     """
     lost = dropped_lines(docs, min_docs, keep_first)
     by_doc = lost.groupBy("d1", "d2").agg(F.collect_set("pos").alias("at"), F.max("n").alias("n"))
     return by_doc.mapInArrow(packed, "d1 long, d2 long, keep binary")
 
 
+@names_apart
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False) -> DataFrame:
     """docs with kept_text, n_lines, n_dropped (long) and keep (the bitmap, null if every line stays).
 
     Null texts are one empty line; empty lines are never counted and always stay; rows repeated in full
-    lose the same lines and count as one document; a null doc_id is an id like any other; columns of docs
+    lose the same lines and each counts as a document; a null doc_id is an id like any other; columns of docs
     with the new names are replaced; an empty table gives an empty one. Only hashes of lines are
-    sorted; texts move once, to meet their bitmaps.
+    sorted. Bitmaps of MOST_BROADCAST bytes at most go to the texts; beyond that texts move once, to meet them.
     """
     docs = docs.drop("kept_text", "n_lines", "n_dropped", "keep")
-    maps = keep_bitmaps(docs, min_docs, keep_first)
-    met = docs.select("*", *document_key()).join(maps, ["d1", "d2"], "left").drop("d1", "d2")
+    maps = stored(keep_bitmaps(docs, min_docs, keep_first), "bitmaps")
+    held = maps.agg(F.sum(F.octet_length("keep") + 64)).first()[0] or 0
+    maps = maps.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "keep")
+    maps = F.broadcast(maps) if held <= MOST_BROADCAST else maps
+    d1, d2 = document_key()
+    met = docs.select("*", d1.alias("_e1"), d2.alias("_e2")).join(maps, F.expr("_d1 = _e1 and _d2 = _e2"), "left").drop("_d1", "_d2", "_e1", "_e2")
     text = F.coalesce("text", F.lit(""))
     met = met.withColumn("n_lines", F.size(F.split(text, "\n")).cast("long")).withColumn("n_dropped", F.lit(0).cast("long"))
     met = met.withColumn("kept_text", text)
