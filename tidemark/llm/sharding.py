@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import rows_under, stored, table
+from .common import names_apart, rows_under, stored, table
 
 LIMIT = 1 << 20
 MAX_BITS = 60
@@ -53,6 +53,7 @@ def directory(sized: DataFrame, limit: int, step: int = 12) -> DataFrame:
         open_buckets, depth = last.select(F.col("bits").alias("_open")), depth_to
 
 
+@names_apart
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs with n_bytes (UTF-8 bytes of text), depth, bucket (bits of the hash as 0 and 1), part and shard.
 
@@ -64,7 +65,9 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     Null texts have 0 bytes, a null doc_id is hashed as such, columns named like the new ones are replaced and
     an empty table gives an empty one. A source or key of many rows is spread by the hash. Only sums by
-    prefix are shuffled; the directory is broadcast if it has at most MOST_BROADCAST leaves, else joined.
+    prefix are shuffled, and rows of buckets that no bit parts; the directory is broadcast if it has at most
+    MOST_BROADCAST pointers, else joined. Equal rows are numbered within the tasks that read them and
+    after the numbers of the tasks before, so that no task takes all copies of one text.
     """
     docs = docs.drop("n_bytes", "depth", "bucket", "part", "shard")
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
@@ -72,6 +75,7 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         {
             "n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"),
             "_hash": F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"),
+            "_salt": F.spark_partition_id(),
         }
     )
     sized = stored(rows.select("_hash", "n_bytes"), "sized")
@@ -81,23 +85,30 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     ).first()
     wide = min(deepest, max(1, n).bit_length() + 2)
     table_of = pointers(leaves, wide)
-    table_of = F.broadcast(table_of) if n <= MOST_BROADCAST else table_of
+    table_of = F.broadcast(table_of) if rows_under(table_of, MOST_BROADCAST) else table_of
     placed = rows.withColumn("_at", prefix(wide)).join(table_of, "_at")
     leaf = F.expr(f"filter(_leaves, x -> shiftright(_hash, {MAX_BITS} - x.depth) = x.bits)[0]")
     placed = placed.withColumn("_leaf", leaf).select("*", "_leaf.depth", F.col("_leaf.bits").alias("_bits"), F.col("_leaf.bytes").alias("_total"))
     made = placed.filter(F.col("_total") <= limit).withColumn("part", F.lit(0).cast("long"))
-    over = placed.filter(F.col("_total") > limit)
-    same = W.partitionBy("_hash").orderBy("n_bytes")
-    # equal rows have equal sizes, so each part takes as many as fit
-    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1)))).cast("long")
-    over = over.withColumn("part", F.floor((F.row_number().over(same) - 1) / each).cast("long"))
     if largest > limit:
-        made = made.unionByName(over)
+        made = made.unionByName(numbered(placed.filter(F.col("_total") > limit), limit))
     bucket = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("_bits"), F.col("depth").cast("int"), F.lit("0")))
     made = made.withColumn("bucket", bucket).withColumn("shard", F.concat("bucket", F.lit("-"), F.col("part")))
     return made.select(*docs.columns, "n_bytes", "depth", "bucket", "part", "shard")
 
 
+def numbered(over: DataFrame, limit: int) -> DataFrame:
+    """Rows of buckets that hold one hash each, with their part: as many equal rows in each as fit."""
+    own = F.row_number().over(W.partitionBy("_hash", "_salt").orderBy("n_bytes"))
+    salted = stored(over.withColumn("_own", own), "equal")  # salt and number of a row are given once
+    counts = salted.groupBy("_hash", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    upto = W.partitionBy("_hash").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("_hash", "_salt", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1)))).cast("long")
+    part = F.floor((F.col("_before") + F.col("_own") - 1) / each).cast("long")
+    return salted.join(before, ["_hash", "_salt"]).withColumn("part", part).select(*over.columns, "part")
+
+
 def pointers(leaves: DataFrame, wide: int) -> DataFrame:
     """The directory at a width of so many bits: _at, and in _leaves the leaf that it points to.
 
@@ -133,5 +144,5 @@ FROM t
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard."""
+    """Every row with its shard. Nulls, empty tables, repeated rows and clashing names are as in shard()."""
     return shard(docs)
