@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from .common import WORD, rows_under, stored, table
+from .common import WORD, names_apart, rows_under, stored, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -83,6 +84,7 @@ def sainte_lague(votes: DataFrame, group: Sequence[str], key: Sequence[str], vot
     return made.join(won, on, "left").select(*votes.columns, (F.col("_sure") + F.coalesce("_won", F.lit(0))).alias(out))
 
 
+@names_apart
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -94,23 +96,26 @@ def mix(
 ) -> DataFrame:
     """Every row of docs (doc_id, text, source, ...) with size, source_size, target, taken; text if with_text.
 
-    The words of a source are cut into shards by a seeded hash of doc_id, and each shard, its documents
+    The words of a source are cut into shards by a seeded hash of doc_id and text, and each shard, its documents
     in seeded order, into blocks of equally many words. Sources get whole blocks by Sainte-Laguë, and so
-    do groups of 1,000 shards of a source and the shards of a group. A shard of m blocks with a quota q takes all its blocks q div m times and
+    do, at every size, groups of shards_per_group shards of a source and the shards of a group. A shard of m blocks with a quota q takes all its blocks q div m times and
     a run of q mod m of them once more, which starts at a seeded block and goes on from the first after
     the last. taken is the number of words of the document in those blocks, repeats counted.
 
     A block has so few words that the smallest target holds 200 of them, and at most 4096. Null and empty
     texts have size 0 and are never taken; a null source is a source; a null doc_id counts as an empty
-    string in the order; repeated rows are documents of their own; an empty table gives an empty one.
+    string in the order; repeated rows are documents of their own, in an order by their other columns, and meet in one
+    shard, so a text repeated in full under one doc_id is one task's work; an empty table gives an empty one.
     Columns named like those made are replaced. Texts are shuffled, once, only if with_text asks for them.
     A hot source is dealt out over its shards; the table of sources is broadcast if it has at most MOST_SOURCES rows.
     """
     made = ("size", "source_size", "target", "taken")
     keep = [c for c in docs.columns if c not in made and (with_text or c != "text")]
-    token = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    identity = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
+    token = F.md5(F.concat(F.lit(f"{seed}:"), *identity))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    every = docs.select(*keep, size.alias("size"), token.alias("_token"))
+    tied = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, (MapType, VariantType))]
+    every = docs.select(*keep, size.alias("size"), token.alias("_token"), F.xxhash64(*tied).alias("_tie"))
     # sources and shards both need all sizes: the texts are read for them once
     sized = stored(every.select("source", "size", "_token") if with_text else every, "sizes")
     if not with_text:
@@ -157,7 +162,7 @@ def mix(
             "_line": F.col("_m") * F.col("_b"),
         }
     ).select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "_passes", "_run", "_from", "_line")
-    line = W.partitionBy("source", "_shard").orderBy("_token", "size")
+    line = W.partitionBy("source", "_shard").orderBy("_token", "size", "_tie")
     tied = placed(every).withColumn("_end", F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)))
     full = tied.join(shards, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_h")), "left")
     begin = F.col("_end") - F.col("size")
@@ -173,16 +178,28 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number; the others go."""
-    mixed = mix(docs, with_text=True)
+    """Each document as often as the mix takes it, to the nearest whole number; the others go.
+
+    Null and empty texts go, as they have no words; a null source is a source, a null doc_id an empty string in the
+    order; repeated rows are taken one by one, and reruns agree; an empty table gives an empty one; extra
+    columns stay as they are, also those named like the mix's own.
+    """
+    return repeated(docs)
+
+
+@names_apart
+def repeated(docs: DataFrame) -> DataFrame:
+    own = {c: f"_kept_{c}" for c in docs.columns if c in ("size", "source_size", "target", "taken")}
+    mixed = mix(docs.withColumnsRenamed(own), with_text=True)
     times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    return mixed.filter(times > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias("_copy")).drop("_copy")
+    made = mixed.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
+    return made.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS token FROM documents),
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS token FROM documents),
 listed AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs,
     [5.0::DOUBLE, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
@@ -212,14 +229,24 @@ tied AS (
   FROM sized d JOIN seats s ON d.source IS NOT DISTINCT FROM s.source
   LEFT JOIN dealt t ON d.source IS NOT DISTINCT FROM t.source),
 shard_sizes AS (SELECT source, shard, sum(size)::BIGINT AS words, any_value(quota) AS of, any_value(block) AS b FROM tied GROUP BY ALL),
-shard_all AS (SELECT *, sum(words) OVER (PARTITION BY source) AS all_words FROM shard_sizes),
-shard_quotients AS (
-  SELECT source, shard, words / (2 * q + 1) AS quotient, q, of FROM shard_all,
+group_sizes AS (SELECT source, shard // 1000 AS part, sum(words)::BIGINT AS words, any_value(of) AS of FROM shard_sizes GROUP BY ALL),
+group_quotients AS (
+  SELECT source, part, words / (2 * q + 1) AS quotient, q, of FROM (SELECT *, sum(words) OVER (PARTITION BY source) AS all_words FROM group_sizes),
     LATERAL (SELECT unnest(range(0, (ceil(of * words / all_words) + 64)::BIGINT)) AS q) WHERE words > 0),
+group_dealt AS (
+  SELECT source, part, count(*) AS seats FROM (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY quotient DESC, part, q) AS place FROM group_quotients)
+  WHERE place <= of GROUP BY source, part),
+shard_all AS (
+  SELECT s.source, s.shard, s.words, g.part, g.seats, sum(s.words) OVER (PARTITION BY s.source, g.part) AS all_words
+  FROM shard_sizes s JOIN group_dealt g ON s.source IS NOT DISTINCT FROM g.source AND s.shard // 1000 = g.part),
+shard_quotients AS (
+  SELECT source, shard, part, words / (2 * q + 1) AS quotient, q, seats FROM shard_all,
+    LATERAL (SELECT unnest(range(0, (ceil(seats * words / all_words) + 64)::BIGINT)) AS q) WHERE words > 0),
 shard_dealt AS (
   SELECT source, shard, count(*) AS won FROM (
-    SELECT *, row_number() OVER (PARTITION BY source ORDER BY quotient DESC, shard, q) AS place FROM shard_quotients)
-  WHERE place <= of GROUP BY source, shard),
+    SELECT *, row_number() OVER (PARTITION BY source, part ORDER BY quotient DESC, shard, q) AS place FROM shard_quotients)
+  WHERE place <= seats GROUP BY source, shard),
 runs AS (
   SELECT s.source, s.shard, b, greatest(ceil(words / b), 1)::BIGINT AS m, least(coalesce(won, 0), 3 * greatest(ceil(words / b), 1))::BIGINT AS q,
     ('0x' || substr(md5('mix-1/' || coalesce(s.source, '') || '/' || s.shard), 1, 12))::BIGINT AS start
