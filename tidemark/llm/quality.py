@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, WORD, table, words_of
+from .common import SPACE_CHARS, WORD, names_apart, table, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -124,6 +124,7 @@ def covered(hashes: Column, window: int) -> Column:
     return F.transform(F.array(marked), count)[0]
 
 
+@names_apart
 def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """Every row of docs with its measures, verdict and cleaned text.
 
@@ -131,7 +132,8 @@ def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     n_lines, n_lines_removed (long), lost (double, share of word characters in removed lines) and
     clean_text (string). A null or empty text has no words and fails the base rules. Repeated rows are
     judged one by one; columns of docs with these names are replaced; an empty table gives an empty one.
-    The work stays within each row, so nothing is shuffled.
+    The work stays within each row, so nothing is shuffled; a task holds a few arrays of the words and
+    lines of one text at a time, about ten times its size.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     made = docs.withColumn("_words", words_of(F.col("text"))).withColumn("_lines", F.split(text, "\n"))
@@ -185,11 +187,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others go on with their failing lines removed."""
-    judged = clean(docs)
+    """Rejected documents go; the others go on with their failing lines removed and n_chars, if there, counted anew.
+
+    Null and empty texts go, as they have too few words; a null doc_id is no matter; repeated rows are judged one
+    by one, alike; an empty table gives an empty one; extra columns stay as they are, also those named like
+    the measures.
+    """
+    return cleaned(docs)
+
+
+@names_apart
+def cleaned(docs: DataFrame) -> DataFrame:
+    judged = clean(docs.select(F.struct(*docs.columns).alias("own"), "text"))
     text = F.when(F.col("n_lines_removed") > 0, F.col("clean_text")).otherwise(F.col("text"))
-    judged = judged.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return judged.filter("kept").select(docs.columns)
+    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
+    return judged.filter("kept").select(*(new.get(c, F.col("own")[c]).alias(c) for c in docs.columns))
 
 
 OP5_SQL = r"""
