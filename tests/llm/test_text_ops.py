@@ -200,3 +200,32 @@ def test_pagerank_settles_or_raises(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
     with pytest.raises(RuntimeError):
         urls.pagerank(seeds, edges, max_rounds=3)
+
+
+def test_op6_agrees_with_brute_force_on_a_linked_graph(spark, tmp_path):
+    """The whole query with its own parameters: a ring of 81 hosts, branches, both kinds of seeds, a host of no url."""
+    ring = [f"h{k}.example.net" for k in range(81)]
+    a, b = "good.example.org", "bad.example.com"
+    links = {h: [ring[(k + 1) % 81]] for k, h in enumerate(ring)}
+    links[a] = [ring[0], b]
+    links[b] = [a]
+    links[ring[40]] = [ring[41], b]
+    links["lonely.example.net"] = [b]
+    links["far.example.net"] = ["only-linked.example.net"]
+    rows = [(k, f"https://{h}/x", "".join(f'<a class="l" href="//{x}/">y</a>' for x in to)) for k, (h, to) in enumerate(links.items())]
+    rows += [(1000 + k, f"https://{a}/en/2{k}", None) for k in range(5)] + [(2000 + k, f"https://{b}/de/{k}", "") for k in range(3)]
+    rows += [(3000, None, "<a href='//h1.example.net/'>"), (3001, "no host", None), (3001, "no host", None), (3002, "x://only-linked.example.net?q", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["host"], r["verdict"]) for r in urls.op6_url_filters(spark, str(tmp_path)).collect()}
+    out = [(h, t) for h, to in links.items() for t in to]
+    trust = brute_rank({a: 6}, out, 0.85, 400)  # a's urls that a rule fits: /x and five more
+    distrust = brute_rank({b: 3}, [(t, h) for h, t in out], 0.85, 400)
+    assert len(trust) >= 81
+    for k, h in enumerate(links):
+        if h not in (a, b):
+            want = "block" if 3 * distrust.get(h, 0) > 6 * trust.get(h, 0) else "allow"
+            assert got[k] == (h, want), (h, trust.get(h), distrust.get(h))
+    assert got[3000] == ("", "allow") and got[3001] == ("", "allow") and got[3002] == ("only-linked.example.net", "allow")
+    assert any(v == "block" for h, v in got.values() if h not in (a, b))
+    ranks = urls.pagerank(spark.createDataFrame([(ring[0], 1)], "host string, seed long"), spark.createDataFrame([(ring[k], ring[(k + 1) % 81]) for k in range(81)], "src string, dst string"))
+    assert ranks.count() == 81

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, dropped, stored, table
+from .common import ascii_lower, dropped, names_apart, stored, table
 
 #: (host, path, verdict) of the contract.
 RULES = (
@@ -51,47 +51,51 @@ def links_between(pages: DataFrame) -> DataFrame:
 
 
 def pagerank(
-    seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 120
+    seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 400, rounds_per_job: int = 5
 ) -> DataFrame:
     """(host, rank): PageRank of edges (src, dst) that restarts at the seeds (host, seed), in their proportion.
 
-    Hosts without links restart too. Hosts that get nothing are left out, and without seeds there are no
-    rows. Ends when the ranks change by less than tolerance in all, and raises if they don't; a round shrinks the
-    change by the damping at least, so 90 rounds do for the defaults. Each round is written to the shared
-    folder; links meet ranks by host and sums are pre-aggregated.
+    The ranks sum to 1. Hosts without links restart too: what they would pass on goes back to the
+    seeds in their proportion, which only scales all ranks alike, so it is left out of the rounds and the ranks are
+    scaled at the end. Hosts that get nothing are left out, and without seeds there are no rows.
+
+    Ends when the rounds of a job change the ranks by less than tolerance of their sum, and raises if none does within
+    max_rounds; a round shrinks the change by the damping at least, so about 100 do for the defaults. Some rounds make a
+    job, whose ranks are written to the shared folder; links meet ranks by host and sums are pre-aggregated.
     """
     total = seeds.agg(F.sum("seed")).first()[0]
     if not total:
         return seeds.select("host", F.col("seed").cast("double").alias("rank")).limit(0)
-    start = stored(seeds.filter("seed > 0").select("host", (F.col("seed") / float(total)).alias("seed")), "seeds")
+    start = stored(seeds.filter("seed > 0").select("host", F.col("seed").cast("double").alias("seed")), "seeds")
     degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    weighted = stored(edges.join(degrees, "src"), "links")
-    out = weighted.select("src").distinct()
-    now = stored(start.select("host", F.col("seed").alias("rank")), "ranks")
-    for _ in range(max_rounds):
-        flow = now.join(weighted, F.col("host") == F.col("src"))
-        flow = flow.groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("flow"))
-        ended = now.join(out, F.col("host") == F.col("src"), "left_anti").agg(F.sum("rank")).first()[0] or 0.0
-        restart = 1 - damping + damping * ended
-        met = start.join(flow.withColumnRenamed("dst", "host"), "host", "full")
-        rank = F.coalesce("seed", F.lit(0.0)) * restart + F.coalesce("flow", F.lit(0.0)) * damping
-        after = stored(met.select("host", rank.alias("rank")), "ranks")
-        both = after.join(now.withColumnRenamed("rank", "old"), "host", "full")
-        change = both.agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
+    weighted = stored(edges.join(degrees, "src").select("src", "dst", (F.lit(damping) / F.col("degree")).alias("share")), "links")
+    now, before = stored(start.select("host", F.col("seed").alias("rank")), "ranks"), float(total)
+    for _ in range(0, max_rounds, rounds_per_job):
+        ranks = now
+        for _ in range(rounds_per_job):
+            flow = ranks.join(weighted, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+            met = start.join(flow.withColumnRenamed("dst", "host"), "host", "full")
+            ranks = met.select("host", (F.coalesce("seed", F.lit(0.0)) + F.coalesce("flow", F.lit(0.0))).alias("rank"))
+        after = stored(ranks, "ranks")
         dropped(now)
         now = after
-        if change < tolerance:
-            return now
+        # each rank only grows from round to round, so the sums tell how much all have changed
+        reached = now.agg(F.sum("rank")).first()[0]
+        change, before = reached - before, reached
+        if change < tolerance * reached:
+            return now.select("host", (F.col("rank") / reached).alias("rank"))
     raise RuntimeError(f"ranks not settled in {max_rounds} rounds")
 
 
+@names_apart
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, majority: float = 0.5) -> DataFrame:
     """pages (page_id, url, html, ...) without html, with host, path, rule, verdict, trust and distrust.
 
     Where a rule fits, the verdict is its own. Else the host decides: of the urls of a host that a rule fits, if most
     are allowed it is a trusted seed, if most are blocked a blocked seed, weighing as many as it has
     such urls. Trust flows along links from the trusted seeds; distrust flows against links from the blocked ones,
-    to those that link to them. A host with more distrust than trust is blocked, any other allowed.
+    to those that link to them. Both are in urls: they sum to the weight of their seeds, so neither gains by the number
+    of the other's seeds. A host with more distrust than trust is blocked, any other allowed.
 
     Null urls and urls without :// have an empty host and path, which no rule fits and no link reaches, and are allowed;
     null html has no links; repeated rows count again and are judged alike; columns of pages with the new names
@@ -105,9 +109,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, major
     hosts = known.filter("host <> ''").groupBy("host").agg(count("allow").alias("a"), count("block").alias("b"))
     hosts = stored(hosts, "hosts")
     edges = stored(links_between(known), "edges")
-    seeds = lambda c: hosts.select("host", F.when(F.col(c) > (F.col("a") + F.col("b")) * majority, F.col(c)).otherwise(0).alias("seed"))
-    trust = pagerank(seeds("a"), edges)
-    distrust = pagerank(seeds("b"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+    def flowed(seed: str, links: DataFrame) -> DataFrame:
+        seeds = hosts.select("host", F.when(F.col(seed) > (F.col("a") + F.col("b")) * majority, F.col(seed)).otherwise(0).alias("seed"))
+        weight = seeds.agg(F.sum("seed")).first()[0] or 0
+        return pagerank(seeds, links).withColumn("rank", F.col("rank") * float(weight))
+
+    trust = flowed("a", edges)
+    distrust = flowed("b", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     scores = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
     met = known.select(*kept, "host", "path", "rule", "_by_rule").join(scores, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
