@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -10,19 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import names_apart, table
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 #: Characters of a chunk, and of the overlap of two at first.
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 OVERLAP = 1 << 10
 #: Tokens on each side of a splice that both encodings must share.
 AGREE = 8
 #: Characters of the texts that are encoded in one call.
 CALL = 1 << 20
-#: Words that a task remembers, about 100 bytes each.
-MOST_KNOWN = 1_000_000
+#: Words that a task remembers, and the most bytes of such a word.
+MOST_KNOWN, LONGEST_KNOWN = 1_000_000, 64
 
 
 def encoder(content: bytes) -> Callable:
@@ -36,6 +37,27 @@ def encoder(content: bytes) -> Callable:
     return made
 
 
+def space_parts(tokenizer, content: bytes) -> bool:
+    """Whether white space is dropped and parts a text into words that are encoded each on its own.
+
+    So it is if the first step of the pre-tokenizer keeps only what a pattern matches and drops each kind of white space
+    between two letters, if the normalizer has only steps that take no characters from one word into the next, and
+    if no added token has white space or takes some in. Any other tokenizer is taken not to.
+    """
+    made = json.loads(content)
+    steps = lambda x, inner: [] if not x else x[inner] if x["type"] == "Sequence" else [x]
+    first = steps(made["pre_tokenizer"], "pretokenizers")[:1]
+    if not first or first[0].get("behavior") != "Removed" or not first[0].get("invert"):
+        return False
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if any(x["type"] not in ("NFC", "Lowercase") and x != spaces for x in steps(made["normalizer"], "normalizers")):
+        return False
+    if any(x["lstrip"] or x["rstrip"] or x["single_word"] or len(x["content"].split()) != 1 for x in made["added_tokens"]):
+        return False
+    cut = tokenizer.pre_tokenizer.pre_tokenize_str
+    return all([at for _, at in cut(f"a{s}b")] == [(0, 1), (2, 3)] for s in " \t\n\x0b\x0c\r")
+
+
 def encoded(tokenizer, text: str, at: int) -> np.ndarray:
     """Rows (id, start, end) of the tokens of a text that begins at place at."""
     e = tokenizer.encode(text, add_special_tokens=False)
@@ -94,17 +116,17 @@ def tokens_of(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP,
     yield left
 
 
-def count_tokens(
-    docs: DataFrame, content: bytes, chunk: int = CHUNK, overlap: int = OVERLAP, space_parts: bool = False
-) -> DataFrame:
+@names_apart
+def count_tokens(docs: DataFrame, content: bytes, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """docs without text, with n_bytes (UTF-8) and n_tokens (long).
 
-    content is that of a tokenizers file; it is sent to the tasks once. Texts of up to chunk characters are
-    encoded whole, longer ones in overlapping chunks, so a task holds the tokens of a chunk and not of
-    a text. space_parts says that the tokenizer drops white space and lets no token span it; texts of up to
-    chunk characters are then counted word by word, and a task encodes a word once while it remembers it. No begin, end or other tokens are added; special strings inside texts count as the
-    tokenizer has them. A null text is empty and has no tokens; repeated rows are counted one by one; columns of
-    docs with the new names are replaced; an empty table gives an empty one. Nothing is shuffled.
+    content is that of a tokenizers file; it is sent to the tasks once. Every text is read in chunks of so many
+    characters that overlap, and the chunks' encodings are spliced; a text no longer than a chunk has one and
+    needs no splice. So a task holds the tokens of a chunk and not of a text. Where the tokenizer parts texts at white
+    space (see space_parts()), a text of one chunk is counted as the sum of its words', and words of up to LONGEST_KNOWN
+    bytes are encoded once while a task remembers them. No begin, end or other tokens are added; special
+    strings inside texts count as the tokenizer has them. A null text is empty and has no tokens; repeated rows are counted
+    one by one; columns of docs with the new names are replaced; an empty table gives an empty one. Nothing is shuffled.
     """
     kept = [c for c in docs.columns if c not in ("text", "n_bytes", "n_tokens")]
     given = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_text"))
@@ -113,7 +135,8 @@ def count_tokens(
     shared = docs.sparkSession.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = encoder(shared.value), {} if space_parts else None
+        tokenizer = encoder(shared.value)
+        known = {} if space_parts(tokenizer, shared.value) else None
         for b in batches:
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(len(kept) + 1)), pa.array(counts(tokenizer, b.column(len(kept) + 2), chunk, overlap, known), pa.int64())],
@@ -164,7 +187,11 @@ def counts_by_word(tokenizer, texts: list[bytes], known: dict[bytes, int]) -> li
         places = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
         n = np.bincount(np.searchsorted(starts, places, side="right") - 1, minlength=len(some))
         known.update(zip(new[at : at + 4096], n.tolist(), strict=True))
-    return [sum(map(known.__getitem__, words)) for words in split]
+    long = [w for w in new if len(w) > LONGEST_KNOWN]
+    made = [sum(map(known.__getitem__, words)) for words in split]
+    for w in long:
+        del known[w]
+    return made
 
 
 def tokenizer_content(name: str = TOKENIZER) -> bytes:
@@ -176,5 +203,5 @@ def tokenizer_content(name: str = TOKENIZER) -> bytes:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = count_tokens(docs, tokenizer_content(), space_parts=True)
+    found = count_tokens(docs, tokenizer_content())
     return found.withColumn("over_limit", F.col("n_tokens") > LIMIT)
