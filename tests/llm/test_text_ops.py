@@ -54,8 +54,8 @@ def brute_contamination(text, items, window=10):
     return len(w), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("block", [1 << 23, 200])
-def test_decontamination_agrees_with_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [1 << 25, 64])
+def test_decontamination_agrees_with_brute_force(spark, bits):
     rnd = random.Random(2)
     vocabulary = ["a", "B", "c1", "dé", "e", "f"]
     say = lambda n: " ".join(rnd.choice(vocabulary) + rnd.choice(["", ".", "\n", " "]) for _ in range(n))
@@ -66,7 +66,7 @@ def test_decontamination_agrees_with_brute_force(spark, block):
         docs.append((i, f"{say(25)} {inner} {say(5)}" if i % 2 else say(60)))
     docs += [(500, None), (501, ""), (502, "x one TWO y"), (502, "x one TWO y"), (None, "Solo")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit(1))
-    found = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()
+    found = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), most_bits=bits).collect()
     got = sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), list(r["items"])) for r in found), key=str)
     assert got == sorted(((i, *brute_contamination(t, items)) for i, t in docs), key=str)
 

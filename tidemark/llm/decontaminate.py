@@ -1,266 +1,257 @@
-"""Benchmark decontamination: prefix-filtered join on rare shingles, exact containment of item windows."""
+"""Benchmark decontamination: windows joined on their rarest shingle, exact containment of item windows."""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import names_apart, rows_under, stored, table
 
 WINDOW = 10
 SHINGLE = 3
-#: Bytes of benchmark text that one block of items may hold; each block is one more pass over the documents.
-BLOCK_BYTES = 8 << 20
-#: Words handled at once in a task.
-CHUNK_WORDS = 1 << 16
+#: Bytes of text whose words are in memory at once.
+PIECE = 1 << 20
+#: Most bits of the filter that is sent to the tasks, 4 MB.
+MOST_BITS = 1 << 25
+#: Rows of hashes, or bytes of found spans and items, that are broadcast at most.
+MOST_ROWS, MOST_BYTES = 400_000, 24 << 20
+#: Windows of the benchmark that leave a task in one batch.
+BATCH = 20_000
 #: A-Z to a-z; all other ASCII but letters and digits to spaces; bytes over 0x7F are parts of words.
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)
 )
+#: A word before lower-casing.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+FACTOR, LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def words(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
-class Block:
-    """Windows of some items, over numbers for the words that occur in them.
+def codes_of(ws: list[bytes], s: int) -> np.ndarray:
+    """A 64-bit code of each run of s words."""
+    h = np.array([xxhash.xxh64_intdigest(w) for w in ws], dtype=np.uint64)
+    return codes_from(h, s)
+
+
+def codes_from(h: np.ndarray, s: int) -> np.ndarray:
+    n = max(0, len(h) - s + 1)
+    made = np.full(n, s, dtype=np.uint64) * LENGTH
+    for k in range(s):
+        made = (made ^ h[k : k + n]) * FACTOR
+        made ^= made >> np.uint64(29)
+    return made.view(np.int64)
 
-    vocabulary: word to number. windows: by window length, a matrix of word numbers. items: by window
-    length, the item numbers of each window. prefix: once rarity is known, by shingle length the sorted
-    codes of the rarest shingle of each window, with the windows and offsets that have it.
-    """
 
-    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int, shingle: int):
-        self.ids = [i for i, _ in items]
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple, set[int]] = defaultdict(set)
-        for k, (_, text) in enumerate(items):
-            ws = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
-            for at in range(max(1, len(ws) - window + 1)) if ws else ():
-                found[tuple(ws[at : at + window])].add(k)
-        by_length: dict[int, list[tuple]] = defaultdict(list)
-        for w in found:
-            by_length[len(w)].append(w)
-        self.windows = {n: np.array(sorted(ws), dtype=np.int64) for n, ws in by_length.items()}
-        self.items = {n: [sorted(found[tuple(w)]) for w in m.tolist()] for n, m in self.windows.items()}
-        self.base = max(2, len(self.vocabulary))
-        self.shingle = shingle
-        if self.base**shingle >= 1 << 62:
-            raise ValueError("too many different words in one block of items")
-        self.codes = {}
-        for s in {min(n, shingle) for n in self.windows}:
-            own = [self.codes_of(m, s).ravel() for n, m in self.windows.items() if min(n, shingle) == s]
-            self.codes[s] = np.unique(np.concatenate(own))
-        self.prefix: dict[int, tuple] = {}
-
-    def codes_of(self, numbers: np.ndarray, s: int) -> np.ndarray:
-        """Codes of the s-word shingles along the last axis."""
-        n = numbers.shape[-1] - s + 1
-        made = np.zeros((*numbers.shape[:-1], n), dtype=np.int64)
-        for k in range(s):
-            made = made * self.base + numbers[..., k : k + n]
-        return made
-
-    def choose(self, frequency: dict[tuple[int, int], int]) -> None:
-        """Of each window keep the shingle that the fewest documents have; ties go to the smaller code."""
-        made = defaultdict(list)
-        for n, m in self.windows.items():
-            s = min(n, self.shingle)
-            codes = self.codes_of(m, s)
-            rarity = np.vectorize(lambda c, s=s: frequency.get((s, c), 0), otypes=[np.int64])(codes)
-            at = np.lexsort((codes, rarity), axis=-1)[:, 0]
-            for w, off in enumerate(at.tolist()):
-                made[s].append((int(codes[w, off]), n, w, off))
-        for s, rows in made.items():
-            rows.sort()
-            t = np.array(rows, dtype=np.int64)
-            codes, first, count = np.unique(t[:, 0], return_index=True, return_counts=True)
-            self.prefix[s] = (codes, first, count, t[:, 1:])
-
-    def numbers(self, text_words: list[bytes]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, -1) for w in text_words), dtype=np.int64, count=len(text_words))
-
-    def positions(self, numbers: np.ndarray, s: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the given sorted codes in a line of word numbers, and which code each has."""
-        if len(numbers) < s or not len(codes):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        known = numbers >= 0
-        full = known[: len(numbers) - s + 1].copy()
-        for k in range(1, s):
-            full &= known[k : len(numbers) - s + 1 + k]
-        at = np.flatnonzero(full)
-        made = np.zeros(len(at), dtype=np.int64)
-        for k in range(s):
-            made = made * self.base + numbers[at + k]
-        where = np.minimum(np.searchsorted(codes, made), len(codes) - 1)
-        hit = codes[where] == made
-        return at[hit], where[hit]
-
-    def frequencies(self, numbers: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
-        """(shingle length, code, documents that have it) of a line of documents that begin at starts."""
-        rows = []
-        for s, codes in self.codes.items():
-            at, which = self.positions(numbers, s, codes)
-            doc = np.searchsorted(starts, at, side="right")
-            pairs = np.unique(doc * len(codes) + which)
-            kinds, n = np.unique(pairs % max(1, len(codes)), return_counts=True)
-            rows += [(s, int(codes[k]), int(c)) for k, c in zip(kinds, n, strict=True)]
-        return rows
-
-    def matches(self, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, starts, windows) of all occurrences in a line; documents are parted by -1.
-
-        A candidate stands where the prefix shingle does, less its offset, if the whole window has room
-        there; it counts if all its words are the window's.
-        """
-        for s, (codes, first, count, rows) in self.prefix.items():
-            at, which = self.positions(numbers, s, codes)
-            n = count[which]
-            if not n.sum():
+def stretches(text: bytes, before: int, after: int, piece: int = PIECE) -> Iterator[tuple[list[bytes], int, int, int]]:
+    """(words, at, lo, hi): words of a text from the at-th on, of which those at lo to hi - 1 come for the first time.
+
+    Around those are before words and after words, where the text has as many. Together the stretches cover the text.
+    """
+    held: list[bytes] = []
+    at = done = start = 0
+    while start < len(text) or not start:
+        end = min(len(text), start + piece)
+        while end < len(text) and FOLD[text[end]] != 32:
+            end += 1
+        held += words(text[start:end])
+        last = end >= len(text)
+        hi = at + len(held) if last else max(done, at + len(held) - after)
+        if hi > done:
+            yield held, at, done - at, hi - at
+        done = hi
+        gone = max(0, done - before - at)
+        held, at, start = held[gone:], at + gone, end
+        if last:
+            return
+
+
+def item_windows(batches: Iterator[pa.RecordBatch], window: int, shingle: int) -> Iterator[pa.RecordBatch]:
+    """(item, words, s, codes) of each window of the items (item, text): its words, spaces between, and its shingles' codes."""
+    for b in batches:
+        for item, text in zip(b.column(0), b.column(1), strict=True):
+            ws = words(text.as_py())
+            if not ws:
                 continue
-            # one line for each pair of an occurrence and a window with that prefix
-            row = np.repeat(first[which] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            start = np.repeat(at, n) - rows[row, 2]
-            for length in np.unique(rows[row, 0]).tolist():
-                fits = (rows[row, 0] == length) & (start >= 0) & (start + length <= len(numbers))
-                begin, window = start[fits], rows[row, 1][fits]
-                good = np.ones(len(begin), dtype=bool)
-                for k in range(length):
-                    live = np.flatnonzero(good)
-                    good[live] = numbers[begin[live] + k] == self.windows[length][window[live], k]
-                yield length, begin[good], window[good]
-
-
-def lines(texts: Iterator[bytes | None]) -> Iterator[list[list[bytes]]]:
-    """Words of the documents, in groups of about CHUNK_WORDS words."""
-    group, n = [], 0
-    for t in texts:
-        ws = words(t)
-        group.append(ws)
-        n += len(ws) + 1
-        if n >= CHUNK_WORDS:
-            yield group
-            group, n = [], 0
-    if group:
-        yield group
-
-
-def laid(block: Block, group: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of a group in one line, a -1 after each document, and where the documents begin."""
-    sizes = np.array([len(ws) + 1 for ws in group])
-    ends = np.cumsum(sizes)
-    numbers = np.full(ends[-1], -1, dtype=np.int64)
-    for ws, end in zip(group, ends.tolist(), strict=True):
-        numbers[end - 1 - len(ws) : end - 1] = block.numbers(ws)
-    return numbers, ends - sizes
-
-
-def joined_spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    made: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        if made and a <= made[-1][1]:
-            made[-1] = (made[-1][0], max(b, made[-1][1]))
-        else:
-            made.append((a, b))
-    return made
-
-
-def blocks_of(benchmark: DataFrame, window: int, shingle: int, block_bytes: int) -> Iterator[Block]:
-    """The benchmark in blocks of about block_bytes of text, each small enough for the driver and every task."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else items
-        yield Block([tuple(r) for r in part.collect()], window, shingle)
+            n = min(len(ws), window)
+            s = min(n, shingle)
+            codes = codes_of(ws, s)
+            for at in range(0, len(ws) - n + 1, BATCH):
+                to = min(at + BATCH, len(ws) - n + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([item.as_py()] * (to - at), pa.string()),
+                        pa.array([b" ".join(ws[i : i + n]).decode() for i in range(at, to)]),
+                        pa.array([s] * (to - at), pa.int32()),
+                        pa.array([codes[i : i + n - s + 1] for i in range(at, to)], pa.list_(pa.int64())),
+                    ],
+                    ["item", "words", "s", "codes"],
+                )
+
+
+class Filter:
+    """A set of bits, one for each code: where it is clear, a code is not among them.
+
+    It saves the shuffle of shingles that the benchmark doesn't have; those it lets through by chance find no
+    partner in the join. Its size is bounded: it is collected and sent to the tasks as bytes.
+    """
+
+    def __init__(self, codes: DataFrame, most_bits: int):
+        n = codes.count()
+        self.size = max(64, min(most_bits, 1 << (16 * n).bit_length()))
+        at = F.col("code").bitwiseAND(F.lit(self.size - 1))
+        bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
+        found = codes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        bits = np.zeros(self.size // 64, dtype=np.int64)
+        bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+        self.shared = codes.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def tester(self):
+        """A function for tasks: places of the codes that may be in the set."""
+        shared, size = self.shared, self.size
+
+        def test(codes: np.ndarray) -> np.ndarray:
+            bits = np.frombuffer(shared.value, dtype=np.uint64)
+            at = codes.view(np.uint64) & np.uint64(size - 1)
+            return np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+
+        return test
+
+
+def text_key() -> tuple[Column, Column]:
+    return F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
 
 
+def counted(docs: DataFrame, sizes: list[int], known: Filter) -> DataFrame:
+    """(code, n): of the known codes, those in texts of docs, and how many rows of docs have them."""
+    test = known.tester()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for t in b.column(0):
+                own = []
+                for ws, _, lo, hi in stretches(t.as_py() or b"", 0, max(sizes)):
+                    h = np.array([xxhash.xxh64_intdigest(w) for w in ws], dtype=np.uint64)
+                    for s in sizes:
+                        codes = codes_from(h, s)[lo:hi]
+                        own.append(codes[test(codes)])
+                if own:
+                    found.append(np.unique(np.concatenate(own)))
+            codes, n = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+
+    texts = docs.select(F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def candidates(docs: DataFrame, sizes: list[int], window: int, known: Filter) -> DataFrame:
+    """(t1, t2, pos, code, lead, around) for each place of a text where one of the known codes may be.
+
+    pos is the shingle's place in words; around holds the words near it, lead of them before it, as many as a
+    window with that shingle can reach.
+    """
+    test = known.tester()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for k, t in enumerate(b.column(2)):
+                for ws, at, lo, hi in stretches(t.as_py() or b"", window, 2 * window):
+                    h = np.array([xxhash.xxh64_intdigest(w) for w in ws], dtype=np.uint64)
+                    for s in sizes:
+                        codes = codes_from(h, s)[lo:hi]
+                        for p in test(codes).tolist():
+                            i = lo + p
+                            a = max(0, i - window)
+                            rows.append((k, at + i, int(codes[p]), i - a, [w.decode() for w in ws[a : i + window]]))
+            which = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(which), b.column(1).take(which), *(pa.array([r[c] for r in rows], kind) for c, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()), (4, pa.list_(pa.string()))))],
+                ["t1", "t2", "pos", "code", "lead", "around"],
+            )
+
+    texts = docs.select(*(c.alias(n) for c, n in zip(text_key(), ("t1", "t2"), strict=True)), F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(run, "t1 long, t2 long, pos long, code long, lead int, around array<string>")
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, most_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(t1, t2, pos, n, words): the places where a window of the benchmark stands in a text; (item, words): whose it is."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    found = items.mapInArrow(lambda it: item_windows(it, window, shingle), "item string, words string, s int, codes array<long>")
+    windows = stored(found, "windows")
+    sizes = sorted(r["s"] for r in windows.select("s").distinct().collect())  # no more than shingle
+    if not sizes:
+        return spark.createDataFrame([], "t1 long, t2 long, pos long, n int, words string"), windows.select("item", "words")
+    each = windows.groupBy("words").agg(F.first("codes").alias("codes")).select("words", F.posexplode("codes").alias("off", "code"))
+    often = counted(docs, sizes, Filter(each.select("code").distinct(), most_bits))
+    rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "code", "off")
+    rarest = each.join(often, "code", "left").groupBy("words").agg(F.min(rarity).alias("least"))
+    prefix = rarest.filter("least.n > 0").select("words", "least.code", "least.off", (F.size(F.split("words", " "))).alias("n"))
+    prefix = stored(prefix, "prefixes")
+    place = candidates(docs, sizes, window, Filter(prefix.select("code").distinct(), most_bits))
+    met = place.join(F.broadcast(prefix) if rows_under(prefix, MOST_ROWS // 4) else prefix, "code").filter("off <= lead and lead - off + n <= size(around)")
+    same = F.concat_ws(" ", F.slice("around", F.col("lead") - F.col("off") + 1, F.col("n"))) == F.col("words")
+    hits = met.filter(same).select("t1", "t2", (F.col("pos") - F.col("off")).alias("pos"), "n", "words").distinct()
+    return stored(hits, "hits"), windows.select("item", "words")
+
+
+def joined_spans(spans: Column) -> Column:
+    """Spans in order and apart, from an array of (start, end)."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+
+    def add(made: Column, x: Column) -> Column:
+        last = F.element_at(made, -1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        apart = (F.size(made) == 0) | (x["start"] > F.try_element_at(made, F.lit(-1))["end"])
+        return F.when(apart, F.concat(made, F.array(x))).otherwise(F.concat(F.slice(made, 1, F.size(made) - 1), F.array(wider)))
+
+    return F.aggregate(F.sort_array(spans), F.array().cast(kind), add)
+
+
+@names_apart
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, most_bits: int = MOST_BITS
 ) -> DataFrame:
     """docs with n_words (long), spans (array of start and end, in words) and items (array of string).
 
     spans are the parts of the text inside occurrences of item windows, in order and apart; items the ids
     whose windows occur, sorted as strings. A window is so many consecutive words of an item, or all words
-    of a shorter one. First the documents that have each shingle of the benchmark are counted, over
-    all rows; each window then needs only its rarest shingle to be looked for, where it fits by position
-    and length, and is compared word by word there. The benchmark comes in blocks of bounded size, which
-    is all that is broadcast or collected; documents are never shuffled.
+    of a shorter one. First the rows of docs that have each shingle of the benchmark are counted, over all
+    rows; each window then needs only its rarest shingle, which is joined with the places of the texts that have it. Where
+    position and length let the window stand there, its words are compared with the text's, all of them.
+
+    Texts are read twice and known by two hashes, so equal ones are one; what is shuffled are shingles that pass a
+    filter of most_bits bits at most, places with the words around them, and hits. Texts move only if they
+    have to meet more hits than MOST_BYTES. A long text is read piece by piece; an item's words are in memory at once.
 
     Null, empty and wordless texts have no words and no hits; items without words have no windows; items of
     one id count once; a null item_id hits but isn't listed; repeated rows are judged one by one; columns of
     docs with the new names are replaced; an empty table on either side gives what it should: no rows, no hits.
     """
-    new = ("n_words", "spans", "items")
-    kept = [c for c in docs.columns if c not in new]
-    spark = docs.sparkSession
-    made = docs.select(*kept, F.col("text").cast("binary").alias("_text"))
-    made = made.withColumn("n_words", F.lit(0).cast("long"))
-    made = made.withColumn("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    made = made.withColumn("items", F.array().cast("array<string>"))
-    for block in blocks_of(benchmark, window, shingle, block_bytes):
-        if block.windows:
-            shared = spark.sparkContext.broadcast(block)
-
-            def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                own: dict[tuple[int, int], int] = defaultdict(int)
-                for b in batches:
-                    for group in lines(t.as_py() for t in b.column(0)):
-                        for s, code, n in shared.value.frequencies(*laid(shared.value, group)):
-                            own[s, code] += n
-                rows = [(s, c, n) for (s, c), n in own.items()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["s", "code", "n"]
-                )
-
-            counted = made.select("_text").mapInArrow(count, "s long, code long, n long").groupBy("s", "code").agg(F.sum("n"))
-            block.choose({(s, c): n for s, c, n in counted.collect()})
-        ready = spark.sparkContext.broadcast(block)
-
-        def match(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield matched(ready.value, b)
-
-        made = made.mapInArrow(match, made.schema)
-    return made.drop("_text")
-
-
-def matched(block: Block, batch: pa.RecordBatch) -> pa.RecordBatch:
-    names = batch.schema.names
-    n_words, spans, items = [], [], []
-    before_spans, before_items = batch.column(names.index("spans")), batch.column(names.index("items"))
-    texts = batch.column(names.index("_text"))
-    row = 0
-    for group in lines(t.as_py() for t in texts):
-        numbers, starts = laid(block, group)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        of: dict[int, set[int]] = defaultdict(set)
-        for length, begin, window in block.matches(numbers):
-            doc = np.searchsorted(starts, begin, side="right") - 1
-            for d, a, w in zip(doc.tolist(), (begin - starts[doc]).tolist(), window.tolist(), strict=True):
-                hits[d].append((a, a + length))
-                of[d].update(block.items[length][w])
-        for d, ws in enumerate(group):
-            n_words.append(len(ws))
-            if d in hits:
-                old = [(x["start"], x["end"]) for x in before_spans[row + d].as_py()]
-                spans.append([{"start": a, "end": b} for a, b in joined_spans(old + hits[d])])
-                known = set(before_items[row + d].as_py()) | {block.ids[k] for k in of[d]}
-                items.append(sorted(known - {None}))
-            else:
-                spans.append(before_spans[row + d].as_py())
-                items.append(before_items[row + d].as_py())
-        row += len(group)
-    new = {"n_words": n_words, "spans": spans, "items": items}
-    columns = [pa.array(new[f.name], f.type) if f.name in new else batch.column(i) for i, f in enumerate(batch.schema)]
-    return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+    kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
+    hits, owners = occurrences(docs, benchmark, window, shingle, most_bits)
+    keys = ["t1", "t2"]
+    span = F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("n")).cast("long").alias("end"))
+    spans = hits.groupBy(*keys).agg(joined_spans(F.collect_set(span)).alias("spans"))
+    items = hits.select(*keys, "words").distinct().join(owners.filter("item is not null").distinct(), "words")
+    items = items.groupBy(*keys).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    of = stored(spans.join(items, keys, "left").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "judged")
+    held = of.agg(F.sum(64 + 32 * F.size("spans") + F.octet_length(F.array_join("items", "0123456789abcdef")))).first()[0] or 0
+    of = F.broadcast(of) if held <= MOST_BYTES else of
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    t1, t2 = text_key()
+    made = docs.select(*kept, n_words.alias("n_words"), t1.alias("_k1"), t2.alias("_k2"))
+    met = made.join(of, F.expr("_t1 = _k1 and _t2 = _k2"), "left")
+    return met.select(*kept, "n_words", *(F.coalesce(c, F.array().cast(of.schema[c].dataType)).alias(c) for c in ("spans", "items")))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,6 +289,19 @@ FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any benchmark window go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("spans") == 0).select(docs.columns)
+    """Documents with any benchmark window go.
+
+    Null, empty and wordless texts stay; a null doc_id is no matter; repeated rows go or stay together; an empty
+    table gives an empty one; extra columns stay as they are, whatever their names.
+    """
+    return without_hits(docs, table(spark, sf_dir, "benchmark"))
+
+
+@names_apart
+def without_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    hits, _ = occurrences(docs, benchmark, WINDOW, SHINGLE, MOST_BITS)
+    hit = hits.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct()
+    hit = F.broadcast(hit) if rows_under(hit, MOST_ROWS) else hit
+    t1, t2 = text_key()
+    marked = docs.select("*", t1.alias("_k1"), t2.alias("_k2"))
+    return marked.join(hit, F.expr("_t1 = _k1 and _t2 = _k2"), "left_anti").select(docs.columns)
