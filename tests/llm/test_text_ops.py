@@ -122,7 +122,7 @@ def test_html_other_templates(spark):
 
 
 def test_html_odd_markup():
-    read = lambda page: pages_html.main_text(page, "main")
+    read = pages_html.main_text
     assert read("<ARTICLE><P>a &lt; b < c<BR/>d<svg><title>x</title><text>no</text></svg>e") == "a < b < c de"
     assert read("<article><svg/>one<a title=\"x>two</a> three") == "onetwo three"
     assert read("<article><p>cut <b>of") == "cut of"
@@ -131,11 +131,58 @@ def test_html_odd_markup():
     assert read("") == "" and read("plain &amp text") == "plain & text"
 
 
+def wrapper_of(*pages):
+    made = pages_html.Wrapper()
+    for p in pages:
+        made.align(list(pages_html.walked(p)))
+    return made
+
+
 def test_wrapper_folds_repeats_and_marks_optional_parts():
-    a = pages_html.skeleton("<article><p>x</p><p>y</p></article>")
-    b = pages_html.skeleton("<article><h2>t</h2><p>x</p></article>")
-    wrapper = pages_html.written(pages_html.merged(pages_html.merged(None, a), b))
-    assert wrapper == "article=main h2? #? /h2? (p,#,/p,)+ /article=main"
+    a, b = "<article><p>x</p><p>y</p></article>", "<article><h2>t</h2><p>x</p></article>"
+    assert wrapper_of(a, b).root.written() == "(article=main(h2(#)? p(#)+))"
+    merged = wrapper_of(a)
+    merged.merge(wrapper_of(b))
+    assert merged.root.written() == "(article=main(h2(#)? p(#)+))"
+    again = wrapper_of("<div><h2>a</h2><p>b</p><h2>c</h2><ul><li>d</ul><p>e</p></div>")
+    assert again.root.written() == "(div((h2(#) p(#) ul(li(#)))+))"
+    assert pages_html.Wrapper.read(again.packed()).root.written() == again.root.written()
+
+
+def test_html_keeps_articles_under_telling_names():
+    read = pages_html.main_text
+    for page in (
+        '<body class="no-sidebar"><article><p>good text</p></article>', '<html class="has-cookie-banner"><body><article>good text</article>',
+        '<div class="content social"><article><p>good text</p></article></div>', "<body><form><p>good text</p></form></body>",
+        '<article><p>good text</p></article><article class="teaser"><p>more</p></article>', "<aside><article>see too</article></aside><div><p>good text</p></div>",
+    ):
+        assert read(page) == "good text", page
+
+
+def test_html_templates_without_telling_names(spark):
+    """Hosts of their own templates, hashed class names, notices and adverts in plain elements: only the wrapper tells."""
+    rnd = random.Random(3)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+    def page(kind, paragraphs):
+        menu = "".join(f'<a href="/{x}">{x}</a> ' for x in ("one", "two", "three", "four"))
+        text = "".join(f"<p>{p}</p>" for p in paragraphs)
+        if kind == 0:
+            return f'<body><div class="x1a">{menu}</div><div class="k7">{text}</div><div class="z3">We use small files to know you.</div></body>'
+        if kind == 1:
+            return f"<table><tr><td>{menu}</td><td>{text}<p>Buy our new phone today, it is cheap.</p></td></tr></table>"
+        return f'<div id="wrap"><section class="q"><h2>{paragraphs[0]}</h2>{text}</section><p>All the rights are ours.</p></div>'
+
+    rows, want = [], {}
+    for k in range(60):
+        kind = k % 3
+        paragraphs = [say(rnd.randint(5, 30)) for _ in range(rnd.randint(1, 6))]
+        rows.append((k, f"http://h{kind}.x/{k}", page(kind, paragraphs)))
+        want[k] = "\n".join(paragraphs[:1] * (kind == 2) + paragraphs)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages_html.extract(pages).collect()} == want
+    alone = {k: pages_html.main_text(html_of) for k, _, html_of in rows}
+    assert any(alone[k] != want[k] for k in want)  # without the host's wrapper the notices stay
 
 
 def brute_rank(seeds, edges, damping=0.85, rounds=200):

@@ -1,20 +1,26 @@
-"""HTML extraction: wrappers of hosts as union-free regular expressions over tags and text slots."""
+"""HTML extraction: wrappers of hosts as union-free regular expressions over elements and text slots.
+
+A wrapper is inferred by aligning the pages of a host one after another. For each element it has the sequence of what
+stands in it: groups of labels, each optional if some pages lack it and repeated if it comes back; text is a slot. The
+slots' sizes over all pages then say which element is the article and which texts are the template's own.
+"""
 
 from __future__ import annotations
 
-import difflib
 import html as entities
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import stored, table
+from .common import names_apart, stored, table
 from .urls import host_of
 
 TOKEN = re.compile(
@@ -41,172 +47,405 @@ FURNITURE_WORDS = frozenset(
     "sidebar skip social sponsor sponsored subscribe toc toolbar widget".split()
 )
 MAIN_WORDS = frozenset("article articlebody content entry main post story body".split())
-GROUP = re.compile(r"(?<!\S)((?:\S+ ){1,12}?)\1+")
+#: Elements that hold blocks, of which one may be the article.
+CONTAINER = frozenset("html body div section main article table tbody tr td center form".split())
+#: Elements that aren't told apart by class or id.
+BARE = frozenset("html body p br b i em strong span a h1 h2 h3 h4 h5 h6 li dt dd u s small sub sup code img hr".split())
+#: Texts of a host that are counted; one on over 1/257 of its pages is among them.
+COUNTED = 256
 
 
 def label(tag: str, attributes: str) -> str:
-    """Name of the element with what its attributes say of its part in the page."""
-    if tag in ("article", "main"):
-        return tag + "=main"
+    """Name of the element in wrappers: tag, words of class and id, and =main, =likely or =off by what they say."""
     words: set[str] = set()
+    whole: set[str] = set()
+    role = ""
     for kind, *values in MARK.findall(attributes):
         value = next((v for v in values if v), "").lower()
         if kind.lower() == "role":
-            words |= {"off"} if value in ROLES else {"main-role"} if value == "main" else set()
+            role = "off" if value in ROLES else "main" if value == "main" else role
         elif kind.lower() == "itemprop":
-            words |= {"main-role"} if value == "articlebody" else set()
+            role = "main" if value == "articlebody" else role
         else:
+            whole |= {re.sub("[0-9]+", "", w) for w in value.split()}
             words |= {w for w in re.split(r"[^a-z0-9]+", value) if w}
-    if tag in FURNITURE or "off" in words or words & FURNITURE_WORDS:
-        return tag + "=off"
-    if "main-role" in words:
-        return tag + "=main"
-    if tag in ("div", "section", "td") and words & MAIN_WORDS:
-        return tag + "=likely"
-    return tag
+    if tag in ("html", "body"):
+        return tag
+    name = tag if tag in BARE else ".".join([tag, *sorted(w for w in whole if w)])
+    if tag in ("article", "main"):
+        return name + ("=off" if whole & FURNITURE_WORDS or role == "off" else "=main")
+    if tag in FURNITURE or role == "off" or words & FURNITURE_WORDS:
+        return name + "=off"
+    if role == "main":
+        return name + "=main"
+    return name + "=likely" * (tag in ("div", "section", "td") and bool(words & MAIN_WORDS))
 
 
-def events(page: str) -> Iterator[tuple[str, str]]:
-    """("open", label), ("close", tag) and ("text", text) of a page; raw elements and comments give nothing."""
+def events(page: str) -> Iterator[tuple[str, str, str]]:
+    """("open", tag, label), ("close", tag, "") and ("text", text, "") of a page; raw elements and comments give nothing."""
     at = 0
+    known: dict[tuple[str, str], str] = {}
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            yield "text", page[at : m.start()]
+            yield "text", page[at : m.start()], ""
         at = m.end()
         tag = m["tag"]
         if tag:
             tag = tag.lower()
             if m[0][1] == "/":
-                yield "close", tag
+                yield "close", tag, ""
             else:
-                yield "open", label(tag, m["attributes"])
+                key = (tag, m["attributes"])
+                if key not in known:
+                    known[key] = label(*key)
+                yield "open", tag, known[key]
                 if m["attributes"].endswith("/") and tag not in VOID and tag not in BLOCK:
-                    yield "close", tag
+                    yield "close", tag, ""
     if at < len(page):
-        yield "text", page[at:]
+        yield "text", page[at:], ""
 
 
 def walked(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, what, path) with unclosed elements closed: open and close with a label, text and break."""
-    stack: list[str] = []
-    for kind, what in events(page):
-        tag = what.split("=", 1)[0]
+    """(kind, tag or text, label) with unclosed elements closed: open and close, text, break and space."""
+    stack: list[tuple[str, str]] = []
+    for kind, tag, name in events(page):
         if kind == "text":
-            yield "text", what, "/".join(stack)
-            continue
-        if kind == "open" and tag in VOID:
+            yield "text", tag, ""
+        elif kind == "open" and tag in VOID:
             yield ("break" if tag == "hr" else "space"), tag, ""
-            continue
-        if kind == "open":
+        elif kind == "open":
             for k in range(len(stack) - 1, -1, -1):
-                open_tag = stack[k].split("=", 1)[0]
+                open_tag = stack[k][0]
                 if tag in CLOSES_ITSELF.get(open_tag, ()):
                     for x in reversed(stack[k:]):
-                        yield "close", x, ""
+                        yield "close", *x
                     del stack[k:]
                     break
                 if open_tag in BLOCK and open_tag not in ("p",) and open_tag not in CLOSES_ITSELF:
                     break
                 if open_tag in ("table", "ul", "ol", "dl"):
                     break
-            if tag == "header" and any(x.endswith("=main") for x in stack):
-                what = what.replace("header=off", "header")  # the article's own
-            stack.append(what)
-            yield "open", what, ""
+            stack.append((tag, name))
+            yield "open", tag, name
         else:
-            hit = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].split("=", 1)[0] == tag), None)
+            hit = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if hit is not None:
                 for x in reversed(stack[hit:]):
-                    yield "close", x, ""
+                    yield "close", *x
                 del stack[hit:]
             elif tag == "p":
                 yield "break", tag, ""
 
 
-def skeleton(page: str) -> str:
-    """The page as tags and text slots, repeated groups folded: (x )+ for a group x that follows itself."""
-    made: list[str] = []
-    for kind, what, _ in walked(page):
-        if kind == "text":
-            if what.strip() and (not made or made[-1] != "#"):
-                made.append("#")
-        elif kind in ("open", "close"):
-            made.append(what if kind == "open" else "/" + what)
-    line = "".join(x + " " for x in made)
-    for _ in range(3):
-        folded = GROUP.sub(lambda m: "(" + m[1].replace(" ", ",") + ")+ ", line)
-        if folded == line:
-            break
-        line = folded
-    return line
+class Group:
+    """Labels that stand in one place of a sequence; again: it comes more than once."""
 
+    __slots__ = ("again", "labels")
 
-def merged(wrapper: list[tuple[str, bool]] | None, line: str) -> list[tuple[str, bool]]:
-    """The wrapper widened to match a skeleton too: items with whether they are optional.
-
-    A group that one side repeats and the other has once becomes the repeated group; what only one side
-    has becomes optional.
-    """
-    if wrapper is None:
-        return [(x, False) for x in line.split()]
-    groups = {x for x, _ in wrapper if x.endswith(")+")} | {x for x in line.split() if x.endswith(")+")}
-    for g in sorted(groups, key=len, reverse=True):
-        once = g[1:-2].replace(",", " ")
-        line = re.sub(rf"(?<!\S){re.escape(once)}(?=\S|$)", g + " ", line)
-        line = line.replace(f"{g} {g} ", f"{g} ")
-    items = line.split()
-    old = [x for x, _ in wrapper]
-    made: list[tuple[str, bool]] = []
-    for op, a, b, c, d in difflib.SequenceMatcher(None, old, items, autojunk=False).get_opcodes():
-        if op == "equal":
-            made += wrapper[a:b]
-        else:
-            made += [(x, True) for x in old[a:b]] + [(x, True) for x in items[c:d]]
-    return made
+    def __init__(self, labels: list[str], again: bool = False):
+        self.labels, self.again = labels, again
 
 
-def written(wrapper: list[tuple[str, bool]]) -> str:
-    return " ".join(x + "?" * optional for x, optional in wrapper)
+class Element:
+    """What a wrapper knows of the elements in one place: how many there were, in how many parents, and what they hold.
 
+    chars and linked are the characters of text right in them, and those of these inside links.
+    """
 
-def read(text: str) -> list[tuple[str, bool]]:
-    return [(x.removesuffix("?"), x.endswith("?")) for x in text.split()]
+    __slots__ = ("n", "within", "chars", "linked", "groups", "kids")
+
+    def __init__(self):
+        self.n = self.within = self.chars = self.linked = 0
+        self.groups: list[Group] = []
+        self.kids: dict[str, Element] = {}
+
+    def place(self, name: str, last: int) -> int:
+        """Place in the sequence of a child that comes after the one at place last; the sequence is widened to have it.
+
+        A label that isn't known stands on its own after last. One from further left, or the same again, closes a
+        repetition: all groups from there to last become one repeated group, each label in it optional.
+        """
+        at = next((k for k, g in enumerate(self.groups) if name in g.labels), None)
+        if at is None:
+            self.groups.insert(last + 1, Group([name]))
+            self.kids[name] = Element()
+            return last + 1
+        if at <= last:
+            joined = Group([x for g in self.groups[at : last + 1] for x in g.labels], True)
+            self.groups[at : last + 1] = [joined]
+        return at
+
+    def merge(self, other: Element) -> None:
+        """Align the sequence of another wrapper's element with this one, child by child."""
+        self.n += other.n
+        self.within += other.within
+        self.chars += other.chars
+        self.linked += other.linked
+        last = -1
+        for g in other.groups:
+            places = []
+            for name in g.labels:
+                known = name in self.kids
+                at = self.place(name, last) if not known or not places else next(k for k, x in enumerate(self.groups) if name in x.labels)
+                places.append(at)
+                last = max(last, at)
+                self.kids[name].merge(other.kids[name])
+            if g.again:
+                low, high = min(self.at(x) for x in g.labels), max(self.at(x) for x in g.labels)
+                self.groups[low : high + 1] = [Group([x for y in self.groups[low : high + 1] for x in y.labels], True)]
+                last = low
+
+    def at(self, name: str) -> int:
+        return next(k for k, g in enumerate(self.groups) if name in g.labels)
+
+    def written(self) -> str:
+        """As a regular expression: (..)+ for what comes again, ? for what may be missing, # for text."""
+        made = []
+        for g in self.groups:
+            parts = [x + self.kids[x].written() + "?" * (self.kids[x].within < self.n) for x in g.labels]
+            made.append((f"({' '.join(parts)})+" if len(parts) > 1 else parts[0] + "+") if g.again else parts[0])
+        text = ["#"] if self.chars else []
+        return f"({' '.join(text + made)})" if text or made else ""
+
+    def packed(self) -> list:
+        return [self.n, self.within, self.chars, self.linked, [[g.again, g.labels] for g in self.groups], {k: v.packed() for k, v in self.kids.items()}]
+
+    @staticmethod
+    def read(x: list) -> Element:
+        made = Element()
+        made.n, made.within, made.chars, made.linked = x[:4]
+        made.groups = [Group(labels, again) for again, labels in x[4]]
+        made.kids = {k: Element.read(v) for k, v in x[5].items()}
+        return made
+
+
+class Wrapper:
+    """The wrapper of a host: its elements, its pages, and texts that many of the pages share."""
+
+    def __init__(self, root: Element | None = None, often: dict[int, int] | None = None):
+        self.root, self.often = root or Element(), often or {}
+
+    def align(self, page: list[tuple[str, str, str]]) -> None:
+        """Widen the wrapper to match one more page."""
+        self.root.n += 1
+        stack = [[self.root, -1, set()]]
+        links = 0
+        for kind, what, name in page:
+            top = stack[-1]
+            if kind == "text":
+                n = len(what) - what.count(" ") - what.count("\n")
+                top[0].chars += n
+                top[0].linked += n * bool(links)
+            elif kind == "open":
+                top[1] = top[0].place(name, top[1])
+                kid = top[0].kids[name]
+                kid.n += 1
+                if name not in top[2]:
+                    top[2].add(name)
+                    kid.within += 1
+                links += what == "a"
+                stack.append([kid, -1, set()])
+            elif kind == "close":
+                stack.pop()
+                links -= what == "a"
+        for text in {xxhash.xxh64_intdigest(b[0]) >> 11 for b in blocks(page)}:
+            self.often[text] = self.often.get(text, 0) + 1
+        self.trim()
+
+    def trim(self) -> None:
+        """Keep the texts that may be frequent; each loses at most 1/257 of the pages in all."""
+        if len(self.often) > COUNTED:
+            least = sorted(self.often.values(), reverse=True)[COUNTED]
+            self.often = {k: n - least for k, n in self.often.items() if n > least}
+
+    def merge(self, other: Wrapper) -> None:
+        self.root.merge(other.root)
+        for k, n in other.often.items():
+            self.often[k] = self.often.get(k, 0) + n
+        self.trim()
+
+    def packed(self) -> str:
+        return json.dumps([self.root.packed(), sorted(self.often.items())], separators=(",", ":"))
+
+    @staticmethod
+    def read(text: str) -> Wrapper:
+        root, often = json.loads(text)
+        return Wrapper(Element.read(root), {k: n for k, n in often})
+
+
+def sizes(e: Element, found: dict[int, tuple[int, int]]) -> tuple[int, int]:
+    """Characters outside links in an element and all below: without furniture, and with it. For all elements, by id()."""
+    own = e.chars - e.linked
+    inner, every = own, own
+    for name, kid in e.kids.items():
+        a, b = sizes(kid, found)
+        inner += 0 if name.endswith("=off") else a
+        every += b
+    found[id(e)] = (inner, every)
+    return inner, every
+
+
+def reading(wrapper: Wrapper) -> dict:
+    """How pages of a host are read: regions, the article's place by kind and path, best first; often, the template's texts.
+
+    An element marked as main that holds most text comes first, or the one in it that holds most of that; then one whose
+    name hints at content and which holds half of a page's text; then one marked so within furniture, if it
+    holds half of a page's text; at last the innermost element that still holds nearly all text.
+    """
+    root, of = wrapper.root, {}
+    sizes(root, of)
+    total = of[id(root)][1] / max(1, root.n)
+    found: dict[str, list[tuple]] = defaultdict(list)
+
+    def visit(e: Element, path: tuple[str, ...], off: bool) -> None:
+        for g in e.groups:
+            for name in g.labels:
+                kid, at = e.kids[name], (*path, name)
+                inner, every = of[id(kid)]
+                if name.endswith("=main"):
+                    found["hidden" if off else "main"].append((inner, at, kid))
+                elif name.endswith("=likely") and not off:
+                    found["likely"].append((inner, at, kid))
+                visit(kid, at, off or name.endswith("=off"))
+
+    visit(root, (), False)
+    regions: list[tuple[str, tuple[str, ...]]] = []
+    for kind in ("main", "likely", "hidden"):
+        known = [x for x in found[kind] if x[0] and (kind == "main" or x[0] / x[2].n >= 0.5 * total)]
+        known.sort(key=lambda x: (-x[0], x[1]))
+        left = known
+        while left:
+            best = left[0]
+            while deeper := [x for x in known if len(x[1]) > len(best[1]) and x[1][: len(best[1])] == best[1] and x[0] >= 0.5 * best[0]]:
+                best = deeper[0]
+            regions.append(("likely" if kind == "likely" else "main", best[1]))
+            left = [x for x in left if x[1] != best[1] and x[1] != left[0][1]]
+    e, path = root, ()
+    while True:
+        inner, every = of[id(e)]
+        once = [x for g in e.groups if not g.again for x in g.labels if re.split("[.=]", x)[0] in CONTAINER or of[id(e.kids[x])][1] >= 0.9 * every]
+        best = max(once, key=lambda x: of[id(e.kids[x])][1 if x.endswith("=off") else 0], default=None)
+        if best is None or re.split("[.=]", best)[0] not in CONTAINER | FURNITURE:
+            break
+        a, b = of[id(e.kids[best])]
+        if not every or (b < 0.9 * every if best.endswith("=off") else a < 0.8 * inner):
+            break
+        e, path = e.kids[best], (*path, best)
+    regions.append(("any", path))
+    half = root.n / 2 - root.n / (COUNTED + 1)
+    return {"regions": regions, "often": [k for k, n in wrapper.often.items() if root.n >= 4 and n >= half]}
 
 
-def merge_wrappers(first: list[tuple[str, bool]] | None, other: str) -> list[tuple[str, bool]]:
-    """As merged(), for another wrapper; items optional in it are so in the result."""
-    optional = {x for x, o in read(other) if o}
-    made = merged(first, "".join(x + " " for x, _ in read(other)))
-    return [(x, o or x in optional) for x, o in made]
+def blocks(page: list[tuple[str, str, str]], kind: str = "any", path: tuple[str, ...] = ()) -> Iterator[tuple[str, int, int, int]]:
+    """(text, characters in links, container, instance) of the blocks at a path of a page, without furniture below it."""
+    part: list[str] = []
+    linked, links, made = 0, 0, 0
+    stack: list[str] = []
+    holders = [0]
+    inside, off, instance = not path, 0, 0
 
+    def end() -> Iterator[tuple[str, int, int, int]]:
+        nonlocal linked
+        line = " ".join(entities.unescape("".join(part)).split())
+        if line:
+            yield line, linked, holders[-1], instance
+        part.clear()
+        linked = 0
 
-def folded_group(rows: pd.DataFrame) -> pd.DataFrame:
-    wrapper = None
-    for x in rows.sort_values(["n", "wrapper"], ascending=[False, True])["wrapper"]:
-        wrapper = merge_wrappers(wrapper, x)
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [written(wrapper or [])], "n": [int(rows["n"].sum())]})
+    for event, what, name in page:
+        if event == "text":
+            if inside and not off:
+                part.append(what)
+                linked += len(what) * bool(links)
+            continue
+        if event == "space":
+            part.append(" ")
+            continue
+        if event == "break" or what in BLOCK:
+            yield from end()
+        if event == "open":
+            stack.append(name)
+            if inside and (off or name.endswith("=off") and not (what == "header" and kind != "any")):
+                off += 1
+            elif not inside and len(stack) == len(path) and tuple(stack) == path:
+                inside, instance = True, instance + 1
+            links += what == "a"
+            if what in BLOCK and what not in ("p", "li"):
+                made += 1
+                holders.append(made)
+        elif event == "close":
+            stack.pop()
+            off -= off > 0
+            links -= what == "a"
+            if what in BLOCK and what not in ("p", "li"):
+                holders.pop()
+            if inside and len(stack) < len(path):
+                inside = False
+    yield from end()
+
+
+def main_text(page: str, how: dict | None = None) -> str:
+    """Blocks of the page's article, one in a line, where the reading of its host (or its own, if None) places it."""
+    walk = list(walked(page))
+    if how is not None:
+        for kind, path in how["regions"]:
+            text = region_text(walk, kind, tuple(path), set(how["often"]))
+            if text:
+                return text
+    own = Wrapper()
+    own.align(walk)
+    for kind, path in reading(own)["regions"]:
+        text = region_text(walk, kind, path, set())
+        if text:
+            return text
+    return ""
+
+
+def region_text(walk: list[tuple[str, str, str]], kind: str, path: tuple[str, ...], often: set[int]) -> str:
+    """The text at a path. Of several elements there those that hold a quarter of the largest one's text or more.
+
+    Where no name marks the article, menus go, as containers of which most text is in links, and so do the texts
+    that half of the host's pages share, unless they are all there is.
+    """
+    found = list(blocks(walk, kind, path))
+    if kind != "any":
+        held: dict[int, int] = defaultdict(int)
+        for text, linked, _, instance in found:
+            held[instance] += max(0, len(text) - linked)
+        most = max(held.values(), default=0)
+        return "\n".join(text for text, _, _, instance in found if 4 * held[instance] >= most)
+    chars: dict[int, int] = defaultdict(int)
+    links: dict[int, int] = defaultdict(int)
+    for text, linked, holder, _ in found:
+        chars[holder] += len(text)
+        links[holder] += min(linked, len(text))
+    found = [x for x in found if 2 * links[x[2]] <= chars[x[2]]]
+    own = [x for x in found if xxhash.xxh64_intdigest(x[0]) >> 11 not in often]
+    return "\n".join(x[0] for x in own or found)
 
 
 def wrappers_of(pages: DataFrame, fan_in: int = 32) -> DataFrame:
-    """(host, wrapper, n): one wrapper for each host, n its pages.
+    """(host, wrapper): one wrapper for each host of pages (host, html), as packed().
 
-    Pages become skeletons first and equal ones of a host are counted together before anything meets, so a
-    host of a third of all pages has no more rows than it has templates. Those are aligned in groups of
-    about fan_in, the wrappers of the groups again, until one is left: no task takes a whole host.
+    The pages of a host that a task reads in one batch are aligned there, so a host of a third of all pages has no
+    more rows than it has batches. Those are aligned in groups of about fan_in, the wrappers of the groups again, until one
+    is left: no task takes a whole host.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[tuple[str, str], int] = defaultdict(int)
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found[host, written([(x, False) for x in skeleton(page).split()])] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in found]), pa.array([w for _, w in found]), pa.array(list(found.values()), pa.int64())],
-                ["host", "wrapper", "n"],
-            )
-
-    lines = pages.select("host", "html").mapInArrow(run, "host string, wrapper string, n long")
-    now = stored(lines.groupBy("host", "wrapper").agg(F.sum("n").alias("n")), "wrappers")
+            found: dict[str, Wrapper] = defaultdict(Wrapper)
+            for host, page in zip(b.column(0), b.column(1), strict=True):
+                found[host.as_py()].align(list(walked(page.as_py())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([w.packed() for w in found.values()])], ["host", "wrapper"])
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        wrapper = Wrapper()
+        for x in sorted(rows["wrapper"]):
+            wrapper.merge(Wrapper.read(x))
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [wrapper.packed()]})
+
+    now = stored(pages.select("host", "html").mapInArrow(run, "host string, wrapper string"), "wrappers")
     while True:
         most = now.groupBy("host").agg(F.count(F.lit(1)).alias("k"))
         largest = most.agg(F.max("k")).first()[0] or 0
@@ -214,69 +453,50 @@ def wrappers_of(pages: DataFrame, fan_in: int = 32) -> DataFrame:
             return now
         parts = F.ceil(F.col("k") / fan_in).cast("long")
         dealt = now.join(most, "host").withColumn("part", F.pmod(F.xxhash64("wrapper"), parts))
-        merged_now = dealt.groupBy("host", "part").applyInPandas(
-            lambda rows: folded_group(rows[["host", "wrapper", "n"]]), "host string, wrapper string, n long"
-        )
-        now = stored(merged_now, "wrappers")
-
+        some = dealt.filter("k > 1").groupBy("host", "part").applyInPandas(lambda rows: merged(rows[["host", "wrapper"]]), "host string, wrapper string")
+        now = stored(dealt.filter("k = 1").select("host", "wrapper").unionByName(some), "wrappers")
 
-def main_text(page: str, root: str) -> str:
-    """Blocks of the page's article, as the host's wrapper places it, one in a line.
 
-    root: main if the wrapper has an element marked so, likely if it has one whose name hints at it, else
-    any. Such an element may be optional in the wrapper; a page without it is read by the next of these.
-    """
-    found = blocks_within(page, root)
-    if not found and root != "any":
-        return main_text(page, "likely" if root == "main" else "any")
-    return found
+def readings(wrappers: DataFrame) -> DataFrame:
+    """(host, how): the reading of each wrapper, as JSON."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            how = [json.dumps(reading(Wrapper.read(x.as_py()))) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(how, pa.string())], ["host", "how"])
 
-def blocks_within(page: str, root: str) -> str:
-    blocks: list[str] = []
-    part: list[str] = []
-
-    def end() -> None:
-        line = " ".join(entities.unescape("".join(part)).split())
-        if line:
-            blocks.append(line)
-        part.clear()
-
-    for kind, what, path in walked(page):
-        if kind == "text":
-            inside = root == "any" or f"={root}" in path
-            if inside and "=off" not in path:
-                part.append(what)
-        elif kind == "break" or what.split("=", 1)[0] in BLOCK:
-            end()
-        elif kind == "space":
-            part.append(" ")
-    end()
-    return "\n".join(blocks)
+    return wrappers.select("host", "wrapper").mapInArrow(run, "host string, how string")
 
 
+@names_apart
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, ...) without html, with text and n_chars (long).
 
-    Each host's wrapper tells where its pages have their article; a page is read by it, whole or cut off.
-    Elements of page furniture, by name, role or class, are left out with all they hold, as are scripts,
-    styles and comments. Character references are decoded, white space inside a block becomes one space, and
-    blocks are joined by line feeds. Null and empty pages give an empty text; a null url is a host of its own;
+    Each host's wrapper tells in which of its elements pages have their article, and which texts are the template's own; a
+    page on which none of these places is found is read by a wrapper of its own. Inside the article elements of
+    page furniture, by name, role or class, are left out with all they hold, as are scripts, styles and comments; what
+    holds the article is never furniture. Character references are decoded, white space inside a block becomes one space,
+    and blocks are joined by line feeds. Null and empty pages give an empty text; a null url is a host of its own;
     repeated rows are read one by one; columns of pages with the new names are replaced; an empty table gives an
-    empty one. Pages meet their host's wrapper in a join that splits hot hosts; wrappers are broadcast only
-    if Spark finds them small.
+    empty one. A task holds a page, its elements and one batch's wrappers. Pages meet their host's reading in a join that
+    splits hot hosts; readings are broadcast only if Spark finds them small.
     """
     kept = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
-    hosted = pages.select(*kept, F.coalesce("html", F.lit("")).alias("html"), F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
-    roots = wrappers_of(hosted)
-    root = F.when(F.contains("wrapper", F.lit("=main")), "main").when(F.contains("wrapper", F.lit("=likely")), "likely").otherwise("any")
-    met = hosted.join(roots.select("host", root.alias("_root")), "host", "left")
-    met = met.select(*kept, "html", F.coalesce("_root", F.lit("any")).alias("_root"))
+    hosted = pages.select(*kept, F.coalesce("html", F.lit("")).alias("html"), F.coalesce(host_of(F.col("url")), F.lit("")).alias("_host"))
+    how = stored(readings(wrappers_of(hosted.select(F.col("_host").alias("host"), "html"))), "readings")
+    met = hosted.join(how.select(F.col("host").alias("_of"), "how"), F.col("_host") == F.col("_of"), "left")
+    met = met.select(*kept, "html", F.col("how").alias("_how"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(kept)
+        k, known = len(kept), {}
         for b in batches:
-            texts = [main_text(p, r) for p, r in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist(), strict=True)]
+            if len(known) > 1000:
+                known.clear()
+            texts = []
+            for page, way in zip(b.column(k), b.column(k + 1).to_pylist(), strict=True):
+                if way not in known:
+                    known[way] = json.loads(way)
+                texts.append(main_text(page.as_py(), known[way]))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), pa.array(texts, pa.string())], [*kept, "text"])
 
     schema = StructType([*met.schema.fields[: len(kept)], StructField("text", StringType())])
