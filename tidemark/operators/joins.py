@@ -26,15 +26,43 @@ def range_join(left: DataFrame, right: DataFrame, at: str, other: str, width: in
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: Column, within: int, backward: bool = True) -> DataFrame:
     """left with near (struct of time and value) of the last row of right at or before, or first at or after it.
 
-    Both sides share keys and time. One sort by key and time serves all rows; nothing is paired.
+    Both sides share keys and time; of several rows of right at one instant the smallest value is taken. A row of right is
+    entered in its bucket of the width within and in the next one, so that a key of very many rows is dealt out by
+    time; one sort by bucket and time serves all rows, and nothing is paired.
     """
     cols = left.columns
-    a = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.select(value.alias("v")).schema[0].dataType))
+    bucket = F.floor(F.col(time) / within)
+    a = left.withColumns({"_side": F.lit(1), "_bucket": bucket, "_v": F.lit(None).cast(right.select(value.alias("v")).schema[0].dataType)})
     b = right.select(*keys, time, F.lit(0).alias("_side"), value.alias("_v"))
+    b = b.withColumn("_bucket", F.explode(F.array(bucket, bucket + (1 if backward else -1))))
     both = a.unionByName(b, allowMissingColumns=True)
     seen = F.when(F.col("_side") == 0, F.struct(F.col(time).alias("time"), F.col("_v").alias("value")))
-    order = [F.col(time), F.col("_side")] if backward else [F.col(time).desc(), F.col("_side")]
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    order = [F.col(time) if backward else F.col(time).desc(), F.col("_side"), F.col("_v").desc()]
+    w = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     found = both.withColumn("near", F.last(seen, ignorenulls=True).over(w)).filter("_side = 1")
     near = F.when(F.abs(F.col("near.time") - F.col(time)) <= within, F.col("near"))
     return found.select(*cols, near.alias("near"))
+
+
+def missing(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of left without a partner in right: what is listed but not there, not done yet or left behind."""
+    return left.join(right.select(*on).distinct(), list(on), "left_anti")
+
+
+def named(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """df with name, the first of names (key, name, order) by order and name; null where there is none."""
+    first = names.filter("name <> ''").groupBy(key).agg(F.min_by("name", F.struct("order", "name")).alias("name"))
+    return df.join(first, key, "left")
+
+
+def hydrated(df: DataFrame, children: DataFrame, key: str, column: str, order: Sequence[str]) -> DataFrame:
+    """df with column, the array of its children in order; empty where there are none."""
+    rest = [c for c in children.columns if c != key]
+    lists = children.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *(c for c in rest if c not in order)))).alias(column))
+    return df.join(lists, key, "left").withColumn(column, F.coalesce(column, F.array().cast(lists.schema[column].dataType)))
+
+
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """df with the columns of a table of one row, such as totals, in each row."""
+    key = lambda x: x.withColumn("_one", F.lit(1))
+    return key(df).join(F.broadcast(key(one)), "_one").drop("_one")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,11 +13,18 @@ from .joins import range_join
 
 
 def presence(df: DataFrame, radius_m: float = 500.0) -> DataFrame:
-    """Points that put an exhibit somewhere, with a weight: fixes 1.0, sent locations 0.8; searches don't count."""
-    weight = F.when((F.col("category") == "Places") & ~F.col("subtype").isin("search", "destination", "maps"), 1.0).when(
-        (F.col("category") == "Messages") & (F.col("direction") == "outgoing"), 0.8
+    """Points that put an exhibit somewhere, with a weight: fixes 1.0, originals of its camera 0.9, sent locations 0.8.
+
+    Searches and destinations don't count, nor do points whose stated accuracy is worse than the radius.
+    """
+    attribute = lambda name: F.get_json_object("attributes", f"$.{name}")
+    searched = F.rlike(F.lower("subtype"), F.lit("maps|search|destination"))
+    camera = (F.col("category") == "Files & Media") & F.contains(F.lower("source_path"), F.lit("dcim")) & (F.coalesce(attribute("make"), F.lit("")) != "")
+    weight = F.when((F.col("category") == "Places") & ~searched, 1.0).when(camera, 0.9).when(
+        F.col("category").isin("Messages", "Chats") & (F.col("direction") == "outgoing"), 0.8
     )
-    good = geo.plausible(F.col("latitude"), F.col("longitude")) & F.col("timestamp").isNotNull()
+    near = F.coalesce(attribute("accuracy").try_cast("double"), F.lit(0.0)) <= radius_m
+    good = geo.plausible(F.col("latitude"), F.col("longitude")) & F.col("timestamp").isNotNull() & near
     made = df.filter(good).withColumn("weight", F.round(weight * F.greatest(F.lit(0.1), F.col("confidence")), 3))
     return made.filter("weight is not null").select("artifact_id", "exhibit", "timestamp", "latitude", "longitude", "weight")
 
@@ -23,19 +32,34 @@ def presence(df: DataFrame, radius_m: float = 500.0) -> DataFrame:
 def meetings(points: DataFrame, window_us: int = 15 * 60_000_000, radius_m: float = 500.0) -> DataFrame:
     """Pairs of points of different exhibits within the window and the radius, joined by time bucket and grid cell.
 
-    The grid is a little coarser than the radius at 60 degrees of latitude, and a point is entered in
-    the nine cells about it, so that only near points of a like time meet.
+    The grid has bands of latitude a radius high. Each band is cut into equal cells around the globe, as many as are
+    at least so wide that two points of the radius, one of them in the band, are in one or in neighbouring cells; near
+    the poles that is one. A point is entered in up to nine cells, of its band and the two beside it, each by that
+    band's own width and across 180 degrees, so that only near points of a like time meet and none is missed.
     """
-    side = max(radius_m / 111_000.0, 1e-6)
-    at = lambda c, k=1.0: F.floor(F.col(c) / (side * k)).cast("long")
-    a = points.select(*(F.col(c).alias(f"{c}_a") for c in points.columns)).withColumns({"y": at("latitude_a"), "x": at("longitude_a", 2.1)})
+    angle = radius_m / geo.EARTH_M
+    side = math.degrees(angle) * 1.000001
+    band = lambda lat: F.floor(F.col(lat) / side).cast("long")
+
+    def cells(y: Column) -> Column:
+        """Number of cells in a band."""
+        farthest = F.least(F.lit(90.0), (F.greatest(F.abs(y), F.abs(y + 1)) + 1) * F.lit(side))
+        reach = F.least(F.lit(1.0), F.lit(math.sin(angle / 2) * 1.000001) / F.greatest(F.cos(F.radians(farthest)), F.lit(1e-12)))
+        return F.greatest(F.lit(1), F.floor(360 / F.degrees(2 * F.asin(reach)))).cast("long")
+
+    def cell(lon: str, n: Column) -> Column:
+        return F.least(n - 1, F.floor((F.pmod(F.col(lon) + 180, F.lit(360.0))) / 360 * n).cast("long"))
+
+    a = points.select(*(F.col(c).alias(f"{c}_a") for c in points.columns)).withColumn("y", band("latitude_a"))
+    a = a.withColumn("x", cell("longitude_a", cells(F.col("y"))))
     b = points.select(*(F.col(c).alias(f"{c}_b") for c in points.columns))
-    near = F.array(*(F.struct((at("latitude_b") + i).alias("yy"), (at("longitude_b", 2.1) + j).alias("xx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    b = b.select("*", F.inline(near))
+    b = b.withColumn("yy", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: band("latitude_b") + i)))
+    b = b.withColumn("n", cells(F.col("yy"))).withColumn("at", cell("longitude_b", F.col("n")))
+    b = b.withColumn("xx", F.explode(F.array_distinct(F.array(*(F.pmod(F.col("at") + k, F.col("n")) for k in (-1, 0, 1))))))
     met = range_join(a, b, "timestamp_a", "timestamp_b", window_us, [("y", "yy"), ("x", "xx")])
     metres = geo.haversine(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b"))
     met = met.filter("exhibit_a < exhibit_b").withColumn("metres", metres).filter(F.col("metres") <= radius_m)
-    return met.withColumn("at", F.floor((F.col("timestamp_a") + F.col("timestamp_b")) / 2)).drop("y", "x", "yy", "xx")
+    return met.withColumn("at", F.floor((F.col("timestamp_a") + F.col("timestamp_b")) / 2)).drop("y", "x", "yy", "xx", "n")
 
 
 def encounters(hits: DataFrame, window_us: int = 15 * 60_000_000, radius_m: float = 500.0) -> DataFrame:

@@ -20,9 +20,12 @@ def turns(df: DataFrame, keys: Sequence[str] = THREAD, tie: str = "artifact_id")
 
 
 def replies(df: DataFrame, keys: Sequence[str] = THREAD, tie: str = "artifact_id") -> DataFrame:
-    """Dated turns with reply_us, the time to the next turn the other way. One pass over each thread in order."""
-    w = W.partitionBy(*keys).orderBy("timestamp", tie).rowsBetween(1, W.unboundedFollowing)
-    nxt = lambda d: F.first(F.when(F.col("direction") == d, F.col("timestamp")), ignorenulls=True).over(w)
+    """Dated turns with reply_us, the time to the next turn the other way.
+
+    Each thread is read once from its end, with the latest time each way carried along.
+    """
+    w = W.partitionBy(*keys).orderBy(F.col("timestamp").desc(), F.col(tie).desc()).rowsBetween(W.unboundedPreceding, -1)
+    nxt = lambda d: F.last(F.when(F.col("direction") == d, F.col("timestamp")), ignorenulls=True).over(w)
     other = F.when(F.col("direction") == "incoming", nxt("outgoing")).when(F.col("direction") == "outgoing", nxt("incoming"))
     return df.filter("timestamp is not null").withColumn("reply_us", other - F.col("timestamp"))
 

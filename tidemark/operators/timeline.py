@@ -118,7 +118,7 @@ def reactivated(df: DataFrame, keys: Sequence[str] = ("party",), least: int = 8,
     """Parties silent for 21 days or more in a longest gap, and active again at least four times."""
     w = W.partitionBy(*keys).orderBy("timestamp", "artifact_id")
     made = df.filter("timestamp is not null").withColumn("gap_us", F.col("timestamp") - F.lag("timestamp").over(w))
-    made = made.withColumn("rest", F.count(F.lit(1)).over(w.rowsBetween(0, W.unboundedFollowing)))
+    made = made.withColumn("rest", F.count(F.lit(1)).over(W.partitionBy(*keys)) - F.row_number().over(w) + 1)
     best = F.max(F.struct("gap_us", "timestamp", "rest"))
     out = made.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), best.alias("b"))
     out = out.select(*keys, "n", F.col("b.gap_us").alias("gap_us"), F.col("b.timestamp").alias("resumed"), F.col("b.rest").alias("after"))
