@@ -6,11 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Ranges of issuers and the lengths of their numbers.
+ISSUERS = (
+    (r"4", (13, 16, 19)), (r"5[1-5]", (16,)), (r"2(22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)", (16,)), (r"3[47]", (15,)), (r"6(011|5|4[4-9])", (16,)),
+    (r"35(2[89]|[3-8]\d)", (16,)), (r"3(0[0-5]|[68])", (14,)), (r"(60|81|82|508)", (16,)),
+)
+
+
 def card(number: Column) -> Column:
-    """Twelve to nineteen digits of an issuer's range that pass the Luhn check."""
+    """Digits of an issuer's range and one of its lengths that pass the Luhn check."""
     d = F.regexp_replace(number, "[ -]", "")
-    issuer = F.rlike(d, F.lit(r"^(4|5[1-5]|2[2-7]|3[47]|6(011|5|4[4-9])|35|30[0-5]|36|38|50|56|57|58|60|63|67|81|82)"))
-    return F.rlike(d, F.lit(r"^\d{12,19}$")) & issuer & F.call_function("luhn_check", d)
+    known = "|".join(rf"(?={first})\d{{{n}}}" for first, lengths in ISSUERS for n in lengths)
+    return F.rlike(d, F.lit(rf"^({known})$")) & F.coalesce(F.call_function("luhn_check", d), F.lit(False))
 
 
 def imei(number: Column) -> Column:

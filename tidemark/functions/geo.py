@@ -32,3 +32,11 @@ def mercator(lat: Column, lon: Column, width: int, height: int) -> tuple[Column,
     x = (lon + 180) / 360 * width
     y = (1 - F.log(F.tan(F.radians(lat)) + 1 / F.cos(F.radians(lat))) / F.lit(3.141592653589793)) / 2 * height
     return x, y
+
+
+def dms(degrees: Column, positive: str, negative: str) -> Column:
+    """Degrees, minutes and seconds to two places with the letter of the hemisphere."""
+    hundredths = F.round(F.abs(degrees) * 360_000).cast("long")
+    whole, rest = F.floor(hundredths / 360_000), hundredths % 360_000
+    seconds = F.format_string("%.2f", (rest % 6_000) / 100)
+    return F.concat(whole, F.lit("°"), F.floor(rest / 6_000), F.lit("'"), seconds, F.lit('"'), F.when(degrees < 0, negative).otherwise(positive))

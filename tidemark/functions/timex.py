@@ -65,6 +65,13 @@ def day_of(us: Column, offset_minutes: int = 0) -> Column:
     return F.date_format(shifted(us, offset_minutes), "yyyy-MM-dd")
 
 
+def iso(us: Column, offset_minutes: int = 0) -> Column:
+    """ISO text to the second in a fixed zone, with its offset; null stays null."""
+    sign, minutes = ("-" if offset_minutes < 0 else "+"), abs(offset_minutes)
+    zone = f"{sign}{minutes // 60:02d}:{minutes % 60:02d}"
+    return F.concat(F.date_format(shifted(us, offset_minutes), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(zone))
+
+
 def bound(text: str, end: bool = False) -> int:
     """Microseconds of a date or date and time; as an end, a bare date is its last microsecond."""
     when = datetime.fromisoformat(text)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import checks
+from .graph import components, edges
+from .joins import beside
 
 
 def read_hash_set(spark: SparkSession, path: str, kind: str, name: str) -> DataFrame:
@@ -67,26 +71,31 @@ def verify_chain(entries: DataFrame, seq: str, previous: str, own: str, content)
 
 
 def sign_hash(df: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """64 sign bits of the first 64 entries of a vector, as a long."""
-    bits = F.transform(F.slice(vector, 1, 64), lambda x: F.when(x > 0, "1").otherwise("0"))
+    """64 sign bits of a vector, as a long: bit k is that of the sum of the entries k, k + 64, k + 128 and so on."""
+    at = lambda k: F.filter(vector, lambda x, i: i % 64 == k)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(total(at(k)) > 0, "1").otherwise("0"))
     return df.select(id_column, F.conv(F.array_join(bits, ""), 2, -10).cast("long").alias("hash"))
 
 
 def near_hashes(hashes: DataFrame, id_column: str, most: int = 6) -> DataFrame:
     """Pairs of ids whose hashes differ in at most so many bits.
 
-    The 64 bits fall into most + 1 bands, one of which must agree; equal hashes meet once per band and
-    hash, as their ids are gathered last.
+    The 64 bits fall into most + 3 bands. At most that many bits differ, so three bands at least agree, and each hash
+    is entered under every three of its bands, about 21 bits for 6. Only distinct hashes meet; of equal
+    ones each is given with the smallest id.
     """
-    n = most + 1
+    n = most + 3
     cuts = [round(64 * k / n) for k in range(n + 1)]
-    part = lambda a, b: F.shiftrightunsigned("hash", a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-    bands = F.array(*(F.struct(F.lit(k).alias("band"), part(a, b).alias("bits")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
+    masks = [((1 << cuts[k + 1]) - (1 << cuts[k])) for k in range(n)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    chosen = [signed(sum(masks[k] for k in three)) for three in combinations(range(n), 3)]
+    keys = F.array(*(F.struct(F.lit(i).alias("bands"), F.col("hash").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(chosen)))
     distinct = hashes.select("hash").distinct()
-    entered = distinct.select("hash", F.inline(bands))
+    entered = distinct.select("hash", F.inline(keys))
     a, b = entered.withColumnRenamed("hash", "x"), entered.withColumnRenamed("hash", "y")
     far = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    near = a.join(b, ["band", "bits"]).filter("x < y").withColumn("distance", far).filter(F.col("distance") <= most)
+    near = a.join(b, ["bands", "bits"]).filter("x < y").withColumn("distance", far).filter(F.col("distance") <= most)
     near = near.select("x", "y", "distance").distinct()
     ids = lambda h, name: hashes.select(F.col("hash").alias(h), F.col(id_column).alias(name))
     apart = near.join(ids("x", "p"), "x").join(ids("y", "q"), "y")
@@ -95,3 +104,41 @@ def near_hashes(hashes: DataFrame, id_column: str, most: int = 6) -> DataFrame:
     same = hashes.join(least, "hash").filter(F.col("p") != F.col(id_column)).select("p", F.col(id_column).alias("q"), F.lit(0).alias("distance"))
     out = apart.select("p", "q", "distance").unionByName(same)
     return out.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"), "distance")
+
+
+def perceptual(pairs: DataFrame) -> DataFrame:
+    """pairs with hashes a_1, d_1, p_1 and a_2, d_2, p_2 (long), with the three distances and a verdict.
+
+    identical: all alike; near: two distances of 6 bits at most; similar: two of 12; else different.
+    """
+    far = [F.bit_count(F.col(f"{h}_1").bitwiseXOR(F.col(f"{h}_2"))) for h in "adp"]
+    within = lambda k: sum((f <= k).cast("int") for f in far)
+    same = (far[0] == 0) & (far[1] == 0) & (far[2] == 0)
+    verdict = F.when(same, "identical").when(within(6) >= 2, "near").when(within(12) >= 2, "similar").otherwise("different")
+    return pairs.select("*", *(f.alias(f"far_{h}") for f, h in zip(far, "adp", strict=True)), verdict.alias("verdict"))
+
+
+def screening_rates(screened: DataFrame) -> DataFrame:
+    """One row: files, those of each verdict, and the share that known good sets take off the examiner's list."""
+    count = lambda v: F.count(F.when(F.col("verdict") == v, 1))
+    out = screened.agg(F.count(F.lit(1)).alias("files"), count("known-bad").alias("bad"), count("known-good").alias("good"))
+    return out.withColumn("suppression", F.round(F.when(F.col("files") > 0, F.col("good") / F.col("files")).otherwise(0.0), 4))
+
+
+def clusters(matches: DataFrame) -> DataFrame:
+    """(node, root): images joined by matches (id_a, id_b, verdict) that are identical or near, by the smallest id."""
+    close = matches.filter(F.col("verdict").isin("identical", "near"))
+    return components(edges(close, "id_a", "id_b"))
+
+
+def manifest(files: DataFrame, id_column: str, digest: str) -> DataFrame:
+    """(id, digest, root): the seal of a dataset, its digests and their Merkle root."""
+    return beside(files.select(id_column, F.col(digest).alias("digest")), merkle_root(files, digest))
+
+
+def broken_seal(files: DataFrame, sealed: DataFrame, id_column: str, digest: str) -> DataFrame:
+    """(id, broken): what a manifest lists and files lack, have anew, or have otherwise."""
+    now = files.select(id_column, F.col(digest).alias("_now"))
+    met = sealed.select(id_column, F.col("digest").alias("_then")).join(now, id_column, "full")
+    why = F.when(F.col("_now").isNull(), "missing").when(F.col("_then").isNull(), "added").when(F.col("_now") != F.col("_then"), "changed")
+    return met.select(id_column, why.alias("broken")).filter("broken is not null")

@@ -1,70 +1,195 @@
-"""Entities in text: found by pattern, proven by check, overlaps resolved, counted."""
+"""Entities in text: found by pattern, proven by check, overlaps resolved by span, counted."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..functions import checks
+
+def luhn(digits: str) -> bool:
+    """Sum with every second digit from the right doubled, a multiple of ten; of twelve digits at least."""
+    doubled = sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
+    return len(digits) >= 12 and (doubled + sum(map(int, digits[::-2]))) % 10 == 0
+
+
+#: First digits of issuers' numbers and their lengths.
+ISSUERS = re.compile(
+    r"4(\d{12}|\d{15}|\d{18})|(5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|(6011|65\d\d|64[4-9]\d)\d{12}"
+    r"|(30[0-5]|3[68]\d)\d{11}|(352[89]|35[3-8]\d)\d{12}|(6[05]|8[12])\d{14}|508\d{13}"
+)
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+
+
+def digits_of(text: str) -> str:
+    return "".join(c for c in text if c.isdecimal() and c.isascii())
+
+
+def card(text: str) -> bool:
+    d = digits_of(text)
+    return bool(ISSUERS.fullmatch(d)) and luhn(d)
+
+
+def imei(text: str) -> bool:
+    d = digits_of(text)
+    return len(d) == 15 and luhn(d)
+
+
+def iban(text: str) -> bool:
+    plain = "".join(text.split()).upper()
+    if not re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{10,30}", plain):
+        return False
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def phone(text: str) -> bool:
+    d = digits_of(text)
+    return 7 <= len(d) <= 15 and len(set(d)) > 2
+
+
+#: Endings that tell an e-mail address from a payment address.
+ENDINGS = (".com", ".net", ".org", ".in", ".co", ".io", ".gov", ".edu", ".uk", ".me", ".info", ".biz", ".ru", ".cn", ".de", ".fr")
+
+
+def upi(text: str) -> bool:
+    return not text.lower().endswith(ENDINGS)
+
+
+def btc(text: str) -> bool:
+    """The checksum of a base-58 or bech32 address."""
+    if text.lower().startswith(("bc1", "tb1")):
+        return bech32(text.lower())
+    if any(c not in BASE58 for c in text):
+        return False
+    number = 0
+    for c in text:
+        number = number * 58 + BASE58.index(c)
+    if number.bit_length() > 200 or len(text) - len(text.lstrip("1")) != 25 - (number.bit_length() + 7) // 8:
+        return False
+    raw = number.to_bytes(25, "big")
+    return hashlib.sha256(hashlib.sha256(raw[:21]).digest()).digest()[:4] == raw[21:]
+
+
+def bech32(text: str) -> bool:
+    head, _, data = text.rpartition("1")
+    if not head or len(data) < 6 or len(text) > 90 or any(c not in BECH32 for c in data):
+        return False
+    state = 1
+    for value in [ord(c) >> 5 for c in head] + [0] + [ord(c) & 31 for c in head] + [BECH32.index(c) for c in data]:
+        top, state = state >> 25, (state & 0x1FFFFFF) << 5 ^ value
+        for k, generator in enumerate((0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)):
+            state ^= generator * (top >> k & 1)
+    return state in (1, 0x2BC830A3)
 
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern, the weight of the kind, and a check on what it finds."""
+    """A pattern, the weight of the kind, a check on what it finds, and the normal form; lower case if none is given."""
 
     name: str
     pattern: str
     weight: float
-    check: object = None
-    normal: object = None
+    check: Callable[[str], bool] | None = None
+    normal: Callable[[str], str] | None = None
 
 
+#: Addresses of schemas and the like, which are no leads.
+STOP = re.compile(r"(schemas\.|w3\.org|apple\.com/DTDs|android\.com|googleapis\.com/auth|\.xsd|purl\.org|ns\.adobe\.com)", re.IGNORECASE)
+#: Kinds that may hold other entities and claim no span.
+OPEN = ("url", "onion", "email")
 #: Kinds with their patterns and weights.
 KINDS = (
-    Kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 0.6, None, lambda c: F.lower(c)),
-    Kind("url", r"https?://[^\s<>\"']+", 0.5),
-    Kind("onion", r"[a-z2-7]{56}\.onion", 0.95),
-    Kind("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", 0.6, checks.ipv4),
-    Kind("card", r"(?<![\d])\d(?:[ -]?\d){11,18}(?![\d])", 0.9, checks.card, lambda c: F.regexp_replace(c, "[ -]", "")),
-    Kind("imei", r"(?<![\d])\d{15}(?![\d])", 0.7, checks.imei),
-    Kind("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){10,30}\b", 0.9, checks.iban, lambda c: F.regexp_replace(c, " ", "")),
-    Kind("eth", r"\b0x[0-9a-fA-F]{40}\b", 0.95, None, lambda c: F.lower(c)),
-    Kind("btc", r"\b(?:bc1[02-9ac-hj-np-z]{11,71}|[13][1-9A-HJ-NP-Za-km-z]{25,34})\b", 0.95),
-    Kind("phone", r"(?<![\d+])\+?\d[\d ()-]{8,16}\d(?![\d])", 0.4),
+    Kind("phone", r"(?<![\w.])(?:\+\d{1,3}[\s.-]?)?(?:\(\d{2,4}\)[\s.-]?)?\d{3,5}[\s.-]?\d{3,4}[\s.-]?\d{0,4}(?![\w.])", 0.7, phone, lambda x: digits_of(x)[-10:]),
+    Kind("email", r"[\w.+-]+@[\w-]+\.[\w.-]{2,}", 0.6),
+    Kind("url", r"(?i:https?://[^\s<>\"')]+|www\.[^\s<>\"')]+)", 0.4, lambda x: not STOP.search(x)),
+    Kind("onion", r"(?i:\b[a-z2-7]{16}\.onion\b|\b[a-z2-7]{56}\.onion\b)", 1.0),
+    Kind("btc", r"\b(?:[13][a-km-zA-HJ-NP-Z1-9]{25,34}|bc1[a-z0-9]{25,62})\b", 1.0, btc),
+    Kind("eth", r"\b0x[a-fA-F0-9]{40}\b", 0.95),
+    Kind("xmr", r"\b4[0-9AB][1-9A-HJ-NP-Za-km-z]{93}\b", 1.0),
+    Kind("iban", r"\b[A-Z]{2}\d{2}\s?(?:[A-Z0-9]{4}\s?){2,7}[A-Z0-9]{1,4}\b", 0.9, iban),
+    Kind("card", r"\b(?:\d{4}[\s-]?){3}\d{1,7}\b|\b\d{13,19}\b", 0.9, card, digits_of),
+    Kind("upi", r"\b[a-zA-Z0-9._-]{3,64}@[a-zA-Z]{2,20}\b", 0.75, upi),
+    Kind("imei", r"\b\d{15}\b", 0.85, imei),
+    Kind("ipv4", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", 0.5),
+    Kind("coords", r"[-+]?\d{1,2}\.\d{4,},\s?[-+]?\d{1,3}\.\d{4,}", 0.8),
+    Kind("vehicle_in", r"\b[A-Z]{2}[\s-]?\d{1,2}[\s-]?[A-Z]{1,3}[\s-]?\d{4}\b", 0.7, None, lambda x: re.sub(r"[\s-]", "", x.upper())),
+    Kind("tracking", r"\b(?:1Z[0-9A-Z]{16}|[A-Z]{2}\d{9}[A-Z]{2})\b", 0.7),
+    Kind("handle", r"(?<![\w@])@[A-Za-z][\w.]{2,29}\b", 0.5),
 )
-
-
-def _named(values: Column, kind: str) -> Column:
-    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+#: Attributes that are read like a body.
+ATTRIBUTES = ("url", "search_terms", "title", "note", "subject", "media_caption", "term", "target_path", "referrer")
+
+
+def in_text(text: str, kinds: tuple[tuple[Kind, re.Pattern], ...]) -> list[tuple[str, str, int, int]]:
+    """(kind, value, start, end) of a text's entities: the weightiest and then longest claims its span, others on it go."""
+    found = []
+    for k, pattern in kinds:
+        for m in pattern.finditer(text):
+            raw = m[0].strip()
+            if raw and (k.check is None or k.check(raw)):
+                value = k.normal(raw) if k.normal else raw.lower()
+                if value:
+                    found.append((-k.weight, m.start() - m.end(), k.name, value, m.start(), m.end()))
+    found.sort(key=lambda x: x[:2])
+    taken: list[tuple[int, int]] = []
+    kept = []
+    for _, _, name, value, start, end in found:
+        if name not in OPEN:
+            if any(start < b and end > a for a, b in taken):
+                continue
+            taken.append((start, end))
+        kept.append((name, value, start, end))
+    return kept
 
 
 def mentions(df: DataFrame, id_column: str, text_column: str, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """(id, kind, value) for each mention, each pattern tried on every whole text, by Spark expressions alone."""
-    found: list[Column] = []
-    for k in kinds:
-        hits = F.regexp_extract_all(F.col(text_column), F.lit(k.pattern), F.lit(0))
-        if k.check is not None:
-            hits = F.filter(hits, k.check)
-        if k.normal is not None:
-            hits = F.transform(hits, k.normal)
-        found.append(_named(hits, k.name))
-    return df.select(F.col(id_column), F.inline(F.flatten(F.array(*found))))
-
-
-def strongest(found: DataFrame, id_column: str, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """Of mentions of one row with the same digits only the kind of most weight stays, so a card isn't a phone too."""
-    weight = F.create_map(*(F.lit(x) for k in kinds for x in (k.name, k.weight)))
-    digits = F.regexp_replace("value", r"[^0-9A-Za-z@.]", "")
-    best = F.max(F.struct(weight[F.col("kind")].alias("w"), "kind", "value"))
-    out = found.groupBy(id_column, digits.alias("_d")).agg(best.alias("b"), F.count(F.lit(1)).alias("n"))
-    return out.select(id_column, F.col("b.kind").alias("kind"), F.col("b.value").alias("value"), "n")
-
-
-def aggregate(found: DataFrame, id_column: str, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """Entities with their mentions, rows and significance, weight * (1 + ln(1 + n))."""
-    weight = F.create_map(*(F.lit(x) for k in kinds for x in (k.name, k.weight)))
+    """(id, kind, value, start, end) for each mention in whole texts; null texts have none. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = tuple((k, re.compile(k.pattern)) for k in kinds)
+        for b in batches:
+            rows, which = [], []
+            for k, text in enumerate(b.column(1)):
+                found = in_text(text.as_py() or "", compiled)
+                rows += found
+                which += [k] * len(found)
+            columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), *columns], [id_column, "kind", "value", "start", "end"])
+
+    given = df.select(id_column, text_column)
+    fields = [StructField("kind", StringType()), StructField("value", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]
+    return given.mapInArrow(run, StructType([given.schema[0], *fields]))
+
+
+def texts_of(df: DataFrame) -> DataFrame:
+    """(artifact_id, text): bodies and the attributes that are read like them, a row for each that isn't empty."""
+    parts = F.array(F.col("body"), *(F.get_json_object("attributes", f"$.{a}") for a in ATTRIBUTES))
+    return df.select("artifact_id", F.explode(parts).alias("text")).filter(F.length("text") >= 3)
+
+
+def aggregate(
+    found: DataFrame, id_column: str, kinds: tuple[Kind, ...] = KINDS, owners: DataFrame | None = None, contacts: DataFrame | None = None
+) -> DataFrame:
+    """Entities with their mentions, rows and significance, weight * (1 + ln(1 + n)).
+
+    owners and contacts (value): phones of the holder are left out; those in no address book weigh 0.15 more, 1 at
+    most, if contacts are given.
+    """
+    if owners is not None:
+        own = owners.select("value", F.lit("phone").alias("kind")).distinct()
+        found = found.join(own, ["kind", "value"], "left_anti")
+    weight = F.create_map(*(F.lit(x) for k in kinds for x in (k.name, k.weight)))[F.col("kind")]
     each = found.groupBy("kind", "value", id_column).agg(F.count(F.lit(1)).alias("n"))
     out = each.groupBy("kind", "value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
-    return out.withColumn("significance", F.round(weight[F.col("kind")] * (1 + F.log1p(F.col("n"))), 6))
+    if contacts is not None:
+        known = contacts.select("value").distinct().withColumn("_known", F.lit(True))
+        out = out.join(known, "value", "left")
+        weight = F.when((F.col("kind") == "phone") & F.col("_known").isNull(), F.least(F.lit(1.0), weight + 0.15)).otherwise(weight)
+    return out.select("kind", "value", "n", "rows", F.round(weight * (1 + F.log1p(F.col("n"))), 6).alias("significance"))

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import timex
 from ..functions.text import tokens
-from ..sources.artifacts import CATEGORIES, DIRECTIONS
+from ..sources.artifacts import CATEGORIES, DIRECTIONS, MEMBERS
 
 
 def category(name: str) -> Column:
-    found = next((c for c in CATEGORIES if c.lower() == name.strip().lower()), "Other")
+    """By its name or member name in any case; any other name is Other."""
+    wanted = name.strip().lower()
+    found = next((c for c, m in zip(CATEGORIES, MEMBERS, strict=True) if wanted in (c.lower(), m.lower())), "Other")
     return F.col("category") == found
 
 
@@ -70,9 +72,30 @@ def has(what: str) -> Column:
     return known[what]()
 
 
+def _compared(column: Column, op: str, known: dict) -> Column:
+    if op not in known:
+        raise ValueError(f"unknown comparison {op!r}")
+    return known[op](column)
+
+
 def confidence(op: str, value: float) -> Column:
-    c = F.col("confidence")
-    return {">": c > value, ">=": c >= value, "<": c < value, "<=": c <= value, "!=": c != value, "=": c >= value}[op]
+    return _compared(F.col("confidence"), op, {
+        ">": lambda c: c > value, ">=": lambda c: c >= value, "<": lambda c: c < value, "<=": lambda c: c <= value, "!=": lambda c: c != value, "=": lambda c: c >= value,
+    })
+
+
+def timestamp(op: str, date: str) -> Column:
+    """Strictly before or after a date or instant, or with it; a bare date stands for its first instant in < and >=, its last in > and <=."""
+    first, last = timex.bound(date), timex.bound(date, end=True)
+    return _compared(F.col("timestamp"), op, {">": lambda c: c > last, ">=": lambda c: c >= first, "<": lambda c: c < first, "<=": lambda c: c <= last})
+
+
+def identity(artifact_id: str) -> Column:
+    return F.col("artifact_id") == artifact_id.strip()
+
+
+#: The columns that a bare word or phrase is looked for in.
+SEARCHED = ("body", "party", "app", "subtype")
 
 
 def word(column: str, term: str) -> Column:
@@ -85,6 +108,19 @@ def phrase(column: str, text: str) -> Column:
     return F.contains(line(F.col(column)), line(F.lit(text)))
 
 
+def anywhere(text: str) -> Column:
+    """A word or phrase in the body, the party, the app or the subtype."""
+    found = phrase(SEARCHED[0], text)
+    for c in SEARCHED[1:]:
+        found = found | phrase(c, text)
+    return found
+
+
+def body_part(text: str) -> Column:
+    """Part of the body, without case."""
+    return F.contains(F.lower("body"), F.lit(text.lower()))
+
+
 def tagged(df: DataFrame, tags: DataFrame, name: str | None = None) -> DataFrame:
     """Rows with the tag, or with any."""
     chosen = tags if name is None else tags.filter(F.col("name") == name)

@@ -12,18 +12,23 @@ CATEGORIES = (
     "Calls", "Contacts", "Messages", "Chats", "Files & Media", "Web", "Places", "Security", "User activity log",
     "Accounts", "Applications", "Networks", "Device info", "Calendar", "Notes", "Other",
 )
+#: Their member names, in the same order.
+MEMBERS = (
+    "CALL", "CONTACT", "MESSAGE", "CHAT", "FILE", "WEB", "PLACE", "SECURITY", "ACTIVITY", "ACCOUNT", "APP", "NETWORK", "DEVICE", "CALENDAR",
+    "NOTE", "OTHER",
+)
 DIRECTIONS = ("incoming", "outgoing", "missed", "draft", "local", "unknown")
 COLUMNS = (
     "artifact_id", "exhibit", "category", "subtype", "timestamp", "timestamp_end", "direction", "app", "body", "recovery",
-    "latitude", "longitude", "confidence", "party", "attributes",
+    "latitude", "longitude", "confidence", "party", "attributes", "source_path", "source_table", "source_row", "blob_sha256",
 )
 
 
 def coerce_category(c: Column) -> Column:
-    """The category of that name in any case, else Other."""
+    """The category of that name or member name in any case, else Other."""
     found = F.lit("Other")
-    for name in CATEGORIES:
-        found = F.when(F.lower(F.trim(c)) == name.lower(), F.lit(name)).otherwise(found)
+    for name, member in zip(CATEGORIES, MEMBERS, strict=True):
+        found = F.when(F.lower(F.trim(c)).isin(name.lower(), member.lower()), F.lit(name)).otherwise(found)
     return found
 
 
@@ -62,9 +67,48 @@ def from_events(events: DataFrame) -> DataFrame:
         F.when(deleted, 0.7).otherwise(1.0).alias("confidence"),
         keys.party_key(party).alias("party"),
         F.col("props").alias("attributes"),
+        F.lit("events.parquet").alias("source_path"), F.lit("events").alias("source_table"), F.col("event_id").cast("long").alias("source_row"),
+        F.lit("").alias("blob_sha256"),
     )
 
 
+def _undated(rows: DataFrame, **given: Column) -> DataFrame:
+    """rows with the columns of the schema, those not given at their defaults and undated."""
+    rest = {
+        "timestamp": F.lit(None).cast("long"), "timestamp_end": F.lit(None).cast("long"), "latitude": F.lit(None).cast("double"),
+        "longitude": F.lit(None).cast("double"), "confidence": F.lit(1.0), "recovery": F.lit("allocated"), "direction": F.lit("unknown"),
+    }
+    return rows.select(*(given.get(c, rest.get(c, F.lit(""))).alias(c) for c in COLUMNS))
+
+
+def from_documents(documents: DataFrame) -> DataFrame:
+    """documents (doc_id, text, lang, source) as undated files, the source as their app: a stated projection for tests."""
+    attributes = F.to_json(F.struct(F.col("lang").alias("lang"), F.length("text").alias("chars")))
+    return _undated(
+        documents, artifact_id=F.concat(F.lit("doc-"), "doc_id"), exhibit=F.concat(F.lit("EXH-"), F.col("doc_id") % 3), category=F.lit("Files & Media"),
+        subtype=F.lit("Document"), app=F.coalesce("source", F.lit("")), body=F.coalesce("text", F.lit("")), attributes=attributes,
+        source_path=F.lit("documents.parquet"), source_table=F.lit("documents"), source_row=F.col("doc_id").cast("long"), blob_sha256=F.sha2("text", 256),
+    )
+
+
+def from_conversations(conversations: DataFrame) -> DataFrame:
+    """conversations (conv_id, turn, role, text) as undated chats: a stated projection for tests."""
+    way = F.when(F.col("role") == "user", "incoming").when(F.col("role") == "assistant", "outgoing").otherwise("local")
+    return _undated(
+        conversations, artifact_id=F.concat_ws("-", F.lit("conv"), "conv_id", "turn"), exhibit=F.lit("EXH-C"), category=F.lit("Chats"),
+        subtype=F.coalesce("role", F.lit("")), app=F.lit("chat"), body=F.coalesce("text", F.lit("")), direction=way, party=F.col("conv_id").cast("string"),
+        attributes=F.lit("{}"), source_path=F.lit("conversations.parquet"), source_table=F.lit("conversations"), source_row=F.col("turn").cast("long"),
+    )
+
+
+def union(*stores: DataFrame) -> DataFrame:
+    """Several stores as one, by name; what only some have is null in the others."""
+    made = stores[0]
+    for s in stores[1:]:
+        made = made.unionByName(s, allowMissingColumns=True)
+    return made
+
+
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(table(spark, sf_dir, "events"))
 
@@ -106,6 +150,50 @@ def read_message_xml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_call_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Backup files of <call number duration date type contact_name> as artifacts."""
+    rows = spark.read.format("xml").option("rowTag", "call").option("attributePrefix", "").schema(
+        "number string, duration long, date long, type int, contact_name string"
+    ).load(path)
+    direction = F.when(F.col("type") == 1, "incoming").when(F.col("type") == 2, "outgoing").when(F.col("type").isin(3, 5), "missed").otherwise("unknown")
+    begun = timex.from_epoch(F.col("date"), "unix_ms")
+    return rows.select(
+        content_id(F.col("number"), F.col("date"), F.col("type"), F.col("duration")).alias("artifact_id"),
+        F.lit("Calls").alias("category"), F.lit("Call").alias("subtype"), begun.alias("timestamp"),
+        (begun + F.coalesce("duration", F.lit(0)) * 1_000_000).alias("timestamp_end"), direction.alias("direction"),
+        keys.party_key(F.col("number"), F.col("contact_name")).alias("party"),
+    )
+
+
+def read_vcards(spark: SparkSession, path: str) -> DataFrame:
+    """Files of vCards as contacts: one row for each card and number or address, with its party key and name.
+
+    Files are cut at END:VCARD by the reader, folded lines are joined, and group names and parameters of a property dropped.
+    """
+    cards = spark.read.option("lineSep", "END:VCARD").text(path).filter(F.contains(F.upper("value"), F.lit("BEGIN:VCARD")))
+    lines = F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), "\n[ \t]", ""), "\n")
+    value = lambda x: F.trim(F.regexp_replace(x, r"^[^:]*:", ""))
+    of = lambda kinds: F.filter("lines", lambda x: F.rlike(x, F.lit(rf"(?i)^([\w-]+\.)?({kinds})[;:]")))
+    cut = cards.select(lines.alias("lines")).select(
+        value(F.coalesce(F.get(of("FN"), F.lit(0)), F.get(of("N"), F.lit(0)))).alias("name"), F.transform(of("TEL|EMAIL"), value).alias("values")
+    )
+    each = cut.select("name", F.explode_outer("values").alias("identifier"))
+    return each.select(
+        content_id(F.col("name"), F.col("identifier")).alias("artifact_id"), F.lit("Contacts").alias("category"), "name", "identifier",
+        keys.party_key(F.col("identifier"), F.col("name")).alias("party"),
+    )
+
+
+def append_tags(tags: DataFrame, path: str) -> None:
+    """Add tags (artifact_id, name, created_at) to a table that is only ever appended to; latest_tags() reads it."""
+    tags.select("artifact_id", "name", "created_at").write.mode("append").parquet(path)
+
+
+def latest_tags(tags: DataFrame) -> DataFrame:
+    """One row for each artifact and tag, the latest."""
+    return tags.groupBy("artifact_id", "name").agg(F.max("created_at").alias("created_at"))
+
+
 def read_export_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """A tool's CSV export; columns gives the artifact column of each of its headers."""
     rows = spark.read.option("header", "true").option("multiLine", "true").csv(path)
