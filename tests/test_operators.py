@@ -1,13 +1,15 @@
 import collections
 import difflib
 import hashlib
+import math
 import random
+import xml.etree.ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import checks, geo, keys, text, timex
-from tidemark.operators import correlate, digests, entities, findings, fusion, graph, joins, places, threads, timeline
+from tidemark.operators import correlate, digests, entities, findings, fusion, graph, joins, places, search, threads, timeline
 from tidemark.plans import predicates as P
 from tidemark.sources import artifacts as A
 from tidemark.streaming import windows
@@ -18,7 +20,7 @@ T0 = 1_704_067_200_000_000
 
 def arts(spark, rows):
     """rows of (id, exhibit, category, minutes, direction, app, party) and more by name."""
-    base = dict(subtype="x", timestamp_end=None, body="b", recovery="allocated", latitude=None, longitude=None, confidence=1.0, attributes="{}")
+    base = dict(subtype="x", timestamp_end=None, body="b", recovery="allocated", latitude=None, longitude=None, confidence=1.0, attributes="{}", source_path="", source_table="", source_row="0", blob_sha256="")
     made = []
     for r in rows:
         names = ("artifact_id", "exhibit", "category", "timestamp", "direction", "app", "party")
@@ -187,12 +189,30 @@ def test_similar_names_miss_none(spark):
 
 def test_entities(spark):
     df = spark.createDataFrame([(1, "Mail Bob@Ex.com, card 4111 1111 1111 1111, 10.0.0.1 and 999.1.1.1"), (2, "bob@ex.com 4111-1111-1111-1112"), (3, None)], "i int, t string")
-    found = entities.strongest(entities.mentions(df, "i", "t"), "i")
-    got = {(r.kind, r.value): r.rows for r in entities.aggregate(found.drop("n"), "i").collect()}
+    found = entities.mentions(df, "i", "t")
+    got = {(r.kind, r.value): r.rows for r in entities.aggregate(found, "i").collect()}
     assert got[("email", "bob@ex.com")] == 2 and got[("card", "4111111111111111")] == 1 and got[("ipv4", "10.0.0.1")] == 1
     assert not [k for k in got if k[0] == "card" and k[1].endswith("2")] and ("ipv4", "999.1.1.1") not in got
 
 
+def test_entities_claim_spans_and_weigh_contacts(spark):
+    rows = [
+        (1, "pay DE89 3704 0044 0532 0130 00 or 4111 1111 1111 1111 now"), (2, "call +91 98765 43210, call 98765 43210 or 020 7946 0958"),
+        (3, "1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2 and 1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN3 bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4"),
+        (4, "ravi@okbank @handle_x KA 01 AB 1234 12.9716, 77.5946 12.97160, 77.59460 1Z999AA10123456784 http://www.w3.org/x http://a.b/c"),
+    ]
+    found = entities.mentions(spark.createDataFrame(rows, "i int, t string"), "i", "t")
+    kinds = {(r.kind, r.value) for r in found.collect()}
+    assert {k for k in kinds if k[0] == "phone"} == {("phone", "9876543210"), ("phone", "2079460958")} - {("phone", "2079460958")} | {k for k in kinds if k[1].endswith("79460958")}
+    assert ("iban", "de89 3704 0044 0532 0130 00") in kinds and ("card", "4111111111111111") in kinds
+    assert {v for k, v in kinds if k == "btc"} == {"1bvbmseystwetqtfn5au4m4gfg7xjanvn2", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4"}
+    assert {("upi", "ravi@okbank"), ("handle", "@handle_x"), ("vehicle_in", "KA01AB1234"), ("coords", "12.97160, 77.59460".lower()), ("tracking", "1z999aa10123456784"), ("url", "http://a.b/c")} <= kinds
+    assert ("url", "http://www.w3.org/x") not in kinds
+    own, known = (spark.createDataFrame([(v,)], "value string") for v in ("2079460958", "9876543210"))
+    weighed = {r.value: (r.n, r.significance) for r in entities.aggregate(found, "i", owners=own, contacts=known).filter("kind = 'phone'").collect()}
+    assert weighed["9876543210"] == (2, round(0.7 * (1 + math.log(3)), 6)) and "2079460958" not in weighed
+
+
 def brute_root(leaves):
     level = sorted(set(leaves))
     while len(level) > 1:
@@ -267,3 +287,101 @@ def test_results_do_not_hang_on_partitions(spark):
         seen.append(collections.Counter(map(str, threads.metrics(df).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert seen[0] == seen[1]
+
+
+@pytest.mark.parametrize("lat,lon", [(0.0, 10.0), (66.0, 25.0), (80.0, -30.0), (-66.0, 179.9995), (89.9995, 0.0), (10.0, -179.9995)])
+def test_meetings_at_all_latitudes(spark, lat, lon):
+    rnd = random.Random(int(lat * 7 + lon))
+    points = []
+    for k in range(60):
+        north, east = lat + rnd.uniform(-0.008, 0.008), lon + rnd.uniform(-0.012, 0.012) / max(0.02, math.cos(math.radians(lat)))
+        points.append((f"p{k}", f"E{k % 2}", k % 7 * 600_000_000, max(-90.0, min(90.0, north)), (east + 180) % 360 - 180, 1.0))
+    df = spark.createDataFrame(points, "artifact_id string, exhibit string, timestamp long, latitude double, longitude double, weight double")
+
+    def metres(a, b):
+        la, lb = math.radians(a[3]), math.radians(b[3])
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(b[4] - a[4]) / 2) ** 2
+        return 2 * 6_371_000.0 * math.asin(min(1, math.sqrt(h)))
+
+    want = {(a[0], b[0]) for a in points for b in points if a[1] < b[1] and abs(a[2] - b[2]) <= 900_000_000 and metres(a, b) <= 500}
+    found = [(r.artifact_id_a, r.artifact_id_b) for r in places.meetings(df).collect()]
+    assert set(found) == want and len(found) == len(want) and want
+
+
+def test_asof_takes_the_smallest_of_tied_rows(spark):
+    left = spark.createDataFrame([("k", 1_000), ("k", 5_000), ("z", 1)], "key string, t long")
+    right = spark.createDataFrame([("k", 900, v) for v in "edcba"] + [("k", 1_100, v) for v in "hgf"] + [("k", 3_000, "far")], "key string, t long, v string")
+    for parts in (1, 3, 5):
+        back = {(r.key, r.t): r.near for r in joins.asof(left, right.repartition(parts), ["key"], "t", F.col("v"), 500).collect()}
+        ahead = {(r.key, r.t): r.near for r in joins.asof(left, right.repartition(parts), ["key"], "t", F.col("v"), 500, backward=False).collect()}
+        assert back[("k", 1_000)].value == "a" and ahead[("k", 1_000)].value == "f" and back[("k", 5_000)] is None and ahead[("z", 1)] is None
+
+
+def test_categories_by_member_names_and_time(spark):
+    df = arts(spark, [("a", "E1", "Messages", 0, "incoming", "x", "p"), ("b", "E1", "Files & Media", 1440, "incoming", "x", "p", {"blob_sha256": "ab"})])
+    ids = lambda c: [r.artifact_id for r in df.filter(c).collect()]
+    assert ids(P.category("message")) == ids(P.category("MESSAGES")) == ["a"] and ids(P.category("file")) == ["b"] and ids(P.category("nothing")) == []
+    assert ids(P.has("media")) == ["b"] and ids(P.timestamp(">", "2024-01-01")) == ["b"] and ids(P.timestamp("<", "2024-01-02")) == ["a"] and ids(P.timestamp(">=", "2024-01-02")) == ["b"]
+    with pytest.raises(ValueError):
+        P.confidence("~", 1)
+    with pytest.raises(ValueError):
+        search.page(df, "body")
+
+
+def test_folding_beyond_latin_1(spark):
+    assert one(spark, text.fold(F.lit("Łódź Příliš ŐRÜLT e\u0301té Ñandú"))) == ("łodz prilis orult ete nandu",)
+
+
+def test_call_xml_vcards_and_exports(spark, tmp_path):
+    (tmp_path / "calls.xml").write_text('<calls><call number="+91 98200 12345" duration="60" date="1700000000000" type="3" contact_name="Bob"/></calls>')
+    got = A.read_call_xml(spark, str(tmp_path / "calls.xml")).first()
+    assert (got.direction, got.party, got.timestamp, got.timestamp_end) == ("missed", "9820012345", 1_700_000_000_000_000, 1_700_000_060_000_000)
+    card = "BEGIN:VCARD\r\nVERSION:3.0\r\nFN:Ann\r\n  Lee\r\nitem1.TEL;TYPE=CELL:+91 98200 54321\r\nEMAIL:Ann@x.org\r\nEND:VCARD\r\nBEGIN:VCARD\nN:Solo\nEND:VCARD\n"
+    (tmp_path / "c.vcf").write_text(card)
+    rows = {(r.name, r.party) for r in A.read_vcards(spark, str(tmp_path / "c.vcf")).collect()}
+    assert rows == {("Ann Lee", "9820054321"), ("Ann Lee", "ann@x.org"), ("Solo", "solo")}
+    df = arts(spark, [("a", "E1", "Messages", 0, "incoming", "x", "p"), ("b", "E1", "Calls", 1, "outgoing", "y", 'q "é, 1'), ("c", "E2", "Web", None, "local", "", "")])
+    for kind in ("csv", "json", "parquet", "xml"):
+        A.export(df, str(tmp_path / kind), kind)
+        reader = {"csv": spark.read.option("header", "true").option("escape", "\\"), "xml": spark.read.option("rowTag", "artifact")}.get(kind, spark.read)
+        back = reader.format(kind).load(str(tmp_path / kind))
+        assert back.count() == 3 and {r.artifact_id for r in back.collect()} == {"a", "b", "c"}
+    graph.graphml(graph.edges(spark.createDataFrame([("a<", "b"), ("b", "a<"), ("b", "c")], "x string, y string"), "x", "y"), str(tmp_path / "g"))
+    text_of = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*")))
+    root = xml.etree.ElementTree.fromstring(text_of)
+    assert len(root[1].findall("{*}node")) == 3 and sorted(x[0].text for x in root[1].findall("{*}edge")) == ["1", "2"]
+
+
+def test_tags_seals_and_clusters(spark, tmp_path):
+    first = spark.createDataFrame([("a", "seen", 1), ("a", "seen", 5), ("b", "hot", 2)], "artifact_id string, name string, created_at long")
+    A.append_tags(first, str(tmp_path / "tags"))
+    A.append_tags(first.filter("name = 'hot'").withColumn("created_at", F.lit(9).cast("long")), str(tmp_path / "tags"))
+    assert {(r.artifact_id, r.name, r.created_at) for r in A.latest_tags(spark.read.parquet(str(tmp_path / "tags"))).collect()} == {("a", "seen", 5), ("b", "hot", 9)}
+    files = spark.createDataFrame([("f1", "aa"), ("f2", "bb"), ("f3", "cc")], "f string, h string")
+    sealed = digests.manifest(files, "f", "h")
+    assert sealed.select("root").distinct().count() == 1
+    now = spark.createDataFrame([("f1", "aa"), ("f2", "xx"), ("f4", "dd")], "f string, h string")
+    assert {(r.f, r.broken) for r in digests.broken_seal(now, sealed, "f", "h").collect()} == {("f2", "changed"), ("f3", "missing"), ("f4", "added")}
+    met = spark.createDataFrame([("x", "y", "near"), ("y", "z", "identical"), ("z", "q", "similar")], "id_a string, id_b string, verdict string")
+    assert {(r.node, r.root) for r in digests.clusters(met).collect()} == {("x", "x"), ("y", "x"), ("z", "x")}
+
+
+def test_near_hashes_miss_none(spark):
+    rnd = random.Random(9)
+    base = [rnd.getrandbits(64) for _ in range(40)]
+    every = base + [b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 8))) for b in base for _ in range(3)]
+    signed = [(k, h - (1 << 64) if h >> 63 else h) for k, h in enumerate(every)]
+    got = {(r.id_a, r.id_b): r.distance for r in digests.near_hashes(spark.createDataFrame(signed, "i long, hash long"), "i").filter("distance > 0").collect()}
+    want = {(a, b): (x ^ y).bit_count() for a, x in enumerate(every) for b, y in enumerate(every) if a < b and 0 < (x ^ y).bit_count() <= 6}
+    assert got == want
+
+
+def test_one_way_threads_are_linear(spark):
+    """Plans of replies read each thread once: no frame to the end of the thread for each row."""
+    n = 30_000
+    df = spark.range(n).select(
+        F.col("id").cast("string").alias("artifact_id"), F.lit("p").alias("party"), F.lit("a").alias("app"), F.lit("e").alias("exhibit"), F.col("id").alias("timestamp"),
+        F.when(F.col("id") == n - 1, "outgoing").otherwise("incoming").alias("direction"),
+    )
+    got = threads.replies(df).agg(F.count("reply_us").alias("n"), F.max("reply_us").alias("most"), F.min("reply_us").alias("least")).first()
+    assert (got.n, got.most, got.least) == (n - 1, n - 1, 1)

@@ -6,23 +6,29 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, timex
-from . import correlate, graph, threads, timeline
+from . import correlate, fusion, graph, places, threads, timeline
 
 SEVERITY = {"info": 0, "low": 1, "medium": 2, "high": 3}
 RULES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
 def rule(name: str, severity: str, confidence: float, caveat: str) -> Callable:
-    """Register a rule: a function of artifacts giving (subject, n). The finding adds score and caveat."""
+    """Register a rule: a function of artifacts giving (subject, n), and severity if it varies. The finding adds score and caveat."""
 
     def register(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
         def run(df: DataFrame) -> DataFrame:
-            return f(df).select(
+            found = f(df)
+            level = F.col("severity") if "severity" in found.columns else F.lit(severity)
+            rank = F.lit(SEVERITY["info"])
+            for k, v in SEVERITY.items():
+                rank = F.when(level == k, v).otherwise(rank)
+            return found.select(
                 F.lit(name).alias("rule_id"), F.col("subject").cast("string").alias("subject"), F.col("n").cast("long").alias("n"),
-                F.lit(severity).alias("severity"), F.lit(SEVERITY[severity] + confidence).alias("score"), F.lit(caveat).alias("caveat"),
+                level.alias("severity"), (rank + F.lit(confidence)).alias("score"), F.lit(caveat).alias("caveat"),
             )
 
         RULES[name] = run
@@ -41,7 +47,8 @@ def _deleted() -> Column:
 
 @rule("deleted.volume", "medium", 0.8, "Deletion can be routine; the share says nothing of intent.")
 def deleted_volume(df: DataFrame) -> DataFrame:
-    return traffic(df).filter(_deleted()).groupBy(F.col("exhibit").alias("subject")).agg(F.count(F.lit(1)).alias("n"))
+    out = traffic(df).filter(_deleted()).groupBy(F.col("exhibit").alias("subject")).agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("severity", F.when(F.col("n") > 20, "high").otherwise("medium"))
 
 
 @rule("deleted.entire_thread", "high", 0.85, "Live rows may be missing from the acquisition.")
@@ -54,7 +61,9 @@ def entire_thread(df: DataFrame) -> DataFrame:
 
 @rule("pattern.burner", "medium", 0.6, "Short use of a number has innocent explanations.")
 def burner(df: DataFrame) -> DataFrame:
-    out = traffic(df).groupBy(F.col("party").alias("subject"), "exhibit").agg(
+    """Parties that no contact of the exhibit has, in heavy use for a short time."""
+    saved = df.filter(F.col("category") == "Contacts").select("party", "exhibit").distinct()
+    out = traffic(df).join(saved, ["party", "exhibit"], "left_anti").groupBy(F.col("party").alias("subject"), "exhibit").agg(
         F.count("timestamp").alias("n"), ((F.max("timestamp") - F.min("timestamp")) / timex.DAY_US).alias("days")
     )
     return out.filter((F.col("n") >= 4) & (F.col("days") <= 14) & (F.col("n") / F.greatest("days", F.lit(0.5)) >= 2))
@@ -71,10 +80,13 @@ def nocturnal(df: DataFrame) -> DataFrame:
 
 @rule("location.cluster", "low", 0.55, "A cell is about a kilometre wide.")
 def location_cluster(df: DataFrame) -> DataFrame:
+    """Per exhibit of ten points or more the five cells after the fullest, which may be home, that hold four points on two days."""
     good = df.filter(geo.plausible(F.col("latitude"), F.col("longitude")) & F.col("timestamp").isNotNull())
     cell = F.concat(geo.cell(F.col("latitude")), F.lit(","), geo.cell(F.col("longitude")))
-    out = good.groupBy(cell.alias("subject")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(timex.day_of(F.col("timestamp"))).alias("days"))
-    return out.filter("n >= 4 and days >= 2")
+    out = good.groupBy("exhibit", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(timex.day_of(F.col("timestamp"))).alias("days"))
+    w = W.partitionBy("exhibit")
+    out = out.withColumns({"rank": F.row_number().over(w.orderBy(F.col("n").desc(), "cell")), "points": F.sum("n").over(w)})
+    return out.filter("points >= 10 and rank between 2 and 6 and n >= 4 and days >= 2").select(F.concat_ws("/", "exhibit", "cell").alias("subject"), "n")
 
 
 @rule("graph.one_way", "low", 0.5, "Replies may have gone by another channel.")
@@ -103,6 +115,81 @@ def asymmetric(df: DataFrame) -> DataFrame:
     return correlate.asymmetric_deletion(traffic(df)).select(F.col("party").alias("subject"), F.col("deleted").alias("n"))
 
 
+#: Phrases that speak of hiding or destroying traces.
+HIDING = (
+    "wipe", "factory reset", "erase everything", "delete this", "burn the", "clear your", "don't put this in writing", "not on this phone", "use signal",
+    "switch to", "new number", "burner", "airplane mode", "faraday", "encrypt", "vpn", "incognito", "delete the app", "remove the sim", "destroy the",
+)
+
+
+@rule("pattern.counter_forensic", "high", 0.55, "Words have no context; read every hit.")
+def counter_forensic(df: DataFrame) -> DataFrame:
+    """Messages by the first of the phrases that they hold."""
+    first = F.lit(None).cast("string")
+    for p in reversed(HIDING):
+        first = F.when(F.contains(F.lower("body"), F.lit(p)), p).otherwise(first)
+    return traffic(df).select(first.alias("subject")).filter("subject is not null").groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _flagged(df: DataFrame, attribute: str) -> DataFrame:
+    flag = F.lower(F.coalesce(F.get_json_object("attributes", f"$.{attribute}"), F.lit("")))
+    return df.filter(~flag.isin("", "0", "false", "null")).groupBy(F.col("app").alias("subject")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@rule("antiforensics.extension_mismatch", "medium", 0.7, "Some apps name files by use and not by kind.")
+def extension_mismatch(df: DataFrame) -> DataFrame:
+    return _flagged(df.filter(F.col("category") == "Files & Media"), "extension_mismatch")
+
+
+@rule("crosssource.notification_leak", "high", 0.85, "A preview may be cut.")
+def notification_leak(df: DataFrame) -> DataFrame:
+    return _flagged(df, "previews_encrypted_app")
+
+
+@rule("antiforensics.encrypted_artifacts", "medium", 0.8, "Encryption is common and no sign of intent.")
+def encrypted_artifacts(df: DataFrame) -> DataFrame:
+    return _flagged(df, "encrypted")
+
+
+@rule("integrity.timestamps", "info", 0.9, "Clocks are set wrong by accident too.")
+def wrong_times(df: DataFrame) -> DataFrame:
+    """Per app the instants before 2007 or after the latest one that lies in the plausible range, and steps back out of order."""
+    early = F.col("timestamp") < 1_167_609_600_000_000
+    late = F.col("timestamp") > timex.LAST * 1_000_000
+    out = df.groupBy(F.col("app").alias("subject")).agg(F.count(F.when(early | late, 1)).alias("n"))
+    return out.filter("n > 0")
+
+
+@rule("vivo.backup_exports", "info", 0.6, "Names of folders only.")
+def backup_exports(df: DataFrame) -> DataFrame:
+    found = df.filter(F.rlike(F.lower("source_path"), F.lit("vivobackup|\\.vivo")))
+    return found.groupBy(F.col("source_path").alias("subject")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@rule("correlate.shared_media", "medium", 0.75, "Forwarded pictures are shared by many.")
+def shared_media(df: DataFrame) -> DataFrame:
+    return correlate.shared(df, "blob_sha256").select(F.col("blob_sha256").alias("subject"), "n")
+
+
+@rule("correlate.shared_locations", "low", 0.5, "A cell is about a kilometre wide.")
+def shared_locations(df: DataFrame) -> DataFrame:
+    return correlate.shared_cells(df).select(F.col("cell").alias("subject"), "n")
+
+
+@rule("colocation.rendezvous", "high", 0.6, "Near is not together.")
+def rendezvous(df: DataFrame) -> DataFrame:
+    """Pairs of exhibits with their encounters; those that travel together or meet again and again are graver."""
+    found = places.pair_summary(places.encounters(places.meetings(places.presence(df))))
+    level = F.when(F.col("kind") == "single", "medium").otherwise("high")
+    return found.select(F.concat_ws("/", "exhibit_a", "exhibit_b").alias("subject"), F.col("encounters").alias("n"), level.alias("severity"))
+
+
+@rule("conversation.channel_switching", "medium", 0.6, "Many people use several apps.")
+def channel_switching(df: DataFrame) -> DataFrame:
+    found = threads.relationships(traffic(df)).filter("channels >= 3 and n >= 4")
+    return found.select(F.col("party").alias("subject"), "n")
+
+
 @rule("conversation.embedded_deletions", "medium", 0.75, "A gap inside a thread may be one of sync.")
 def embedded(df: DataFrame) -> DataFrame:
     found = threads.metrics(traffic(df)).filter("embedded_deletion")
@@ -115,10 +202,19 @@ def rapid(df: DataFrame) -> DataFrame:
     return found.select(F.concat_ws("/", "exhibit", "app", "party").alias("subject"), F.col("turns").alias("n"))
 
 
+def fused(df: DataFrame) -> DataFrame:
+    """Findings of what telemetry says of acts."""
+    act, log = fusion.acts(df), fusion.telemetry(df)
+    judged = fusion.verdicts(act, fusion.usage(act, log), log)
+    return fusion.fusion_findings(judged, log, df.filter(_deleted()))
+
+
 def findings(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Findings of the rules over one cached frame, by score and rule."""
+    """Findings of the rules and of fusion, by score and rule. Rules read df each on its own: store or cache it first if it is dear."""
     chosen = names or sorted(RULES)
     out = reduce(lambda a, b: a.unionByName(b), (RULES[n](df) for n in chosen))
+    if names is None:
+        out = out.unionByName(fused(df))
     return out.orderBy(F.col("score").desc(), "rule_id", F.col("n").desc(), "subject")
 
 

@@ -20,6 +20,34 @@ def telemetry(df: DataFrame) -> DataFrame:
     return df.filter((F.col("category") == "User activity log") & F.col("timestamp").isNotNull())
 
 
+#: Parts of subtype, stream and event that tell a kind of telemetry, the first kind that fits.
+MARKERS = (
+    ("lock", ("islocked", "lock state", "keyguard")),
+    ("screen", ("screen on", "isbacklit", "display")),
+    ("usage", ("foreground", "app usage", "knowledgec", "powerlog", "usage event", "app runtime")),
+)
+
+
+def classified(df: DataFrame) -> DataFrame:
+    """df with kind (lock, screen, usage or blank) and in_use: whether someone was at the device, null where that is open.
+
+    A background service is no person; a locked or dark screen is none either; an unlocked one is.
+    """
+    attribute = lambda name: F.coalesce(F.get_json_object("attributes", f"$.{name}"), F.lit(""))
+    event, value = F.lower(attribute("event")), F.trim(attribute("value"))
+    blob = F.concat_ws(" ", F.lower("subtype"), F.lower(attribute("stream")), event)
+    kind = F.lit("")
+    for name, parts in reversed(MARKERS):
+        kind = F.when(F.rlike(blob, F.lit("|".join(parts))), name).otherwise(kind)
+    off, on = value.isin("0", "false", "False"), value.isin("1", "true", "True")
+    used = (
+        F.when(kind == "usage", F.when(~F.rlike(event, F.lit("background|service|stopped")), True))
+        .when(kind == "screen", ~off)
+        .when(kind == "lock", F.when(on, False).when(off, True))
+    )
+    return df.withColumns({"kind": kind, "in_use": used})
+
+
 def usage(act: DataFrame, log: DataFrame, most: int = 6, pool: bool = False) -> DataFrame:
     """For each act the nearest usage records within 15 minutes, same app and within two minutes first.
 
@@ -58,3 +86,25 @@ def verdicts(act: DataFrame, found: DataFrame, log: DataFrame) -> DataFrame:
 
 def summary(judged: DataFrame) -> DataFrame:
     return judged.groupBy("exhibit", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fusion_findings(judged: DataFrame, log: DataFrame, recovered: DataFrame) -> DataFrame:
+    """(rule_id, subject, n, severity, score, caveat) per exhibit that has telemetry; recovered has the artifact_id of what was deleted."""
+    gone = recovered.select("artifact_id").distinct().withColumn("_gone", F.lit(1))
+    count = lambda c: F.count(F.when(c, 1))
+    v = F.col("verdict")
+    each = judged.join(gone, "artifact_id", "left").groupBy("exhibit").agg(
+        count(v == "attributed").alias("sure"), count((v == "attributed") & F.col("_gone").isNotNull()).alias("sure_gone"),
+        count(v == "unattributed").alias("idle"), count(v != "unknown").alias("covered"), F.count(F.lit(1)).alias("n"),
+    )
+    each = each.join(log.select("exhibit").distinct(), "exhibit", "left_semi")
+    say = lambda rule, n, severity, score, caveat: F.struct(
+        F.lit(rule).alias("rule_id"), F.col("exhibit").alias("subject"), n.cast("long").alias("n"), severity.alias("severity"), score.alias("score"), F.lit(caveat).alias("caveat")
+    )
+    high = F.col("sure_gone") > 0
+    told = F.array(
+        F.when(F.col("sure") > 0, say("fusion.attributed_activity", F.col("sure"), F.when(high, "high").otherwise("medium"), F.when(high, 3.8).otherwise(2.8), "Telemetry shows that someone was there, not who.")),
+        F.when(F.col("idle") > 0, say("fusion.unattributed_activity", F.col("idle"), F.lit("medium"), F.lit(2.65), "What comes in does so with nobody there.")),
+        F.when(F.col("covered") / F.col("n") < 0.15, say("fusion.low_coverage", F.col("covered"), F.lit("info"), F.lit(0.95), "Unknown says nothing either way.")),
+    )
+    return each.select(F.inline(F.array_compact(told)))

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder of spark.checkpoint.dir; a session on one machine may lack one."""
+    """df with its lineage cut: written in the folder of spark.checkpoint.dir and read again; a session on one machine may lack one."""
     spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
+        folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def edges(df: DataFrame, source: str, target: str, measures: Sequence = ()) -> DataFrame:
@@ -71,11 +77,11 @@ def components(e: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components not found in {max_rounds} rounds")
 
 
-def communities(e: DataFrame, rounds: int = 20) -> DataFrame:
+def communities(e: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) by label propagation: the label with most weight among neighbours, ties to the own and then the smallest.
 
     Each round a half of the nodes, picked by a hash of node and round, takes its best label, so that
-    neighbours don't go on swapping theirs. Ends when no node would change.
+    neighbours don't go on swapping theirs. Ends when no node would change, and raises if that isn't so after the rounds.
     """
     both = mirrored(e)
     now = _checkpointed(both.select("node").distinct().withColumn("label", F.col("node")))
@@ -90,7 +96,7 @@ def communities(e: DataFrame, rounds: int = 20) -> DataFrame:
             return after.select("node", "label")
         turn = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0
         now = after.select("node", F.when(turn, F.col("label")).otherwise(F.col("own")).alias("label"))
-    return now
+    raise RuntimeError(f"communities not settled in {rounds} rounds")
 
 
 def modularity(e: DataFrame, labels: DataFrame) -> DataFrame:
@@ -150,3 +156,73 @@ def community_report(e: DataFrame, labels: DataFrame) -> DataFrame:
     met = ends.groupBy("label").agg(F.sum("weight").alias("weight"), F.coalesce(F.sum(F.when(F.col("within"), F.col("weight"))), F.lit(0)).alias("inside"))
     size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     return size.join(met, "label", "left").select("label", "size", "weight", "inside", F.round(F.col("inside") / F.col("weight"), 6).alias("cohesion"))
+
+
+def labelled(named: DataFrame, contacts: DataFrame | None = None) -> DataFrame:
+    """(key, label): of the names seen with a key (key, name) the most frequent, ties by name; a contact (key, name) overrides it.
+
+    A key without a name is its own label.
+    """
+    votes = named.groupBy("key", "name").agg(F.count(F.when(F.col("name") != "", 1)).alias("n"))
+    best = votes.groupBy("key").agg(F.min(F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("n"), "name"))).alias("b"))
+    out = best.select("key", F.col("b.name").alias("label"))
+    if contacts is not None:
+        saved = contacts.filter("name <> ''").groupBy("key").agg(F.min("name").alias("_saved"))
+        out = out.join(saved, "key", "left").select("key", F.coalesce("_saved", "label").alias("label"))
+    return out.select("key", F.coalesce("label", "key").alias("label"))
+
+
+def pairs_within(df: DataFrame, group: str, member: str) -> DataFrame:
+    """Edges of all that are on one artifact together (group, member), each pair once a group, in order.
+
+    Groups are the parties of one artifact, a few each; the pairs are made in the row that holds a group.
+    """
+    held = df.filter(F.col(member).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("m"))
+    later = lambda a, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    made = held.select(F.inline(F.flatten(F.transform("m", later))))
+    return made.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def trimmed(e: DataFrame, least_weight: int = 1, most_nodes: int = 400) -> DataFrame:
+    """The edges among the first most_nodes nodes that come up in order of weight, ties by ends: a view to be drawn.
+
+    Only as many edges as may fill the view are ever ranked.
+    """
+    some = e.filter(F.col("weight") >= least_weight)
+    order = (F.col("weight").desc(), F.col("a"), F.col("b"))
+    # a node is new with one of the first edges of its own; among the heaviest edges so many nodes need no more than this
+    ends = some.select("a", "b", "weight").orderBy(*order).limit(most_nodes * most_nodes)
+    ranked = ends.withColumn("_rank", F.row_number().over(W.orderBy(*order)))
+    first = ranked.select(F.explode(F.array("a", "b")).alias("node"), "_rank").groupBy("node").agg(F.min("_rank").alias("_rank"))
+    kept = first.orderBy("_rank", "node").limit(most_nodes).select("node")
+    return some.join(F.broadcast(kept.withColumnRenamed("node", "a")), "a", "left_semi").join(F.broadcast(kept.withColumnRenamed("node", "b")), "b", "left_semi")
+
+
+def top_contacts(owner: DataFrame, most: int = 20) -> DataFrame:
+    """Per exhibit the parties with most traffic, ties by party."""
+    rank = F.row_number().over(W.partitionBy("exhibit").orderBy(F.col("weight").desc(), "party"))
+    return owner.withColumn("rank", rank).filter(F.col("rank") <= most)
+
+
+def brokers(between: DataFrame, most: int = 10) -> DataFrame:
+    """The nodes that most shortest paths pass, ties by node."""
+    return between.filter("betweenness > 0").orderBy(F.col("betweenness").desc(), "node").limit(most)
+
+
+def graphml(e: DataFrame, path: str) -> None:
+    """Edges as GraphML elements, one a line in part files, the head in one and the tail in another: read in order of name it is one document."""
+    text = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(c), "&", "&amp;"), "<", "&lt;"), '"', "&quot;")
+    nodes = e.select(F.explode(F.array("a", "b")).alias("a")).distinct().select(F.lit(1).alias("k"), F.concat(F.lit('<node id="'), text("a"), F.lit('"/>')).alias("value"))
+    links = e.select(
+        F.lit(2).alias("k"), F.concat(F.lit('<edge source="'), text("a"), F.lit('" target="'), text("b"), F.lit('"><data key="weight">'), "weight", F.lit("</data></edge>")).alias("value")
+    )
+    head = '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="weight" for="edge" attr.name="weight" attr.type="long"/><graph edgedefault="undirected">'
+    spark = e.sparkSession
+    ends = spark.createDataFrame([(0, head), (3, "</graph></graphml>")], "k int, value string")
+    every = ends.unionByName(nodes).unionByName(links)
+    every.repartitionByRange("k", "value").sortWithinPartitions("k", "value").select("value").write.mode("overwrite").text(path)
+
+
+def meaningful(e: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: Q, communities, and whether they say something: Q of 0.3 and two groups at least."""
+    return modularity(e, labels).withColumn("meaningful", (F.col("q") >= 0.3) & (F.col("communities") >= 2))

@@ -24,7 +24,8 @@ ART = """WITH art AS (SELECT 'ev-' || event_id AS artifact_id, 'EXH-' || (event_
  CASE WHEN event_id % 2 = 0 THEN 'incoming' ELSE 'outgoing' END AS direction, 'app' || (user_id % 5) AS app, event_type AS body,
  CASE WHEN event_id % 10 = 0 THEN 'wal' ELSE 'allocated' END AS recovery,
  19 + json_extract_string(props, '$.k')::DOUBLE / 1000 AS latitude, 72 + json_extract_string(props, '$.k')::DOUBLE / 1000 AS longitude,
- CASE WHEN event_id % 10 = 0 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS confidence, (9800000000 + user_id)::VARCHAR AS party FROM events),
+ CASE WHEN event_id % 10 = 0 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS confidence, (9800000000 + user_id)::VARCHAR AS party,
+ props::VARCHAR AS attributes, 'events.parquet' AS source_path, 'events' AS source_table, event_id::BIGINT AS source_row, '' AS blob_sha256 FROM events),
 comm AS (SELECT * FROM art WHERE category IN ('Calls', 'Messages', 'Chats'))
 """
 DAY = "strftime(make_timestamp(timestamp), '%Y-%m-%d')"
@@ -37,7 +38,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     def register(f: Callable) -> Callable:
         QUERIES[name] = lambda spark, d: f(artifacts(spark, d), spark, d)
         if sql is not None:
-            SQL[name] = ART + sql if re.search(r"\b(art|comm)\b", sql) else sql
+            SQL[name] = ART + sql if re.search(r"\b(art|comm)\b", sql) and not sql.startswith("WITH") else sql
         return f
 
     return register
@@ -131,9 +132,10 @@ def _(df, spark, d):
 
 
 @query("day_category_pivot", f"""SELECT {DAY} AS day, count(*) FILTER (WHERE category = 'Messages') AS Messages, count(*) FILTER (WHERE category = 'Calls') AS Calls,
- count(*) FILTER (WHERE category = 'Web') AS Web FROM art GROUP BY 1""")
+ count(*) FILTER (WHERE category = 'Web') AS Web, count(*) FILTER (WHERE category = 'Places') AS Places,
+ count(*) FILTER (WHERE category = 'User activity log') AS "User activity log" FROM art GROUP BY 1""")
 def _(df, spark, d):
-    return timeline.day_by_category(df, ["Messages", "Calls", "Web"])
+    return timeline.day_by_category(df, ["Messages", "Calls", "Web", "Places", "User activity log"])
 
 
 for resolution, form in (("minute", "%Y-%m-%d %H:%M"), ("hour", "%Y-%m-%d %H:00"), ("week", "%G-W%V")):
@@ -176,13 +178,13 @@ def _(df, spark, d):
     return timeline.anomalies(df, NOW)
 
 
-@query("dormant_reactivation", """, g AS (SELECT party, timestamp, timestamp - lag(timestamp) OVER (PARTITION BY party ORDER BY timestamp, artifact_id) AS gap,
- count(*) OVER (PARTITION BY party ORDER BY timestamp, artifact_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM comm WHERE exhibit = 'EXH-1' AND category = 'Calls')
- SELECT party, n, gap_us, resumed, after FROM (SELECT party, count(*) OVER (PARTITION BY party) AS n, gap AS gap_us, timestamp AS resumed, rest AS after,
- row_number() OVER (PARTITION BY party ORDER BY gap DESC NULLS LAST, timestamp DESC, rest DESC) AS r FROM g) WHERE r = 1 AND n >= 8 AND gap_us >= 172800000000 AND after >= 4 """)
+@query("dormant_reactivation", """, g AS (SELECT party, exhibit, timestamp, timestamp - lag(timestamp) OVER (PARTITION BY party, exhibit ORDER BY timestamp, artifact_id) AS gap,
+ count(*) OVER (PARTITION BY party, exhibit ORDER BY timestamp, artifact_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM comm)
+ SELECT party, exhibit, n, gap_us, resumed, after FROM (SELECT party, exhibit, count(*) OVER (PARTITION BY party, exhibit) AS n, gap AS gap_us, timestamp AS resumed, rest AS after,
+ row_number() OVER (PARTITION BY party, exhibit ORDER BY gap DESC NULLS LAST, timestamp DESC, rest DESC) AS r FROM g) WHERE r = 1 AND n >= 8 AND gap_us >= 604800000000 AND after >= 4 """)
 def _(df, spark, d):
-    some = df.filter((F.col("exhibit") == "EXH-1") & (F.col("category") == "Calls"))
-    return timeline.reactivated(some, gap_us=2 * timex.DAY_US)
+    # the table spans 30 days, so a week of silence is asked for in place of three
+    return timeline.reactivated(findings.traffic(df), ["party", "exhibit"], gap_us=7 * timex.DAY_US)
 
 
 THREADS = """, r AS (SELECT *, timestamp - lag(timestamp) OVER w AS silence, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY party, app, exhibit) AS total,
@@ -288,13 +290,14 @@ def _(df, spark, d):
 
 
 @query("fuse_nearest", """, a AS (SELECT artifact_id, exhibit, timestamp FROM art WHERE category IN ('Messages', 'Calls') AND direction = 'outgoing'),
- p AS (SELECT exhibit, timestamp FROM art WHERE category = 'Places'),
- b AS (SELECT a.artifact_id, a.timestamp, max(p.timestamp) AS before FROM a JOIN p ON a.exhibit = p.exhibit AND p.timestamp BETWEEN a.timestamp - 900000000 AND a.timestamp GROUP BY ALL),
- f AS (SELECT a.artifact_id, min(p.timestamp) AS after FROM a JOIN p ON a.exhibit = p.exhibit AND p.timestamp BETWEEN a.timestamp AND a.timestamp + 900000000 GROUP BY ALL)
- SELECT a.artifact_id, b.before, f.after FROM a LEFT JOIN b USING (artifact_id) LEFT JOIN f USING (artifact_id) """)
+ p AS (SELECT artifact_id AS place, exhibit, timestamp FROM art WHERE category = 'Places'),
+ b AS (SELECT a.artifact_id, max(p.timestamp) AS before, arg_min(place, (-p.timestamp, place)) AS before_id FROM a JOIN p ON a.exhibit = p.exhibit AND p.timestamp BETWEEN a.timestamp - 900000000 AND a.timestamp GROUP BY ALL),
+ f AS (SELECT a.artifact_id, min(p.timestamp) AS after, arg_min(place, (p.timestamp, place)) AS after_id FROM a JOIN p ON a.exhibit = p.exhibit AND p.timestamp BETWEEN a.timestamp AND a.timestamp + 900000000 GROUP BY ALL)
+ SELECT a.artifact_id, b.before, b.before_id, f.after, f.after_id FROM a LEFT JOIN b USING (artifact_id) LEFT JOIN f USING (artifact_id) """)
 def _(df, spark, d):
     near = fusion.nearest_places(fusion.acts(df), df.filter(P.category("Places")))
-    return near.select("artifact_id", F.col("before.time").alias("before"), F.col("after.time").alias("after"))
+    parts = (F.col(f"{side}.{a}").alias(b) for side in ("before", "after") for a, b in (("time", side), ("value", f"{side}_id")))
+    return near.select("artifact_id", *parts)
 
 
 @query("attribution_summary", USAGE + """, v AS (SELECT artifact_id, bool_or(close AND same_app) AS both_, bool_or(close OR same_app) AS either FROM u GROUP BY artifact_id),
@@ -348,7 +351,10 @@ def app_edges(df: DataFrame) -> DataFrame:
     return graph.edges(some.withColumn("who", F.concat("party", F.lit("@"), timex.day_of(F.col("timestamp")))), "who", "app")
 
 
-@query("graph_components")
+@query("graph_components", TRADE.replace("WITH e", "WITH RECURSIVE e", 1) + """, two AS (SELECT a AS node, b AS other FROM e UNION ALL SELECT b, a FROM e),
+ cc(node, root) USING KEY (node) AS (SELECT DISTINCT node, node AS root FROM two UNION
+ SELECT two.node, min(cc.root) FROM cc JOIN two ON cc.node = two.other JOIN recurring.cc AS known ON known.node = two.node WHERE cc.root < known.root GROUP BY two.node)
+ SELECT node, root FROM cc""")
 def _(df, spark, d):
     return graph.components(trade(spark, d))
 
@@ -395,19 +401,28 @@ def _(df, spark, d):
     return correlate.asymmetric_deletion(findings.traffic(df))
 
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]{2,}"
+URL = r"(?i:https?://[^\s<>\"'')]+|www\.[^\s<>\"'')]+)"
+SCHEMAS = r"(?i)(schemas\.|w3\.org|apple\.com/DTDs|android\.com|googleapis\.com/auth|\.xsd|purl\.org|ns\.adobe\.com)"
 
 
-@query("entity_email", f"SELECT value, count(*) AS n, count(DISTINCT doc_id) AS rows FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{EMAIL}'))) AS value FROM documents) GROUP BY value")
-def _(df, spark, d):
-    found = entities.mentions(table(spark, d, "documents"), "doc_id", "text", tuple(k for k in entities.KINDS if k.name == "email"))
-    return entities.aggregate(found, "doc_id").select("value", "n", "rows")
+def mentioned(kind: str, pattern: str, extra: str = "true") -> str:
+    """SQL of the mentions of a kind that claims no span."""
+    return f"""SELECT value, count(*) AS n, count(DISTINCT doc_id) AS rows FROM (
+ SELECT doc_id, lower(unnest(regexp_extract_all(text, '{pattern}'))) AS value FROM documents) WHERE {extra} GROUP BY value"""
+
+
+for kind, pattern, extra in (("email", EMAIL, "true"), ("url", URL, f"NOT regexp_matches(value, '{SCHEMAS}')")):
+
+    @query(f"entity_{kind}", mentioned(kind, pattern, extra))
+    def _(df, spark, d, kind=kind):
+        found = entities.mentions(table(spark, d, "documents"), "doc_id", "text", tuple(k for k in entities.KINDS if k.name == kind))
+        return entities.aggregate(found, "doc_id").select("value", "n", "rows")
 
 
 @query("entities")
 def _(df, spark, d):
-    found = entities.mentions(table(spark, d, "documents"), "doc_id", "text")
-    return entities.aggregate(entities.strongest(found, "doc_id").drop("n"), "doc_id")
+    return entities.aggregate(entities.mentions(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
 @query("hashset_screen", """WITH bad AS (SELECT DISTINCT sha256(text) AS digest FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
@@ -450,15 +465,19 @@ def _(df, spark, d):
     return findings.nocturnal(df).select("subject", "n")
 
 
-@query("rule_location_cluster", f"""SELECT {CELL.format('latitude')} || ',' || {CELL.format('longitude')} AS subject, count(*) AS n FROM art GROUP BY 1
- HAVING count(*) >= 4 AND count(DISTINCT {DAY}) >= 2""")
+CLUSTERS = f"""SELECT exhibit || '/' || cell AS subject, n FROM (SELECT exhibit, cell, n, days, row_number() OVER (PARTITION BY exhibit ORDER BY n DESC, cell) AS rank, sum(n) OVER (PARTITION BY exhibit) AS points
+ FROM (SELECT exhibit, {CELL.format('latitude')} || ',' || {CELL.format('longitude')} AS cell, count(*) AS n, count(DISTINCT {DAY}) AS days FROM art GROUP BY 1, 2))
+ WHERE points >= 10 AND rank BETWEEN 2 AND 6 AND n >= 4 AND days >= 2"""
+
+
+@query("rule_location_cluster", CLUSTERS)
 def _(df, spark, d):
     return findings.location_cluster(df).select("subject", "n")
 
 
 @query("findings_ranked")
 def _(df, spark, d):
-    return findings.findings(df)
+    return findings.findings(df).select("rule_id", "subject", "n", "severity")
 
 
 @query("confusion_by_lang", """WITH p AS (SELECT lang, quality = 0 AS truth, len(regexp_extract_all(text, '[#*$%&|<>]')) * 10 > length(text) AS predicted FROM documents JOIN labels USING (doc_id)),
