@@ -361,7 +361,22 @@ def _(df, spark, d):
     return graph.components(trade(spark, d))
 
 
-@query("graph_betweenness")
+def between_sql(depth: int = 10) -> str:
+    """All distances and numbers of shortest paths, a step at a time, then the share of the paths of each pair that pass a node."""
+    steps = [
+        f"""d{k} AS MATERIALIZED (SELECT * FROM d{k - 1} UNION ALL SELECT f.s, two.other, {k}, sum(f.p) FROM d{k - 1} f JOIN two ON f.t = two.node WHERE f.d = {k - 1}
+ AND NOT EXISTS (SELECT 1 FROM d{k - 1} x WHERE x.s = f.s AND x.t = two.other) GROUP BY f.s, two.other)""" for k in range(1, depth + 1)
+    ]
+    return f"""WITH t AS (SELECT 'c' || c_nationkey AS a, 's' || s_nationkey AS b, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+ JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2), e AS (SELECT * FROM t WHERE weight > (SELECT avg(weight) FROM t)),
+ two AS (SELECT a AS node, b AS other FROM e UNION ALL SELECT b, a FROM e), nodes AS (SELECT DISTINCT node FROM two),
+ d0 AS MATERIALIZED (SELECT node AS s, node AS t, 0 AS d, 1::DOUBLE AS p FROM nodes), {', '.join(steps)},
+ v AS (SELECT a.t AS node, sum(a.p * b.p / c.p) AS share FROM d{depth} a JOIN d{depth} b ON a.t = b.s JOIN d{depth} c ON c.s = a.s AND c.t = b.t
+ WHERE a.s <> a.t AND b.s <> b.t AND c.d = a.d + b.d GROUP BY 1)
+ SELECT node, round(coalesce(share, 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2), 5) AS betweenness FROM nodes LEFT JOIN v USING (node)"""
+
+
+@query("graph_betweenness", between_sql())
 def _(df, spark, d):
     return graph.betweenness(nation_edges(spark, d))
 
@@ -445,7 +460,9 @@ def _(df, spark, d):
     return digests.near_hashes(digests.sign_hash(table(spark, d, "embeddings"), "vec_id", "embedding"), "vec_id")
 
 
-@query("merkle_root")
+@query("merkle_root", """WITH RECURSIVE l0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS i, h FROM (SELECT DISTINCT sha256(text) AS h FROM documents WHERE text IS NOT NULL)),
+ lv(n, i, h) AS (SELECT (SELECT count(*) FROM l0), i, h FROM l0 UNION ALL SELECT (n + 1) // 2, i // 2, sha256(h || other) FROM
+ (SELECT n, i, h, coalesce(lead(h) OVER (ORDER BY i), h) AS other FROM lv WHERE n > 1) WHERE i % 2 = 0) SELECT h AS root FROM lv WHERE n = 1""")
 def _(df, spark, d):
     return digests.merkle_root(table(spark, d, "documents").select(F.sha2("text", 256).alias("h")), "h")
 
