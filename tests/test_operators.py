@@ -385,3 +385,31 @@ def test_one_way_threads_are_linear(spark):
     )
     got = threads.replies(df).agg(F.count("reply_us").alias("n"), F.max("reply_us").alias("most"), F.min("reply_us").alias("least")).first()
     assert (got.n, got.most, got.least) == (n - 1, n - 1, 1)
+
+
+def test_hash_sets_and_noise(spark, tmp_path):
+    a, b, c = "a" * 32, "b" * 40, "C" * 64
+    (tmp_path / "plain.txt").write_text(f"# set\n{a}  one file\n{c}\nnot a digest\n")
+    (tmp_path / "nsrl.csv").write_text(f'"SHA-1","MD5","CRC32","FileName"\n"{b}","{a}","00","x.dll"\n')
+    (tmp_path / "set.json").write_text('{"kind": "known-bad", "entries": [{"sha256": "%s", "label": "bad"}]}' % c)
+    got = lambda f: {(r.digest, r.algorithm, r.label, r.kind) for r in digests.read_hash_set(spark, str(tmp_path / f), "known-good", "s").collect()}
+    assert got("plain.txt") == {(a, "md5", "one file", "known-good"), (c.lower(), "sha256", "", "known-good")}
+    assert got("nsrl.csv") == {(b, "sha1", "x.dll", "known-good"), (a, "md5", "x.dll", "known-good")}
+    assert got("set.json") == {(c.lower(), "sha256", "bad", "known-bad")}
+    tree = tmp_path / "tree" / "code_cache"
+    tree.mkdir(parents=True)
+    for f in (tree / "x.bin", tmp_path / "tree" / "Thumbs.db", tmp_path / "tree" / "a.tmp", tmp_path / "tree" / "kept.txt"):
+        f.write_bytes(b"x")
+    assert [r.path.rsplit("/", 1)[1] for r in A.read_folder(spark, str(tmp_path / "tree")).collect()] == ["kept.txt"]
+
+
+def test_entity_findings_and_telemetry_kinds(spark):
+    df = arts(spark, [
+        ("a", "E1", "Messages", 0, "incoming", "x", "p", {"body": "card 4111 1111 1111 1111", "attributes": '{"note": "490154203237518"}'}), ("b", "E1", "Calls", 0, "incoming", "x", "p"),
+        ("c", "E1", "User activity log", 0, "unknown", "x", "p", {"subtype": "Lock state", "attributes": '{"value": "0"}'}),
+        ("d", "E1", "User activity log", 0, "unknown", "x", "p", {"subtype": "App usage event", "attributes": '{"event": "service started"}'}),
+        ("e", "E1", "User activity log", 0, "unknown", "x", "p", {"subtype": "Display", "attributes": '{"value": "false"}'}),
+    ])
+    assert {(r.rule_id, r.n, r.severity) for r in findings.entity_findings(df).collect()} == {("entity.card", 1, "high"), ("entity.imei", 1, "medium")}
+    kinds = {r.artifact_id: (r.kind, r.in_use) for r in fusion.classified(df).collect()}
+    assert kinds == {"a": ("", None), "b": ("", None), "c": ("lock", True), "d": ("usage", None), "e": ("screen", False)}

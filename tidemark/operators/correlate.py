@@ -67,3 +67,10 @@ def similar_names(people: DataFrame, least: float = 0.86, most_in_block: int | N
     b = keyed.select("gram", F.col("key").alias("key_b"), F.col("name").alias("name_b"), F.explode(lengths).alias("n"))
     pairs = a.join(b, ["gram", "n"]).filter(F.col("key_a") < F.col("key_b")).drop("gram", "n").distinct()
     return pairs.withColumn("ratio", sequence_ratio("name_a", "name_b")).filter(F.col("ratio") >= least)
+
+
+def summary(df: DataFrame, traffic: DataFrame) -> DataFrame:
+    """(what, n): how many parties, payloads and cells exhibits have in common, and parties with traffic deleted on some of them only."""
+    count = lambda name, found: found.agg(F.lit(name).alias("what"), F.count(F.lit(1)).alias("n"))
+    parts = [count("parties", shared(traffic, "party")), count("media", shared(df, "blob_sha256")), count("cells", shared_cells(df)), count("asymmetric", asymmetric_deletion(traffic))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -14,11 +14,31 @@ from .joins import beside
 
 
 def read_hash_set(spark: SparkSession, path: str, kind: str, name: str) -> DataFrame:
-    """One digest a line, or first in a CSV line, as (digest, algorithm, label, set_name, kind)."""
-    parts = F.split("value", ",")
-    lines = spark.read.text(path).select(F.lower(F.trim(parts[0])).alias("digest"), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("label"))
-    made = lines.withColumn("algorithm", checks.digest_kind(F.col("digest"))).filter("algorithm is not null")
-    return made.select("digest", "algorithm", "label", F.lit(name).alias("set_name"), F.lit(kind).alias("kind"))
+    """A hash set as (digest, algorithm, label, set_name, kind): digests a line, CSV with or without headings, or JSON with entries.
+
+    In lines and CSV every cell of a digest's shape counts, and the label is what stands in the column of a file or product
+    name if the headings have one, else what follows a digest on its line. JSON may say its own kind.
+    """
+    head = spark.read.text(path).filter("trim(value) <> ''").limit(1).first()
+    first = head["value"].strip() if head else ""
+    if first.startswith("{"):
+        rows = spark.read.schema("kind string, entries array<struct<digest:string,hash:string,md5:string,sha1:string,sha256:string,label:string,name:string>>").option("multiLine", "true").json(path)
+        e = rows.select(F.coalesce("kind", F.lit(kind)).alias("kind"), F.inline("entries"))
+        cells = F.array("sha256", "sha1", "md5", "digest", "hash")
+        each = e.select("kind", F.coalesce("label", "name", F.lit("")).alias("label"), F.explode(cells).alias("digest"))
+    elif "," in first:
+        cut = lambda x: F.transform(F.split(x, ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+        headings = [c.strip().strip('"').lower() for c in first.split(",")]
+        at = next((k for k, c in enumerate(headings) if c in ("filename", "file_name", "name", "product", "description")), None)
+        rows = spark.read.text(path).select(cut(F.col("value")).alias("cells"))
+        label = F.get("cells", F.lit(1 if at is None else at))
+        each = rows.select(F.lit(kind).alias("kind"), F.coalesce(label, F.lit("")).alias("label"), F.explode("cells").alias("digest"))
+    else:
+        parts = F.split(F.trim("value"), r"\s+", 2)
+        rows = spark.read.text(path).filter("not startswith(trim(value), '#')")
+        each = rows.select(F.lit(kind).alias("kind"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("label"), parts[0].alias("digest"))
+    each = each.withColumn("digest", F.lower(F.trim("digest"))).withColumn("algorithm", checks.digest_kind(F.col("digest"))).filter("algorithm is not null")
+    return each.select("digest", "algorithm", F.when(F.lower("label") == F.col("digest"), "").otherwise(F.col("label")).alias("label"), F.lit(name).alias("set_name"), "kind")
 
 
 def screen(files: DataFrame, hashes: DataFrame, id_column: str) -> DataFrame:

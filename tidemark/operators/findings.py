@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, timex
-from . import correlate, fusion, graph, places, threads, timeline
+from . import correlate, entities, fusion, graph, places, threads, timeline
 
 SEVERITY = {"info": 0, "low": 1, "medium": 2, "high": 3}
 RULES: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -209,12 +209,29 @@ def fused(df: DataFrame) -> DataFrame:
     return fusion.fusion_findings(judged, log, df.filter(_deleted()))
 
 
+#: Kinds of entities that are findings by being there, with their severity and confidence.
+TELLING = {"btc": ("high", 0.9), "eth": ("high", 0.8), "xmr": ("high", 0.85), "onion": ("high", 0.9), "card": ("high", 0.8), "iban": ("medium", 0.85), "imei": ("medium", 0.8)}
+
+
+def entity_findings(df: DataFrame) -> DataFrame:
+    """Findings of telling entities in bodies and attributes, one for each kind; n counts the rows that have one."""
+    kinds = tuple(k for k in entities.KINDS if k.name in TELLING)
+    found = entities.mentions(entities.texts_of(df), "artifact_id", "text", kinds)
+    counted = found.groupBy("kind").agg(F.count_distinct("artifact_id").alias("n"), F.count_distinct("value").alias("values"))
+    level, sure = (F.create_map(*(F.lit(x) for k, v in TELLING.items() for x in (k, v[i])))[F.col("kind")] for i in (0, 1))
+    rank = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))[level]
+    return counted.select(
+        F.concat(F.lit("entity."), "kind").alias("rule_id"), F.col("values").cast("string").alias("subject"), "n", level.alias("severity"), (rank + sure).alias("score"),
+        F.lit("A string that passes a check may still be something else.").alias("caveat"),
+    )
+
+
 def findings(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Findings of the rules and of fusion, by score and rule. Rules read df each on its own: store or cache it first if it is dear."""
+    """Findings of the rules, of fusion and of entities, by score and rule. Rules read df each on its own: store or cache it first if it is dear."""
     chosen = names or sorted(RULES)
     out = reduce(lambda a, b: a.unionByName(b), (RULES[n](df) for n in chosen))
     if names is None:
-        out = out.unionByName(fused(df))
+        out = out.unionByName(fused(df)).unionByName(entity_findings(df))
     return out.orderBy(F.col("score").desc(), "rule_id", F.col("n").desc(), "subject")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut: written in the folder of spark.checkpoint.dir and read again; a session on one machine may lack one."""
     spark: SparkSession = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -64,12 +64,12 @@ def degrees(e: DataFrame) -> DataFrame:
 def components(e: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, root), root the smallest node reachable. Labels take neighbours' minima and then their labels' labels."""
     both = mirrored(e).select("node", "other")
-    now = _checkpointed(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root")))
+    now = checkpointed(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root")))
     for _ in range(max_rounds):
         near = both.join(now.select(F.col("node").alias("other"), F.col("root").alias("r")), "other").groupBy("node").agg(F.min("r").alias("r"))
         after = now.join(near, "node").select("node", F.least("root", "r").alias("root"))
         jump = after.select(F.col("node").alias("root"), F.col("root").alias("r2"))
-        after = _checkpointed(after.join(jump, "root").select("node", F.col("r2").alias("root")))
+        after = checkpointed(after.join(jump, "root").select("node", F.col("r2").alias("root")))
         changed = after.join(now.withColumnRenamed("root", "old"), "node").filter("root <> old")
         if changed.isEmpty():
             return after
@@ -84,14 +84,14 @@ def communities(e: DataFrame, rounds: int = 60) -> DataFrame:
     neighbours don't go on swapping theirs. Ends when no node would change, and raises if that isn't so after the rounds.
     """
     both = mirrored(e)
-    now = _checkpointed(both.select("node").distinct().withColumn("label", F.col("node")))
+    now = checkpointed(both.select("node").distinct().withColumn("label", F.col("node")))
     for k in range(rounds):
         votes = both.join(now.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
         own = now.select("node", F.col("label").alias("own"))
         ranked = votes.join(own, "node").groupBy("node", "own").agg(
             F.min(F.struct((-F.col("w")).alias("w"), F.col("label") != F.col("own"), "label")).alias("best")
         )
-        after = _checkpointed(ranked.select("node", "own", F.col("best.label").alias("label")))
+        after = checkpointed(ranked.select("node", "own", F.col("best.label").alias("label")))
         if after.filter("own <> label").isEmpty():
             return after.select("node", "label")
         turn = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0
@@ -119,12 +119,12 @@ def betweenness(e: DataFrame, max_depth: int = 64) -> DataFrame:
     and spread by source and node.
     """
     both = mirrored(e).select(F.col("node").alias("v"), "other").distinct()
-    frontier = _checkpointed(both.select("v").distinct().select(F.col("v").alias("s"), "v", F.lit(1.0).alias("paths")))
+    frontier = checkpointed(both.select("v").distinct().select(F.col("v").alias("s"), "v", F.lit(1.0).alias("paths")))
     n = frontier.count()
     levels, seen = [frontier], frontier.select("s", "v")
     for _ in range(max_depth):
         step = levels[-1].join(both, "v").groupBy("s", F.col("other").alias("v")).agg(F.sum("paths").alias("paths"))
-        step = _checkpointed(step.join(seen, ["s", "v"], "left_anti"))
+        step = checkpointed(step.join(seen, ["s", "v"], "left_anti"))
         if step.isEmpty():
             break
         levels.append(step)
@@ -137,7 +137,7 @@ def betweenness(e: DataFrame, max_depth: int = 64) -> DataFrame:
         back = later.select("s", "v", F.col("paths").alias("_p"), F.col("share").alias("_d")).join(both, "v")
         back = back.select("s", F.col("other").alias("v"), ((1 + F.col("_d")) / F.col("_p")).alias("part"))
         gained = before.join(back, ["s", "v"]).groupBy("s", "v").agg((F.first("paths") * F.sum("part")).alias("share"))
-        later = _checkpointed(before.join(gained, ["s", "v"], "left").withColumn("share", F.coalesce("share", F.lit(0.0))))
+        later = checkpointed(before.join(gained, ["s", "v"], "left").withColumn("share", F.coalesce("share", F.lit(0.0))))
         own = later.filter("s <> v").groupBy(F.col("v").alias("node")).agg(F.sum("share").alias("share"))
         found = own if found is None else found.unionByName(own)
     nodes = both.select(F.col("v").alias("node")).distinct()

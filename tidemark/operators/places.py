@@ -109,3 +109,12 @@ def tracks(df: DataFrame, least: int = 2) -> DataFrame:
     step = geo.haversine(F.lag("latitude").over(w), F.lag("longitude").over(w), F.col("latitude"), F.col("longitude"))
     out = made.withColumn("step", step).groupBy("exhibit", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("step").alias("metres"))
     return out.filter(F.col("n") >= least)
+
+
+def bounds(df: DataFrame) -> DataFrame:
+    """Per exhibit the box of its points, their middle and number."""
+    good = df.filter(geo.plausible(F.col("latitude"), F.col("longitude")))
+    return good.groupBy("exhibit").agg(
+        F.count(F.lit(1)).alias("n"), F.min("latitude").alias("south"), F.max("latitude").alias("north"), F.min("longitude").alias("west"), F.max("longitude").alias("east"),
+        F.round(F.avg("latitude"), 6).alias("latitude"), F.round(F.avg("longitude"), 6).alias("longitude"),
+    )

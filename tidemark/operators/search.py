@@ -102,7 +102,30 @@ def samples(df: DataFrame, keys: Sequence[str], value: str, most: int = 5) -> Da
 
 
 def terms_of(lines: DataFrame, column: str, order: str) -> DataFrame:
-    """The terms of a list, one a line: trimmed, comments and blanks dropped, and of those alike but for case the first."""
-    term = F.trim(column)
-    good = lines.select(F.col(order).alias("_at"), term.alias("term")).filter("term <> '' and not startswith(term, '#')")
-    return good.groupBy(F.lower("term").alias("folded")).agg(F.min_by("term", F.struct("_at", "term")).alias("term"))
+    """(folded, term): the terms of a list, of those alike but for case the first.
+
+    Blank lines and comments are dropped, a line in quotes is one term, any other is cut at commas.
+    """
+    good = lines.select(F.col(order).alias("_at"), F.trim(column).alias("_line")).filter("_line <> '' and not startswith(_line, '#')")
+    quoted = F.rlike("_line", F.lit("^(\".*\"|'.*')$"))
+    parts = F.when(quoted, F.array("_line")).otherwise(F.split("_line", ","))
+    each = good.select("_at", F.posexplode(parts).alias("_k", "_part"))
+    term = F.trim(F.regexp_replace(F.trim("_part"), "^[\"']+|[\"']+$", ""))
+    each = each.select("_at", "_k", term.alias("term")).filter("term <> ''")
+    return each.groupBy(F.lower("term").alias("folded")).agg(F.min_by("term", F.struct("_at", "_k", "term")).alias("term"))
+
+
+def keyword_report(df: DataFrame, id_column: str, body: str, terms: DataFrame, most: int = 3) -> DataFrame:
+    """(term, rows, samples, rank): for each term or phrase of terms (folded, term) the rows that have it and the first ids of these.
+
+    Every text is read once for all terms, which are as many as a user lists: each row is matched against them as it is
+    read, and only hits are shuffled. Terms without hits are last; ties by term.
+    """
+    held = terms.select(F.struct(text.tokens(F.col("folded")).alias("w"), "term").alias("t")).filter("size(t.w) > 0").agg(F.array_sort(F.collect_list("t")).alias("_terms"))
+    line = F.concat(F.lit(" "), F.array_join(text.tokens(F.col(body)), " "), F.lit(" "))
+    met = beside(df.select(id_column, line.alias("_line")), held)
+    found = F.filter("_terms", lambda t: F.contains(F.col("_line"), F.concat(F.lit(" "), F.array_join(t["w"], " "), F.lit(" "))))
+    hits = met.select(id_column, F.explode(F.transform(found, lambda t: t["term"])).alias("term"))
+    counted = hits.groupBy("term").agg(F.count(F.lit(1)).alias("rows")).join(samples(hits, ["term"], id_column, most), "term")
+    out = terms.select("term").join(counted, "term", "left").select("term", F.coalesce("rows", F.lit(0)).alias("rows"), "samples")
+    return out.withColumn("rank", F.row_number().over(W.orderBy(F.col("rows").desc(), F.lower("term"))))

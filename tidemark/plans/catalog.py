@@ -496,7 +496,8 @@ def _(df, spark, d):
 
 @query("findings_ranked")
 def _(df, spark, d):
-    return findings.findings(df).select("rule_id", "subject", "n", "severity")
+    # written once, as each rule reads a few columns of all rows
+    return findings.findings(graph.checkpointed(df)).select("rule_id", "subject", "n", "severity")
 
 
 @query("confusion_by_lang", """WITH p AS (SELECT lang, quality = 0 AS truth, len(regexp_extract_all(text, '[#*$%&|<>]')) * 10 > length(text) AS predicted FROM documents JOIN labels USING (doc_id)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, timex
-from ..operators import correlate, dashboard, digests, findings, fusion, graph, joins, search, threads
+from ..operators import correlate, dashboard, digests, findings, fusion, graph, joins, places, search, threads
 from ..sources import artifacts as A
 from ..sources.artifacts import table
 from . import predicates as P
@@ -140,6 +140,31 @@ def _(df, spark, d):
     return search.terms_of(table(spark, d, "part"), "p_name", "p_partkey")
 
 
+@query("keyword_report", f"""WITH x AS (SELECT doc_id, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS line FROM documents), t AS (SELECT unnest(['The and', 'licensed', 'nowhere at all', 'und']) AS term),
+ h AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY term) AS rows FROM x JOIN t ON contains(line, ' ' || lower(term) || ' '))
+ SELECT term, coalesce(rows, 0) AS rows, samples, row_number() OVER (ORDER BY coalesce(rows, 0) DESC, lower(term))::INTEGER AS rank FROM t
+ LEFT JOIN (SELECT term, any_value(rows) AS rows, string_agg(doc_id, ',' ORDER BY doc_id) AS samples FROM h WHERE r <= 3 GROUP BY term) USING (term)""")
+def _(df, spark, d):
+    lines = spark.createDataFrame([(1, "# what to look for"), (2, "The and, licensed"), (3, "LICENSED"), (4, '"nowhere at all"'), (5, " und "), (6, "")], "at int, line string")
+    found = search.keyword_report(table(spark, d, "documents"), "doc_id", "text", search.terms_of(lines, "line", "at"))
+    return found.withColumn("samples", F.array_join(F.col("samples").cast("array<string>"), ","))
+
+
+@query("place_bounds", """SELECT exhibit, count(*) AS n, min(latitude) AS south, max(latitude) AS north, min(longitude) AS west, max(longitude) AS east, round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude
+ FROM art WHERE latitude IS NOT NULL GROUP BY exhibit""")
+def _(df, spark, d):
+    return places.bounds(df)
+
+
+@query("correlation_summary", f"""SELECT 'parties' AS what, count(*) AS n FROM (SELECT party FROM comm GROUP BY 1 HAVING count(DISTINCT exhibit) >= 2)
+ UNION ALL SELECT 'media', count(*) FROM (SELECT blob_sha256 FROM art WHERE blob_sha256 <> '' GROUP BY 1 HAVING count(DISTINCT exhibit) >= 2)
+ UNION ALL SELECT 'cells', count(*) FROM (SELECT {CELL.format('latitude')} AS y, {CELL.format('longitude')} AS x FROM art GROUP BY 1, 2 HAVING count(DISTINCT exhibit) >= 2)
+ UNION ALL SELECT 'asymmetric', count(*) FROM (SELECT party FROM (SELECT party, exhibit, count(*) FILTER (WHERE recovery <> 'allocated') AS gone FROM comm GROUP BY 1, 2) GROUP BY party
+  HAVING count(*) FILTER (WHERE gone > 0) BETWEEN 1 AND count(*) - 1)""")
+def _(df, spark, d):
+    return correlate.summary(df, findings.traffic(df))
+
+
 @query("hydrated_tags", DOCS + ", " + TAGS + """SELECT artifact_id, coalesce(t, '') AS tags FROM docs LEFT JOIN
  (SELECT artifact_id, string_agg(name, ',' ORDER BY name) AS t FROM tags GROUP BY 1) USING (artifact_id)""")
 def _(df, spark, d):

@@ -113,9 +113,14 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(table(spark, sf_dir, "events"))
 
 
+#: Files that are noise in any tree, by name, ending and folder.
+NOISE = r"(?i)(/(\.ds_store|thumbs\.db|\.nomedia|desktop\.ini)|\.(lock|tmp|pid|shm))$|/(cache/webviewcachechromium|code_cache|lib|oat)/"
+
+
 def read_folder(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Files under a folder with size, digests and the type their first bytes show, which beats the name."""
+    """Files under a folder, without noise, with size, digests and the type their first bytes show, which beats the name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    files = files.filter(~F.rlike("path", F.lit(NOISE)))
     head = F.hex(F.substring("content", 1, 12))
     sniffed = (
         F.when(F.startswith(head, F.lit("FFD8FF")), "image/jpeg")
