@@ -12,6 +12,7 @@ from tidemark.functions import checks, geo, keys, text, timex
 from tidemark.operators import correlate, digests, entities, findings, fusion, graph, joins, places, search, threads, timeline
 from tidemark.plans import predicates as P
 from tidemark.sources import artifacts as A
+from tidemark.sources import exports
 from tidemark.streaming import windows
 
 MIN = 60_000_000
@@ -413,3 +414,21 @@ def test_entity_findings_and_telemetry_kinds(spark):
     assert {(r.rule_id, r.n, r.severity) for r in findings.entity_findings(df).collect()} == {("entity.card", 1, "high"), ("entity.imei", 1, "medium")}
     kinds = {r.artifact_id: (r.kind, r.in_use) for r in fusion.classified(df).collect()}
     assert kinds == {"a": ("", None), "b": ("", None), "c": ("lock", True), "d": ("usage", None), "e": ("screen", False)}
+
+
+def test_tables_of_apps_become_artifacts(spark):
+    raw = spark.createDataFrame([(1, "Ann", "com.x"), (2, "", None), (3, None, None)], "_id long, display_name string, account_type string")
+    data = spark.createDataFrame([(1, 5, "+91 98200 12345"), (1, 6, "ann@x.org"), (2, 7, "Bob Ray"), (2, 5, "020 7946 0958"), (3, 9, "photo")], "raw_contact_id long, mimetype_id long, data1 string")
+    kinds = spark.createDataFrame([(5, "vnd.android.cursor.item/phone_v2"), (6, "vnd.android.cursor.item/email_v2"), (7, "vnd.android.cursor.item/name"), (9, "vnd.android.cursor.item/photo")], "_id long, mimetype string")
+    got = exports.android_contacts(raw, data, kinds, "E9")
+    assert got.columns == list(A.COLUMNS)
+    assert {(r.body, r.party, r.app, r.source_row) for r in got.collect()} == {("Ann", "9820012345", "com.x", 1), ("Bob Ray", "2079460958", "Android Contacts", 2)}
+    items = spark.createDataFrame([(1, "https://a.b/c", 3), (2, "", 1), (3, "https://d.e/", 1)], "id long, url string, visit_count int")
+    visits = spark.createDataFrame([(1, 721692800.0, "Old"), (1, 721692900.0, "New")], "history_item long, visit_time double, title string")
+    web = {r.body: r.timestamp for r in exports.safari_history(items, visits).collect()}
+    assert web == {"New": 1_700_000_100_000_000, "https://d.e/": None}
+    message = spark.createDataFrame([(1, "hi", 7, 0, 721692800000000000), (2, None, None, 1, 721692801000000000)], "ROWID long, text string, handle_id long, is_from_me int, date long")
+    handle = spark.createDataFrame([(7, "+919820012345"), (8, "me@x.org")], "ROWID long, id string")
+    sms = exports.ios_messages(message, handle, spark.createDataFrame([(4, 1), (4, 2)], "chat_id long, message_id long"), spark.createDataFrame([(4, 7), (4, 8)], "chat_id long, handle_id long"))
+    assert {(r.source_row, r.party, r.direction, r.body, r.timestamp) for r in sms.collect()} == {
+        (1, "9820012345", "incoming", "hi", 1_700_000_000_000_000), (2, "9820012345", "outgoing", "", 1_700_000_001_000_000)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text, timex
 from ..operators import correlate, dashboard, digests, findings, fusion, graph, joins, places, search, threads
 from ..sources import artifacts as A
+from ..sources import exports
 from ..sources.artifacts import table
 from . import predicates as P
 from .catalog import ART, CELL, CLUSTERS, DAY, MET, NOW, OWNER, SQL, THREADS, TOKENS, TRADE, USAGE, query, trade
@@ -172,6 +173,17 @@ def _(df, spark, d):
     return held.select("artifact_id", F.array_join(F.col("tags")["name"], ",").alias("tags"))
 
 
+@query("app_contacts", """SELECT c_custkey::BIGINT AS source_row, c_name AS body, (9800000000 + c_custkey)::VARCHAR AS party FROM customer WHERE c_name <> ''""")
+def _(df, spark, d):
+    c = table(spark, d, "customer")
+    raw = c.select(F.col("c_custkey").alias("_id"), F.col("c_name").alias("display_name"), F.col("c_mktsegment").alias("account_type"))
+    phone = F.concat(F.lit("+91 "), (F.lit(9800000000) + F.col("c_custkey")).cast("string"))
+    pairs = F.array(F.struct(F.lit(5).alias("mimetype_id"), phone.alias("data1")), F.struct(F.lit(7).alias("mimetype_id"), F.col("c_name").alias("data1")))
+    data = c.select(F.col("c_custkey").alias("raw_contact_id"), F.inline(pairs))
+    kinds = spark.createDataFrame([(5, "vnd.android.cursor.item/phone_v2"), (7, "vnd.android.cursor.item/name")], "_id int, mimetype string")
+    return exports.android_contacts(raw, data, kinds).select("source_row", "body", "party")
+
+
 @query("contact_names", """SELECT artifact_id, party, name FROM comm LEFT JOIN (SELECT (9800000000 + c_custkey)::VARCHAR AS party, c_name AS name FROM customer WHERE c_acctbal > 0) USING (party)""")
 def _(df, spark, d):
     saved = table(spark, d, "customer").filter("c_acctbal > 0")

@@ -72,8 +72,8 @@ def from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def _undated(rows: DataFrame, **given: Column) -> DataFrame:
-    """rows with the columns of the schema, those not given at their defaults and undated."""
+def in_schema(rows: DataFrame, **given: Column) -> DataFrame:
+    """rows with the columns of the schema; those that aren't given have their defaults, and there is no time."""
     rest = {
         "timestamp": F.lit(None).cast("long"), "timestamp_end": F.lit(None).cast("long"), "latitude": F.lit(None).cast("double"),
         "longitude": F.lit(None).cast("double"), "confidence": F.lit(1.0), "recovery": F.lit("allocated"), "direction": F.lit("unknown"),
@@ -84,7 +84,7 @@ def _undated(rows: DataFrame, **given: Column) -> DataFrame:
 def from_documents(documents: DataFrame) -> DataFrame:
     """documents (doc_id, text, lang, source) as undated files, the source as their app: a stated projection for tests."""
     attributes = F.to_json(F.struct(F.col("lang").alias("lang"), F.length("text").alias("chars")))
-    return _undated(
+    return in_schema(
         documents, artifact_id=F.concat(F.lit("doc-"), "doc_id"), exhibit=F.concat(F.lit("EXH-"), F.col("doc_id") % 3), category=F.lit("Files & Media"),
         subtype=F.lit("Document"), app=F.coalesce("source", F.lit("")), body=F.coalesce("text", F.lit("")), attributes=attributes,
         source_path=F.lit("documents.parquet"), source_table=F.lit("documents"), source_row=F.col("doc_id").cast("long"), blob_sha256=F.sha2("text", 256),
@@ -94,7 +94,7 @@ def from_documents(documents: DataFrame) -> DataFrame:
 def from_conversations(conversations: DataFrame) -> DataFrame:
     """conversations (conv_id, turn, role, text) as undated chats: a stated projection for tests."""
     way = F.when(F.col("role") == "user", "incoming").when(F.col("role") == "assistant", "outgoing").otherwise("local")
-    return _undated(
+    return in_schema(
         conversations, artifact_id=F.concat_ws("-", F.lit("conv"), "conv_id", "turn"), exhibit=F.lit("EXH-C"), category=F.lit("Chats"),
         subtype=F.coalesce("role", F.lit("")), app=F.lit("chat"), body=F.coalesce("text", F.lit("")), direction=way, party=F.col("conv_id").cast("string"),
         attributes=F.lit("{}"), source_path=F.lit("conversations.parquet"), source_table=F.lit("conversations"), source_row=F.col("turn").cast("long"),
