@@ -47,22 +47,39 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Folders of the tables that stored() has made and nobody has deleted yet.
+_made: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _deleted(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if p in _made:
+            _made.remove(p)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by stored()."""
-    spark = df.sparkSession
-    jvm = spark._jvm
     roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for root in roots:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _deleted(df.sparkSession, [p for p in _made if any(r.split(":")[-1].lstrip("/") == p.split(":")[-1].lstrip("/") for r in roots)])
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() gives as a stored table; all tables stored on the way to it are deleted."""
+    before = len(_made)
+    made = stored(make(), name)
+    _deleted(made.sparkSession, _made[before:-1])
+    return made
 
 
 def rows_under(df: DataFrame, bound: int) -> bool:
