@@ -159,6 +159,18 @@ def test_html_keeps_articles_under_telling_names():
         assert read(page) == "good text", page
 
 
+def test_html_of_very_deep_and_very_odd_pages():
+    read = pages_html.main_text
+    for page in (
+        "<div>" * 5_000 + "<p>good text</p>", "<b>" * 60_000 + "good text" + "</i>" * 60_000, "<article>" + "<font>" * 30_000 + "<p>good</p><p>text</p>",
+        "<div><b>" * 3_000 + "good text" + "</b></div>" * 3_000 + "</p>" * 9,
+    ):
+        assert read(page).split() == ["good", "text"]
+        made = wrapper_of(page)
+        made.merge(wrapper_of(page))
+        assert pages_html.main_text(page, pages_html.reading(pages_html.Wrapper.read(made.packed()))).split() == ["good", "text"]
+
+
 def test_html_templates_without_telling_names(spark):
     """Hosts of their own templates, hashed class names, notices and adverts in plain elements: only the wrapper tells."""
     rnd = random.Random(3)

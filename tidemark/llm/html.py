@@ -51,6 +51,10 @@ MAIN_WORDS = frozenset("article articlebody content entry main post story body".
 CONTAINER = frozenset("html body div section main article table tbody tr td center form".split())
 #: Elements that aren't told apart by class or id.
 BARE = frozenset("html body p br b i em strong span a h1 h2 h3 h4 h5 h6 li dt dd u s small sub sup code img hr".split())
+#: Tags that may close an open element before them.
+CLOSERS = frozenset().union(*CLOSES_ITSELF.values())
+#: Levels of elements that a wrapper tells apart; what is nested deeper counts as part of the last one.
+DEEPEST = 150
 #: Texts of a host that are counted; one on over 1/257 of its pages is among them.
 COUNTED = 256
 
@@ -108,33 +112,36 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
 def walked(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, tag or text, label) with unclosed elements closed: open and close, text, break and space."""
     stack: list[tuple[str, str]] = []
+    held: dict[str, int] = defaultdict(int)
+
+    def cut(k: int) -> Iterator[tuple[str, str, str]]:
+        while len(stack) > k:
+            x = stack.pop()
+            held[x[0]] -= 1
+            yield "close", *x
+
     for kind, tag, name in events(page):
         if kind == "text":
             yield "text", tag, ""
         elif kind == "open" and tag in VOID:
             yield ("break" if tag == "hr" else "space"), tag, ""
         elif kind == "open":
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if tag in CLOSERS else ():
                 open_tag = stack[k][0]
                 if tag in CLOSES_ITSELF.get(open_tag, ()):
-                    for x in reversed(stack[k:]):
-                        yield "close", *x
-                    del stack[k:]
+                    yield from cut(k)
                     break
                 if open_tag in BLOCK and open_tag not in ("p",) and open_tag not in CLOSES_ITSELF:
                     break
                 if open_tag in ("table", "ul", "ol", "dl"):
                     break
             stack.append((tag, name))
+            held[tag] += 1
             yield "open", tag, name
-        else:
-            hit = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if hit is not None:
-                for x in reversed(stack[hit:]):
-                    yield "close", *x
-                del stack[hit:]
-            elif tag == "p":
-                yield "break", tag, ""
+        elif held[tag]:
+            yield from cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
+        elif tag == "p":
+            yield "break", tag, ""
 
 
 class Group:
@@ -236,6 +243,9 @@ class Wrapper:
                 n = len(what) - what.count(" ") - what.count("\n")
                 top[0].chars += n
                 top[0].linked += n * bool(links)
+            elif kind == "open" and len(stack) > DEEPEST:
+                links += what == "a"
+                stack.append(top)
             elif kind == "open":
                 top[1] = top[0].place(name, top[1])
                 kid = top[0].kids[name]
