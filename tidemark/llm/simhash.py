@@ -194,6 +194,12 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """512 bits, one for each value of a hash's first 9 bits: whether an odd number of the set's hashes have it."""
+    n = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=512)
+    return np.packbits((n & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
@@ -235,6 +241,15 @@ def may_be_similar(similarity: float) -> Column:
     return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (most >= similarity / (1 + similarity) * (n + m) - 1e-9)
 
 
+def few_differ(similarity: float) -> Column:
+    """Whether sets of n_a and n_b hashes with the parities bits_a and bits_b can be similar enough.
+
+    A hash that only one of two sets has changes one parity, so no fewer hashes differ than parities do.
+    """
+    apart = sum(F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(8))
+    return apart <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9
+
+
 def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, node, first_id, stays) for every row of docs: node is the MD5 of its text, first_id the smallest
     doc_id of its group, stays whether the row is the one of that id.
@@ -242,7 +257,8 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     Texts with a Jaccard similarity of their shingle sets of at least similarity are linked, and groups
     are what is connected. At this similarity SimHashes of whole texts differ in about ten bits, which no
     range-join on bit counts can find at a bearable size; so texts are candidates if they share a shingle of
-    their prefixes (see prefix()) and lengths and places allow for the similarity, which leaves out no pair.
+    their prefixes (see prefix()) and lengths, places and parities of their sets (see few_differ()) allow for the similarity,
+    which leaves out no pair.
     Shingle sets are compared exactly. No pair needs comparing whose texts are in one group already: first the
     others of a key are compared with its smallest text, then with its largest one, and at last the pairs
     of a key that are still of different groups are listed and compared, all of them.
@@ -260,15 +276,18 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
             sets = [shingle_set(t.as_py(), shingle_words) for t in b.column(2)]
             keys = pa.array([prefix(x, similarity, common, times) for x in sets], pa.list_(pa.int64()))
             n = pa.array([len(x) for x in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, keys], ["doc_id", "node", "n", "keys"])
+            bits = pa.array([parities(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, bits, keys], ["doc_id", "node", "n", "bits", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(given.mapInArrow(run, f"doc_id {kind}, node binary, n int, keys array<long>"), "prefixes")
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "texts").withColumn("t", F.xxhash64("node"))
+    rows = stored(given.mapInArrow(run, f"doc_id {kind}, node binary, n int, bits array<long>, keys array<long>"), "prefixes")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("n", "bits"), "n").alias("set"))
+    nodes = stored(nodes.select("node", "first", "set.n", "set.bits"), "texts").withColumn("t", F.xxhash64("node"))
     # t only finds candidates; texts with the same t are all compared
     entries = rows.select(F.xxhash64("node").alias("t"), "n", F.posexplode("keys").alias("pos", "key"))
     ends = entries.groupBy("key").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi")
-    entries = stored(entries.join(ends, "key").select("key", "t", "n", "pos").distinct(), "entries")
+    entries = entries.join(ends, "key").select("key", "t", "n", "pos").distinct()
+    entries = stored(entries.join(nodes.select("t", "bits"), "t"), "entries")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """(u, v) of the pairs (ta, tb) that are similar enough."""
@@ -303,7 +322,7 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
             main = counted.agg(F.max(F.struct("n", "root"))["root"].alias("main"))
             some = side(live, "a").join(main, "key").filter("root_a <> main")
             pairs = some.join(side(live, "b"), "key").filter("root_a <> root_b and (root_b = main or root_a < root_b)")
-        pairs = pairs.filter(may_be_similar(similarity)).select(F.least(*pair).alias("ta"), F.greatest(*pair).alias("tb")).distinct()
+        pairs = pairs.filter(may_be_similar(similarity) & few_differ(similarity)).select(F.least(*pair).alias("ta"), F.greatest(*pair).alias("tb")).distinct()
         pairs = stored(pairs if known is None else pairs.join(known, ["ta", "tb"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
