@@ -6,9 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import names_apart, rows_under, stored, table
 
@@ -26,69 +26,98 @@ BATCH = 20_000
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)
 )
-#: A word before lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-FACTOR, LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Odd, so that powers have inverses modulo 2 ** 64.
+BASE, FACTOR, LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def words(text: bytes | None) -> list[bytes]:
-    return text.translate(FOLD).split() if text else []
+class Powers:
+    """Powers of BASE and of its inverse modulo 2 ** 64, as many as were needed so far."""
 
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
 
-def codes_of(ws: list[bytes], s: int) -> np.ndarray:
-    """A 64-bit code of each run of s words."""
-    h = np.array([xxhash.xxh64_intdigest(w) for w in ws], dtype=np.uint64)
-    return codes_from(h, s)
+    def at_least(self, n: int) -> None:
+        if len(self.up) < n:
+            size = 1 << max(16, n.bit_length())
+            for name, base in (("up", BASE), ("down", np.uint64(pow(int(BASE), -1, 1 << 64)))):
+                line = np.full(size, base, dtype=np.uint64)
+                line[0] = 1
+                setattr(self, name, np.cumprod(line))
 
 
-def codes_from(h: np.ndarray, s: int) -> np.ndarray:
-    n = max(0, len(h) - s + 1)
-    made = np.full(n, s, dtype=np.uint64) * LENGTH
-    for k in range(s):
-        made = (made ^ h[k : k + n]) * FACTOR
-        made ^= made >> np.uint64(29)
-    return made.view(np.int64)
+class Words:
+    """Words of some folded text: where they start and end, and a 64-bit hash of each, all made for the whole text at once.
 
+    A word's hash is the sum of its bytes times powers of BASE, from a running sum over the text, mixed with its length.
+    """
 
-def stretches(text: bytes, before: int, after: int, piece: int = PIECE) -> Iterator[tuple[list[bytes], int, int, int]]:
+    def __init__(self, text: bytes, powers: Powers):
+        self.text = text.translate(FOLD)
+        line = np.frombuffer(self.text, dtype=np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate(([32], line, [32])) != 32))
+        self.starts, self.ends = edges[::2], edges[1::2]
+        powers.at_least(len(line) + 1)
+        total = np.zeros(len(line) + 1, dtype=np.uint64)
+        np.cumsum((line.astype(np.uint64) + np.uint64(1)) * powers.up[: len(line)], out=total[1:])
+        h = (total[self.ends] - total[self.starts]) * powers.down[self.starts]
+        h ^= (self.ends - self.starts).astype(np.uint64) * LENGTH
+        self.hashes = (h ^ (h >> np.uint64(32))) * FACTOR
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def listed(self, a: int, b: int) -> list[str]:
+        return self.text[self.starts[a] : self.ends[b - 1]].decode().split()
+
+    def codes(self, s: int) -> np.ndarray:
+        """A 64-bit code of each run of s words."""
+        n = max(0, len(self) - s + 1)
+        made = np.full(n, s, dtype=np.uint64) * LENGTH
+        for k in range(s):
+            made = (made ^ self.hashes[k : k + n]) * FACTOR
+            made ^= made >> np.uint64(29)
+        return made.view(np.int64)
+
+
+def stretches(text: bytes, before: int, after: int, powers: Powers, piece: int = PIECE) -> Iterator[tuple[Words, int, int, int]]:
     """(words, at, lo, hi): words of a text from the at-th on, of which those at lo to hi - 1 come for the first time.
 
     Around those are before words and after words, where the text has as many. Together the stretches cover the text.
     """
-    held: list[bytes] = []
-    at = done = start = 0
-    while start < len(text) or not start:
-        end = min(len(text), start + piece)
+    begin = stop = at = done = 0
+    while True:
+        end = min(len(text), stop + piece)
         while end < len(text) and FOLD[text[end]] != 32:
             end += 1
-        held += words(text[start:end])
+        ws = Words(text[begin:end], powers)
         last = end >= len(text)
-        hi = at + len(held) if last else max(done, at + len(held) - after)
+        hi = at + len(ws) if last else max(done, at + len(ws) - after)
         if hi > done:
-            yield held, at, done - at, hi - at
-        done = hi
-        gone = max(0, done - before - at)
-        held, at, start = held[gone:], at + gone, end
+            yield ws, at, done - at, hi - at
         if last:
             return
+        done, stop = hi, end
+        gone = max(0, done - before - at)
+        begin, at = begin + int(ws.starts[gone]) if gone < len(ws) else end, at + gone
 
 
 def item_windows(batches: Iterator[pa.RecordBatch], window: int, shingle: int) -> Iterator[pa.RecordBatch]:
     """(item, words, s, codes) of each window of the items (item, text): its words, spaces between, and its shingles' codes."""
+    powers = Powers()
     for b in batches:
         for item, text in zip(b.column(0), b.column(1), strict=True):
-            ws = words(text.as_py())
-            if not ws:
+            ws = Words(text.as_py() or b"", powers)
+            if not len(ws):
                 continue
             n = min(len(ws), window)
             s = min(n, shingle)
-            codes = codes_of(ws, s)
+            codes = ws.codes(s)
             for at in range(0, len(ws) - n + 1, BATCH):
                 to = min(at + BATCH, len(ws) - n + 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([item.as_py()] * (to - at), pa.string()),
-                        pa.array([b" ".join(ws[i : i + n]).decode() for i in range(at, to)]),
+                        pa.array([" ".join(ws.listed(i, i + n)) for i in range(at, to)]),
                         pa.array([s] * (to - at), pa.int32()),
                         pa.array([codes[i : i + n - s + 1] for i in range(at, to)], pa.list_(pa.int64())),
                     ],
@@ -125,6 +154,30 @@ class Filter:
         return test
 
 
+@F.arrow_udf(LongType())
+def count_words(texts: pa.Array) -> pa.Array:
+    """Words of each text, counted over the bytes of about PIECE at once; none in a null."""
+    n = len(texts)
+    made = np.zeros(n, dtype=np.int64)
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], dtype=wide)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    every, fold = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8), np.frombuffer(FOLD, dtype=np.uint8)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE)) - 1)
+        inside = fold[every[ends[at] : ends[to]]] != 32
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        some = at + np.flatnonzero(ends[at + 1 : to + 1] > ends[at:to])  # rows that aren't empty
+        begins = ends[some] - ends[at]
+        first[begins] = inside[begins]  # the text before may have ended in a word
+        if len(some):
+            made[some] = np.add.reduceat(first, begins, dtype=np.int64)
+        at = to
+    made[np.asarray(texts.is_null())] = 0
+    return pa.array(made, pa.int64())
+
+
 def text_key() -> tuple[Column, Column]:
     return F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
 
@@ -134,14 +187,14 @@ def counted(docs: DataFrame, sizes: list[int], known: Filter) -> DataFrame:
     test = known.tester()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for b in batches:
             found = []
             for t in b.column(0):
                 own = []
-                for ws, _, lo, hi in stretches(t.as_py() or b"", 0, max(sizes)):
-                    h = np.array([xxhash.xxh64_intdigest(w) for w in ws], dtype=np.uint64)
+                for ws, _, lo, hi in stretches(t.as_py() or b"", 0, max(sizes), powers):
                     for s in sizes:
-                        codes = codes_from(h, s)[lo:hi]
+                        codes = ws.codes(s)[lo:hi]
                         own.append(codes[test(codes)])
                 if own:
                     found.append(np.unique(np.concatenate(own)))
@@ -161,17 +214,17 @@ def candidates(docs: DataFrame, sizes: list[int], window: int, known: Filter) ->
     test = known.tester()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for b in batches:
             rows: list[tuple] = []
             for k, t in enumerate(b.column(2)):
-                for ws, at, lo, hi in stretches(t.as_py() or b"", window, 2 * window):
-                    h = np.array([xxhash.xxh64_intdigest(w) for w in ws], dtype=np.uint64)
+                for ws, at, lo, hi in stretches(t.as_py() or b"", window, 2 * window, powers):
                     for s in sizes:
-                        codes = codes_from(h, s)[lo:hi]
+                        codes = ws.codes(s)[lo:hi]
                         for p in test(codes).tolist():
                             i = lo + p
                             a = max(0, i - window)
-                            rows.append((k, at + i, int(codes[p]), i - a, [w.decode() for w in ws[a : i + window]]))
+                            rows.append((k, at + i, int(codes[p]), i - a, ws.listed(a, min(i + window, len(ws)))))
             which = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(which), b.column(1).take(which), *(pa.array([r[c] for r in rows], kind) for c, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()), (4, pa.list_(pa.string()))))],
@@ -247,7 +300,7 @@ def decontaminate(
     of = stored(spans.join(items, keys, "left").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "judged")
     held = of.agg(F.sum(64 + 32 * F.size("spans") + F.octet_length(F.array_join("items", "0123456789abcdef")))).first()[0] or 0
     of = F.broadcast(of) if held <= MOST_BYTES else of
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    n_words = count_words(F.coalesce("text", F.lit("")))
     t1, t2 = text_key()
     made = docs.select(*kept, n_words.alias("n_words"), t1.alias("_k1"), t2.alias("_k2"))
     met = made.join(of, F.expr("_t1 = _k1 and _t2 = _k2"), "left")
