@@ -5,7 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,38 +48,43 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-#: Folders of the tables that stored() has made and nobody has deleted yet.
-_made: list[str] = []
+#: Folders of the tables that stored() has made in the settled() that is at work, of each thread its own.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again, which cuts its lineage."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written as a table in the shared folder, in folders by the columns by if there are any, and read again, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.stored_at = path
+    return read
 
 
-def _deleted(spark: SparkSession, paths: list[str]) -> None:
+def _deleted(spark: SparkSession, paths: Iterable[str]) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        if p in _made:
-            _made.remove(p)
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by stored()."""
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    _deleted(df.sparkSession, [p for p in _made if any(r.split(":")[-1].lstrip("/") == p.split(":")[-1].lstrip("/") for r in roots)])
+    _deleted(df.sparkSession, [df.stored_at])
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What make() gives as a stored table; all tables stored on the way to it are deleted."""
-    before = len(_made)
-    made = stored(make(), name)
-    _deleted(made.sparkSession, _made[before:-1])
+    own: list[str] = []
+    token = _made.set(own)
+    try:
+        made = stored(make(), name)
+    finally:
+        _made.reset(token)
+    _deleted(made.sparkSession, own[:-1])
     return made
 
 
@@ -87,6 +93,12 @@ def rows_under(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+def fresh_columns(df: DataFrame, made: Iterable[str]) -> DataFrame:
+    """df without its columns named like those to be made, in whatever case of letters."""
+    names = {c.lower() for c in made}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in names))
+
+
 def names_apart(f: Callable) -> Callable:
     """f(docs, ...) with columns of docs whose names begin with an underscore renamed while it works.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, html, lines, mixing, quality, sharding, simhash, tokens, urls
+from . import chat, decontaminate, html, lines, mixing, packing, phrases, quality, repair, sharding, simhash, tokens, urls
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_html_extraction": html.op10_html_extraction,
+        "op11_best_fit_packing": packing.op11_best_fit_packing,
+        "op12_phrase_mining": phrases.op12_phrase_mining,
+        "op13_conversation_repair": repair.op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -31,4 +34,6 @@ def oracle_sql() -> dict:
         "op5_quality_rules": quality.OP5_SQL,
         "op8_sharding": sharding.OP8_SQL,
         "op9_chat_formatting": chat.OP9_SQL,
+        "op12_phrase_mining": phrases.OP12_SQL,
+        "op13_conversation_repair": repair.OP13_SQL,
     }
