@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written in the folder of spark.checkpoint.dir and read again; a session on one machine may lack one."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .order import numbered
+from .tables import checkpointed, discarded
 
 
 def edges(df: DataFrame, source: str, target: str, measures: Sequence = ()) -> DataFrame:
@@ -77,26 +64,70 @@ def components(e: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components not found in {max_rounds} rounds")
 
 
-def communities(e: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label) by label propagation: the label with most weight among neighbours, ties to the own and then the smallest.
+def coloured(e: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(node, colour): no two neighbours have one colour, numbers from 0.
 
-    Each round a half of the nodes, picked by a hash of node and round, takes its best label, so that
-    neighbours don't go on swapping theirs. Ends when no node would change, and raises if that isn't so after the rounds.
+    In each round the nodes without a colour that come before all such neighbours, by degree and then by a hash, take the smallest number that
+    no neighbour has. Hubs come first, so that bipartite graphs of a few hubs and many others need two colours.
+    """
+    both = checkpointed(mirrored(e).select("node", "other"))
+    rank = F.struct((-F.count(F.lit(1))).alias("d"), F.xxhash64("node").alias("h"), F.col("node").alias("n"))
+    open_nodes = checkpointed(both.groupBy("node").agg(rank.alias("rank")))
+    done = None
+    for _ in range(max_rounds):
+        # edges between nodes that are still open tell who comes first; edges to coloured ones what is taken
+        at = both.join(open_nodes, "node")
+        met = at.join(open_nodes.select(F.col("node").alias("other"), F.col("rank").alias("r")), "other", "left")
+        first = met.groupBy("node").agg(F.min("r").alias("r"), F.first("rank").alias("rank"))
+        chosen = first.filter("r is null or rank < r").select("node", "rank")
+        if done is None:
+            fresh = chosen.select("node", F.lit(0).alias("colour"))
+        else:
+            taken = both.join(chosen, "node").join(done.select(F.col("node").alias("other"), "colour"), "other", "left")
+            used = taken.groupBy("node").agg(F.collect_set("colour").alias("used"))  # no more than there are colours
+            free = F.array_except(F.sequence(F.lit(0), F.size("used")), "used")
+            fresh = used.select("node", F.array_min(free).alias("colour"))
+        fresh = checkpointed(fresh)
+        left = checkpointed(open_nodes.join(fresh, "node", "left_anti"))
+        discarded(open_nodes)
+        open_nodes, done = left, fresh if done is None else done.unionByName(fresh)
+        if open_nodes.isEmpty():
+            return done
+    raise RuntimeError(f"not coloured in {max_rounds} rounds")
+
+
+def communities(e: DataFrame, colours: DataFrame | None = None, max_sweeps: int = 200) -> DataFrame:
+    """(node, label, community) by label propagation: the label with most weight among neighbours, ties to the own and then the smallest.
+
+    Nodes of one colour take their labels at a time, colour after colour; colours (node, colour) must differ between neighbours, and are
+    found by coloured() if not given. As no neighbours move together and nobody moves without more weight on the new label than on
+    the own one, the weight inside labels grows with every move, so that the sweeps end; they are over when one moves
+    nobody. community numbers the labels from 0 by their number of nodes, then by label.
     """
-    both = mirrored(e)
-    now = checkpointed(both.select("node").distinct().withColumn("label", F.col("node")))
-    for k in range(rounds):
-        votes = both.join(now.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
-        own = now.select("node", F.col("label").alias("own"))
-        ranked = votes.join(own, "node").groupBy("node", "own").agg(
-            F.min(F.struct((-F.col("w")).alias("w"), F.col("label") != F.col("own"), "label")).alias("best")
-        )
-        after = checkpointed(ranked.select("node", "own", F.col("best.label").alias("label")))
-        if after.filter("own <> label").isEmpty():
-            return after.select("node", "label")
-        turn = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0
-        now = after.select("node", F.when(turn, F.col("label")).otherwise(F.col("own")).alias("label"))
-    raise RuntimeError(f"communities not settled in {rounds} rounds")
+    own_colours = colours is None
+    colours = coloured(e) if own_colours else colours
+    both = checkpointed(mirrored(e).join(colours, "node"), "colour")
+    now = checkpointed(both.select("node", "colour").distinct().withColumn("label", F.col("node")))
+    order = [r["colour"] for r in now.select("colour").distinct().orderBy("colour").collect()]
+    still = 0  # colours in turn that moved nobody
+    for k in range(max_sweeps * max(1, len(order))):
+        if still == len(order):
+            break
+        turn = F.col("colour") == order[k % len(order)]
+        seen = both.filter(turn).join(now.select(F.col("node").alias("other"), "label"), "other")
+        votes = seen.groupBy("node", "label").agg(F.sum("weight").alias("w"))
+        mine = now.filter(turn).select("node", F.col("label").alias("own"))
+        best = votes.join(mine, "node").groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("label") != F.col("own"), "label")).alias("b"))
+        moved = now.join(best.select("node", F.col("b.label").alias("_new")), "node", "left")
+        after = checkpointed(moved.select("node", "colour", F.coalesce("_new", "label").alias("label"), (F.col("_new") != F.col("label")).alias("moved")))
+        still = still + 1 if after.filter("moved").isEmpty() else 0
+        discarded(now)
+        now = after
+    else:
+        raise RuntimeError(f"communities not settled in {max_sweeps} sweeps")
+    sizes = now.groupBy("label").agg(F.count(F.lit(1)).alias("_size"))
+    ranks = numbered(sizes, [F.col("_size").desc(), F.col("label")], "_rank").select("label", (F.col("_rank") - 1).alias("community"))
+    return now.join(ranks, "label").select("node", "label", "community")
 
 
 def modularity(e: DataFrame, labels: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, timex
 from .joins import range_join
+from .order import in_order, previous, running
 
 
 def presence(df: DataFrame, radius_m: float = 500.0) -> DataFrame:
@@ -63,13 +64,14 @@ def meetings(points: DataFrame, window_us: int = 15 * 60_000_000, radius_m: floa
 
 
 def encounters(hits: DataFrame, window_us: int = 15 * 60_000_000, radius_m: float = 500.0) -> DataFrame:
-    """Meetings of a pair of exhibits, cut where the time or the place jumps, with a confidence."""
+    """Meetings of a pair of exhibits, cut where the time or the place jumps, with a confidence. The hits of a pair are dealt out in ranges of time."""
     lat, lon = (F.col("latitude_a") + F.col("latitude_b")) / 2, (F.col("longitude_a") + F.col("longitude_b")) / 2
-    w = W.partitionBy("exhibit_a", "exhibit_b").orderBy("at", "artifact_id_a", "artifact_id_b")
-    made = hits.withColumns({"lat": lat, "lon": lon})
-    moved = geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")) > radius_m
-    new = F.when((F.col("at") - F.lag("at").over(w) > window_us) | moved, 1).otherwise(0)
-    made = made.withColumn("_new", new).withColumn("encounter", F.sum("_new").over(w))
+    keys, order = ("exhibit_a", "exhibit_b"), ("at", "artifact_id_a", "artifact_id_b")
+    t = in_order(hits.withColumns({"lat": lat, "lon": lon}), keys, order)
+    t = previous(t, keys, order, {"_at": F.col("at"), "_lat": F.col("lat"), "_lon": F.col("lon")})
+    moved = geo.haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")) > radius_m
+    new = F.when((F.col("at") - F.col("_at") > window_us) | moved, 1).otherwise(0)
+    made = running(t, keys, order, new, "encounter")
     apart = F.abs(F.col("timestamp_a") - F.col("timestamp_b"))
     out = made.groupBy("exhibit_a", "exhibit_b", "encounter").agg(
         F.count(F.lit(1)).alias("hits"), F.min("at").alias("start"), F.max("at").alias("stop"),

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text, timex
 from .joins import beside
+from .order import page as paged
 
 #: Columns that a list may be ordered by.
 SORTABLE = ("timestamp", "confidence", "category", "app", "subtype", "direction", "party", "source_row")
+#: Rows from the top that a page may end at to be merged in one task.
+SHALLOW = 10_000
 #: Columns of the table view of a category: heading, and what is shown. Any other category has those of Other.
 VIEWS: Mapping[str, tuple[tuple[str, str], ...]] = {
     "Calls": (("time", "time"), ("direction", "direction"), ("party", "party"), ("seconds", "seconds"), ("app", "app")),
@@ -26,9 +29,14 @@ VIEWS: Mapping[str, tuple[tuple[str, str], ...]] = {
 
 
 def page(df: DataFrame, order: str = "timestamp", descending: bool = False, limit: int = 100, offset: int = 0) -> DataFrame:
-    """Rows offset to offset + limit - 1 in an order, undated ones last, ties by id. Only known columns order."""
+    """Rows offset to offset + limit - 1 in an order, undated ones last, ties by id. Only known columns order.
+
+    The first rows are merged from the tasks' first rows; a page that lies deeper is found by counts, see order.page().
+    """
     if order not in SORTABLE:
         raise ValueError(f"no order by {order!r}")
+    if offset + limit > SHALLOW:
+        return paged(df, order, "artifact_id", descending, limit, offset)
     by = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
     return df.orderBy(by, "artifact_id").offset(offset).limit(limit)
 
@@ -113,19 +121,3 @@ def terms_of(lines: DataFrame, column: str, order: str) -> DataFrame:
     term = F.trim(F.regexp_replace(F.trim("_part"), "^[\"']+|[\"']+$", ""))
     each = each.select("_at", "_k", term.alias("term")).filter("term <> ''")
     return each.groupBy(F.lower("term").alias("folded")).agg(F.min_by("term", F.struct("_at", "_k", "term")).alias("term"))
-
-
-def keyword_report(df: DataFrame, id_column: str, body: str, terms: DataFrame, most: int = 3) -> DataFrame:
-    """(term, rows, samples, rank): for each term or phrase of terms (folded, term) the rows that have it and the first ids of these.
-
-    Every text is read once for all terms, which are as many as a user lists: each row is matched against them as it is
-    read, and only hits are shuffled. Terms without hits are last; ties by term.
-    """
-    held = terms.select(F.struct(text.tokens(F.col("folded")).alias("w"), "term").alias("t")).filter("size(t.w) > 0").agg(F.array_sort(F.collect_list("t")).alias("_terms"))
-    line = F.concat(F.lit(" "), F.array_join(text.tokens(F.col(body)), " "), F.lit(" "))
-    met = beside(df.select(id_column, line.alias("_line")), held)
-    found = F.filter("_terms", lambda t: F.contains(F.col("_line"), F.concat(F.lit(" "), F.array_join(t["w"], " "), F.lit(" "))))
-    hits = met.select(id_column, F.explode(F.transform(found, lambda t: t["term"])).alias("term"))
-    counted = hits.groupBy("term").agg(F.count(F.lit(1)).alias("rows")).join(samples(hits, ["term"], id_column, most), "term")
-    out = terms.select("term").join(counted, "term", "left").select("term", F.coalesce("rows", F.lit(0)).alias("rows"), "samples")
-    return out.withColumn("rank", F.row_number().over(W.orderBy(F.col("rows").desc(), F.lower("term"))))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import timex
+from .order import in_order, previous, running
 
 MINUTE_US, HOUR_US = 60_000_000, 3_600_000_000
 
@@ -78,34 +79,34 @@ def duration_bands(calls: DataFrame) -> DataFrame:
 
 
 def sessions(df: DataFrame, keys: Sequence[str], gap_us: int, tie: str = "artifact_id") -> DataFrame:
-    """df with session, counted up where more than gap_us lies between rows of a key."""
-    w = W.partitionBy(*keys).orderBy("timestamp", tie)
-    new = F.when(F.col("timestamp") - F.lag("timestamp").over(w) > gap_us, 1).otherwise(0)
-    return df.filter("timestamp is not null").withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
+    """df with session, counted up where more than gap_us lies between rows of a key. Keys of any size are dealt out in ranges of time."""
+    order = ("timestamp", tie)
+    t = previous(in_order(df.filter("timestamp is not null"), keys, order), keys, order, {"_before": F.col("timestamp")})
+    new = F.when(F.col("timestamp") - F.col("_before") > gap_us, 1).otherwise(0)
+    return running(t, keys, order, new, "session").drop("_before", "_part")
 
 
 def bursts(df: DataFrame, keys: Sequence[str] = ("party",), gap_us: int = 45 * MINUTE_US, least: int = 3) -> DataFrame:
     """Runs of at least that many rows with no gap over 45 minutes; a gap of just that keeps a run."""
-    found = sessions(df, keys, gap_us).groupBy(*keys, "session")
+    found = sessions(df.select(*keys, "timestamp", "artifact_id"), keys, gap_us).groupBy(*keys, "session")
     made = found.agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("start"), F.max("timestamp").alias("stop"))
     return made.filter(F.col("n") >= least).drop("session")
 
 
 def gaps(df: DataFrame, keys: Sequence[str] = ("party",), least_us: int = 8 * HOUR_US, tie: str = "artifact_id") -> DataFrame:
     """Silences of at least 8 hours with what stands before and after."""
-    w = W.partitionBy(*keys).orderBy("timestamp", tie)
-    made = df.filter("timestamp is not null").select(
-        *keys, F.lag("timestamp").over(w).alias("start"), F.col("timestamp").alias("stop"),
-        F.lag("subtype").over(w).alias("before"), F.col("subtype").alias("after"),
-    )
+    order = ("timestamp", tie)
+    own = df.filter("timestamp is not null").select(*dict.fromkeys((*keys, *order, "subtype")))
+    t = previous(in_order(own, keys, order), keys, order, {"start": F.col("timestamp"), "before": F.col("subtype")})
+    made = t.select(*keys, "start", F.col("timestamp").alias("stop"), "before", F.col("subtype").alias("after"))
     return made.withColumn("gap_us", F.col("stop") - F.col("start")).filter(F.col("gap_us") >= least_us)
 
 
 def anomalies(df: DataFrame, now_us: int, order: str = "artifact_id") -> DataFrame:
     """Instants after tomorrow or before 2007, and per app the share of steps back of over an hour in stored order."""
-    w = W.partitionBy("app").orderBy(order)
-    back = F.lag("timestamp").over(w) - F.col("timestamp") > HOUR_US
-    made = df.withColumn("_back", back).groupBy("app").agg(
+    own = df.select(*dict.fromkeys(("app", order, "timestamp")))
+    t = previous(in_order(own, ("app",), (order,)), ("app",), (order,), {"_before": F.col("timestamp")})
+    made = t.withColumn("_back", F.col("_before") - F.col("timestamp") > HOUR_US).groupBy("app").agg(
         F.count("timestamp").alias("n"),
         F.count(F.when(F.col("timestamp") > now_us + timex.DAY_US, 1)).alias("future"),
         F.count(F.when(F.col("timestamp") < 1_167_609_600_000_000, 1)).alias("early"),

@@ -69,12 +69,12 @@ def _(df, spark, d):
 TOKENS = r"regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+')"
 
 
-@query("text_word", f"SELECT doc_id, lang FROM documents WHERE list_contains({TOKENS}, 'eauouon')")
+@query("scan_word", f"SELECT doc_id, lang FROM documents WHERE list_contains({TOKENS}, 'eauouon')")
 def _(df, spark, d):
     return table(spark, d, "documents").filter(P.word("text", "Éauouon")).select("doc_id", "lang")
 
 
-@query("text_phrase", f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' the and attion ')")
+@query("scan_phrase", f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' the and attion ')")
 def _(df, spark, d):
     return table(spark, d, "documents").filter(P.phrase("text", "the AND attion")).select("doc_id")
 
@@ -381,15 +381,49 @@ def _(df, spark, d):
     return graph.betweenness(nation_edges(spark, d))
 
 
-@query("community_report")
+SPOKEN = f"""WITH e AS (SELECT 'c' || conv_id AS a, 'w' || w AS b, count(*) AS weight FROM (SELECT conv_id, unnest({TOKENS}) AS w FROM conversations) GROUP BY 1, 2),
+ two AS (SELECT a AS node, b AS other, weight, 0 AS colour FROM e UNION ALL SELECT b, a, weight, 1 FROM e), l0 AS (SELECT DISTINCT node, colour, node AS label FROM two) """
+
+
+def sweeps_sql(sweeps: int = 12) -> str:
+    """Labels after so many sweeps over the two kinds of nodes in turn; more sweeps than are needed change nothing."""
+    steps = [
+        f"""l{k + 1} AS MATERIALIZED (SELECT l.node, l.colour, coalesce(v.label, l.label) AS label FROM l{k} l LEFT JOIN (
+ SELECT node, label FROM (SELECT t.node, o.label, row_number() OVER (PARTITION BY t.node ORDER BY sum(t.weight) DESC, o.label <> any_value(m.label), o.label) AS r
+  FROM two t JOIN l{k} o ON t.other = o.node JOIN l{k} m ON t.node = m.node WHERE t.colour = {k % 2} GROUP BY t.node, o.label) WHERE r = 1) v USING (node))""" for k in range(2 * sweeps)
+    ]
+    return f"{SPOKEN}, {', '.join(steps)}, s AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS community FROM l{2 * sweeps} GROUP BY label), n AS (SELECT node, label, community FROM l{2 * sweeps} JOIN s USING (label)) "
+
+
+def spoken(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations and their words as a graph, weighted by occurrences, and the two kinds of nodes as its colours: conversations first."""
+    words = table(spark, d, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("x"), F.explode(text.tokens(F.col("text"))).alias("w"))
+    e = graph.edges(words.select("x", F.concat(F.lit("w"), "w").alias("y")), "x", "y")
+    ends = e.select("a").distinct().select(F.col("a").alias("node"), F.lit(0).alias("colour")).unionByName(e.select("b").distinct().select(F.col("b").alias("node"), F.lit(1).alias("colour")))
+    return e, ends
+
+
+@query("graph_communities", sweeps_sql() + "SELECT * FROM n")
+def _(df, spark, d):
+    return graph.communities(*spoken(spark, d))
+
+
+@query("community_report", sweeps_sql() + """, w AS (SELECT x.community AS ca, y.community AS cb, weight FROM e JOIN n x ON e.a = x.node JOIN n y ON e.b = y.node),
+ ends AS (SELECT ca AS community, weight, ca = cb AS within FROM w UNION ALL SELECT cb, weight, false FROM w WHERE ca <> cb)
+ SELECT community, size, weight, inside, round(inside / weight, 6) AS cohesion FROM (SELECT community, count(*) AS size FROM n GROUP BY 1)
+ JOIN (SELECT community, sum(weight)::BIGINT AS weight, coalesce(sum(weight) FILTER (WHERE within), 0)::BIGINT AS inside FROM ends GROUP BY 1) USING (community)""")
 def _(df, spark, d):
-    e = trade(spark, d)
-    return graph.community_report(e, graph.communities(e))
+    e, colours = spoken(spark, d)
+    labels = graph.communities(e, colours).select("node", F.col("community").alias("label"))
+    return graph.community_report(e, labels).withColumnRenamed("label", "community")
 
 
-@query("graph_communities")
+@query("communities_meaningful", sweeps_sql() + """, d AS (SELECT community, sum(weight) AS s FROM (SELECT a AS node, weight FROM e UNION ALL SELECT b, weight FROM e) JOIN n USING (node) GROUP BY 1),
+ q AS (SELECT (SELECT sum(weight) FROM e JOIN n x ON e.a = x.node JOIN n y ON e.b = y.node WHERE x.community = y.community) / (SELECT sum(weight) FROM e)
+  - (SELECT sum(s::DOUBLE * s) FROM d) / pow(2 * (SELECT sum(weight) FROM e), 2) AS q, (SELECT count(*) FROM d) AS communities) SELECT round(q, 6) AS q, communities, q >= 0.3 AND communities >= 2 AS meaningful FROM q""")
 def _(df, spark, d):
-    return graph.communities(trade(spark, d))
+    e, colours = spoken(spark, d)
+    return graph.meaningful(e, graph.communities(e, colours).select("node", "label")).withColumn("q", F.round("q", 6))
 
 
 @query("shared_parties", """, e AS (SELECT party, exhibit, count(*) AS k FROM comm GROUP BY 1, 2)

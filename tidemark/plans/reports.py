@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, timex
-from ..operators import correlate, dashboard, digests, findings, fusion, graph, joins, places, search, threads
+from ..operators import correlate, dashboard, digests, findings, fusion, graph, joins, keywords, places, search, tables, threads
+from ..operators.index import TextIndex
 from ..sources import artifacts as A
 from ..sources import exports
 from ..sources.artifacts import table
@@ -34,6 +37,21 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select(F.concat(F.lit("doc-"), "doc_id").alias("artifact_id"), F.explode(found).alias("name"))
 
 
+_indexes: dict[tuple[str, str], TextIndex] = {}
+
+
+def text_index(spark: SparkSession, d: str) -> TextIndex:
+    """The index of the documents' texts, made once a session in two batches, the second of which finds the first half there."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        made = TextIndex(spark, f"{tables.shared_folder(spark)}/index-{uuid.uuid4().hex}")
+        docs = table(spark, d, "documents").select("doc_id", "text")
+        made.append(docs.filter("doc_id % 2 = 0"), "doc_id", ["text"])
+        made.append(docs, "doc_id", ["text"])
+        _indexes[key] = made
+    return _indexes[key]
+
+
 def folded(c: str) -> str:
     return "' ' || array_to_string(" + TOKENS.replace("text", c) + ", ' ') || ' '"
 
@@ -122,14 +140,43 @@ def _(df, spark, d):
     return search.gallery(documents(spark, d), ["Document"], app="web").select("artifact_id", "app", "blob_sha256")
 
 
-@query("text_ranked", f"""WITH w AS (SELECT doc_id, {TOKENS} AS w FROM documents), c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'licensed')) AS t1, len(list_filter(w, lambda x: x = 'attion')) AS t2 FROM w),
+RANKED = f"""WITH w AS (SELECT doc_id, {TOKENS} AS w FROM documents), c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'licensed')) AS t1, len(list_filter(w, lambda x: x = 'attion')) AS t2 FROM w),
  t AS (SELECT count(*) AS rows, avg(n) AS mean, count(*) FILTER (WHERE t1 > 0) AS d1, count(*) FILTER (WHERE t2 > 0) AS d2 FROM c)
  SELECT doc_id, round(ln(1 + (rows - d2 + 0.5::DOUBLE) / (d2 + 0.5::DOUBLE)) * t2 * 2.2::DOUBLE / (t2 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))
-  + ln(1 + (rows - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * t1 * 2.2::DOUBLE / (t1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)), 4) AS score FROM c, t WHERE t1 + t2 > 0""")
+  + ln(1 + (rows - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * t1 * 2.2::DOUBLE / (t1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)), 4) AS score FROM c, t WHERE t1 + t2 > 0"""
+
+
+@query("scan_ranked", RANKED)
 def _(df, spark, d):
     return search.ranked(table(spark, d, "documents"), "doc_id", "text", ["attion", "licensed"])
 
 
+@query("text_ranked", RANKED)
+def _(df, spark, d):
+    return text_index(spark, d).ranked("attion licensed", "text").withColumnRenamed("doc", "doc_id")
+
+
+@query("text_word", SQL["scan_word"])
+def _(df, spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "lang")
+    return text_index(spark, d).word("Éauouon").join(docs, "doc").select(F.col("doc").alias("doc_id"), "lang")
+
+
+@query("text_phrase", SQL["scan_phrase"])
+def _(df, spark, d):
+    return text_index(spark, d).phrase("the AND attion").select(F.col("doc").alias("doc_id"))
+
+
+@query("phrase_counts", f"""WITH x AS (SELECT lang, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS line FROM documents), p AS (SELECT unnest(['of the', 'de la', 'und die', 'que la', 'licensed']) AS phrase)
+ SELECT phrase, lang, count(*) AS docs FROM x JOIN p ON contains(line, ' ' || phrase || ' ') GROUP BY ALL""")
+def _(df, spark, d):
+    """Documents by phrase and language, each phrase from the index."""
+    found = text_index(spark, d)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "lang")
+    each = [found.phrase(p).withColumn("phrase", F.lit(p)) for p in ("of the", "de la", "und die", "que la", "licensed")]
+    return A.union(*each).join(docs, "doc").groupBy("phrase", "lang").agg(F.count(F.lit(1)).alias("docs"))
+
+
 @query("bounded_samples", """SELECT party, list(artifact_id ORDER BY artifact_id) AS samples FROM (SELECT party, artifact_id, row_number() OVER (PARTITION BY party ORDER BY artifact_id) AS r FROM art)
  WHERE r <= 5 GROUP BY party""".replace("list(artifact_id ORDER BY artifact_id)", "string_agg(artifact_id, ',' ORDER BY artifact_id)"))
 def _(df, spark, d):
@@ -147,7 +194,7 @@ def _(df, spark, d):
  LEFT JOIN (SELECT term, any_value(rows) AS rows, string_agg(doc_id, ',' ORDER BY doc_id) AS samples FROM h WHERE r <= 3 GROUP BY term) USING (term)""")
 def _(df, spark, d):
     lines = spark.createDataFrame([(1, "# what to look for"), (2, "The and, licensed"), (3, "LICENSED"), (4, '"nowhere at all"'), (5, " und "), (6, "")], "at int, line string")
-    found = search.keyword_report(table(spark, d, "documents"), "doc_id", "text", search.terms_of(lines, "line", "at"))
+    found = keywords.keyword_report(table(spark, d, "documents"), "doc_id", "text", search.terms_of(lines, "line", "at"))
     return found.withColumn("samples", F.array_join(F.col("samples").cast("array<string>"), ","))
 
 
