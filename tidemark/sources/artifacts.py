@@ -73,12 +73,12 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def in_schema(rows: DataFrame, **given: Column) -> DataFrame:
-    """rows with the columns of the schema; those that aren't given have their defaults, and there is no time."""
+    """rows with the columns of the schema; those that aren't given have their defaults, and there is no time. Any others given follow."""
     rest = {
         "timestamp": F.lit(None).cast("long"), "timestamp_end": F.lit(None).cast("long"), "latitude": F.lit(None).cast("double"),
         "longitude": F.lit(None).cast("double"), "confidence": F.lit(1.0), "recovery": F.lit("allocated"), "direction": F.lit("unknown"),
     }
-    return rows.select(*(given.get(c, rest.get(c, F.lit(""))).alias(c) for c in COLUMNS))
+    return rows.select(*(given.get(c, rest.get(c, F.lit(""))).alias(c) for c in COLUMNS), *(v.alias(c) for c, v in given.items() if c not in COLUMNS))
 
 
 def from_documents(documents: DataFrame) -> DataFrame:
