@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from .graph import components, edges
 from .joins import beside
+from .order import in_order
+from .order import previous as before
 
 
 def read_hash_set(spark: SparkSession, path: str, kind: str, name: str) -> DataFrame:
@@ -90,6 +92,21 @@ def verify_chain(entries: DataFrame, seq: str, previous: str, own: str, content)
     return met.withColumn("broken", why).filter("broken is not null").select(seq, "broken")
 
 
+def verify_chains(entries: DataFrame, log: str, seq: str, previous: str, own: str, content) -> DataFrame:
+    """(log, seq, broken) of entries that break the chain of their log: as verify_chain(), for many logs or one that holds nearly all entries.
+
+    Entries are dealt out in ranges of log and seq; the last entry of a range is carried to the first of the next one.
+    """
+    keys, order = (log,), (seq,)
+    t = before(in_order(entries.withColumn("_content", content), keys, order), keys, order, {"_seq": F.col(seq), "_own": F.col(own)})
+    why = (
+        F.when(F.col(own) != F.sha2(F.concat(F.col(previous), F.lit("|"), F.col("_content")), 256), "own digest")
+        .when(F.col(seq) != F.col("_seq") + 1, "gap")
+        .when(F.col("_own") != F.col(previous), "previous digest")
+    )
+    return t.withColumn("broken", why).filter("broken is not null").select(log, seq, "broken")
+
+
 def sign_hash(df: DataFrame, id_column: str, vector: str) -> DataFrame:
     """64 sign bits of a vector, as a long: bit k is that of the sum of the entries k, k + 64, k + 128 and so on."""
     at = lambda k: F.filter(vector, lambda x, i: i % 64 == k)
