@@ -88,15 +88,27 @@ def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     return made
 
 
+def modest_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """From now on whole texts go to Python in batches of so many rows at most, so that neither side holds thousands of long ones at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def rows_under(df: DataFrame, bound: int) -> bool:
     """Whether df has at most bound rows; reads no more than that."""
     return df.limit(bound + 1).count() <= bound
 
 
+def others(df: DataFrame, made: Iterable[str]) -> list[str]:
+    """Names of df's columns but for those named like the ones to be made, in whatever case of letters."""
+    names = {c.lower() for c in made}
+    return [c for c in df.columns if c.lower() not in names]
+
+
 def fresh_columns(df: DataFrame, made: Iterable[str]) -> DataFrame:
     """df without its columns named like those to be made, in whatever case of letters."""
-    names = {c.lower() for c in made}
-    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in names))
+    return df.select(*(F.col(f"`{c}`") for c in others(df, made)))
 
 
 def names_apart(f: Callable) -> Callable:

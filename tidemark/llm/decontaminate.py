@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import names_apart, rows_under, stored, table
+from .common import modest_batches, names_apart, others, rows_under, stored, table
 
 WINDOW = 10
 SHINGLE = 3
@@ -257,17 +258,18 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int
     return stored(hits, "hits"), windows.select("item", "words")
 
 
-def joined_spans(spans: Column) -> Column:
-    """Spans in order and apart, from an array of (start, end)."""
-    kind = "array<struct<start:bigint,end:bigint>>"
+def joined_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, spans): the spans (start, end) of each key in order and apart, those that meet or overlap as one.
 
-    def add(made: Column, x: Column) -> Column:
-        last = F.element_at(made, -1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        apart = (F.size(made) == 0) | (x["start"] > F.try_element_at(made, F.lit(-1))["end"])
-        return F.when(apart, F.concat(made, F.array(x))).otherwise(F.concat(F.slice(made, 1, F.size(made) - 1), F.array(wider)))
-
-    return F.aggregate(F.sort_array(spans), F.array().cast(kind), add)
+    A span begins a new one if it starts after all ends before it; those are numbered by a running sum and joined by a group, so
+    that the work grows with the number of spans, and only what is apart is gathered.
+    """
+    order = W.partitionBy(*keys).orderBy("start", "end")
+    far = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    new = spans.withColumn("_new", F.when(F.col("start") > far, 1).otherwise(0))
+    numbered = new.withColumn("_of", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    apart = numbered.groupBy(*keys, "_of").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return apart.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 @names_apart
@@ -290,11 +292,10 @@ def decontaminate(
     one id count once; a null item_id hits but isn't listed; repeated rows are judged one by one; columns of
     docs with the new names are replaced; an empty table on either side gives what it should: no rows, no hits.
     """
-    kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
+    kept = others(docs, ("n_words", "spans", "items"))
     hits, owners = occurrences(docs, benchmark, window, shingle, most_bits)
     keys = ["t1", "t2"]
-    span = F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("n")).cast("long").alias("end"))
-    spans = hits.groupBy(*keys).agg(joined_spans(F.collect_set(span)).alias("spans"))
+    spans = joined_spans(hits.select(*keys, F.col("pos").alias("start"), (F.col("pos") + F.col("n")).cast("long").alias("end")), keys)
     items = hits.select(*keys, "words").distinct().join(owners.filter("item is not null").distinct(), "words")
     items = items.groupBy(*keys).agg(F.sort_array(F.collect_set("item")).alias("items"))
     of = stored(spans.join(items, keys, "left").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "judged")
@@ -347,6 +348,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and wordless texts stay; a null doc_id is no matter; repeated rows go or stay together; an empty
     table gives an empty one; extra columns stay as they are, whatever their names.
     """
+    modest_batches(spark)
     return without_hits(docs, table(spark, sf_dir, "benchmark"))
 
 

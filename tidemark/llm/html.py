@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import names_apart, stored, table
+from .common import names_apart, others, stored, table
 from .urls import host_of
 
 TOKEN = re.compile(
@@ -491,11 +491,11 @@ def extract(pages: DataFrame) -> DataFrame:
     empty one. A task holds a page, its elements and one batch's wrappers. Pages meet their host's reading in a join that
     splits hot hosts; readings are broadcast only if Spark finds them small.
     """
-    kept = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
+    kept = others(pages, ("html", "text", "n_chars"))
     hosted = pages.select(*kept, F.coalesce("html", F.lit("")).alias("html"), F.coalesce(host_of(F.col("url")), F.lit("")).alias("_host"))
     how = stored(readings(wrappers_of(hosted.select(F.col("_host").alias("host"), "html"))), "readings")
-    met = hosted.join(how.select(F.col("host").alias("_of"), "how"), F.col("_host") == F.col("_of"), "left")
-    met = met.select(*kept, "html", F.col("how").alias("_how"))
+    met = hosted.join(how.select(F.col("host").alias("_of"), F.col("how").alias("_how")), F.col("_host") == F.col("_of"), "left")
+    met = met.select(*kept, "html", "_how")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, known = len(kept), {}

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from .common import WORD, names_apart, rows_under, stored, table
+from .common import WORD, names_apart, others, rows_under, stored, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -110,7 +110,7 @@ def mix(
     A hot source is dealt out over its shards; the table of sources is broadcast if it has at most MOST_SOURCES rows.
     """
     made = ("size", "source_size", "target", "taken")
-    keep = [c for c in docs.columns if c not in made and (with_text or c != "text")]
+    keep = [c for c in others(docs, made) if with_text or c != "text"]
     identity = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
     token = F.md5(F.concat(F.lit(f"{seed}:"), *identity))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -131,7 +131,7 @@ def mix(
     sources = sources.withColumn("_shards", F.ceil(F.col("_docs") / docs_per_shard).cast("long"))
 
     sources = stored(sources, "sources")
-    named = sources.withColumnRenamed("source", "_source")
+    named = sources.select(F.col("source").alias("_source"), "source_size", "target", "_block", "_quota", "_shards")
     # else the join would deal all rows by source, the hot one's to one task
     named = F.broadcast(named) if rows_under(named, MOST_SOURCES) else named
 
@@ -189,7 +189,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @names_apart
 def repeated(docs: DataFrame) -> DataFrame:
-    own = {c: f"_kept_{c}" for c in docs.columns if c in ("size", "source_size", "target", "taken")}
+    own = {c: f"_kept_{c}" for c in docs.columns if c.lower() in ("size", "source_size", "target", "taken")}
     mixed = mix(docs.withColumnsRenamed(own), with_text=True)
     times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     made = mixed.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))

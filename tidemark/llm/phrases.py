@@ -19,11 +19,11 @@ MOST_WORDS = 3
 TOP = 2000
 #: Percent of a phrase's occurrences that lie in one longer candidate, from which on the phrase goes.
 ABSORBED = 50
-SHARDS = 3
+SHARDS = 2
 #: Buckets of the table of activations, a byte each, 16 MB.
 BUCKETS = 1 << 24
 #: Bytes of text that are split at once, and words that are counted at once.
-PIECE, COUNTED = 1 << 20, 1 << 21
+PIECE, COUNTED = 1 << 20, 1 << 22
 #: Words that a task tells apart by number at once.
 MOST_KNOWN = 400_000
 SEPARATOR, NOTHING, NEVER = 0, 1, 255
@@ -38,6 +38,17 @@ def code(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (made ^ (made >> SHIFT)) * FACTOR
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, the number of each among them for every place, and how often each occurs."""
+    order = np.argsort(keys)
+    line = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
+    n = np.diff(np.append(starts, len(line)))
+    number = np.empty(len(line), dtype=np.int64)
+    number[order] = np.repeat(np.arange(len(starts)), n)
+    return line[starts], order[starts], number, n
+
+
 class Known(dict):
     """Words of a language by number, in order of appearance, and their codes. 0 ends a piece, 1 is no word."""
 
@@ -124,7 +135,7 @@ class Scan:
             else:
                 a, b = number[:-1], number[1:]
                 at = np.flatnonzero((a >= 0) & (b >= 0))
-                keys, first, inverse, n = np.unique(a[at] << 32 | b[at], return_index=True, return_inverse=True, return_counts=True)
+                keys, first, inverse, n = grouped(a[at] << 32 | b[at])
                 if not len(keys):
                     return
                 first = at[first]
@@ -225,7 +236,9 @@ def frequent(docs: DataFrame, min_count: int = MIN_COUNT, most_words: int = MOST
         new = scanned(parts.filter(F.col("shard") == step % shards).select("lang", "text"), shared, step, shards, most_words)
         new = new.withColumn("reach", F.lit(None).cast("int"))
         both = new if live is None else live.unionByName(new)
-        summed = both.groupBy("lang", "phrase", "k", "start").agg(F.sum("n").alias("n"), F.max("reach").alias("reach"))
+        # tasks have counted by themselves already: rows are dealt out first and then summed, not summed twice
+        dealt = both.repartition("lang", "phrase")
+        summed = dealt.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.max("start").alias("start"), F.sum("n").alias("n"), F.max("reach").alias("reach"))
         reach = F.when(F.col("n") >= min_count, F.coalesce("reach", F.lit(step)))
         summed = stored(summed.withColumn("reach", reach), "counts")
         shared.unpersist()

@@ -11,9 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, UPPER, names_apart, rows_under, stored, table
+from .common import LOWER, UPPER, modest_batches, names_apart, others, rows_under, stored, table
 from .components import components
 
 SEED = 42
@@ -78,7 +79,7 @@ def simhash(text: bytes | None, k: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     """docs without its text, with fingerprint (long). Null and wordless texts get 0. Nothing is shuffled."""
-    keep = [c for c in docs.columns if c not in ("text", "fingerprint")]
+    keep = others(docs, ("text", "fingerprint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,6 +268,7 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     one group; a null doc_id is after all others; rows repeated in full all have the same stays; an empty
     table gives an empty one.
     """
+    modest_batches(docs.sparkSession)
     node = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     given = docs.select("doc_id", node.alias("node"), F.col("text").cast("binary").alias("text"))
     common, times = common_shingles(given, shingle_words)
@@ -346,8 +348,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays, once.
 
     Null and empty texts are one group, of which one stays; a null doc_id stays only if its group has no other; of rows
-    with that doc_id and text one stays, whichever of them where other columns differ; an empty table gives an
-    empty one; extra columns stay as they are, whatever their names.
+    with that doc_id and text one stays, where other columns differ the one of the least hash of them (maps apart); an empty table
+    gives an empty one; extra columns stay as they are, whatever their names.
     """
     return first_of_group(docs)
 
@@ -360,5 +362,9 @@ def first_of_group(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn("_text", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_node")), "left_semi")
     if not found.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_text"])
+        tied = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, (MapType, VariantType))]
+        kept = kept.withColumn("_tie", F.xxhash64(*tied))
+        least = kept.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_node")).agg(F.min("_tie").alias("_least"))
+        first = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_node")) & (F.col("_tie") == F.col("_least"))
+        kept = kept.join(least, first, "left_semi").dropDuplicates(["doc_id", "_text"])
     return kept.select(docs.columns)

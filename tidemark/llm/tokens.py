@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import names_apart, table
+from .common import names_apart, others, table
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -128,7 +128,7 @@ def count_tokens(docs: DataFrame, content: bytes, chunk: int = CHUNK, overlap: i
     strings inside texts count as the tokenizer has them. A null text is empty and has no tokens; repeated rows are counted
     one by one; columns of docs with the new names are replaced; an empty table gives an empty one. Nothing is shuffled.
     """
-    kept = [c for c in docs.columns if c not in ("text", "n_bytes", "n_tokens")]
+    kept = others(docs, ("text", "n_bytes", "n_tokens"))
     given = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_text"))
     given = given.withColumn("n_bytes", F.octet_length("_text").cast("long"))
     given = given.select(*kept, "n_bytes", F.lit(0).cast("long").alias("n_tokens"), "_text")

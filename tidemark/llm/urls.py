@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, dropped, names_apart, stored, table
+from .common import ascii_lower, dropped, names_apart, others, stored, table
 
 #: (host, path, verdict) of the contract.
 RULES = (
@@ -103,7 +103,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, major
     before they meet.
     """
     new = ("html", "host", "path", "rule", "verdict", "trust", "distrust")
-    kept = [c for c in pages.columns if c not in new]
+    kept = others(pages, new)
     known = ruled(pages.select(*kept, F.col("html").alias("html") if "html" in pages.columns else F.lit(None).cast("string").alias("html")), rules)
     count = lambda what: F.count(F.when(F.col("_by_rule") == what, 1))
     hosts = known.filter("host <> ''").groupBy("host").agg(count("allow").alias("a"), count("block").alias("b"))
