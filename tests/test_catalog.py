@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tidemark.plans import catalog, files, networks, reports  # noqa: F401
+from tidemark.plans import boards, catalog, files, networks, reports  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 

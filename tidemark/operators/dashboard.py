@@ -101,6 +101,102 @@ def normalised(counted: DataFrame, n: str = "n") -> DataFrame:
     return beside(counted, peak).withColumn("pct", F.round(100 * F.col(n) / F.col("_peak"), 1)).drop("_peak")
 
 
+#: The tiles that show their first labels only, and how many; the others show all of theirs.
+MOST_SHOWN = {"subtypes": 24, "media": 12, "domains": 14, "ssids": 12, "accounts": 12, "message_apps": 12, "web_subtypes": 8, "places": 80}
+
+
+def tiles(df: DataFrame, offset_minutes: int = 0) -> DataFrame:
+    """(tile, label, n, sample): every tile of the analysis dashboard from one pass over the artifacts, labels by number and then by name.
+
+    subtypes, media, media_located, domains, ssids, accounts, message_apps, call_directions, call_durations, web_subtypes, weekday_hour (Sunday 0),
+    day_category, places (thousandths of a degree, with the first artifact as sample) and with_payload. Each row is counted under the
+    tiles that it belongs to, partly before anything is shuffled. Blank labels aren't shown, and of MOST_SHOWN's tiles only
+    the first labels are; ranks are cut in each task before a tile's labels meet.
+    """
+    kind = lambda *names: F.col("category").isin(*names)
+    named = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    attribute = lambda n: F.nullif(F.get_json_object("attributes", f"$.{n}"), F.lit(""))
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    t = timex.shifted(F.col("timestamp"), offset_minutes)
+    s = (F.col("timestamp_end") - F.col("timestamp")) / 1_000_000
+    band = F.when(s < 10, "<10s").when(s < 60, "10-60s").when(s < 300, "1-5m").when(s < 900, "5-15m").otherwise(">15m")
+    shown = {
+        "subtypes": F.concat_ws(" · ", "category", named("subtype", "(none)")),
+        "media": F.when(kind("Files & Media"), named("subtype", "File")),
+        "media_located": F.when(kind("Files & Media"), F.when(located, "located").otherwise("not located")),
+        "domains": F.when(kind("Web"), attribute("domain")),
+        "ssids": F.when(kind("Networks"), F.coalesce(attribute("ssid"), F.nullif("body", F.lit("")))),
+        "accounts": F.when(kind("Accounts"), F.coalesce(attribute("account_name"), named("app", "account"))),
+        "message_apps": F.when(kind("Messages", "Chats"), named("app", "(unknown app)")),
+        "call_directions": F.when(kind("Calls"), F.col("direction")),
+        "call_durations": F.when(kind("Calls"), F.when(F.coalesce(s, F.lit(0.0)) <= 0, "unknown").otherwise(band)),
+        "web_subtypes": F.when(kind("Web"), named("subtype", "Visit")),
+        "weekday_hour": F.concat_ws(" ", F.dayofweek(t) - 1, F.hour(t)),
+        "day_category": F.concat_ws(" ", F.date_format(t, "yyyy-MM-dd"), "category"),
+        "places": F.when(located, F.concat_ws(",", *(F.format_string("%.3f", F.floor(F.col(c) * 1000 + 0.5) / 1000) for c in ("latitude", "longitude")))),
+        "with_payload": F.when(F.col("blob_sha256") != "", "payload"),
+    }
+    dated = ("weekday_hour", "day_category")
+    pairs = F.array(*(F.struct(F.lit(k).alias("tile"), (F.when(F.col("timestamp").isNotNull(), c) if k in dated else c).alias("label")) for k, c in shown.items()))
+    each = df.select("artifact_id", F.inline(pairs)).filter("trim(label) <> ''")
+    counted = each.groupBy("tile", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("tile") == "places", F.col("artifact_id"))).alias("sample"))
+    some = counted.filter(F.col("tile").isin(*MOST_SHOWN))
+    rank = F.row_number().over(W.partitionBy("tile").orderBy(F.col("n").desc(), "label"))
+    most = F.create_map(*(F.lit(x) for kv in MOST_SHOWN.items() for x in kv))[F.col("tile")]
+    first = some.withColumn("_rank", rank).filter(F.col("_rank") <= max(MOST_SHOWN.values())).filter(F.col("_rank") <= most).drop("_rank")
+    return first.unionByName(counted.filter(~F.col("tile").isin(*MOST_SHOWN)))
+
+
+def triage(summary: DataFrame, files: DataFrame) -> DataFrame:
+    """(exhibit, level, alert, n): what an examiner is told first, from case_summary() and stores (exhibit, path, notes) that may be encrypted.
+
+    Encrypted stores are known by their names and notes. An exhibit of no artifacts has no summary and shows by its stores alone.
+    """
+    marks = "sqlcipher|encrypted|crypt12|crypt14|crypt15|not decoded|key required"
+    closed = files.filter(F.rlike(F.lower(F.concat_ws(" ", "path", "notes")), F.lit(marks))).groupBy("exhibit").agg(F.count(F.lit(1)).alias("closed"))
+    met = summary.select("exhibit", "n", "deleted", "gap").join(closed, "exhibit", "full")
+    say = lambda level, alert, n: F.struct(F.lit(level).alias("level"), F.lit(alert).alias("alert"), n.cast("long").alias("n"))
+    told = F.array(
+        F.when(F.col("deleted") > 0, say("high", "recovered deleted records", F.col("deleted"))),
+        F.when(F.col("closed") > 0, say("warn", "encrypted stores", F.col("closed"))),
+        F.when(F.coalesce("n", F.lit(0)) == 0, say("warn", "nothing decoded", F.lit(0))),
+        F.when(F.col("gap") != "", say("warn", "communications gap", F.lit(1))),
+    )
+    return met.select("exhibit", F.inline(F.array_compact(told)))
+
+
+#: What next_steps() reads of a case; what a table of facts lacks is taken as nothing.
+FACTS = {
+    "gap": "", "vivo": False, "messages": 0, "contacts": 0, "calls": 0, "method": "", "coverage_pct": 0.0, "folders_missing": 0, "backups_tried": 0,
+    "backups_opened": 0, "encrypted": 0, "vaults": 0, "owners": 0, "findings": 0, "critical": 0, "high": 0,
+}
+
+
+def next_steps(facts: DataFrame, case: str, most: int = 10) -> DataFrame:
+    """(case, rank, step, severity): what to do next on each case, in the order of the rules; facts has a row a case, with any of FACTS."""
+    have = {c: F.coalesce(F.col(c), F.lit(v)) if c in facts.columns else F.lit(v) for c, v in FACTS.items()}
+    f = lambda c: have[c]
+    say = lambda when, step, severity: F.when(when, F.struct(F.lit(step).alias("step"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity")))
+    none_found = f("findings") == 0
+    steps = F.array_compact(
+        F.array(
+            say(f("gap") != "", "close the gap in communications", "high"),
+            say(f("vivo") & (f("messages") > 0) & (f("contacts") == 0) & (f("calls") == 0), "review fallback sources", "medium"),
+            say((F.lower(f("method")) == "mtp") & (f("messages") == 0), "acquire again with debugging", "high"),
+            say((f("coverage_pct") > 0) & (f("coverage_pct") < 35), "low decode coverage", "medium"),
+            say(f("folders_missing") > 0, "copy is incomplete", "high"),
+            say((f("backups_tried") > 0) & (f("backups_opened") == 0), "backup needs its key", "high"),
+            say(f("backups_opened") > 0, "decode opened backups", "medium"),
+            say((f("encrypted") > 0) | (f("vaults") > 0), "review signs of hiding", F.when(f("encrypted") > 0, "high").otherwise("medium")),
+            say(none_found & (f("owners") > 0), "run the rules with the owner's identity", "medium"),
+            say(none_found & (f("owners") == 0), "run the rules", "low"),
+            say((f("critical") > 0) | (f("high") > 0), "review grave findings", F.when(f("critical") > 0, "critical").otherwise("high")),
+            say(f("encrypted") > 0, "content of encrypted stores is missing", "critical"),
+        )
+    )
+    return facts.select(case, F.posexplode(F.slice(steps, 1, most)).alias("_k", "_s")).select(case, (F.col("_k") + 1).alias("rank"), "_s.step", "_s.severity")
+
+
 def slices(df: DataFrame) -> DataFrame:
     """(slice, label, n): the tiles of the dashboard in one pass, each row of df counted once in each."""
     tiles = {

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, timex
-from . import correlate, entities, fusion, graph, places, threads, timeline
+from . import correlate, entities, fusion, graph, joins, places, threads, timeline
 
-SEVERITY = {"info": 0, "low": 1, "medium": 2, "high": 3}
+SEVERITY = {"info": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
 RULES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -226,10 +227,89 @@ def entity_findings(df: DataFrame) -> DataFrame:
     )
 
 
+@rule("vivo.comms_fallback", "medium", 0.75, "Common on some makes; no sign of concealment.")
+def comms_fallback(df: DataFrame) -> DataFrame:
+    """Exhibits with messages but without calls or contacts, whose communications came from fallback sources."""
+    count = lambda c: F.count(F.when(c, 1))
+    paths = F.rlike(F.lower("source_path"), F.lit(r"dumpsys|vivobackup|content/|comms_logical|smsbackup|\.vcf"))
+    kind = F.col("category")
+    by = df.filter(kind.isin("Messages", "Contacts", "Calls")).groupBy("exhibit").agg(count(kind == "Messages").alias("m"), count(kind == "Contacts").alias("c"), count(kind == "Calls").alias("k"), count(paths).alias("n"))
+    return by.filter("m > 0 and (c = 0 or k = 0) and n > 0").select(F.col("exhibit").alias("subject"), "n")
+
+
+def _told(found: DataFrame, rule_id: Column | str, severity: Column | str, confidence: float, caveat: str) -> DataFrame:
+    """Findings from (subject, n)."""
+    level = severity if isinstance(severity, Column) else F.lit(severity)
+    rank = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))[level]
+    name = rule_id if isinstance(rule_id, Column) else F.lit(rule_id)
+    return found.select(name.alias("rule_id"), F.col("subject").cast("string").alias("subject"), F.col("n").cast("long").alias("n"), level.alias("severity"), (rank + F.lit(confidence)).alias("score"), F.lit(caveat).alias("caveat"))
+
+
+def hashset_findings(screened: DataFrame) -> DataFrame:
+    """Findings of digests.screen(): files of known bad sets, critical, and of known good ones, for information; one a set."""
+    hit = screened.filter("verdict in ('known-bad', 'known-good')").groupBy("verdict", F.col("set_name").alias("subject")).agg(F.count(F.lit(1)).alias("n"))
+    bad = F.col("verdict") == "known-bad"
+    name = F.when(bad, "hashset.known_bad").otherwise("hashset.known_good")
+    return _told(hit, name, F.when(bad, "critical").otherwise("info"), 0.9, "As good as the list that the digest is on.")
+
+
+def media_findings(images: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Findings of pictures: images (id, exhibit, digest, hash), clusters (node, root) of those that look alike, as digests.clusters() gives.
+
+    media.re_encoded_duplicates: a cluster of several digests; media.cross_exhibit_images: one on several exhibits; media.perceptual_unavailable:
+    images without a hash, which no cluster can hold.
+    """
+    met = images.join(clusters.select(F.col("node").alias("id"), "root"), "id").groupBy("root").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("digest").alias("files"), F.count_distinct("exhibit").alias("exhibits")
+    ).withColumn("subject", F.col("root"))
+    wide = F.col("exhibits") > 1
+    alike = "The same picture is not the same file; much of what circulates recurs."
+    again = _told(met.filter("files > 1"), "media.re_encoded_duplicates", F.when(wide, "high").otherwise("medium"), 0.85, alike)
+    cross = _told(met.filter(wide), "media.cross_exhibit_images", "high", 0.8, alike)
+    without = images.filter("hash is null").agg(F.count(F.lit(1)).alias("n")).filter("n > 0").withColumn("subject", F.lit("images"))
+    return again.unionByName(cross).unionByName(_told(without, "media.perceptual_unavailable", "info", 0.9, "No match says nothing of these."))
+
+
+def name_findings(people: DataFrame, least: float = 0.86) -> DataFrame:
+    """correlate.name_similarity: like names under different keys on different exhibits; people (exhibit, key, name).
+
+    Two who are one key on any exhibit, or share a key, are not told of: the key has joined them already.
+    """
+    pairs = correlate.similar_names(people.select("key", "name"), least)
+    of = people.select("key", "exhibit").distinct()
+    side = lambda s: of.select(F.col("key").alias(f"key_{s}"), F.col("exhibit").alias(f"exhibit_{s}"))
+    apart = pairs.join(side("a"), "key_a").join(side("b"), "key_b").filter("exhibit_a <> exhibit_b")
+    found = apart.groupBy(F.concat_ws("~", "key_a", "key_b").alias("subject")).agg(F.count(F.lit(1)).alias("n"))
+    return _told(found, "correlate.name_similarity", "low", 0.4, "Common names are alike; a prompt to look.")
+
+
+def community_findings(e: DataFrame, labels: DataFrame, owner: str, least: int = 3) -> DataFrame:
+    """graph.communities: groups of at least so many without the owner, if the communities (node, label) of edges e mean something."""
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("node") == owner).alias("_owner"))
+    met = joins.beside(sizes, graph.meaningful(e, labels).select("meaningful"))
+    return _told(met.filter(f"meaningful and n >= {least} and not _owner").withColumn("subject", F.col("label")), "graph.communities", "medium", 0.65, "Family and colleagues are groups too.")
+
+
+def engine_errors(spark: SparkSession, failed: dict[str, str]) -> DataFrame:
+    """engine.error.<rule>: a finding for each rule that failed, with why, so that nobody takes its silence for an answer."""
+    made = spark.createDataFrame(sorted(failed.items()), "rule string, subject string").withColumn("n", F.lit(1))
+    return _told(made, F.concat(F.lit("engine.error."), "rule"), "info", 1.0, "The rule did not run.")
+
+
 def findings(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Findings of the rules, of fusion and of entities, by score and rule. Rules read df each on its own: store or cache it first if it is dear."""
-    chosen = names or sorted(RULES)
-    out = reduce(lambda a, b: a.unionByName(b), (RULES[n](df) for n in chosen))
+    """Findings of the rules, of fusion and of entities, by score and rule. Rules read df each on its own: store or cache it first if it is dear.
+
+    A rule that can't be planned on df, for want of a column say, is a finding of its own and the others go on.
+    """
+    planned, failed = [], {}
+    for n in names or sorted(RULES):
+        try:
+            planned.append(RULES[n](df))
+        except AnalysisException as e:
+            failed[n] = str(e).split("\n")[0][:200]
+    if failed or not planned:
+        planned.append(engine_errors(df.sparkSession, failed))
+    out = reduce(lambda a, b: a.unionByName(b), planned)
     if names is None:
         out = out.unionByName(fused(df)).unionByName(entity_findings(df))
     return out.orderBy(F.col("score").desc(), "rule_id", F.col("n").desc(), "subject")

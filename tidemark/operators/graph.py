@@ -142,41 +142,57 @@ def modularity(e: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def betweenness(e: DataFrame, max_depth: int = 64) -> DataFrame:
+def betweenness(e: DataFrame, max_depth: int = 64, sources: int = 1_024) -> DataFrame:
     """(node, betweenness), 0 to 1: share of the shortest paths between two others that pass a node, unweighted.
 
-    All sources at once: a frontier of (source, node, paths) grows by one step a round and is counted back from
-    the last step to the first. Rows are as many as pairs that reach each other, in the nature of the measure,
-    and spread by source and node.
+    Sources are taken so many at a time. From those a frontier of (source, node, paths) grows by one step a round and is counted back
+    from the last step to the first; then its tables are deleted and only the sums by node stay, so what is held is as many rows as
+    a batch of sources reaches nodes, whatever the number of sources. The work is that of all sources on all edges, in the nature of the measure.
     """
-    both = mirrored(e).select(F.col("node").alias("v"), "other").distinct()
-    frontier = checkpointed(both.select("v").distinct().select(F.col("v").alias("s"), "v", F.lit(1.0).alias("paths")))
-    n = frontier.count()
-    levels, seen = [frontier], frontier.select("s", "v")
+    both = checkpointed(mirrored(e).select(F.col("node").alias("v"), "other").distinct())
+    nodes = checkpointed(numbered(both.select("v").distinct(), [F.col("v")], "nth"))
+    n = nodes.count()
+    sums = []
+    for first in range(0, n, sources):
+        own = nodes.filter((F.col("nth") > first) & (F.col("nth") <= first + sources))
+        sums.append(_dependencies(both, own, max_depth))
+    total = None if not sums else sums[0]
+    for x in sums[1:]:
+        total = total.unionByName(x)
+    named = nodes.select(F.col("v").alias("node"))
+    if total is None:
+        return named.withColumn("betweenness", F.lit(0.0))
+    total = total.groupBy("node").agg(F.sum("share").alias("share"))
+    pairs = float(max(1, (n - 1) * (n - 2)))
+    return named.join(total, "node", "left").select("node", F.round(F.coalesce("share", F.lit(0.0)) / pairs, 5).alias("betweenness"))
+
+
+def _dependencies(both: DataFrame, sources: DataFrame, max_depth: int) -> DataFrame:
+    """(node, share): what paths from some sources pass each node, stored; all else that was stored on the way is deleted."""
+    levels = [checkpointed(sources.select(F.col("v").alias("s"), "v", F.lit(1.0).alias("paths")))]
+    seen = levels[0].select("s", "v")
     for _ in range(max_depth):
         step = levels[-1].join(both, "v").groupBy("s", F.col("other").alias("v")).agg(F.sum("paths").alias("paths"))
         step = checkpointed(step.join(seen, ["s", "v"], "left_anti"))
+        levels.append(step)
         if step.isEmpty():
             break
-        levels.append(step)
         seen = seen.unionByName(step.select("s", "v"))
     else:
         raise RuntimeError(f"paths of more than {max_depth} steps")
-    found = None
-    later = levels[-1].withColumn("share", F.lit(0.0))
+    made, later = [], levels[-1].withColumn("share", F.lit(0.0))
     for before in reversed(levels[:-1]):
         back = later.select("s", "v", F.col("paths").alias("_p"), F.col("share").alias("_d")).join(both, "v")
         back = back.select("s", F.col("other").alias("v"), ((1 + F.col("_d")) / F.col("_p")).alias("part"))
         gained = before.join(back, ["s", "v"]).groupBy("s", "v").agg((F.first("paths") * F.sum("part")).alias("share"))
         later = checkpointed(before.join(gained, ["s", "v"], "left").withColumn("share", F.coalesce("share", F.lit(0.0))))
-        own = later.filter("s <> v").groupBy(F.col("v").alias("node")).agg(F.sum("share").alias("share"))
-        found = own if found is None else found.unionByName(own)
-    nodes = both.select(F.col("v").alias("node")).distinct()
-    if found is None:
-        return nodes.withColumn("betweenness", F.lit(0.0))
-    total = found.groupBy("node").agg(F.sum("share").alias("share"))
-    pairs = float(max(1, (n - 1) * (n - 2)))
-    return nodes.join(total, "node", "left").select("node", F.round(F.coalesce("share", F.lit(0.0)) / pairs, 5).alias("betweenness"))
+        made.append(later)
+    found = made[0]
+    for x in made[1:]:
+        found = found.unionByName(x)
+    kept = checkpointed(found.filter("s <> v").groupBy(F.col("v").alias("node")).agg(F.sum("share").alias("share")))
+    discarded(*levels, *made)
+    return kept
 
 
 def community_report(e: DataFrame, labels: DataFrame) -> DataFrame:

@@ -28,9 +28,10 @@ def hourly(df: DataFrame, offset_minutes: int = 0) -> DataFrame:
     return spine.join(counted.filter("hour is not null"), "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def by_weekday(df: DataFrame) -> DataFrame:
-    """Counts with Sunday as 0."""
-    day = (F.dayofweek(timex.at(F.col("timestamp"))) - 1).alias("weekday")
+def by_weekday(df: DataFrame, monday_first: bool = False) -> DataFrame:
+    """Counts with Sunday as 0, or Monday if it comes first."""
+    at = timex.at(F.col("timestamp"))
+    day = (F.weekday(at) if monday_first else F.dayofweek(at) - 1).alias("weekday")
     return df.groupBy(day).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -72,6 +73,15 @@ def overview(df: DataFrame) -> DataFrame:
     )
 
 
+def call_seconds(df: DataFrame) -> DataFrame:
+    """(app, direction) with calls, those answered, seconds, their mean and the longest."""
+    s = F.floor((F.col("timestamp_end") - F.col("timestamp")) / 1_000_000)
+    spoken = F.when(s > 0, s)
+    return df.filter("category = 'Calls'").groupBy("app", "direction").agg(
+        F.count(F.lit(1)).alias("calls"), F.count(spoken).alias("answered"), F.coalesce(F.sum(spoken), F.lit(0)).alias("seconds"), F.round(F.avg(spoken), 1).alias("mean"), F.max(spoken).alias("longest")
+    )
+
+
 def duration_bands(calls: DataFrame) -> DataFrame:
     s = (F.col("timestamp_end") - F.col("timestamp")) / 1_000_000
     band = F.when(s < 10, "under 10 s").when(s < 60, "under 1 min").when(s < 300, "under 5 min").otherwise("longer")
