@@ -38,7 +38,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_ITSELF = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
-FURNITURE = frozenset("head nav header footer aside form button select option label dialog menu noscript template svg".split())
+FURNITURE = frozenset("head nav header footer aside form button select option dialog menu noscript template svg".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 #: Words in class and id attributes that name page furniture.
 FURNITURE_WORDS = frozenset(
@@ -46,7 +46,16 @@ FURNITURE_WORDS = frozenset(
     "header masthead menu modal nav navbar navigation newsletter notice notices popup promo related replies respond share sharing "
     "sidebar skip social sponsor sponsored subscribe toc toolbar widget".split()
 )
+#: Words that stand beside those in names of furniture, and say only where it is or how it is built.
+PLACE_WORDS = frozenset(
+    "and area articles bar block body bottom box btn button buttons card col column container content entries first form global grid group head holder home "
+    "icon icons inline inner item items js last layout left line link links list local main major message mobile module nav no outer overlay page panel placeholder "
+    "post posts primary rail region right row secondary section side signup site slot stories sticky sub text the title top unit up view wrap wrapper zone".split()
+)
 MAIN_WORDS = frozenset("article articlebody content entry main post story body".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that hold no others: their text counts for the container around them.
+PLAIN = HEADINGS | {"p", "li"}
 #: Elements that hold blocks, of which one may be the article.
 CONTAINER = frozenset("html body div section main article table tbody tr td center form".split())
 #: Elements that aren't told apart by class or id.
@@ -59,8 +68,18 @@ DEEPEST = 150
 COUNTED = 256
 
 
+def names_furniture(name: str) -> bool:
+    """Whether a class or id names page furniture: one of its parts does, and the others only say where or how (related-posts, not related-work)."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    return any(x in FURNITURE_WORDS for x in parts) and all(x in FURNITURE_WORDS or x in PLACE_WORDS for x in parts)
+
+
 def label(tag: str, attributes: str) -> str:
-    """Name of the element in wrappers: tag, words of class and id, and =main, =likely or =off by what they say."""
+    """Name of the element in wrappers: tag, words of class and id, and =main, =likely or =off by what they say.
+
+    =maybe: a part of a name is a word for furniture, but the name as a whole may as well be the article's own. What the
+    element holds over all pages of the host decides then, see reading().
+    """
     words: set[str] = set()
     whole: set[str] = set()
     role = ""
@@ -78,10 +97,12 @@ def label(tag: str, attributes: str) -> str:
     name = tag if tag in BARE else ".".join([tag, *sorted(w for w in whole if w)])
     if tag in ("article", "main"):
         return name + ("=off" if whole & FURNITURE_WORDS or role == "off" else "=main")
-    if tag in FURNITURE or role == "off" or words & FURNITURE_WORDS:
+    if tag in FURNITURE or role == "off" or any(map(names_furniture, whole)):
         return name + "=off"
     if role == "main":
         return name + "=main"
+    if words & FURNITURE_WORDS:
+        return name + "=maybe"
     return name + "=likely" * (tag in ("div", "section", "td") and bool(words & MAIN_WORDS))
 
 
@@ -258,7 +279,7 @@ class Wrapper:
             elif kind == "close":
                 stack.pop()
                 links -= what == "a"
-        for text in {xxhash.xxh64_intdigest(b[0]) >> 11 for b in blocks(page)}:
+        for text in {xxhash.xxh64_intdigest(x[0]) >> 11 for x in blocks(page)}:
             self.often[text] = self.often.get(text, 0) + 1
         self.trim()
 
@@ -295,15 +316,29 @@ def sizes(e: Element, found: dict[int, tuple[int, int]]) -> tuple[int, int]:
     return inner, every
 
 
+def listed(e: Element, found: dict[int, tuple[int, int]]) -> tuple[int, int]:
+    """Characters in an element and all below, and those of them in links."""
+    chars, linked = e.chars, e.linked
+    for kid in e.kids.values():
+        a, b = listed(kid, found)
+        chars, linked = chars + a, linked + b
+    found[id(e)] = (chars, linked)
+    return chars, linked
+
+
 def reading(wrapper: Wrapper) -> dict:
-    """How pages of a host are read: regions, the article's place by kind and path, best first; often, the template's texts.
+    """How pages of a host are read: regions, the article's place by kind and path, best first; often, the template's texts; off, furniture by path.
+
+    An element whose name may be furniture's is so if most of the text in its place, over all pages of the host, is in links.
 
     An element marked as main that holds most text comes first, or the one in it that holds most of that; then one whose
     name hints at content and which holds half of a page's text; then one marked so within furniture, if it
     holds half of a page's text; at last the innermost element that still holds nearly all text.
     """
-    root, of = wrapper.root, {}
+    root, of, links = wrapper.root, {}, {}
     sizes(root, of)
+    listed(root, links)
+    furniture: list[tuple[str, ...]] = []
     total = of[id(root)][1] / max(1, root.n)
     found: dict[str, list[tuple]] = defaultdict(list)
 
@@ -316,6 +351,8 @@ def reading(wrapper: Wrapper) -> dict:
                     found["hidden" if off else "main"].append((inner, at, kid))
                 elif name.endswith("=likely") and not off:
                     found["likely"].append((inner, at, kid))
+                if name.endswith("=maybe") and 2 * links[id(kid)][1] > links[id(kid)][0]:
+                    furniture.append(at)
                 visit(kid, at, off or name.endswith("=off"))
 
     visit(root, (), False)
@@ -343,22 +380,24 @@ def reading(wrapper: Wrapper) -> dict:
         e, path = e.kids[best], (*path, best)
     regions.append(("any", path))
     half = root.n / 2 - root.n / (COUNTED + 1)
-    return {"regions": regions, "often": [k for k, n in wrapper.often.items() if root.n >= 4 and n >= half]}
+    return {"regions": regions, "often": [k for k, n in wrapper.often.items() if root.n >= 4 and n >= half], "off": furniture}
 
 
-def blocks(page: list[tuple[str, str, str]], kind: str = "any", path: tuple[str, ...] = ()) -> Iterator[tuple[str, int, int, int]]:
-    """(text, characters in links, container, instance) of the blocks at a path of a page, without furniture below it."""
+def blocks(
+    page: list[tuple[str, str, str]], kind: str = "any", path: tuple[str, ...] = (), furniture: frozenset = frozenset()
+) -> Iterator[tuple[str, int, int, int, bool]]:
+    """(text, characters in links, container, instance, heading) of the blocks at a path of a page, without furniture below it."""
     part: list[str] = []
     linked, links, made = 0, 0, 0
     stack: list[str] = []
     holders = [0]
     inside, off, instance = not path, 0, 0
 
-    def end() -> Iterator[tuple[str, int, int, int]]:
+    def end() -> Iterator[tuple[str, int, int, int, bool]]:
         nonlocal linked
         line = " ".join(entities.unescape("".join(part)).split())
         if line:
-            yield line, linked, holders[-1], instance
+            yield line, linked, holders[-1], instance, bool(stack) and re.split("[.=]", stack[-1])[0] in HEADINGS
         part.clear()
         linked = 0
 
@@ -375,19 +414,19 @@ def blocks(page: list[tuple[str, str, str]], kind: str = "any", path: tuple[str,
             yield from end()
         if event == "open":
             stack.append(name)
-            if inside and (off or name.endswith("=off") and not (what == "header" and kind != "any")):
+            if inside and (off or name.endswith("=maybe") and tuple(stack) in furniture or name.endswith("=off") and not (what == "header" and kind != "any")):
                 off += 1
             elif not inside and len(stack) == len(path) and tuple(stack) == path:
                 inside, instance = True, instance + 1
             links += what == "a"
-            if what in BLOCK and what not in ("p", "li"):
+            if what in BLOCK and what not in PLAIN:
                 made += 1
                 holders.append(made)
         elif event == "close":
             stack.pop()
             off -= off > 0
             links -= what == "a"
-            if what in BLOCK and what not in ("p", "li"):
+            if what in BLOCK and what not in PLAIN:
                 holders.pop()
             if inside and len(stack) < len(path):
                 inside = False
@@ -399,38 +438,47 @@ def main_text(page: str, how: dict | None = None) -> str:
     walk = list(walked(page))
     if how is not None:
         for kind, path in how["regions"]:
-            text = region_text(walk, kind, tuple(path), set(how["often"]))
+            text = region_text(walk, kind, tuple(path), set(how["often"]), frozenset(map(tuple, how["off"])))
             if text:
                 return text
     own = Wrapper()
     own.align(walk)
-    for kind, path in reading(own)["regions"]:
-        text = region_text(walk, kind, path, set())
+    alone = reading(own)
+    for kind, path in alone["regions"]:
+        text = region_text(walk, kind, path, set(), frozenset(alone["off"]))
         if text:
             return text
     return ""
 
 
-def region_text(walk: list[tuple[str, str, str]], kind: str, path: tuple[str, ...], often: set[int]) -> str:
-    """The text at a path. Of several elements there those that hold a quarter of the largest one's text or more.
+def region_text(walk: list[tuple[str, str, str]], kind: str, path: tuple[str, ...], often: set[int], furniture: frozenset) -> str:
+    """The text at a path. Of several elements there those go of which most text is in links, unless all are so.
 
-    Where no name marks the article, menus go, as containers of which most text is in links, and so do the texts
-    that half of the host's pages share, unless they are all there is.
+    Where no name marks the article, menus go, as containers of which most text is in links, and so do texts that half of
+    the host's pages share. Such a text stays where it stands in the article: in a container that has texts of the page's own,
+    between those, or as a heading before them.
     """
-    found = list(blocks(walk, kind, path))
+    found = list(blocks(walk, kind, path, furniture))
     if kind != "any":
-        held: dict[int, int] = defaultdict(int)
-        for text, linked, _, instance in found:
-            held[instance] += max(0, len(text) - linked)
-        most = max(held.values(), default=0)
-        return "\n".join(text for text, _, _, instance in found if 4 * held[instance] >= most)
+        held: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+        for text, linked, _, instance, _ in found:
+            held[instance][0] += len(text)
+            held[instance][1] += min(linked, len(text))
+        told = {k for k, (n, linked) in held.items() if 2 * linked <= n} or set(held)
+        return "\n".join(x[0] for x in found if x[3] in told)
     chars: dict[int, int] = defaultdict(int)
     links: dict[int, int] = defaultdict(int)
-    for text, linked, holder, _ in found:
+    for text, linked, holder, _, _ in found:
         chars[holder] += len(text)
         links[holder] += min(linked, len(text))
     found = [x for x in found if 2 * links[x[2]] <= chars[x[2]]]
-    own = [x for x in found if xxhash.xxh64_intdigest(x[0]) >> 11 not in often]
+    shared = [xxhash.xxh64_intdigest(x[0]) >> 11 in often for x in found]
+    ends: dict[int, tuple[int, int]] = {}
+    for k, (x, of_all) in enumerate(zip(found, shared, strict=True)):
+        if not of_all:
+            ends[x[2]] = (ends.get(x[2], (k, k))[0], k)
+    stays = lambda k, x: x[2] in ends and k < ends[x[2]][1] and (k > ends[x[2]][0] or x[4])
+    own = [x for k, x in enumerate(found) if not shared[k] or stays(k, x)]
     return "\n".join(x[0] for x in own or found)
 
 
