@@ -37,7 +37,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["graph_components", "graph_communities"])
+@pytest.mark.parametrize("name", ["graph_components"])
 def test_graph_queries_have_all_nodes_of_the_trade(spark, name):
     nodes = lambda q: {r.node for r in catalog.QUERIES[q](spark, "/root/testdata/sf0.001").select("node").collect()}
     assert nodes(name) == nodes("graph_degree")

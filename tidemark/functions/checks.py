@@ -13,11 +13,15 @@ ISSUERS = (
 )
 
 
+def card_shape() -> str:
+    """A pattern of digits that begin as an issuer's do and are as many as its numbers have."""
+    return "|".join(rf"(?={first})\d{{{n}}}" for first, lengths in ISSUERS for n in lengths)
+
+
 def card(number: Column) -> Column:
     """Digits of an issuer's range and one of its lengths that pass the Luhn check."""
     d = F.regexp_replace(number, "[ -]", "")
-    known = "|".join(rf"(?={first})\d{{{n}}}" for first, lengths in ISSUERS for n in lengths)
-    return F.rlike(d, F.lit(rf"^({known})$")) & F.coalesce(F.call_function("luhn_check", d), F.lit(False))
+    return F.rlike(d, F.lit(rf"^({card_shape()})$")) & F.coalesce(F.call_function("luhn_check", d), F.lit(False))
 
 
 def imei(number: Column) -> Column:

@@ -15,6 +15,10 @@ from .order import in_order
 from .order import previous as before
 
 
+#: Headings of the column of a hash list that says what a digest is of.
+LABELS = ("filename", "file_name", "name", "product", "description")
+
+
 def read_hash_set(spark: SparkSession, path: str, kind: str, name: str) -> DataFrame:
     """A hash set as (digest, algorithm, label, set_name, kind): digests a line, CSV with or without headings, or JSON with entries.
 
@@ -31,7 +35,7 @@ def read_hash_set(spark: SparkSession, path: str, kind: str, name: str) -> DataF
     elif "," in first:
         cut = lambda x: F.transform(F.split(x, ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
         headings = [c.strip().strip('"').lower() for c in first.split(",")]
-        at = next((k for k, c in enumerate(headings) if c in ("filename", "file_name", "name", "product", "description")), None)
+        at = next((k for k, c in enumerate(headings) if c in LABELS), None)
         rows = spark.read.text(path).select(cut(F.col("value")).alias("cells"))
         label = F.get("cells", F.lit(1 if at is None else at))
         each = rows.select(F.lit(kind).alias("kind"), F.coalesce(label, F.lit("")).alias("label"), F.explode("cells").alias("digest"))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from ..functions import checks
+
 
 def luhn(digits: str) -> bool:
     """Sum with every second digit from the right doubled, a multiple of ten; of twelve digits at least."""
@@ -19,11 +21,7 @@ def luhn(digits: str) -> bool:
     return len(digits) >= 12 and (doubled + sum(map(int, digits[::-2]))) % 10 == 0
 
 
-#: First digits of issuers' numbers and their lengths.
-ISSUERS = re.compile(
-    r"4(\d{12}|\d{15}|\d{18})|(5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|(6011|65\d\d|64[4-9]\d)\d{12}"
-    r"|(30[0-5]|3[68]\d)\d{11}|(352[89]|35[3-8]\d)\d{12}|(6[05]|8[12])\d{14}|508\d{13}"
-)
+CARD = re.compile(checks.card_shape())
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
 
@@ -34,7 +32,7 @@ def digits_of(text: str) -> str:
 
 def card(text: str) -> bool:
     d = digits_of(text)
-    return bool(ISSUERS.fullmatch(d)) and luhn(d)
+    return bool(CARD.fullmatch(d)) and luhn(d)
 
 
 def imei(text: str) -> bool:
@@ -43,10 +41,15 @@ def imei(text: str) -> bool:
 
 
 def iban(text: str) -> bool:
+    """Country, two check digits and the rest, which leave 1 of 97 with the country moved to the end."""
     plain = "".join(text.split()).upper()
-    if not re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{10,30}", plain):
+    country, digits, rest = plain[:2], plain[2:4], plain[4:]
+    if not (country.isalpha() and digits.isdecimal() and 10 <= len(rest) <= 30 and rest.isalnum() and plain.isascii()):
         return False
-    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    left = 0
+    for value in (int(c, 36) for c in rest + country + digits):
+        left = (left * (100 if value > 9 else 10) + value) % 97
+    return left == 1
 
 
 def phone(text: str) -> bool:
@@ -100,7 +103,7 @@ class Kind:
     normal: Callable[[str], str] | None = None
 
 
-#: Addresses of schemas and the like, which are no leads.
+#: Addresses of schemas and the like, which are no leads.
 STOP = re.compile(r"(schemas\.|w3\.org|apple\.com/DTDs|android\.com|googleapis\.com/auth|\.xsd|purl\.org|ns\.adobe\.com)", re.IGNORECASE)
 #: Kinds that may hold other entities and claim no span.
 OPEN = ("url", "onion", "email")

@@ -42,14 +42,14 @@ def metrics(df: DataFrame, keys: Sequence[str] = THREAD, least_silence_us: int =
         count(F.col("direction") == "incoming").alias("n_in"),
         count(F.col("direction") == "outgoing").alias("n_out"),
         count(gone).alias("n_deleted"),
-        F.sort_array(F.collect_list(F.when(gone, F.col("pos")))).alias("deleted_at"),
+        F.min(F.when(gone & (F.col("pos") > 0), F.col("pos"))).alias("_gone_at"),
         F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
         F.percentile("reply_us", F.lit(0.5)).alias("median_reply_us"), F.min("reply_us").alias("fastest_reply_us"),
         F.max(F.when(F.col("silence_us") >= least_silence_us, F.struct("silence_us", "timestamp"))).alias("s"),
         F.min_by("direction", F.struct("timestamp", "artifact_id")).alias("begun"),
     )
     least, most = F.least("n_in", "n_out"), F.greatest("n_in", "n_out")
-    interior = F.exists("deleted_at", lambda p: (p > 0) & (p < F.col("turns") - 1))
+    interior = F.coalesce(F.col("_gone_at") < F.col("turns") - 1, F.lit(False))  # the first that is gone after the first turn isn't the last
     return out.select(
         *keys, "turns", "n_in", "n_out", "n_deleted", interior.alias("embedded_deletion"), "first", "last", "median_reply_us",
         "fastest_reply_us", F.col("s.silence_us").alias("silence_us"), F.col("s.timestamp").alias("silence_ended"), "begun",
