@@ -23,7 +23,7 @@ SHARDS = 2
 #: Buckets of the table of activations, a byte each, 16 MB.
 BUCKETS = 1 << 24
 #: Bytes of text that are split at once, and words that are counted at once.
-PIECE, COUNTED = 1 << 20, 1 << 22
+PIECE, COUNTED = 1 << 20, 3 << 20
 #: Words that a task tells apart by number at once.
 MOST_KNOWN = 400_000
 SEPARATOR, NOTHING, NEVER = 0, 1, 255
@@ -131,6 +131,8 @@ class Scan:
                     n = np.bincount(line[seen:], minlength=len(words))
                     n[[SEPARATOR, NOTHING]] = 0
                     yield from self.rows(words, k, np.flatnonzero(n), n, start)
+                    n[NOTHING] = n.sum()  # all words, as a phrase of none
+                    yield from self.rows(words, 0, np.array([NOTHING]), n, start)
                 first = np.arange(len(words))
             else:
                 a, b = number[:-1], number[1:]
@@ -167,7 +169,7 @@ class Scan:
 
 
 def scanned(texts: DataFrame, steps, step: int, shards: int, most_words: int) -> DataFrame:
-    """(lang, phrase, k, start, n): counts of active phrases in the texts (lang, text) by task and part of a task."""
+    """(lang, phrase, k, start, n): counts of active phrases in the texts (lang, text) by task and part of a task; of all words, with k = 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(steps.value, dtype=np.uint8)
@@ -240,18 +242,19 @@ def frequent(docs: DataFrame, min_count: int = MIN_COUNT, most_words: int = MOST
         dealt = both.repartition("lang", "phrase")
         summed = dealt.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.max("start").alias("start"), F.sum("n").alias("n"), F.max("reach").alias("reach"))
         reach = F.when(F.col("n") >= min_count, F.coalesce("reach", F.lit(step)))
-        summed = stored(summed.withColumn("reach", reach), "counts")
+        over = F.col("start") == step - shards + 1
+        # what has been counted in all shards and is rare is written no more
+        summed = stored(summed.withColumn("reach", reach).filter(~over | (F.col("n") >= min_count) | (F.col("k") == 0)), "counts")
         shared.unpersist()
-        fresh = summed.filter((F.col("reach") == step) & (F.col("k") < most_words))
+        fresh = summed.filter((F.col("reach") == step) & F.col("k").between(1, most_words - 1))
         flags = bucket_bits(fresh, buckets)
         if flags.any():
             steps = np.where(flags & (steps == NEVER), np.uint8(step), steps)
             last = step + shards
-        over = F.col("start") == step - shards + 1
         ended = summed.filter(over)
         if step == shards - 1:
-            totals = stored(ended.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        kept = stored(ended.filter(F.col("n") >= min_count).select("lang", "phrase", "k", "n"), "frequent") if step >= shards - 1 else None
+            totals = stored(ended.filter("k = 0 and n > 0").select("lang", "n"), "totals")
+        kept = stored(ended.filter((F.col("n") >= min_count) & (F.col("k") > 0)).select("lang", "phrase", "k", "n"), "frequent") if step >= shards - 1 else None
         done = kept if done is None or kept is None else done.unionByName(kept)
         if live is not None:
             dropped(live_table)
