@@ -76,6 +76,11 @@ def dropped(df: DataFrame) -> None:
     _deleted(df.sparkSession, [df.stored_at])
 
 
+def swept(spark: SparkSession) -> None:
+    """Let the driver collect what it holds of finished jobs, so that Spark deletes their shuffle files now and not at some later time."""
+    spark._jvm.System.gc()
+
+
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What make() gives as a stored table; all tables stored on the way to it are deleted."""
     own: list[str] = []

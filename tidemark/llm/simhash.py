@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, UPPER, modest_batches, names_apart, others, rows_under, stored, table
+from .common import LOWER, UPPER, dropped, modest_batches, names_apart, others, rows_under, stored, swept, table
 from .components import components
 
 SEED = 42
@@ -290,6 +290,7 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     ends = entries.groupBy("key").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi")
     entries = entries.join(ends, "key").select("key", "t", "n", "pos").distinct()
     entries = stored(entries.join(nodes.select("t", "bits"), "t"), "entries")
+    swept(docs.sparkSession)
 
     def compared(pairs: DataFrame) -> DataFrame:
         """(u, v) of the pairs (ta, tb) that are similar enough."""
@@ -326,9 +327,13 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
             pairs = some.join(side(live, "b"), "key").filter("root_a <> root_b and (root_b = main or root_a < root_b)")
         pairs = pairs.filter(may_be_similar(similarity) & few_differ(similarity)).select(F.least(*pair).alias("ta"), F.greatest(*pair).alias("tb")).distinct()
         pairs = stored(pairs if known is None else pairs.join(known, ["ta", "tb"], "left_anti"), "pairs")
+        if linked is not None:
+            dropped(live)
+        swept(docs.sparkSession)
         if pairs.isEmpty():
             continue
         found = compared(pairs)
+        swept(docs.sparkSession)
         linked = found if linked is None else linked.unionByName(found)
         known = pairs if known is None else known.unionByName(pairs)
     named = nodes.select("node", "first")
