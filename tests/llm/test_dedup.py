@@ -101,7 +101,7 @@ def test_near_copies_agree_with_brute_force(spark):
         i += 1
         for _ in range(rnd.randint(0, 4)):
             copy = list(base)
-            for _ in range(max(1, len(base) // 100)):
+            for _ in range(max(1, len(base) // rnd.choice([40, 50, 60, 100]))):
                 copy[rnd.randrange(len(copy))] = rnd.choice(vocabulary)
             docs.append((i, " ".join(copy)))
             i += 1
@@ -110,11 +110,10 @@ def test_near_copies_agree_with_brute_force(spark):
     alike = [
         (a, b) for a in sets for b in sets if b < a and (len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0) >= 0.8
     ]
+    barely = [(a, b) for a, b in alike if sets[a] and len(sets[a] & sets[b]) <= 0.85 * len(sets[a] | sets[b])]
+    assert barely
     got = {r.doc_id: (r.first_id, r.stays) for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    want = roots(sets, alike)
-    missed = sum(got[a][0] != got[b][0] for a, b in alike)
-    assert missed <= len(alike) * 0.02
-    assert all(want[d] == want[got[d][0]] for d in got)
+    assert {d: first for d, (first, _) in got.items()} == roots(sets, alike)
     assert all(stays == (first == d) for d, (first, stays) in got.items())
 
 

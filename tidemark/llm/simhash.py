@@ -285,13 +285,21 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     rows = stored(given.mapInArrow(run, f"doc_id {kind}, node binary, n int, bits array<long>, keys array<long>"), "prefixes")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("n", "bits"), "n").alias("set"))
     nodes = stored(nodes.select("node", "first", "set.n", "set.bits"), "texts").withColumn("t", F.xxhash64("node"))
+    sets = nodes.select("t", "n", "bits")
     # t only finds candidates; texts with the same t are all compared
     entries = rows.select(F.xxhash64("node").alias("t"), "n", F.posexplode("keys").alias("pos", "key"))
     ends = entries.groupBy("key").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi")
-    entries = entries.join(ends, "key").select("key", "t", "n", "pos").distinct()
-    entries = stored(entries.join(nodes.select("t", "bits"), "t"), "entries")
+    entries = stored(entries.join(ends, "key").select("key", "t", "n", "pos").distinct(), "entries")
+    whose = stored(rows.select("doc_id", "node"), "ids")
+    dropped(rows)
     swept(docs.sparkSession)
 
+    def few_apart(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (ta, tb) whose parities allow for the similarity; these meet the pairs and not the entries of keys."""
+        for x in "ab":
+            pairs = pairs.join(sets.select(F.col("t").alias(f"t{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), f"t{x}")
+        return pairs.filter(few_differ(similarity)).select("ta", "tb").distinct()
+
     def compared(pairs: DataFrame) -> DataFrame:
         """(u, v) of the pairs (ta, tb) that are similar enough."""
         wanted = pairs.select(F.explode(F.array("ta", "tb")).alias("t")).distinct().join(nodes, "t").select("node", "first")
@@ -314,7 +322,10 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
             roots = components(linked).select(F.xxhash64("node").alias("t"), F.xxhash64("root").alias("root"))
             live = entries.join(roots.groupBy("t").agg(F.min("root").alias("root")), "t", "left").withColumn("root", F.coalesce("root", "t"))
             several = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-            live = stored(live.join(several.select("key"), "key", "left_semi"), "live")
+            live = live.join(several.select("key"), "key", "left_semi")
+        own = linked is not None or not centre
+        if own:
+            live = stored(live if centre else live.join(sets.select("t", "bits"), "t"), "live")
         if centre:
             middle = live.groupBy("key").agg((F.min if centre == "min" else F.max)("t").alias("t"))
             some = side(live.join(middle, ["key", "t"]), "b")
@@ -325,9 +336,12 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
             main = counted.agg(F.max(F.struct("n", "root"))["root"].alias("main"))
             some = side(live, "a").join(main, "key").filter("root_a <> main")
             pairs = some.join(side(live, "b"), "key").filter("root_a <> root_b and (root_b = main or root_a < root_b)")
-        pairs = pairs.filter(may_be_similar(similarity) & few_differ(similarity)).select(F.least(*pair).alias("ta"), F.greatest(*pair).alias("tb")).distinct()
+        # all pairs of a key are weeded out where they meet, so that no more of them than may be similar are ever rows
+        may = may_be_similar(similarity) if centre else may_be_similar(similarity) & few_differ(similarity)
+        pairs = pairs.filter(may).select(F.least(*pair).alias("ta"), F.greatest(*pair).alias("tb")).distinct()
+        pairs = few_apart(pairs) if centre else pairs
         pairs = stored(pairs if known is None else pairs.join(known, ["ta", "tb"], "left_anti"), "pairs")
-        if linked is not None:
+        if own:
             dropped(live)
         swept(docs.sparkSession)
         if pairs.isEmpty():
@@ -346,7 +360,7 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     best = named.groupBy("root").agg(F.min(place).alias("best"))
     named = named.join(best, "root").select("node", F.col("best.first").alias("first_id"), F.col("best.node").alias("_best"))
     stays = (F.col("node") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "node", "first_id", stays.alias("stays"))
+    return whose.join(named, "node").select("doc_id", "node", "first_id", stays.alias("stays"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
