@@ -2,6 +2,7 @@ import html
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,20 @@ def test_quality_edges(spark):
     assert quality.clean(spark.createDataFrame([], "doc_id long, text string")).filter("kept").count() == 0
 
 
+def test_quality_lines_of_scripts_without_spaces(spark):
+    """Lines of Han, kana or Thai without spaces are no menu entries for it; short ones are. The SQL has the same verdicts."""
+    words = " ".join(f"word{i}" for i in range(30)) + "."
+    han, thai = "春眠不觉晓处处闻啼鸟" * 12, "สวัสดีชาวโลก" * 12
+    rows = [(1, f"{words}\n{han}"), (2, f"{words}\n{thai}"), (3, f"{words}\n首页"), (4, f"{words}\n{'x' * 150}"), (5, f"{words}\nメニュー 検索")]
+    got = {r.doc_id: (r.kept, r.n_lines_removed) for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (True, 0), 2: (True, 0), 3: (True, 1), 4: (False, 1), 5: (True, 1)}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    found = con.execute(f"select doc_id, kept from ({quality.OP5_SQL})").fetchall()
+    assert dict(found) == {k: v[0] for k, v in got.items()}
+
+
 def brute_article(page):
     inside = page.split("<article>", 1)[1].split("</article>")[0]
     parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", q.replace("<br>", " "))).split()) for q in re.split(r"</?(?:p|h1)>", inside))

@@ -39,7 +39,8 @@ class LineRules:
     shouts_per_word: doubled exclamation marks a word from which a line is noise.
     menu_separators, menu_share: a line with that many separators between words, and that share
     of its words separators, is a menu.
-    short_words: a line of fewer words without a closing mark is a menu entry.
+    short_words: a line of fewer words without a closing mark is a menu entry,
+    unspaced: unless it has that many characters of scripts that put no spaces between words.
     max_lost: share of a document's word characters whose loss rejects it.
     min_words, max_repeat_percent: the base rules.
     window: words in a repeated window.
@@ -50,6 +51,7 @@ class LineRules:
     menu_separators: int = 3
     menu_share: float = 0.2
     short_words: int = 3
+    unspaced: int = 8
     max_lost: float = 0.3
     min_words: int = 10
     max_repeat_percent: int = 20
@@ -59,15 +61,18 @@ class LineRules:
 
 #: Marks that end a sentence or a clause.
 CLOSING = ".!?:;,…\"'”’»)]。！？"
+#: Characters of scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
+UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3134F}]"
 #: Characters whose count decides the punctuation and menu rules.
 SUSPECT = r"[#*$%&<>|»·•/!]"
 
 
 def short_failure(line: Column, rules: LineRules) -> Column:
-    """A line of few words without a closing mark is a menu entry."""
+    """A line of few words without a closing mark is a menu entry. Spaces count no words where a script has none."""
     short = rf"^[\x20\x09-\x0D]*{WORD}([\x20\x09-\x0D]+{WORD}){{0,{rules.short_words - 2}}}[\x20\x09-\x0D]*$"
     last = F.substring(F.btrim(line, F.lit(SPACE_CHARS)), -1, 1)
-    return F.when(F.rlike(line, F.lit(short)) & ~last.isin(*CLOSING), F.lit("navigation"))
+    entry = F.rlike(line, F.lit(short)) & ~last.isin(*CLOSING) & (F.regexp_count(line, F.lit(UNSPACED)) < rules.unspaced)
+    return F.when(entry, F.lit("navigation"))
 
 
 def line_failure(line: Column, rules: LineRules) -> Column:
@@ -218,7 +223,8 @@ m AS (SELECT *, len(lw) AS n, len(regexp_extract_all(line, '[#*$%&<>]')) AS sy,
 j AS (SELECT r, pos, line, lw, n, CASE
   WHEN n = 0 THEN false
   WHEN su >= 3 AND ((sy >= 3 AND sy >= n * 0.5) OR (sh >= 3 AND sh >= n * 0.5) OR (ba >= 3 AND ba >= n * 0.2)) THEN true
-  WHEN n < 3 AND last NOT IN ('.', '!', '?', ':', ';', ',', '…', '"', '''', '”', '’', '»', ')', ']', '。', '！', '？') THEN true
+  WHEN n < 3 AND last NOT IN ('.', '!', '?', ':', ';', ',', '…', '"', '''', '”', '’', '»', ')', ']', '。', '！', '？')
+    AND len(regexp_extract_all(line, '[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3134F}]')) < 8 THEN true
   WHEN n <= 40 AND regexp_matches(lower(line), 'all rights reserved|accept cookies|cookie policy|enable javascript|javascript is disabled|lorem ipsum|privacy policy|terms of service|terms of use|sign up for our newsletter|skip to content|click here to|follow us on|share this article') THEN true
   ELSE false END AS bad FROM m),
 s AS (SELECT r, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines,
