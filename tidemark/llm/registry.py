@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import chat, decontaminate, html, lines, mixing, packing, phrases, quality, repair, sharding, simhash, tokens, urls
 
 
@@ -22,7 +20,6 @@ def queries() -> dict:
         "op11_best_fit_packing": packing.op11_best_fit_packing,
         "op12_phrase_mining": phrases.op12_phrase_mining,
         "op13_conversation_repair": repair.op13_conversation_repair,
-        "pipeline": corpus_pipeline.run,
     }
 
 
