@@ -285,3 +285,18 @@ def test_damage_follows_the_checksum(spark):
         want[r.conv_id, r.turn, "user" if kind == 4 else role, text, kind != 0] += 2 if kind == 3 else 1
     assert got == want
     assert repair.damaged(df).filter(~F.col("present")).count() > 0
+
+
+def test_phrases_wait_for_their_words_where_buckets_are_shared():
+    # the bucket of "a b" reached the threshold before a, b and c did; "a b c" has to be counted in both shards all the same
+    one = lambda w: np.array([phrases.xxhash.xxh64_intdigest(w, phrases.Known("x").seed)], dtype=np.uint64)
+    table = np.full(1 << 16, phrases.NEVER, np.uint8)
+    at = lambda c: int(c[0]) & (len(table) - 1)
+    table[[at(one(w)) for w in (b"a", b"b", b"c")]] = 1
+    table[[at(phrases.code(one(x), one(y))) for x, y in ((b"a", b"b"), (b"b", b"c"))]] = 0
+    counted = []
+    for step in range(2, 6):
+        scan = phrases.Scan("x", table, step, 2, 3)
+        rows = [r for b in itertools.chain(scan.add(b"a b c"), scan.flush()) for r in b.to_pylist()]
+        counted.append(sum(r["n"] for r in rows if r["k"] == 3))
+    assert counted == [0, 1, 1, 0]

@@ -76,8 +76,8 @@ class Scan:
     """Counts of the active phrases in the texts of one language that a task reads in one step.
 
     steps: for each bucket of codes the step after which its first phrase reached the threshold, or NEVER. A phrase of one word is
-    active from step 0 on, a longer one from the step after both of its subphrases' buckets have reached it, each for
-    shards steps. Phrases that share a bucket start together, so some are counted that need not be; but
+    active from step 0 on, a longer one from the step after both of its subphrases' buckets have reached it and both are active
+    themselves, each for shards steps. Phrases that share a bucket start early, so some are counted that need not be; but
     whatever is counted is counted in each shard once.
     """
 
@@ -153,6 +153,8 @@ class Scan:
             reach = self.steps[(codes & np.uint64(len(self.steps) - 1)).astype(np.int64)].astype(np.int64)
             if k < self.most_words:
                 reached = reach != NEVER
+                # a bucket's first phrase may have reached it before this one was counted at all
+                reach = np.where(reached, np.maximum(reach, start), reach)
                 if k == 1:
                     reached[[SEPARATOR, NOTHING]] = False
                 number = np.where((number >= 0) & reached[number], number, -1)
