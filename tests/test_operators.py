@@ -2,14 +2,17 @@ import collections
 import difflib
 import hashlib
 import math
+import os
 import random
 import xml.etree.ElementTree
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import checks, geo, keys, text, timex
 from tidemark.operators import correlate, digests, entities, findings, fusion, graph, joins, places, search, threads, timeline
+from tidemark.plans import catalog
 from tidemark.plans import predicates as P
 from tidemark.sources import artifacts as A
 from tidemark.sources import exports
@@ -432,3 +435,16 @@ def test_tables_of_apps_become_artifacts(spark):
     sms = exports.ios_messages(message, handle, spark.createDataFrame([(4, 1), (4, 2)], "chat_id long, message_id long"), spark.createDataFrame([(4, 7), (4, 8)], "chat_id long, handle_id long"))
     assert {(r.source_row, r.party, r.direction, r.body, r.timestamp) for r in sms.collect()} == {
         (1, "9820012345", "incoming", "hi", 1_700_000_000_000_000), (2, "9820012345", "outgoing", "", 1_700_000_001_000_000)}
+
+
+def test_hamming_pairs_of_copies(spark, tmp_path):
+    rnd = random.Random(4)
+    base = [[rnd.gauss(0, 1) for _ in range(64)] for _ in range(12)]
+    near = [[-x if k in (3, 9) else x for k, x in enumerate(v)] for v in base[:4]]
+    rows = [(i, v) for i, v in enumerate([*base[::-1], *near, *base[:3], *base[:3], *near[:1]])] + [(99, None), (98, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    os.symlink("/root/testdata/sf0.001/events.parquet", tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(map(tuple, catalog.QUERIES["hamming_pairs"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(catalog.SQL["hamming_pairs"]).fetchall()) and len(got) == 4 + 7

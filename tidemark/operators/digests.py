@@ -112,11 +112,11 @@ def verify_chains(entries: DataFrame, log: str, seq: str, previous: str, own: st
 
 
 def sign_hash(df: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """64 sign bits of a vector, as a long: bit k is that of the sum of the entries k, k + 64, k + 128 and so on."""
+    """64 sign bits of a vector, as a long: bit k is that of the sum of the entries k, k + 64, k + 128 and so on; null without a vector."""
     at = lambda k: F.filter(vector, lambda x, i: i % 64 == k)
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(total(at(k)) > 0, "1").otherwise("0"))
-    return df.select(id_column, F.conv(F.array_join(bits, ""), 2, -10).cast("long").alias("hash"))
+    return df.select(id_column, F.when(F.col(vector).isNotNull(), F.conv(F.array_join(bits, ""), 2, -10).cast("long")).alias("hash"))
 
 
 def near_hashes(hashes: DataFrame, id_column: str, most: int = 6) -> DataFrame:
@@ -147,6 +147,17 @@ def near_hashes(hashes: DataFrame, id_column: str, most: int = 6) -> DataFrame:
     return out.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"), "distance")
 
 
+def near_classes(hashes: DataFrame, id_column: str, most: int = 6) -> DataFrame:
+    """Pairs of distinct hashes that differ in at most so many bits, each by its smallest id, and the other ids of a hash with that one, at distance 0.
+
+    Copies of a hash are one row each, whatever their number; every pair of near ids follows from its two classes. Null hashes are in none.
+    """
+    least = hashes.filter("hash is not null").groupBy("hash").agg(F.min(id_column).alias("_least"))
+    between = near_hashes(least.select(F.col("_least").alias(id_column), "hash"), id_column, most)
+    others = hashes.join(least, "hash").filter(F.col("_least") != F.col(id_column))
+    return between.unionByName(others.select(F.col("_least").alias("id_a"), F.col(id_column).alias("id_b"), F.lit(0).alias("distance")))
+
+
 def perceptual(pairs: DataFrame) -> DataFrame:
     """pairs with hashes a_1, d_1, p_1 and a_2, d_2, p_2 (long), with the three distances and a verdict.
 
