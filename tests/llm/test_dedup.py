@@ -180,3 +180,16 @@ def test_lines_keep_first(spark):
     docs = [(i, f"same\nown{i}\nsame") for i in range(30)]
     left = collections.Counter(x for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), 2, True).collect() for x in r.kept_text.split("\n"))
     assert left["same"] == 1 and left["own3"] == 1
+
+
+def test_near_copies_takes_simhashes_that_differ_in_two_bits(spark):
+    # one refrain decides every bit of both, but of the distinct shingles they share few: far from a similarity of 0.8
+    refrain = "over the hills and far away we " * 200
+    own = lambda x: " ".join(f"{x}{k}" for k in range(60))
+    docs = [(1, refrain + own("p")), (2, refrain + own("q")), (3, own("r") + " " + own("s")), (4, " ".join(f"t{k}" for k in range(90)))]
+    a, b = (simhash.shingle_set(t.encode(), 5) for _, t in docs[:2])
+    far = bin((simhash.simhash(docs[0][1].encode(), 5) ^ simhash.simhash(docs[1][1].encode(), 5)) & (2**64 - 1)).count("1")
+    assert simhash.jaccard(a, b) < 0.2 and far <= 2
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.first_id for r in simhash.near_copies(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id for r in simhash.stage(spark, df, "").collect()} == {1, 3, 4}

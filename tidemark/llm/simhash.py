@@ -195,6 +195,28 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint64)
 
 
+def set_and_simhash(text: bytes | None, k: int) -> tuple[np.ndarray, int]:
+    """What shingle_set() and simhash() give, the shingles being hashed once."""
+    parts, counts, n = [], np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text or b"", k):
+        counts += bit_counts(hashes)
+        n += len(hashes)
+        parts.append(hashes)
+    return (np.unique(np.concatenate(parts)), majority(counts, n)) if n else (np.empty(0, dtype=np.uint64), 0)
+
+
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """(u, v) of nodes (node, fingerprint): enough links to connect all whose fingerprints differ in at most 2 bits.
+
+    Nodes of one fingerprint are linked with the smallest of them, and those by links().
+    """
+    least = stored(nodes.groupBy("fingerprint").agg(F.min("node").alias("v")), "fingerprints")
+    same = nodes.join(least, "fingerprint").filter("node <> v").select(F.col("node").alias("u"), "v")
+    named = lambda x: least.select(F.col("fingerprint").alias(x), F.col("v").alias(f"node_{x}"))
+    apart = links(least).join(named("u"), "u").join(named("v"), "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+    return same.unionByName(apart)
+
+
 def parities(hashes: np.ndarray) -> np.ndarray:
     """512 bits, one for each value of a hash's first 9 bits: whether an odd number of the set's hashes have it."""
     n = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=512)
@@ -255,14 +277,15 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     """(doc_id, node, first_id, stays) for every row of docs: node is the MD5 of its text, first_id the smallest
     doc_id of its group, stays whether the row is the one of that id.
 
-    Texts with a Jaccard similarity of their shingle sets of at least similarity are linked, and groups
-    are what is connected. At this similarity SimHashes of whole texts differ in about ten bits, which no
-    range-join on bit counts can find at a bearable size; so texts are candidates if they share a shingle of
+    Texts whose SimHashes differ in at most 2 bits are linked by the grid range-join of near_duplicates() (see links()), bits
+    verified exactly; so are texts with a Jaccard similarity of their shingle sets of at least similarity. Groups are what is
+    connected by either. At that similarity SimHashes of whole texts differ in about ten bits, which no
+    range-join on bit counts can find at a bearable size; so beyond the 2 bits texts are candidates if they share a shingle of
     their prefixes (see prefix()) and lengths, places and parities of their sets (see few_differ()) allow for the similarity,
     which leaves out no pair.
-    Shingle sets are compared exactly. No pair needs comparing whose texts are in one group already: first the
-    others of a key are compared with its smallest text, then with its largest one, and at last the pairs
-    of a key that are still of different groups are listed and compared, all of them.
+    Shingle sets of candidates are compared exactly. First the others of a key are compared with its smallest text, then with its
+    largest one, and at last the pairs of a key are listed and compared, all of them; but for those whose texts are in one group
+    by then, of SimHashes or of sets, as these need no comparing.
 
     Equal texts are one node before all that. Null and empty texts are equal in having no shingles and are
     one group; a null doc_id is after all others; rows repeated in full all have the same stays; an empty
@@ -275,16 +298,17 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), shingle_words) for t in b.column(2)]
+            sets, prints = zip(*(set_and_simhash(t.as_py(), shingle_words) for t in b.column(2)), strict=True) if b.num_rows else ((), ())
             keys = pa.array([prefix(x, similarity, common, times) for x in sets], pa.list_(pa.int64()))
             n = pa.array([len(x) for x in sets], pa.int32())
             bits = pa.array([parities(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, bits, keys], ["doc_id", "node", "n", "bits", "keys"])
+            prints = pa.array(prints, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, bits, prints, keys], ["doc_id", "node", "n", "bits", "fingerprint", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(given.mapInArrow(run, f"doc_id {kind}, node binary, n int, bits array<long>, keys array<long>"), "prefixes")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("n", "bits"), "n").alias("set"))
-    nodes = stored(nodes.select("node", "first", "set.n", "set.bits"), "texts").withColumn("t", F.xxhash64("node"))
+    rows = stored(given.mapInArrow(run, f"doc_id {kind}, node binary, n int, bits array<long>, fingerprint long, keys array<long>"), "prefixes")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("n", "bits", "fingerprint"), "n").alias("set"))
+    nodes = stored(nodes.select("node", "first", "set.n", "set.bits", "set.fingerprint"), "texts").withColumn("t", F.xxhash64("node"))
     sets = nodes.select("t", "n", "bits")
     # t only finds candidates; texts with the same t are all compared
     entries = rows.select(F.xxhash64("node").alias("t"), "n", F.posexplode("keys").alias("pos", "key"))
@@ -315,15 +339,18 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
 
     side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "key"))
     pair = (F.col("t_a").alias("ta"), F.col("t_b").alias("tb"))
-    live, linked, known = entries.withColumn("root", F.col("t")), None, None
+    by_bits = stored(fingerprint_links(nodes), "linked")
+    swept(docs.sparkSession)
+    live, linked, known = entries.withColumn("root", F.col("t")), None if by_bits.isEmpty() else by_bits, None
     for centre in ("min", "max", None):
-        if linked is not None:
+        grouped_already = linked is not None and centre != "min"
+        if grouped_already:
             # of keys whose texts are in several groups, the entries with their groups
             roots = components(linked).select(F.xxhash64("node").alias("t"), F.xxhash64("root").alias("root"))
             live = entries.join(roots.groupBy("t").agg(F.min("root").alias("root")), "t", "left").withColumn("root", F.coalesce("root", "t"))
             several = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
             live = live.join(several.select("key"), "key", "left_semi")
-        own = linked is not None or not centre
+        own = grouped_already or not centre
         if own:
             live = stored(live if centre else live.join(sets.select("t", "bits"), "t"), "live")
         if centre:
