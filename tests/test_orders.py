@@ -4,11 +4,12 @@ import collections
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import graph, keywords, order, places, search, timeline
+from tidemark.operators import graph, index, keywords, order, places, search, timeline
 from tidemark.operators.index import TextIndex
 from tidemark.plans import predicates as P
 
@@ -239,3 +240,13 @@ def test_trie_and_join_agree_and_terms_cost_little(spark):
             named = {tuple(w): k for k, w in enumerate(own)}
             assert found == [{k for w, k in named.items() if at(list(w), line)} for line in lines]
     assert took[10_000] < 20 * took[100] + 0.05
+
+
+def test_postings_are_made_a_few_words_at_a_time():
+    names = ["doc", "field", "term", "positions", "n"]
+    lines = [[f"w{k % 7}" for k in range(n)] for n in (30, 0, 50, 10, 20, 300, 5)]
+    given = pa.RecordBatch.from_pydict({"doc": list(range(7)), "field": ["f"] * 7, "words": lines})
+    made = list(index._posted(iter([given]), names, most=40))
+    assert [sum(len(lines[d]) for d in set(b.column(0).to_pylist())) for b in made] == [80, 330, 5]
+    got = {(r["doc"], r["term"]): (r["positions"], r["n"]) for b in made for r in b.to_pylist()}
+    assert got == {(d, w): ([i for i, x in enumerate(line) if x == w], len(line)) for d, line in enumerate(lines) for w in line}

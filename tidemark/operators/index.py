@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from .joins import beside
-from .tables import there
+from .tables import few_at_once, there
 
 #: Folders of postings by hash of the term.
 BUCKETS = 64
+#: Rows that go to Python at once, and words whose postings it holds at once.
+ROWS_SENT, MOST_POSTED = 256, 50_000
 
 
 def _tokens(query: str, spark: SparkSession) -> list[str]:
@@ -30,6 +32,33 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _posted(batches: Iterator[pa.RecordBatch], names: Sequence[str], most: int = MOST_POSTED) -> Iterator[pa.RecordBatch]:
+    """Postings of rows (doc, field, words), in batches that end with the row by which most words are held."""
+
+    def made(b: pa.RecordBatch, at: list, terms: list, places: list, sizes: list) -> pa.RecordBatch:
+        which = pa.array(at, pa.int64())
+        columns = [b.column(0).take(which), b.column(1).take(which), pa.array(terms, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(sizes, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    for b in batches:
+        at, terms, places, sizes, held = [], [], [], [], 0
+        for k, words in enumerate(b.column(2)):
+            own: dict[str, list[int]] = {}
+            line = words.as_py()
+            for i, w in enumerate(line):
+                own.setdefault(w, []).append(i)
+            at += [k] * len(own)
+            terms += own
+            places += own.values()
+            sizes += [len(line)] * len(own)
+            held += len(line)
+            if held >= most:
+                yield made(b, at, terms, places, sizes)
+                at, terms, places, sizes, held = [], [], [], [], 0
+        if at:
+            yield made(b, at, terms, places, sizes)
+
+
 def postings(docs: DataFrame, id_column: str, columns: Sequence[str]) -> DataFrame:
     """(doc, field, term, positions, n): where each term stands in each column of a row, and how many words the column has.
 
@@ -39,23 +68,8 @@ def postings(docs: DataFrame, id_column: str, columns: Sequence[str]) -> DataFra
     each = docs.select(F.col(id_column).alias("doc"), F.inline(fields)).filter("size(words) > 0")
     schema = each.select("doc", "field").withColumns({"term": F.lit(""), "positions": F.array(F.lit(0)), "n": F.lit(0)}).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, terms, places, sizes = [], [], [], []
-            for k, words in enumerate(b.column(2)):
-                own: dict[str, list[int]] = {}
-                line = words.as_py()
-                for i, w in enumerate(line):
-                    own.setdefault(w, []).append(i)
-                at += [k] * len(own)
-                terms += own
-                places += own.values()
-                sizes += [len(line)] * len(own)
-            which = pa.array(at, pa.int64())
-            columns = [b.column(0).take(which), b.column(1).take(which), pa.array(terms, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
-
-    return each.mapInArrow(run, schema)
+    names = [f.name for f in schema]
+    return each.mapInArrow(lambda batches: _posted(batches, names), schema)
 
 
 class TextIndex:
@@ -88,7 +102,8 @@ class TextIndex:
         made = postings(new, id_column, columns).withColumns({"batch": F.lit(batch), "bucket": _bucket(F.col("term"), self.buckets)})
         # ranges go by document too, so a term of all documents fills as many files as it needs
         order = ("bucket", "term", "doc")
-        made.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        with few_at_once(self.spark, ROWS_SENT):
+            made.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
         own = self._read("documents").filter(F.col("batch") == batch)
         per_field = own.select(F.inline("sizes")).groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words"))
         per_field.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("append").parquet(f"{self.path}/batches")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,15 @@ def discarded(*tables: DataFrame) -> None:
     """Delete tables made by checkpointed() that nothing reads any more."""
     for df in tables:
         deleted(df.sparkSession, df.stored_at)
+
+
+@contextlib.contextmanager
+def few_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this, jobs send Python so many rows at a time at most; for rows that may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(key)
+    spark.conf.set(key, str(rows) if int(given) <= 0 else str(min(rows, int(given))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, given)
