@@ -6,7 +6,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, participants
+from tidemark.operators import graph, participants, tables
 from tidemark.sources import layouts
 
 T0 = 1_704_067_200
@@ -107,3 +107,10 @@ def test_a_layout_of_ones_own(spark):
     with pytest.raises(ValueError):
         layouts.joined(own, {})
     assert layouts.joined(own, tables).filter(F.col("row") > 0).count() == 3
+
+
+def test_rows_are_dealt_out_by_what_they_become(spark):
+    df = spark.range(40).select(F.col("id"), (F.col("id") * 10).alias("n")).coalesce(1)
+    dealt = tables.spread(df, F.col("n"), most=500)
+    assert dealt.rdd.getNumPartitions() == 16 and sorted(r.id for r in dealt.collect()) == list(range(40))
+    assert tables.spread(df.filter("id < 0"), F.col("n")).count() == 0

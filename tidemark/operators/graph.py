@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .order import numbered
-from .tables import checkpointed, discarded
+from .tables import checkpointed, discarded, spread
 
 
 def edges(df: DataFrame, source: str, target: str, measures: Sequence = ()) -> DataFrame:
@@ -226,7 +226,8 @@ def pairs_within(df: DataFrame, group: str, member: str) -> DataFrame:
     """
     held = df.filter(F.col(member).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("m"))
     later = lambda a, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda b: F.struct(a.alias("a"), b.alias("b")))
-    made = held.select(F.inline(F.flatten(F.transform("m", later))))
+    n = F.size("m").cast("long")
+    made = spread(held.select("m"), n * (n - 1) / 2).select(F.inline(F.flatten(F.transform("m", later))))
     return made.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 

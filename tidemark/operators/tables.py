@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +32,13 @@ def checkpointed(df: DataFrame, *by: str) -> DataFrame:
     return read
 
 
+def spread(df: DataFrame, made: Column, most: int = 1_000_000) -> DataFrame:
+    """df stored and dealt out anew, so that tasks whose rows become made rows each make about most, however few bytes the rows are."""
+    kept = checkpointed(df)
+    total = int(kept.agg(F.sum(made)).first()[0] or 0)
+    return kept.repartition(max(-(-total // most), df.sparkSession.sparkContext.defaultParallelism))
+
+
 def deleted(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
