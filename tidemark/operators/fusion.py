@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import asof, range_join
+from .joins import asof, nearest
 
 WIDE_US, NARROW_US = 15 * 60_000_000, 2 * 60_000_000
 
@@ -51,17 +50,27 @@ def classified(df: DataFrame) -> DataFrame:
 def usage(act: DataFrame, log: DataFrame, most: int = 6, pool: bool = False) -> DataFrame:
     """For each act the nearest usage records within 15 minutes, same app and within two minutes first.
 
-    Records of the same exhibit only, unless pooled. Pairs come from a bucketed join; each act keeps most.
+    Records of the same exhibit only, unless pooled. No pairs are listed: what comes before a record in its class (by app) is nearer in that class, or,
+    for other apps, nearer among all, so the most of an act are among the most nearest of its app, of any app and of none.
     """
-    a = act.select("artifact_id", F.col("exhibit").alias("exhibit_act"), "app", F.col("timestamp").alias("at"))
-    b = log.select(F.col("artifact_id").alias("usage_id"), F.col("exhibit").alias("exhibit_log"), F.col("app").alias("usage_app"), F.col("timestamp").alias("used_at"))
-    met = range_join(a, b, "at", "used_at", WIDE_US, [] if pool else [("exhibit_act", "exhibit_log")])
-    away = F.abs(F.col("at") - F.col("used_at"))
-    met = met.withColumns({"away_us": away, "close": away <= NARROW_US, "same_app": F.col("app") == F.col("usage_app")})
-    order = W.partitionBy("artifact_id").orderBy(F.col("close").desc(), F.col("same_app").desc(), "away_us", "usage_id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(
-        "artifact_id", "usage_id", "away_us", "close", "same_app", "rank"
-    )
+    a = act.select("artifact_id", "exhibit", "app", F.col("timestamp").alias("at"))
+    b = log.select(F.col("artifact_id").alias("usage_id"), "exhibit", "app", F.col("timestamp").alias("at"))
+    known = F.col("app").isNotNull()
+    among = {"own": (["app"], known), "any": ([], known), "none": ([], ~known)}
+    value = F.struct("usage_id", F.col("app").alias("usage_app"))
+    met = nearest(a, b, [] if pool else ["exhibit"], "at", value, WIDE_US, most, among)
+
+    def judged(x):
+        away, same = F.abs(F.col("at") - x["time"]), F.col("app") == x["value"]["usage_app"]
+        return F.struct(
+            (away > NARROW_US).alias("wide"), F.when(same, 0).when(~same, 1).otherwise(2).alias("class"), away.alias("away_us"), x["value"]["usage_id"].alias("usage_id"),
+            (away <= NARROW_US).alias("close"), same.alias("same_app"),
+        )
+
+    others = F.filter("any", lambda x: F.coalesce(x["value"]["usage_app"] != F.col("app"), F.lit(True)))  # of its own app there are enough in own
+    every = F.transform(F.concat("own", others, "none"), judged)
+    ranked = met.select("artifact_id", F.posexplode(F.slice(F.sort_array(every), 1, most)).alias("_pos", "_r"))
+    return ranked.select("artifact_id", "_r.usage_id", "_r.away_us", "_r.close", "_r.same_app", (F.col("_pos") + 1).alias("rank"))
 
 
 def nearest_places(act: DataFrame, places: DataFrame) -> DataFrame:

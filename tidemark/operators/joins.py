@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,6 +44,43 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, valu
     return found.select(*cols, near.alias("near"))
 
 
+def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: Column, within: int, most: int, among: Mapping[str, tuple[Sequence[str], Column]]) -> DataFrame:
+    """left with a column for each name of among: an array of structs (time, value) that holds the most nearest rows of right within the width.
+
+    among has further keys and a condition on rows of right; both sides share all keys and time. Rows are taken by distance, then by the
+    smallest value. A row of right is entered in its bucket of the width and the two beside it; in a bucket sorted by time each row of left takes as many
+    rows before and after it, so nothing is paired, and what is shuffled and sorted grows with the rows, however many are near one another.
+    """
+    further = sorted({c for more, _ in among.values() for c in more})
+    bucket = F.floor(F.col(time) / within)
+    flags = {f"_in_{name}": good for name, (_, good) in among.items()}
+    a = left.withColumns({"_side": F.lit(1), "_bucket": bucket})
+    known = right.filter(F.col(time).isNotNull())
+    for k in keys:
+        known = known.filter(F.col(k).isNotNull())  # nulls are equal to nothing
+    b = known.select(*keys, *further, time, F.lit(0).alias("_side"), value.alias("_v"), *(F.coalesce(c, F.lit(False)).alias(f) for f, c in flags.items()))
+    b = b.withColumn("_bucket", F.explode(F.array(*(bucket + k for k in (-1, 0, 1)))))
+    both = a.unionByName(b, allowMissingColumns=True).repartition(*keys, "_bucket")  # all windows below stay in these
+    away = lambda x: F.abs(x["time"] - F.col(time))
+    own = F.struct(F.col(time).alias("time"), F.col("_v").alias("value"))
+    for name, (more, _) in sorted(among.items(), key=lambda x: len(x[1][0])):  # rows dealt out by the fewest keys are so by the others
+        group, good = [*keys, "_bucket", *more], (F.col("_side") == 0) & F.col(f"_in_{name}")
+        sides = []
+        for side, at, last in (("_before", F.col(time), F.col("_side")), ("_after", F.col(time).desc(), F.col("_side").desc())):
+            # rows of right among themselves hold those next to them, and each row of left takes what the last one holds
+            beside = W.partitionBy(*group, "_side", f"_in_{name}").orderBy(at, F.col("_v").desc())
+            held = F.array_compact(F.array(own, *(F.lag(own, k).over(beside) for k in range(1, most))))
+            both = both.withColumn("_held", F.when(good, held))
+            upto = W.partitionBy(*group).orderBy(at, last, F.col("_v").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+            both = both.withColumn(side, F.last("_held", ignorenulls=True).over(upto)).withColumn(side, F.when(F.col("_side") == 1, F.coalesce(side, F.array()))).drop("_held")
+            sides.append(side)
+        near = F.filter(F.concat(*sides), lambda x: away(x) <= within)
+        ranked = F.sort_array(F.transform(near, lambda x: F.struct(away(x).alias("away"), x["value"].alias("value"), x["time"].alias("time"))))
+        kept = F.transform(F.slice(ranked, 1, most), lambda x: F.struct(x["time"].alias("time"), x["value"].alias("value")))
+        both = both.withColumn(name, kept).drop(*sides)
+    return both.filter("_side = 1").select(*left.columns, *among)
+
+
 def missing(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of left without a partner in right: what is listed but not there, not done yet or left behind."""
     return left.join(right.select(*on).distinct(), list(on), "left_anti")
