@@ -2,7 +2,10 @@
 
 import random
 
-from tidemark.operators import fusion
+import pytest
+
+from tidemark.operators import fusion, places
+from tidemark.plans import catalog
 
 ACT = "artifact_id string, exhibit string, app string, timestamp long"
 
@@ -35,3 +38,22 @@ def test_usage_of_dense_acts_pairs_nothing(spark):
         assert joins_in(got) == 0
         rows = [tuple(x) for x in got.select("artifact_id", "usage_id", "away_us", "close", "same_app", "rank").collect()]
         assert len(rows) == len(set(rows)) and set(rows) == best_usage(acts, logs, pool)
+
+
+def test_encounters_in_slices_are_those_of_listed_meetings(spark):
+    r = random.Random(7)
+    minute = 60_000_000
+    rows = [(f"p{k:03}", f"E{r.randrange(3)}", r.choice([r.randrange(-70, 200), r.randrange(-60, 200, 15)]) * minute + r.choice([0, 0, 1]), 19 + r.randrange(8) / 1000, r.choice([179.999, -179.999, 179.996]), 1.0 - k % 3 / 10) for k in range(160)]
+    points = spark.createDataFrame(rows, "artifact_id string, exhibit string, timestamp long, latitude double, longitude double, weight double")
+    want = places.encounters(places.meetings(points))
+    told = lambda df: sorted(tuple(x) for x in df.select(sorted(want.columns)).collect())
+    assert told(places.encounters_of(points)) == told(want) and want.agg({"hits": "max"}).first()[0] > 1
+    pairs = lambda df: sorted(tuple(x) for x in df.collect())
+    assert pairs(places.pair_summary_of(points)) == pairs(places.pair_summary(want))
+
+
+@pytest.mark.parametrize("name", ["encounters", "pair_summary"])
+def test_queries_of_encounters_list_no_meetings(spark, monkeypatch, name):
+    want = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    monkeypatch.setattr(places, "meetings", None)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() == want

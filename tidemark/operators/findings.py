@@ -180,7 +180,7 @@ def shared_locations(df: DataFrame) -> DataFrame:
 @rule("colocation.rendezvous", "high", 0.6, "Near is not together.")
 def rendezvous(df: DataFrame) -> DataFrame:
     """Pairs of exhibits with their encounters; those that travel together or meet again and again are graver."""
-    found = places.pair_summary(places.encounters(places.meetings(places.presence(df))))
+    found = places.pair_summary_of(places.presence(df))
     level = F.when(F.col("kind") == "single", "medium").otherwise("high")
     return found.select(F.concat_ws("/", "exhibit_a", "exhibit_b").alias("subject"), F.col("encounters").alias("n"), level.alias("severity"))
 

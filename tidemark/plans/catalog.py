@@ -252,7 +252,7 @@ MET = PRESENCE + f""", q AS (SELECT a_ex, b_ex, artifact_id_a, artifact_id_b, me
 
 
 def met_in(df: DataFrame) -> DataFrame:
-    return places.encounters(places.meetings(places.presence(df)))
+    return places.encounters_of(places.presence(df))
 
 
 @query("encounters", MET + "SELECT exhibit_a, exhibit_b, encounter, hits, start, stop, round(nearest_m, 3) AS nearest_m, closest_us, weight, round(confidence, 3) AS confidence FROM rated")
@@ -263,7 +263,7 @@ def _(df, spark, d):
 @query("pair_summary", MET + f"""SELECT exhibit_a, exhibit_b, encounters, days, CASE WHEN encounters >= 8 AND days >= 5 THEN 'travelling' WHEN encounters >= 3 AND days >= 3 THEN 'repeated' ELSE 'single' END AS kind
  FROM (SELECT exhibit_a, exhibit_b, count(*) AS encounters, count(DISTINCT strftime(make_timestamp(start), '%Y-%m-%d')) AS days FROM rated GROUP BY 1, 2)""")
 def _(df, spark, d):
-    return places.pair_summary(met_in(df)).drop("confidence")
+    return places.pair_summary_of(places.presence(df)).drop("confidence")
 
 
 @query("geo_grid", f"""SELECT {CELL.format('latitude')} AS y, {CELL.format('longitude')} AS x, count(*) AS n, count(DISTINCT exhibit) AS exhibits, count(DISTINCT {DAY}) AS days,
