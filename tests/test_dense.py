@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.operators import fusion, places
+from tidemark.operators import fusion, graph, places
 from tidemark.plans import catalog
 
 ACT = "artifact_id string, exhibit string, app string, timestamp long"
@@ -57,3 +57,17 @@ def test_queries_of_encounters_list_no_meetings(spark, monkeypatch, name):
     want = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
     monkeypatch.setattr(places, "meetings", None)
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() == want
+
+
+def test_components_make_their_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [(f"n{k:02}", f"n{k + 1:02}", 1) for k in range(12)]
+    e = spark.createDataFrame(rows, "a string, b string, weight long").mapInArrow(counted, "a string, b string, weight long")
+    assert {r.root for r in graph.components(e).collect()} == {"n00"}
+    assert made.value <= 2 * len(rows)  # one way and the other

@@ -50,7 +50,7 @@ def degrees(e: DataFrame) -> DataFrame:
 
 def components(e: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, root), root the smallest node reachable. Labels take neighbours' minima and then their labels' labels."""
-    both = mirrored(e).select("node", "other")
+    both = checkpointed(mirrored(e).select("node", "other"))  # else each round would make the edges again
     now = checkpointed(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root")))
     for _ in range(max_rounds):
         near = both.join(now.select(F.col("node").alias("other"), F.col("root").alias("r")), "other").groupBy("node").agg(F.min("r").alias("r"))
