@@ -1,10 +1,12 @@
 """Steps whose work must not grow with the square of how dense the rows lie in time."""
 
+import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import fusion, graph, places
+from tidemark.operators import digests, fusion, graph, order, places, tables
 from tidemark.plans import catalog
 
 ACT = "artifact_id string, exhibit string, app string, timestamp long"
@@ -71,3 +73,41 @@ def test_components_make_their_edges_once(spark):
     e = spark.createDataFrame(rows, "a string, b string, weight long").mapInArrow(counted, "a string, b string, weight long")
     assert {r.root for r in graph.components(e).collect()} == {"n00"}
     assert made.value <= 2 * len(rows)  # one way and the other
+
+
+def test_chains_of_logs_are_not_shuffled_or_stored_whole(spark, monkeypatch):
+    r, rows, want, nth = random.Random(11), [], set(), 0
+    for log, n in [("hot", 3 * 4_096 + 5), *((f"l{k}", r.randrange(1, 9)) for k in range(40))]:
+        last, before = "", None
+        for seq in range(r.choice([0, 1, 4_095]), n + 4_096):
+            content, why, nth = f"{log}{seq}", None, nth + 1
+            seal = hashlib.sha256(f"{last}|{content}".encode()).hexdigest()
+            dropped = seq % 4_096 in (0, 4_095) and r.random() < 0.5 or r.random() < 0.01
+            kept, seen = r.random() > 0.02, last if r.random() > 0.02 else "else"
+            if seen != last:
+                seal = hashlib.sha256(f"{seen}|{content}".encode()).hexdigest()
+            if not dropped:
+                rows.append((log, seq, seen, seal, content if kept else content + "!"))
+                why = "own digest" if not kept else "gap" if before is not None and seq != before[0] + 1 else "previous digest" if before is not None and before[1] != seen else None
+                before = (seq, seal)
+            want |= {(log, seq, why)} if why else set()
+            last = seal
+            if log != "hot" and len(rows) > 12_000 and seq > n + 10:
+                break
+    stored, real = [], tables.checkpointed
+
+    def watched(df, *by):
+        kept = real(df, *by)
+        stored.append((kept.count(), df._jdf.queryExecution().executedPlan().toString().count("Exchange ")))
+        return kept
+
+    monkeypatch.setattr(order, "checkpointed", watched)
+    monkeypatch.setattr(digests, "checkpointed", watched, raising=False)
+    df = spark.createDataFrame(rows, "log string, seq int, previous string, own string, content string")
+    got = [tuple(x) for x in digests.verify_chains(df, "log", "seq", "previous", "own", F.col("content")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {w for *_, w in want} == {"own digest", "gap", "previous digest"}
+    assert sum(n for n, _ in stored) < len(rows) / 4
+    stored.clear()
+    held = df.groupBy("log").agg(F.collect_list(F.struct("seq", "previous", "own", "content")).alias("all")).select("log", F.inline("all"))
+    assert {tuple(x) for x in digests.verify_chains(held, "log", "seq", "previous", "own", F.col("content")).collect()} == want
+    assert [n for _, n in stored] == [1]  # that of the groups
