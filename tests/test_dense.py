@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import digests, fusion, graph, order, places, tables
 from tidemark.plans import catalog
+from tidemark.sources import layouts
 
 ACT = "artifact_id string, exhibit string, app string, timestamp long"
 
@@ -111,3 +112,40 @@ def test_chains_of_logs_are_not_shuffled_or_stored_whole(spark, monkeypatch):
     held = df.groupBy("log").agg(F.collect_list(F.struct("seq", "previous", "own", "content")).alias("all")).select("log", F.inline("all"))
     assert {tuple(x) for x in digests.verify_chains(held, "log", "seq", "previous", "own", F.col("content")).collect()} == want
     assert [n for _, n in stored] == [1]  # that of the groups
+
+
+def test_rows_of_apps_are_not_shuffled_once_a_hop(spark, monkeypatch):
+    r = random.Random(13)
+    some = lambda *xs: r.choice([None, *xs])
+    message = [(k, some(*range(12)), some(*range(30)), r.choice([1.0, 0.95])) for k in range(200)]
+    chat = [(some(*range(10)), some(*map(str, range(20))), some("s", "t"), r.choice([1.0, 0.9, 0.5])) for _ in range(25)]
+    jid = [(some(*range(20)), some("x@c.us", "y@c.us", ""), r.choice([1.0, 0.8])) for _ in range(40)]
+    tables_of = {
+        "message": spark.createDataFrame(message, "_id long, chat_row_id long, sender_jid_row_id long, confidence double"),
+        "chat": spark.createDataFrame(chat, "_id long, jid_row_id string, subject string, confidence double"), "jid": spark.createDataFrame(jid, "_id long, raw_string string, confidence double"),
+    }
+
+    def partner(rows, key):
+        found = [x for x in rows if key is not None and x[0] is not None and str(x[0]) == str(key)]
+        low = lambda v: (v is not None, v or "")
+        return max(found, key=lambda x: (x[-1], *map(low, x[1:-1])), default=(None,) * (len(rows[0]) - 1) + (1.0,))
+
+    jids, want = [(k, v or None, c) for k, v, c in jid], set()
+    for k, c, s, sure in message:
+        at, by = partner(chat, c), partner(jids, s)
+        of = partner(jids, at[1])
+        want.add((k, at[1], at[2], of[1], by[1], min(sure, at[3], of[2], by[2])))
+    told = lambda: layouts.joined(layouts.MESSENGER[0], tables_of).select("row", "chat_jid", "subject", "chat_account", "sender_account", "confidence")
+    for off in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(off, "-1")
+    try:
+        got = told()
+        rows = [tuple(x) for x in got.collect()]
+        assert len(rows) == len(message) and set(rows) == want
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(layouts, "SENT", 0)  # nothing is small enough to be sent
+        rows = [tuple(x) for x in told().collect()]
+        assert len(rows) == len(message) and set(rows) == want
+    finally:
+        for off in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(off)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text, timex
 from ..operators import participants
+from ..operators.tables import checkpointed
 from .artifacts import content_id, in_schema
 
 Names = tuple[str, ...]
@@ -70,6 +71,61 @@ def chosen(layouts: Sequence[Layout], tables: Mapping[str, DataFrame]) -> Layout
     return next((x for x in layouts if _found(tables, x.tables) is not None and all(_found(tables, n) is not None for n in x.needs)), None)
 
 
+#: Bytes of partners, roughly counted, that are sent to every task; with more the rows are shuffled to their partners.
+SENT = 64_000_000
+
+
+def _same(df: DataFrame, here: str, other: DataFrame, there: str) -> Column:
+    """Equal keys, as text where they differ in type."""
+    if df.schema[here].dataType == other.schema[there].dataType:
+        return F.col(here) == F.col(there)
+    return F.col(here).cast("string") == F.col(there).cast("string")
+
+
+def _asked(rows: DataFrame, here: str, held: DataFrame) -> DataFrame:
+    """held (_there ...), or the part of it that rows ask for if that is little, to be sent to every task."""
+    row_bytes = 64
+    if here not in rows.columns or rows.agg(F.approx_count_distinct(here)).first()[0] > SENT // row_bytes:
+        return held
+    keys_of = rows.select(F.col(here).alias("_here")).filter("_here is not null").distinct()
+    found = checkpointed(held.join(keys_of, _same(keys_of, "_here", held, "_there"), "left_semi"))
+    size = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in found.columns), F.lit(row_bytes))
+    return F.broadcast(found) if (found.agg(F.sum(size)).first()[0] or 0) <= SENT else found
+
+
+def _along(rows: DataFrame, sure: str, hops: Sequence[Hop], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """rows with all columns that hops take, and sure lowered to the least of what they came from.
+
+    A hop from a column of another hop is made in that one's table, so that rows are shuffled once for both, or not at all.
+    """
+    made, left = rows, list(hops)
+    while left:
+        hop = left.pop(0)
+        other = _found(tables, hop.tables)
+        if other is None:
+            made = made.withColumns({c: F.lit(None).cast("array<string>" if hop.every else "string") for c in hop.take})
+            continue
+        found = other.select(_picked(other, hop.there).alias("_key"), *(_picked(other, n).alias(c) for c, n in hop.take.items()), _sureness(other).alias("_own")).filter("_key is not null")
+        key = F.col("_key").alias("_there")
+        if hop.every:
+            held = found.groupBy(key).agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in hop.take), F.min("_own").alias("_least"))
+        else:
+            further, known = [], set(hop.take)
+            for h in left:  # and those that go on from these
+                if h.here in known:
+                    further.append(h)
+                    known |= set() if h.every else set(h.take)
+            left = [h for h in left if h not in further]
+            found = _along(found.withColumn("_whole", F.col("_own")), "_whole", further, tables)
+            # what further hops take is the same for the same row, and decides nothing
+            taken = [*hop.take, *(c for h in further for c in h.take)]
+            best = F.max(F.struct("_own", *taken, "_whole")).alias("_b")
+            held = found.groupBy(key).agg(best).select("_there", *(F.col(f"_b.{c}").alias(c) for c in taken), F.col("_b._whole").alias("_least"))
+        held = _asked(rows, hop.here, held)
+        made = made.join(held, _same(made, hop.here, held, "_there"), "left").withColumn(sure, F.least(sure, F.coalesce("_least", F.lit(1.0)))).drop("_there", "_least")
+    return made
+
+
 def joined(layout: Layout, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows of the base with all columns taken, recovery, and confidence: the least of all rows that contributed.
 
@@ -80,21 +136,7 @@ def joined(layout: Layout, tables: Mapping[str, DataFrame]) -> DataFrame:
         raise ValueError(f"no table of {layout.name}: {', '.join(layout.tables)}")
     recovery = F.coalesce("recovery", F.lit("allocated")) if "recovery" in base.columns else F.lit("allocated")
     made = base.select(*(_picked(base, n).alias(c) for c, n in layout.take.items()), recovery.alias("recovery"), _sureness(base).alias("confidence"))
-    for k, hop in enumerate(layout.hops):
-        other = _found(tables, hop.tables)
-        if other is None:
-            kind = "array<string>" if hop.every else "string"
-            made = made.withColumns({c: F.lit(None).cast(kind) for c in hop.take})
-            continue
-        rows = other.select(_picked(other, hop.there).alias("_key"), *(_picked(other, n).alias(c) for c, n in hop.take.items()), _sureness(other).alias("_sure")).filter("_key is not null")
-        if hop.every:
-            held = rows.groupBy("_key").agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in hop.take), F.min("_sure").alias("_sure"))
-        else:
-            best = F.max(F.struct("_sure", *hop.take)).alias("_b")
-            held = rows.groupBy("_key").agg(best).select("_key", *(F.col(f"_b.{c}").alias(c) for c in hop.take), F.col("_b._sure").alias("_sure"))
-        key = F.col("_key").cast("string") == F.col(hop.here).cast("string")
-        made = made.join(held, key, "left").withColumn("confidence", F.least("confidence", F.coalesce("_sure", F.lit(1.0)))).drop("_key", "_sure")
-    return made
+    return _along(made, "confidence", layout.hops, tables).select(*made.columns, *(c for h in layout.hops for c in h.take))
 
 
 def _first(*columns: str) -> Column:
