@@ -149,3 +149,19 @@ def test_rows_of_apps_are_not_shuffled_once_a_hop(spark, monkeypatch):
     finally:
         for off in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
             spark.conf.unset(off)
+
+
+def test_sweeps_store_only_the_labels_of_the_colour_in_turn(spark, monkeypatch):
+    e = spark.createDataFrame([(f"a{k % 3}", f"b{k:02}", 1 + k % 2) for k in range(30)] + [("a0", "b01", 1)], "a string, b string, weight long")
+    colours = spark.createDataFrame([(f"a{k}", 0) for k in range(3)] + [(f"b{k:02}", 1) for k in range(30)], "node string, colour int")
+    stored, real = [], graph.checkpointed
+
+    def watched(df, *by):
+        kept = real(df, *by)
+        stored.append(kept.count() if "moved" in df.columns else 0)
+        return kept
+
+    monkeypatch.setattr(graph, "checkpointed", watched)
+    found = {r.node: r.label for r in graph.communities(e, colours).collect()}
+    assert len(found) == 33 and all(found[f"a{k % 3}"] == found[f"b{k:02}"] for k in range(30) if k != 1) and len(set(found.values())) == 3
+    assert 0 < max(stored) <= 30

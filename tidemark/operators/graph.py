@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -107,24 +108,30 @@ def communities(e: DataFrame, colours: DataFrame | None = None, max_sweeps: int
     own_colours = colours is None
     colours = coloured(e) if own_colours else colours
     both = checkpointed(mirrored(e).join(colours, "node"), "colour")
-    now = checkpointed(both.select("node", "colour").distinct().withColumn("label", F.col("node")))
-    order = [r["colour"] for r in now.select("colour").distinct().orderBy("colour").collect()]
+    start = checkpointed(both.select("node", "colour").distinct(), "colour")
+    order = [r["colour"] for r in start.select("colour").distinct().orderBy("colour").collect()]
+    of = lambda c: F.col("colour") == c
+    # a table of labels for each colour: neighbours' are read, and only those of the colour in turn are written anew
+    now = {c: start.filter(of(c)).select("node", F.col("node").alias("label")) for c in order}
+    stored = {}
+    joined = lambda cs: reduce(DataFrame.unionByName, (now[c].select("node", "label") for c in cs))
     still = 0  # colours in turn that moved nobody
     for k in range(max_sweeps * max(1, len(order))):
         if still == len(order):
             break
-        turn = F.col("colour") == order[k % len(order)]
-        seen = both.filter(turn).join(now.select(F.col("node").alias("other"), "label"), "other")
-        votes = seen.groupBy("node", "label").agg(F.sum("weight").alias("w"))
-        mine = now.filter(turn).select("node", F.col("label").alias("own"))
-        best = votes.join(mine, "node").groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("label") != F.col("own"), "label")).alias("b"))
-        moved = now.join(best.select("node", F.col("b.label").alias("_new")), "node", "left")
-        after = checkpointed(moved.select("node", "colour", F.coalesce("_new", "label").alias("label"), (F.col("_new") != F.col("label")).alias("moved")))
+        c = order[k % len(order)]
+        others = joined([x for x in order if x != c])
+        votes = both.filter(of(c)).join(others.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
+        mine = now[c].select("node", F.col("label").alias("own"))
+        best = votes.join(mine, "node").groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("label") != F.col("own"), "label")).alias("b"), F.first("own").alias("own"))
+        after = checkpointed(best.select("node", "b.label", (F.col("b.label") != F.col("own")).alias("moved")))
         still = still + 1 if after.filter("moved").isEmpty() else 0
-        discarded(now)
-        now = after
+        if c in stored:
+            discarded(stored[c])
+        now[c] = stored[c] = after
     else:
         raise RuntimeError(f"communities not settled in {max_sweeps} sweeps")
+    now = joined(order) if order else start.select("node", F.col("node").alias("label"))
     sizes = now.groupBy("label").agg(F.count(F.lit(1)).alias("_size"))
     ranks = numbered(sizes, [F.col("_size").desc(), F.col("label")], "_rank").select("label", (F.col("_rank") - 1).alias("community"))
     return now.join(ranks, "label").select("node", "label", "community")

@@ -398,7 +398,7 @@ def sweeps_sql(sweeps: int = 12) -> str:
 def spoken(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Conversations and their words as a graph, weighted by occurrences, and the two kinds of nodes as its colours: conversations first."""
     words = table(spark, d, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("x"), F.explode(text.tokens(F.col("text"))).alias("w"))
-    e = graph.edges(words.select("x", F.concat(F.lit("w"), "w").alias("y")), "x", "y")
+    e = graph.checkpointed(graph.edges(words.select("x", F.concat(F.lit("w"), "w").alias("y")), "x", "y"))  # read time and again
     ends = e.select("a").distinct().select(F.col("a").alias("node"), F.lit(0).alias("colour")).unionByName(e.select("b").distinct().select(F.col("b").alias("node"), F.lit(1).alias("colour")))
     return e, ends
 
