@@ -18,8 +18,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round links all larger neighbours of a node, then all smaller ones, to the smallest one. The edges
     become stars of the roots within about log(longest path) rounds. Sides are only ever joined on a
-    table of one row per node, minima are pre-aggregated, and each round is written to the shared
-    folder. An empty table gives an empty one.
+    table of one row per node, minima are pre-aggregated, and each half of a round is written to the shared
+    folder, as the next one reads it twice. An empty table gives an empty one.
     """
     now = stored(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
@@ -28,11 +28,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         after = stored(small.filter("u <> v").distinct(), "edges")
         dropped(now)
+        dropped(large)
         now, before, mark = after, mark, _mark(after)
         if mark == before:
             break

@@ -121,7 +121,7 @@ def mix(
     if not with_text:
         every = sized
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
-    sources = targets_of(sources, weights, max_repeats)
+    sources = stored(targets_of(sources, weights, max_repeats), "targets")
     least = F.min(F.when(F.col("target") > 0, F.col("target")))
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     block = F.greatest(F.lit(1), F.least(F.lit(4096), F.floor(least.over(everything) / 200))).cast("long")
@@ -140,16 +140,18 @@ def mix(
         tied = rows.join(named, F.col("source").eqNullSafe(F.col("_source")), "left")
         return tied.withColumn("_shard", number % F.greatest(F.col("_shards"), F.lit(1)))
 
+    # a row a shard; stored, as each deal reads its votes twice, and what reads a table twice doubles its plan and all plans on it
     shards = placed(sized).groupBy("source", "_shard").agg(
         F.sum("size").alias("_words"), F.first("_quota").alias("_of"), F.first("_block").alias("_b")
     )
+    shards = stored(shards, "shards")
     # groups of shards first, so that no window holds more than a group's shards or a source's groups
     shards = shards.withColumns({"_group": F.floor(F.col("_shard") / shards_per_group), "_votes": F.col("_words").cast("double")})
     groups = shards.groupBy("source", "_group").agg(F.sum("_votes").alias("_votes"), F.first("_of").alias("_of"))
     groups = sainte_lague(groups, ["source"], ["_group"], "_votes", F.col("_of"), "_q")
     groups = groups.select(F.col("source").alias("_s"), F.col("_group").alias("_g"), F.col("_q").alias("_seats_of_group"))
     shards = shards.join(groups, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_group") == F.col("_g")), "left")
-    shards = shards.drop("_s", "_g")
+    shards = stored(shards.drop("_s", "_g"), "shards")
     shards = sainte_lague(shards, ["source", "_group"], ["_shard"], "_votes", F.col("_seats_of_group"), "_q")
     blocks = F.greatest(F.ceil(F.col("_words") / F.col("_b")), F.lit(1)).cast("long")
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("_shard"))), 1, 12), 16, 10)
@@ -162,6 +164,7 @@ def mix(
             "_line": F.col("_m") * F.col("_b"),
         }
     ).select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "_passes", "_run", "_from", "_line")
+    shards = stored(shards, "quotas")
     line = W.partitionBy("source", "_shard").orderBy("_token", "size", "_tie")
     tied = placed(every).withColumn("_end", F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)))
     full = tied.join(shards, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_h")), "left")

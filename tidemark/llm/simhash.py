@@ -327,6 +327,7 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     def compared(pairs: DataFrame) -> DataFrame:
         """(u, v) of the pairs (ta, tb) that are similar enough."""
         wanted = pairs.select(F.explode(F.array("ta", "tb")).alias("t")).distinct().join(nodes, "t").select("node", "first")
+        wanted = stored(wanted, "wanted")  # the texts are read from both sides
         small = rows_under(wanted, MOST_BROADCAST)
         same = given["node"].eqNullSafe(F.col("_node")) & given["doc_id"].eqNullSafe(F.col("first"))
         wanted = wanted.withColumnRenamed("node", "_node")
@@ -347,7 +348,8 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
         if grouped_already:
             # of keys whose texts are in several groups, the entries with their groups
             roots = components(linked).select(F.xxhash64("node").alias("t"), F.xxhash64("root").alias("root"))
-            live = entries.join(roots.groupBy("t").agg(F.min("root").alias("root")), "t", "left").withColumn("root", F.coalesce("root", "t"))
+            roots = stored(roots.groupBy("t").agg(F.min("root").alias("root")), "roots")
+            live = entries.join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
             several = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
             live = live.join(several.select("key"), "key", "left_semi")
         own = grouped_already or not centre
@@ -381,7 +383,7 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     if linked is None:
         named = named.withColumn("root", F.col("node"))
     else:
-        named = named.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = stored(named.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     # the smallest id of a group, nulls last, and the text that has it
     place = F.struct(F.col("first").isNull().alias("none"), "first", "node")
     best = named.groupBy("root").agg(F.min(place).alias("best"))
