@@ -447,4 +447,18 @@ def test_hamming_pairs_of_copies(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     got = sorted(map(tuple, catalog.QUERIES["hamming_pairs"](spark, str(tmp_path)).collect()))
-    assert got == sorted(con.execute(catalog.SQL["hamming_pairs"]).fetchall()) and len(got) == 4 + 7
+    assert got == sorted(con.execute(catalog.SQL["hamming_pairs"]).fetchall()) and len(got) == 13 + 10  # all pairs of ids
+
+
+def test_hamming_pairs_lists_all_pairs_of_copies(spark, tmp_path):
+    rnd = random.Random(6)
+    base, other = ([rnd.gauss(0, 1) for _ in range(64)] for _ in range(2))
+    near = [-x if k == 5 else x for k, x in enumerate(base)]
+    vectors = [base, near, base, other, base, near, base]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    os.symlink("/root/testdata/sf0.001/events.parquet", tmp_path / "events.parquet")
+    want = sorted((a, b, int(vectors[a] != vectors[b])) for a in range(7) for b in range(a + 1, 7) if 3 not in (a, b))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(map(tuple, catalog.QUERIES["hamming_pairs"](spark, str(tmp_path)).collect())) == want
+    assert sorted(con.execute(catalog.SQL["hamming_pairs"]).fetchall()) == want

@@ -137,8 +137,8 @@ def near_hashes(hashes: DataFrame, id_column: str, most: int = 6) -> DataFrame:
     """Pairs of ids whose hashes differ in at most so many bits.
 
     The 64 bits fall into most + 3 bands. At most that many bits differ, so three bands at least agree, and each hash
-    is entered under every three of its bands, about 21 bits for 6. Only distinct hashes meet; of equal
-    ones each is given with the smallest id.
+    is entered under every three of its bands, about 21 bits for 6. Only distinct hashes meet; each pair of
+    them stands for all pairs of their ids, and equal ones are paired at distance 0. Null hashes are in none.
     """
     n = most + 3
     cuts = [round(64 * k / n) for k in range(n + 1)]
@@ -154,24 +154,11 @@ def near_hashes(hashes: DataFrame, id_column: str, most: int = 6) -> DataFrame:
     near = near.select("x", "y", "distance").distinct()
     ids = lambda h, name: hashes.select(F.col("hash").alias(h), F.col(id_column).alias(name))
     apart = near.join(ids("x", "p"), "x").join(ids("y", "q"), "y")
-    # of equal hashes, each with the smallest id
-    least = hashes.groupBy("hash").agg(F.min(id_column).alias("p"))
-    same = hashes.join(least, "hash").filter(F.col("p") != F.col(id_column)).select("p", F.col(id_column).alias("q"), F.lit(0).alias("distance"))
-    out = apart.select("p", "q", "distance").unionByName(same)
+    same = ids("x", "p").join(ids("x", "q"), "x").select("p", "q", F.lit(0).alias("distance")).filter("p < q")
+    out = apart.select("p", "q", "distance").filter("p <> q").unionByName(same)
     return out.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"), "distance")
 
 
-def near_classes(hashes: DataFrame, id_column: str, most: int = 6) -> DataFrame:
-    """Pairs of distinct hashes that differ in at most so many bits, each by its smallest id, and the other ids of a hash with that one, at distance 0.
-
-    Copies of a hash are one row each, whatever their number; every pair of near ids follows from its two classes. Null hashes are in none.
-    """
-    least = hashes.filter("hash is not null").groupBy("hash").agg(F.min(id_column).alias("_least"))
-    between = near_hashes(least.select(F.col("_least").alias(id_column), "hash"), id_column, most)
-    others = hashes.join(least, "hash").filter(F.col("_least") != F.col(id_column))
-    return between.unionByName(others.select(F.col("_least").alias("id_a"), F.col(id_column).alias("id_b"), F.lit(0).alias("distance")))
-
-
 def perceptual(pairs: DataFrame) -> DataFrame:
     """pairs with hashes a_1, d_1, p_1 and a_2, d_2, p_2 (long), with the three distances and a verdict.
 

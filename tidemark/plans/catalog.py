@@ -487,13 +487,12 @@ def _(df, spark, d):
     return digests.screen(docs, sets, "doc_id").select("doc_id", "verdict")
 
 
-@query("hamming_pairs", """WITH h AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE embedding IS NOT NULL),
- r AS (SELECT b, min(vec_id) AS vec_id FROM h GROUP BY b),
- p AS (SELECT a.vec_id AS x, b.vec_id AS y, list_sum(list_transform(range(1, len(a.b) + 1), lambda i: CASE WHEN a.b[i] <> b.b[i] THEN 1 ELSE 0 END))::INTEGER AS distance FROM r a JOIN r b ON a.vec_id < b.vec_id)
- SELECT x AS id_a, y AS id_b, distance FROM p WHERE distance <= 6 UNION ALL SELECT r.vec_id, h.vec_id, 0 FROM h JOIN r USING (b) WHERE h.vec_id > r.vec_id""")
+@query("hamming_pairs", """WITH h AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE embedding IS NOT NULL)
+ SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_sum(list_transform(range(1, len(a.b) + 1), lambda i: CASE WHEN a.b[i] <> b.b[i] THEN 1 ELSE 0 END))::INTEGER AS distance
+ FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE list_sum(list_transform(range(1, len(a.b) + 1), lambda i: CASE WHEN a.b[i] <> b.b[i] THEN 1 ELSE 0 END)) <= 6""")
 def _(df, spark, d):
-    """Pairs of classes of equal hashes, each by its smallest id, and the members of a class with that id, at distance 0."""
-    return digests.near_classes(digests.sign_hash(table(spark, d, "embeddings"), "vec_id", "embedding"), "vec_id")
+    """All pairs of near ids, copies among them: a class of m equal hashes is m (m - 1) / 2 pairs."""
+    return digests.near_hashes(digests.sign_hash(table(spark, d, "embeddings"), "vec_id", "embedding"), "vec_id")
 
 
 @query("merkle_root", """WITH RECURSIVE l0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS i, h FROM (SELECT DISTINCT sha256(text) AS h FROM documents WHERE text IS NOT NULL)),
