@@ -165,3 +165,23 @@ def test_sweeps_store_only_the_labels_of_the_colour_in_turn(spark, monkeypatch):
     found = {r.node: r.label for r in graph.communities(e, colours).collect()}
     assert len(found) == 33 and all(found[f"a{k % 3}"] == found[f"b{k:02}"] for k in range(30) if k != 1) and len(set(found.values())) == 3
     assert 0 < max(stored) <= 30
+
+
+def test_near_hashes_in_blocks_send_nothing_to_all_tasks(spark, monkeypatch):
+    r = random.Random(11)
+    base = [r.getrandbits(64) for _ in range(4)]
+    near = [b ^ sum(1 << k for k in r.sample(range(64), r.randrange(5))) for b in base for _ in range(25)]
+    every = [(k, h - (1 << 64) if h >> 63 else h) for k, h in enumerate([*near, *near[:40], *base[:1] * 30])] + [(7, every) for every in (0, 1)] + [(500, None)]
+    df = spark.createDataFrame(every, "i long, hash long")
+    bits = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    want = sorted((a, b, bits(x, y)) for a, x in every for b, y in every if a < b and None not in (x, y) and bits(x, y) <= 6)
+    monkeypatch.setattr(digests, "BLOCK", 8)
+    stored = []
+    keep = lambda df: stored.append(df) or tables.checkpointed(df)
+    monkeypatch.setattr(digests, "checkpointed", keep)
+    monkeypatch.setattr(digests, "spread", lambda df, made, **more: stored.append(df) or tables.spread(df, made, **more))
+    got = digests.near_hashes(df, "i")
+    assert sorted(map(tuple, got.collect())) == want
+    assert joins_in(got) == 0 and all("Broadcast" not in x._jdf.queryExecution().executedPlan().toString() for x in stored)
+    held = [x for x in stored if "values" in x.columns]
+    assert len(held) == 2 and all(x.agg({"size(values)": "max"}).first()[0] == 8 for x in (h.selectExpr("size(values)") for h in held))

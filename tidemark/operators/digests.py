@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from .graph import components, edges
 from .joins import beside
-from .tables import checkpointed
+from .tables import checkpointed, spread
 
 
 #: Headings of the column of a hash list that says what a digest is of.
@@ -127,36 +127,71 @@ def verify_chains(entries: DataFrame, log: str, seq: str, previous: str, own: st
 
 def sign_hash(df: DataFrame, id_column: str, vector: str) -> DataFrame:
     """64 sign bits of a vector, as a long: bit k is that of the sum of the entries k, k + 64, k + 128 and so on; null without a vector."""
-    at = lambda k: F.filter(vector, lambda x, i: i % 64 == k)
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(total(at(k)) > 0, "1").otherwise("0"))
+    at = lambda k: F.sequence(k, F.greatest(F.size(vector) - 1, k), F.lit(64))
+    total = lambda k: F.aggregate(at(k), F.lit(0.0), lambda a, i: a + F.get(vector, i))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(total(k) > 0, "1").otherwise("0"))
     return df.select(id_column, F.when(F.col(vector).isNotNull(), F.conv(F.array_join(bits, ""), 2, -10).cast("long")).alias("hash"))
 
 
+#: Values of a key that lie in one block, so that two blocks are a million pairs at most.
+BLOCK = 1_000
+
+
+def blocks(df: DataFrame, keys: list[str], value: str, single: bool = True) -> DataFrame:
+    """(keys, block, values): the values of each key in order, BLOCK to an array; nulls are in none, nor, unless single, keys of one value."""
+    w = W.partitionBy(*keys).orderBy(value)
+    placed = df.filter(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w).alias("_place"), F.lead(value).over(w).alias("_next"))
+    kept = placed if single else placed.filter("_place > 1 or _next is not null")
+    return kept.groupBy(*keys, F.floor((F.col("_place") - 1) / BLOCK).alias("block")).agg(F.collect_list(value).alias("values"))
+
+
+def met(held: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, xs, ys): every two blocks of a key and each with itself, held being blocks() as stored. Where x < y, a pair of values is made once."""
+    alone = held.filter("size(values) > 1").select(*keys, F.col("values").alias("xs"), F.col("values").alias("ys"))
+    before = held.select(*keys, F.col("block").alias("_before"), F.col("values").alias("xs"))
+    after = held.filter("block > 0").select(*keys, "block", F.col("values").alias("ys"))
+    return alone.unionByName(before.hint("merge").join(after, keys).filter("_before < block").select(*keys, "xs", "ys"))
+
+
+def near_codes(codes: DataFrame, most: int = 6) -> DataFrame:
+    """(x, y, distance), x < y: pairs of distinct hashes that differ in at most so many bits, as near_hashes() finds them.
+
+    Hashes that agree in three bands are compared block by block, dealt out by the comparisons, as they are before by their entries; a pair is taken from the first three bands it agrees in.
+    """
+    n = most + 3
+    cuts = [round(64 * k / n) for k in range(n + 1)]
+    masks = [((1 << cuts[k + 1]) - (1 << cuts[k])) for k in range(n)]
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    chosen = list(combinations(range(n), 3))
+    keys = F.array(*(F.struct(F.lit(i).alias("bands"), F.col("hash").bitwiseAND(signed(sum(masks[k] for k in three))).alias("bits")) for i, three in enumerate(chosen)))
+    entered = spread(codes, F.lit(len(chosen)), most=4_000_000).select("hash", F.inline(keys))
+    held = checkpointed(blocks(entered, ["bands", "bits"], "hash", single=False))
+    dealt = spread(met(held, ["bands", "bits"]).select("bands", "xs", "ys"), F.size("xs").cast("long") * F.size("ys"), most=20_000_000)
+    pairs = dealt.select("bands", F.explode("xs").alias("x"), "ys").select("bands", "x", F.explode("ys").alias("y"))
+    apart = F.col("x").bitwiseXOR(F.col("y"))
+    earlier = F.array(*(F.array(*(signed(masks[k]) for k in range(three[-1]) if k not in three)).cast("array<long>") for three in chosen))
+    first = F.forall(F.get(earlier, F.col("bands")), lambda m: apart.bitwiseAND(m) != 0)
+    distance = F.bit_count(apart)
+    return pairs.filter("x < y").filter(distance <= most).filter(first).select("x", "y", distance.alias("distance"))
+
+
 def near_hashes(hashes: DataFrame, id_column: str, most: int = 6) -> DataFrame:
     """Pairs of ids whose hashes differ in at most so many bits.
 
     The 64 bits fall into most + 3 bands. At most that many bits differ, so three bands at least agree, and each hash
     is entered under every three of its bands, about 21 bits for 6. Only distinct hashes meet; each pair of
-    them stands for all pairs of their ids, and equal ones are paired at distance 0. Null hashes are in none.
+    them stands for all pairs of their ids, and equal ones are paired at distance 0. Null hashes are in none. Ids are held
+    in blocks and dealt out by the pairs they become, which are made last. No join may send a side to all tasks: an array becomes more than Spark reckons.
     """
-    n = most + 3
-    cuts = [round(64 * k / n) for k in range(n + 1)]
-    masks = [((1 << cuts[k + 1]) - (1 << cuts[k])) for k in range(n)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    chosen = [signed(sum(masks[k] for k in three)) for three in combinations(range(n), 3)]
-    keys = F.array(*(F.struct(F.lit(i).alias("bands"), F.col("hash").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(chosen)))
-    distinct = hashes.select("hash").distinct()
-    entered = distinct.select("hash", F.inline(keys))
-    a, b = entered.withColumnRenamed("hash", "x"), entered.withColumnRenamed("hash", "y")
-    far = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    near = a.join(b, ["bands", "bits"]).filter("x < y").withColumn("distance", far).filter(F.col("distance") <= most)
-    near = near.select("x", "y", "distance").distinct()
-    ids = lambda h, name: hashes.select(F.col("hash").alias(h), F.col(id_column).alias(name))
-    apart = near.join(ids("x", "p"), "x").join(ids("y", "q"), "y")
-    same = ids("x", "p").join(ids("x", "q"), "x").select("p", "q", F.lit(0).alias("distance")).filter("p < q")
-    out = apart.select("p", "q", "distance").filter("p <> q").unionByName(same)
-    return out.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"), "distance")
+    members = checkpointed(blocks(hashes.filter("hash is not null"), ["hash"], id_column))
+    side = lambda h, ids: members.select(F.col("hash").alias(h), F.col("values").alias(ids))
+    near = near_codes(members.filter("block = 0").select("hash"), most)
+    apart = near.hint("merge").join(side("x", "xs"), "x").hint("merge").join(side("y", "ys"), "y").select("xs", "ys", "distance")
+    same = met(members, ["hash"]).select("xs", "ys", F.lit(0).alias("distance"))
+    dealt = spread(apart.unionByName(same), F.size("xs").cast("long") * F.size("ys"))
+    pairs = dealt.select("distance", F.explode("xs").alias("p"), "ys").select("distance", "p", F.explode("ys").alias("q"))
+    pairs = pairs.filter("p < q or (distance > 0 and p > q)")
+    return pairs.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"), "distance")
 
 
 def perceptual(pairs: DataFrame) -> DataFrame:
