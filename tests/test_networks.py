@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,31 @@ def test_rows_are_dealt_out_by_what_they_become(spark):
     dealt = tables.spread(df, F.col("n"), most=500)
     assert dealt.rdd.getNumPartitions() == 16 and sorted(r.id for r in dealt.collect()) == list(range(40))
     assert tables.spread(df.filter("id < 0"), F.col("n")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1_000_000, 30, 3])
+def test_parties_and_not_pairs_are_sent(spark, most):
+    r = random.Random(8)
+    some = lambda *v: r.choice([*v, None])
+    rows = []
+    for k in range(70):
+        own = people(*((f"{'u' * (i % 3 + 1)}{i}@x", "", i == 9) for i in [0, *r.sample(range(12), r.randrange(7))])) if k % 9 else some([], people(("", "", True)))
+        rows.append((f"m{k}", some("Calls", "Messages", "Web"), some("outgoing", "incoming", "draft"), some("a", "b", ""), some(k), some(k + 1_500_000 * k), own))
+    df = spark.createDataFrame(rows, f"artifact_id string, category string, direction string, app string, timestamp long, timestamp_end long, participants {participants.TYPE}").repartition(3)
+    want = {}
+    for _, category, direction, app, begun, ended, own in rows:
+        keys = {participants.OWNER if p["is_owner"] else p["identifier"] for p in own or ()}
+        for pair in itertools.combinations(sorted(keys | {participants.OWNER}), 2) if keys else ():
+            e = want.setdefault(pair, {"n": collections.Counter(), "apps": set(), "times": []})
+            e["n"].update({"weight": 1, "calls": category == "Calls", "messages": category not in (None, "Calls"), "outgoing": direction == "outgoing", "incoming": direction == "incoming"})
+            e["n"]["seconds"] += (ended - begun) // 1_000_000 if category == "Calls" and None not in (begun, ended) else 0
+            e["apps"] |= {app} - {None, ""}
+            e["times"] += [begun] if begun is not None else []
+    made = participants.edges(df, most) if most < 1_000_000 else participants.edges(df)
+    got = {(x.a, x.b): x for x in made.collect()}
+    assert got.keys() == want.keys() and len(got) == made.count()
+    for pair, e in want.items():
+        x = got[pair]
+        assert {c: x[c] for c in e["n"]} == e["n"] and (x.apps, x.first, x.last) == (len(e["apps"]), min(e["times"], default=None), max(e["times"], default=None))
+    plan = made.select("*")._jdf.queryExecution().executedPlan().toString()  # not run yet, so one plan
+    assert plan.count("Exchange hashpartitioning") == (1 if most == 1_000_000 else 3) and "Exchange hashpartitioning(x#" in plan

@@ -23,12 +23,12 @@ MEASURES = """count(*) AS weight, count(*) FILTER (WHERE category = 'Calls') AS
 
 def group_messages(spark: SparkSession, d: str) -> DataFrame:
     """Orders as messages and calls of a customer to the suppliers of their lines, one of whom is the owner: a stated projection."""
-    to = participants.party("to", F.concat(F.lit("+44 "), (F.lit(7_000_000_000) + F.col("l_suppkey")).cast("string")), F.concat(F.lit("s"), "l_suppkey"), F.col("l_suppkey") == 1)
-    sides = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(to).alias("_to"))
-    met = table(spark, d, "orders").join(sides, "o_orderkey", "left")
+    to = lambda k: participants.party("to", F.concat(F.lit("+44 "), (F.lit(7_000_000_000) + k).cast("string")), F.concat(F.lit("s"), k), k == 1)
+    sides = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_suppkey").alias("_to"))
+    met = table(spark, d, "orders").join(sides.hint("merge"), "o_orderkey", "left")
     begun = timex.micros(F.col("o_orderdate").cast("timestamp"))
     who = participants.party("from", F.concat(F.lit("c"), "o_custkey", F.lit("@shop.example")), F.concat(F.lit("c"), "o_custkey"))
-    every = F.concat(F.array(who), F.coalesce("_to", F.array())).cast(participants.TYPE)
+    every = F.concat(F.array(who), F.transform(F.coalesce("_to", F.array().cast("array<long>")), to)).cast(participants.TYPE)
     return in_schema(
         met, artifact_id=F.concat(F.lit("o"), "o_orderkey"), category=F.when(F.startswith("o_orderpriority", F.lit("1")), "Calls").otherwise("Messages"), app=F.col("o_orderpriority"),
         direction=F.when(F.col("o_orderkey") % 2 == 0, "outgoing").otherwise("incoming"), timestamp=begun, timestamp_end=begun + (F.col("o_orderkey") % 600) * 1_000_000,
